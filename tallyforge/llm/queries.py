@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from tallyforge.llm import sharding
+from tallyforge.llm import chat, sharding, warc
 
 QUERIES = {
     "op2_hypergeometric_sharding": sharding.query,
+    "op5_warc_archive": warc.query,
+    "op9_chat_formatting": chat.query,
 }
 
 #: DuckDB SQL where it can express the query.
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op9_chat_formatting": chat.SQL,
+}

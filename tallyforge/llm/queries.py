@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from tallyforge.llm import chat, sharding, warc
+from tallyforge.llm import chat, decontam, sharding, warc
 
 QUERIES = {
     "op2_hypergeometric_sharding": sharding.query,
     "op5_warc_archive": warc.query,
+    "op6_benchmark_decontamination": decontam.query,
     "op9_chat_formatting": chat.query,
 }
 
 #: DuckDB SQL where it can express the query.
 SQL: dict[str, str] = {
+    "op6_benchmark_decontamination": decontam.SQL,
     "op9_chat_formatting": chat.SQL,
 }

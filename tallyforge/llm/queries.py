@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from tallyforge.llm import chat, decontam, sharding, warc
+from tallyforge.llm import chat, decontam, langid, sharding, warc
 
 QUERIES = {
     "op2_hypergeometric_sharding": sharding.query,
+    "op3_language_centroids": langid.query,
     "op5_warc_archive": warc.query,
     "op6_benchmark_decontamination": decontam.query,
     "op9_chat_formatting": chat.query,

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from tallyforge.llm import chat, decontam, langid, sharding, warc
+from tallyforge.llm import chat, decontam, langid, mixing, sharding, warc
 
 QUERIES = {
     "op2_hypergeometric_sharding": sharding.query,
     "op3_language_centroids": langid.query,
+    "op4_pivotal_mixing": mixing.query,
     "op5_warc_archive": warc.query,
     "op6_benchmark_decontamination": decontam.query,
     "op9_chat_formatting": chat.query,

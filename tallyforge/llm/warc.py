@@ -67,10 +67,12 @@ def write_archive(pages: DataFrame, path: str, *, min_revisit_bytes: int = 0, da
     marked = marked.withColumn("record_type", F.when(own, "response").otherwise("revisit")).withColumn("refers_to", F.when(~own, F.col("_owner")))
     marked.select(F.encode(_header(date), "UTF-8").alias("header"), "key", own.alias("has_payload")).write.parquet(f"{path}/headers")
 
-    # By page and key, not by key alone: however many pages share a payload, one of them is taken.
-    o = owners.select(F.col("key").alias("_key"), "_owner")
-    kept = src.join(o, (F.col("key") == F.col("_key")) & F.col("page_id").eqNullSafe(F.col("_owner")), "left_semi")
-    kept = kept.withColumn("_copy", repeat).filter("_copy = 1")
+    # By page and key, not by key alone: however many pages share a payload, one of them is taken. The join and the
+    # window have the same plain keys (a null page as text), so payloads move once.
+    as_text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("null"))
+    kept = src.select(as_text("page_id").alias("page"), "key", "payload")
+    kept = kept.join(owners.select(as_text("_owner").alias("page"), "key"), ["page", "key"], "left_semi")
+    kept = kept.withColumn("_copy", F.row_number().over(Window.partitionBy("page", "key").orderBy("key"))).filter("_copy = 1")
     kept.select("key", "payload").write.parquet(f"{path}/payloads")
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tallyforge.llm import chat, decontam, langid, mixing, sharding, warc
+from tallyforge.llm import chat, decontam, jaccard, langid, mixing, sharding, warc
 
 QUERIES = {
     "op2_hypergeometric_sharding": sharding.query,
@@ -10,11 +10,13 @@ QUERIES = {
     "op4_pivotal_mixing": mixing.query,
     "op5_warc_archive": warc.query,
     "op6_benchmark_decontamination": decontam.query,
+    "op8_partenum_jaccard": jaccard.query,
     "op9_chat_formatting": chat.query,
 }
 
 #: DuckDB SQL where it can express the query.
 SQL: dict[str, str] = {
     "op6_benchmark_decontamination": decontam.SQL,
+    "op8_partenum_jaccard": jaccard.SQL,
     "op9_chat_formatting": chat.SQL,
 }

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from tallyforge.llm import chat, decontam, jaccard, langid, mixing, sharding, warc
+from tallyforge.llm import chat, decontam, fingerprints, jaccard, langid, mixing, sharding, warc
 
 QUERIES = {
+    "op1_multiset_fingerprints": fingerprints.query,
     "op2_hypergeometric_sharding": sharding.query,
     "op3_language_centroids": langid.query,
     "op4_pivotal_mixing": mixing.query,

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tallyforge.llm import chat, decontam, fingerprints, jaccard, langid, mixing, sharding, warc
+from tallyforge.llm import chat, decontam, fingerprints, jaccard, langid, lines, mixing, sharding, warc
 
 QUERIES = {
     "op1_multiset_fingerprints": fingerprints.query,
@@ -11,13 +11,17 @@ QUERIES = {
     "op4_pivotal_mixing": mixing.query,
     "op5_warc_archive": warc.query,
     "op6_benchmark_decontamination": decontam.query,
+    "op7_line_windows": lines.query_windows,
     "op8_partenum_jaccard": jaccard.query,
     "op9_chat_formatting": chat.query,
+    "op10_line_hashes": lines.query_lines,
 }
 
 #: DuckDB SQL where it can express the query.
 SQL: dict[str, str] = {
     "op6_benchmark_decontamination": decontam.SQL,
+    "op7_line_windows": lines.SQL_WINDOWS,
     "op8_partenum_jaccard": jaccard.SQL,
     "op9_chat_formatting": chat.SQL,
+    "op10_line_hashes": lines.SQL_LINES,
 }

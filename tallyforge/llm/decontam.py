@@ -177,39 +177,39 @@ def _scan_udf(shared, window: int):
     return scan
 
 
-def scan(docs: DataFrame, benchmark: DataFrame, *, window: int = 10, automaton_bytes: int = 2_000_000) -> DataFrame:
-    """docs and a struct `scan`: n_words, n_hit, items (ids as strings, sorted), spans of hit words.
+def scan(docs: DataFrame, benchmark: DataFrame, *, window: int = 10, automaton_bytes: int = 2_000_000, into: str = "scan") -> DataFrame:
+    """docs and a struct, named by `into`: n_words, n_hit, items (ids as strings, sorted), spans of hit words.
 
     A span has its first word, its words, and its start and end in code points of the text. benchmark has
     item_id and text. It is broadcast in pieces of at most automaton_bytes of item text (a longer item is a piece); with
     more than one piece, docs are written to the shared folder after each, so a task holds one automaton at a time.
 
     A null or wordless text has no words, a null or wordless item no windows. A null item_id hits but isn't listed;
-    items with one id are one item. Repeated rows are scanned each. A column of docs named scan is replaced.
+    items with one id are one item. Repeated rows are scanned each. A column of docs of that name is replaced.
     """
     spark = docs.sparkSession
     items = benchmark.select("item_id", "text").filter(F.col("text").isNotNull())
     size = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     pieces = max(1, -(-size // automaton_bytes))
-    out = docs.withColumn("scan", F.lit(None).cast(SCAN))
+    out = docs.withColumn(into, F.lit(None).cast(SCAN))
     for k in range(pieces):
         mine = items if pieces == 1 else items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(pieces)) == k)
         rows = mine.select(F.col("item_id").cast("string"), F.encode("text", "UTF-8")).collect()  # about automaton_bytes
         shared = spark.sparkContext.broadcast(sorted(((r[0], bytes(r[1])) for r in rows), key=lambda r: (r[0] or "", r[1])))
-        out = out.withColumn("scan", _scan_udf(shared, window)("text", "scan"))
+        out = out.withColumn(into, _scan_udf(shared, window)("text", into))
         if k + 1 < pieces:
             out = materialize(out, "decontam")
     return out
 
 
-def clean(scanned: DataFrame, *, min_span: int = 1, max_coverage: float = 1.0) -> DataFrame:
+def clean(scanned: DataFrame, *, min_span: int = 1, max_coverage: float = 1.0, found: str = "scan") -> DataFrame:
     """Cut out of the text of each scanned document the spans of at least min_span words.
 
     Documents of which more than the share max_coverage of the words is hit are dropped. What is left is
-    joined by a space. The column scan stays; with no span the text stays as it is.
+    joined by a space. The struct of scan() stays; with no span the text stays as it is.
     """
-    kept = scanned.filter((F.col("scan.n_hit") <= F.lit(max_coverage) * F.col("scan.n_words")) | (F.col("scan.n_hit") == 0))
-    cuts = F.filter("scan.spans", lambda s: s["words"] >= min_span)
+    kept = scanned.filter((F.col(f"{found}.n_hit") <= F.lit(max_coverage) * F.col(f"{found}.n_words")) | (F.col(f"{found}.n_hit") == 0))
+    cuts = F.filter(f"{found}.spans", lambda s: s["words"] >= min_span)
     starts = F.concat(F.array(F.lit(0).cast("long")), cuts["end"])
     ends = F.concat(cuts["start"], F.array(F.length("text").cast("long")))
     parts = F.zip_with(starts, ends, lambda a, b: F.trim(F.substr("text", (a + 1).cast("int"), F.greatest(b - a, F.lit(0)).cast("int"))))

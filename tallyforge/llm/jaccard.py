@@ -38,14 +38,14 @@ def _short(cls: bytes) -> int:
 
 
 def shingle_classes(docs: DataFrame, id_col: str, text: str, words: int) -> DataFrame:
-    """id, n (size of the set), cls (its digest, null if it is empty) for each row."""
+    """id, h (hash of the text), n (size of the set), cls (its digest, null if it is empty) for each row."""
 
     @F.arrow_udf(SET)
     def classes(t: pa.Array) -> pa.Array:
         sets = [shingle_set(x, words) for x in t.cast(pa.binary()).to_pylist()]
         return pa.array([{"n": len(s), "cls": set_digest(s) if len(s) else None} for s in sets], type=pa.struct([("n", pa.int64()), ("cls", pa.binary())]))
 
-    return docs.select(F.col(id_col).alias("id"), classes(F.col(text).cast("string")).alias("s")).select("id", "s.n", "s.cls")
+    return docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("h"), classes(F.col(text).cast("string")).alias("s")).select("id", "h", "s.n", "s.cls")
 
 
 def signatures(docs: DataFrame, text: str, words: int, num: int, den: int) -> DataFrame:
@@ -121,13 +121,14 @@ def _relabel(labels: DataFrame | None, links: DataFrame) -> DataFrame:
 
 
 def link(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text", words: int = 5, num: int = 4, den: int = 5) -> DataFrame:
-    """id, n (size of the shingle set) and component for each row of docs.
+    """id, h (hash of the text), n (size of the shingle set), component and root for each row of docs.
 
     Two rows link when the Jaccard similarity of their sets is num / den or more; component is the smallest id that is
     reachable by links, the row's own included. A text of fewer words is one shingle; a text without words, or
     null, has an empty set, links with nothing, and is a component of its own. Rows that repeat each other
     are one class. Rows with one id but other texts are judged by their own texts. A null id is larger than no other: it is
-    a component's id only if all its ids are null. Other columns of docs are ignored.
+    a component's id only if all its ids are null. root is the digest of the component's set of least id, null for an
+    empty set. Other columns of docs are ignored.
     """
     rows = materialize(shingle_classes(docs, id_col, text, words), "classes")
     classes = rows.filter(F.col("cls").isNotNull()).groupBy("cls").agg(F.min("id").alias("doc"), F.max("n").alias("n"), F.count("*").alias("copies"))
@@ -177,10 +178,43 @@ def link(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text", words:
         by_class = by_class.join(labels, "node", "left")
     else:
         by_class = by_class.withColumn("root", F.col("node"))
-    by_class = by_class.select("cls", F.coalesce("root.doc", "node.doc").alias("component"), "copies")
+    by_class = by_class.select("cls", F.coalesce("root", "node").alias("root"), "copies")
     full = rows.filter(F.col("cls").isNotNull())
-    linked = join_skewed(full, by_class, "cls", "copies", full.count()).select("id", "n", "component")
-    return linked.unionByName(rows.filter(F.col("cls").isNull()).select("id", "n", F.col("id").alias("component")))
+    linked = join_skewed(full, by_class, "cls", "copies", full.count())
+    linked = linked.select("id", "h", "n", F.col("root.doc").alias("component"), F.col("root.cls").alias("root"))
+    alone = rows.filter(F.col("cls").isNull())
+    return linked.unionByName(alone.select("id", "h", "n", F.col("id").alias("component"), F.col("cls").alias("root")))
+
+
+def _small(df: DataFrame) -> DataFrame:
+    """df for a join: broadcast if its rows, counted, are few enough."""
+    return F.broadcast(df) if df.count() <= BROADCAST_IDS else df
+
+
+def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text", words: int = 5, num: int = 4, den: int = 5) -> DataFrame:
+    """One row of docs for each component of link(): that of the least id, all columns as they were.
+
+    Ties go to the least hash of the text; of rows that repeat both, one stays, whichever it is. A row without words
+    links with nothing and stays. A null id counts as larger than any other.
+    """
+    found = materialize(link(docs, id_col=id_col, text=text, words=words, num=num, den=den).select("id", "h", "root"), "links")
+    groups = found.filter(F.col("root").isNotNull())
+    rank = F.struct(F.col("id").isNull().alias("no_id"), F.col("id"), F.col("h"))
+    least = groups.groupBy("root").agg(F.min(rank).alias("least"), F.count("*").alias("rows")).filter("rows > 1")
+    marked = join_skewed(groups, least, "root", "rows", max(1, groups.count()))
+    own = rank == F.col("least")
+    keys = marked.groupBy("id", "h").agg(F.bool_or(own).alias("stays"), F.count("*").alias("times"))
+    keys = materialize(keys.filter("not stays or times > 1"), "dropped")
+
+    keyed = docs.withColumn("_h", F.xxhash64(text))
+    same = lambda k: F.col(f"`{id_col}`").eqNullSafe(k["id"]) & (F.col("_h") == k["h"])
+    gone = keys.filter("not stays").select("id", "h")
+    rest = keyed.join(_small(gone), same(gone), "left_anti")
+    again = keys.filter("stays and times > 1").select("id", "h")
+    if again.isEmpty():
+        return rest.drop("_h")
+    once = rest.join(_small(again), same(again), "left_semi").dropDuplicates([id_col, "_h"])
+    return rest.join(_small(again), same(again), "left_anti").unionByName(once).drop("_h")
 
 
 @F.arrow_udf(T.LongType())

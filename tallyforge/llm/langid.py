@@ -156,11 +156,11 @@ def fit(labelled: DataFrame, *, text: str = "text", lang: str = "lang", sample_r
     return Model(idf, np.vstack(centres).astype(np.float32) if centres else np.zeros((0, DIMS), np.float32), names, np.where(np.isfinite(floor), floor, 0))
 
 
-def identify(docs: DataFrame, model: Model, *, text: str = "text") -> DataFrame:
-    """docs and a struct `language`: lang, score (the largest cosine, 0 to 1), accepted.
+def identify(docs: DataFrame, model: Model, *, text: str = "text", into: str = "language") -> DataFrame:
+    """docs and a struct, named by `into`: lang, score (the largest cosine, 0 to 1), accepted.
 
     Each text is judged alone and whole. A null text, one without a letter, and any text where the model
-    has no language get `und`, 0 and false. Equal texts get equal results. A column of docs named language is replaced.
+    has no language get `und`, 0 and false. Equal texts get equal results. A column of docs of that name is replaced.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # clusters x languages x DIMS floats
 
@@ -168,7 +168,7 @@ def identify(docs: DataFrame, model: Model, *, text: str = "text") -> DataFrame:
     def guess(t: pa.Array) -> pa.Array:
         return pa.array(shared.value.guess(t.to_pylist()), type=GUESS_ARROW)
 
-    return docs.withColumn("language", guess(F.col(text).cast("string")))
+    return docs.withColumn(into, guess(F.col(text).cast("string")))
 
 
 def held_out(doc_id: Column) -> Column:

@@ -135,7 +135,7 @@ SCHEMA = "bucket long, source_no int, p double, size long, uid long"
 
 
 def pivotal(rows: DataFrame, *, seed: int, bucket_rows: int = 50_000, fan_in: int = 64) -> DataFrame:
-    """uid and p rounded to 0 or 1 for rows of (source_no, uid, size > 0, 0 < p < 1)."""
+    """source_no, uid and up (p rounded to 0 or 1) for rows of (source_no, uid, size > 0, 0 < p < 1)."""
     total = rows.count()
     buckets = max(1, -(-total // bucket_rows))
     now = rows.withColumn("bucket", F.pmod(F.xxhash64(F.lit(seed), "uid", "source_no"), F.lit(buckets)))
@@ -155,25 +155,29 @@ def pivotal(rows: DataFrame, *, seed: int, bucket_rows: int = 50_000, fan_in: in
     out = now.withColumn("p", F.when(draw < F.col("p"), 1.0).otherwise(0.0))
     for s in settled:
         out = out.unionByName(s)
-    return out.select("uid", F.col("p").cast("long").alias("up"))
+    return out.select("source_no", "uid", F.col("p").cast("long").alias("up"))
 
 
 def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORDS)), F.lit(0)).cast("long")
 
 
-def mix(docs: DataFrame, *, text: str = "text", source: str = "source", seed: int = 40, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0) -> DataFrame:
-    """docs with size, source_size, target (of its source, in words), copies (0 to ceil(most)) and taken.
+def _named(source: Column) -> Column:
+    """A key for a source that is null for none."""
+    return F.coalesce(F.concat(F.lit("s"), source), F.lit("n"))
+
+
+def mix(docs: DataFrame, *, text: str = "text", source: str = "source", seed: int = 40, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0, prefix: str = "") -> DataFrame:
+    """docs with size, source_size, target (of its source, in words), copies (0 to ceil(most)) and taken, each with the prefix.
 
     One row for each row of docs; repeat_copies() writes them out. The sizes of the sources, a number
     each, go to the driver. A null or wordless text has size 0 and no copies. A null source is a source. Rows that repeat
     each other are rows of their own; together they get what as many rows would. An empty docs gives an empty result.
     Columns of docs with these names are replaced.
     """
-    own = ("size", "source_size", "target", "copies", "taken")
-    docs = docs.drop(*own)
+    docs = docs.drop(*[prefix + c for c in ("size", "source_size", "target", "copies", "taken")])
     rows = docs.withColumn("_h", row_hash(docs, seed)).withColumn("_size", word_count(F.col(text)))
-    keys = rows.groupBy("_h", F.col(source).cast("string").alias("source"), F.col("_size").alias("size")).agg(F.count("*").alias("n"))
+    keys = rows.groupBy("_h", F.col(source).cast("string").alias("source")).agg(F.max("_size").alias("size"), F.count("*").alias("n"))
     keys = materialize(keys, "mix-keys")
     sizes = {r["source"]: int(r["size"]) for r in keys.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("size")).collect()}
     goal = targets(sizes, weights=weights, share=share, most=most)
@@ -188,18 +192,22 @@ def mix(docs: DataFrame, *, text: str = "text", source: str = "source", seed: in
     keys = keys.withColumn("p", F.greatest(F.col("wanted") - F.col("whole"), F.lit(0.0)))
     open_ = keys.filter(F.col("p") > EPS).select("source_no", F.col("_h").alias("uid"), "size", "p")
     rounded = pivotal(open_, seed=seed).withColumnRenamed("uid", "_h")
-    settled = keys.join(rounded, "_h", "left").select("_h", "size", "n", "source_size", "target", (F.col("whole") + F.coalesce("up", F.lit(0))).alias("_copies"))
+    settled = keys.join(rounded, ["_h", "source_no"], "left").select("_h", _named(F.col("source")).alias("_s"), "size", "n", "source_size", "target", (F.col("whole") + F.coalesce("up", F.lit(0))).alias("_copies")).withColumnsRenamed({c: f"_mix_{c}" for c in ("size", "n", "source_size", "target")})
 
     # The k-th of n equal rows gets an equal part of the copies, the first ones one more.
-    numbered = docs.withColumn("_h", row_hash(docs, seed)).withColumn("_k", F.row_number().over(Window.partitionBy("_h").orderBy("_h")))
-    copies = F.expr("_copies div n + if(_k <= _copies % n, 1, 0)").cast("long")
-    out = numbered.join(settled, "_h")
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns], "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
+    # The window and the join have the same plain keys, so the rows move once.
+    numbered = docs.withColumn("_h", row_hash(docs, seed)).withColumn("_s", _named(F.col(f"`{source}`").cast("string")))
+    numbered = numbered.withColumn("_k", F.row_number().over(Window.partitionBy("_h", "_s").orderBy("_h")))
+    copies = F.expr("_copies div _mix_n + if(_k <= _copies % _mix_n, 1, 0)").cast("long")
+    out = numbered.join(settled, ["_h", "_s"])
+    more = {"size": F.col("_mix_size"), "source_size": F.col("_mix_source_size"), "target": F.col("_mix_target"), "copies": copies, "taken": copies * F.col("_mix_size")}
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns], *[c.alias(prefix + name) for name, c in more.items()])
 
 
-def repeat_copies(mixed: DataFrame, columns: list[str]) -> DataFrame:
+def repeat_copies(mixed: DataFrame, columns: list[str], prefix: str = "") -> DataFrame:
     """Each row of mixed as often as its copies say, with these columns."""
-    times = mixed.filter(F.col("copies") > 0).withColumn("_n", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
+    copies = F.col(f"{prefix}copies")
+    times = mixed.filter(copies > 0).withColumn("_n", F.explode(F.sequence(F.lit(1).cast("long"), copies)))
     return times.select(*[F.col(f"`{c}`") for c in columns])
 
 

@@ -26,14 +26,18 @@ def components(edges: DataFrame) -> DataFrame:
     shared out. Rounds are written to the shared folder.
     """
     clean = edges.filter(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-    now, seen = materialize(clean, "edges"), None
-    while True:
-        mark = now.agg(F.count("*"), F.coalesce(F.bit_xor(F.xxhash64("u", "v")), F.lit(0))).first()
-        if tuple(mark) == seen or mark[0] == 0:
-            return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
-        seen = tuple(mark)
+    now = materialize(clean, "edges")
+    # All edges lead to roots once no node that is led to leads on.
+    while not now.join(now.select(F.col("u").alias("v")), "v", "left_semi").isEmpty() or not _single(now):
+        total = now.count()
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = _towards_least(both, 2 * mark[0], True).distinct()
-        large = materialize(large.filter(F.col("u") != F.col("v")), "edges")
-        small = _towards_least(large, large.count(), False).distinct()
-        now = materialize(small.filter(F.col("u") != F.col("v")), "edges")
+        large = _towards_least(both, 2 * total, True)
+        large = materialize(large.filter(F.col("u") != F.col("v")).distinct(), "edges")
+        small = _towards_least(large, large.count(), False)
+        now = materialize(small.filter(F.col("u") != F.col("v")).distinct(), "edges")
+    return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
+
+
+def _single(edges: DataFrame) -> bool:
+    """Whether each u has one v."""
+    return edges.groupBy("u").agg(F.count("*").alias("n")).filter("n > 1").isEmpty()

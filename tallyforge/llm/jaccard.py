@@ -3,11 +3,12 @@
 1. Each text becomes a set of word shingles; equal sets are one class (a class has one node however many copies it has).
 2. A class emits its signatures (shingles.PartEnum): any two similar sets share at least one. A task emits
    those of a class once, so the signatures of a large group of copies don't pile up.
-3. Nodes that share a signature are compared with a pivot of that signature's group by their whole sets. Only nodes of
-   other components than the pivot's are, for links inside a component add nothing to it. A group whose nodes are in one
-   component is done; else more pivots follow, first those with most links, four times as many each round. A node that was
-   a pivot has met all others and leaves. So no link between components is lost, and a group of thousands that hang
-   together costs a few comparisons a node rather than all pairs.
+3. All nodes of a signature's group are compared by their whole sets with one of them, the pivot P. Say D(X) is what
+   X has and P hasn't or the other way round. X and Y differ in |D(X)| + |D(Y)| - 2 |D(X) & D(Y)| elements. So if X and Y
+   link, either both link with P, or they share at least a known number t of elements of D, and then, in one order for
+   both, they share one among the first |D| - t + 1. Those elements, with P, are the signatures of the next round, in
+   which only groups with nodes of more than one component go on. P is in none of them, so rounds end; a group of
+   thousands of near copies costs some comparisons a node, never all pairs, and no link between components is lost.
 """
 
 from __future__ import annotations
@@ -101,23 +102,18 @@ def _sets(docs: DataFrame, id_col: str, text: str, words: int, nodes: DataFrame)
 
 
 def _compare(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """pairs (a, b) with linked."""
-    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("set").alias("sa")), "a").join(sets.select(F.col("node").alias("b"), F.col("set").alias("sb")), "b")
-    common = F.size(F.array_intersect("sa", "sb"))
-    return both.withColumn("i", common).select("a", "b", (F.lit(den) * F.col("i") >= F.lit(num) * (F.size("sa") + F.size("sb") - F.col("i"))).alias("linked"))
-
-
-def _relabel(labels: DataFrame | None, links: DataFrame) -> DataFrame:
-    """Roots of all nodes that have links: (node, root), after more links."""
-    if labels is None:
-        return materialize(components(links), "labels")
-    root = lambda c: F.coalesce(F.col(f"{c}_root"), F.col(c)).alias(c)
-    ends = links.join(labels.select(F.col("node").alias("a"), F.col("root").alias("a_root")), "a", "left").join(labels.select(F.col("node").alias("b"), F.col("root").alias("b_root")), "b", "left")
-    moved = components(ends.select(root("a"), root("b")))
-    sizes = labels.groupBy("root").agg(F.count("*").alias("n"))
-    known = sizes.join(moved.select(F.col("node").alias("root"), F.col("root").alias("new")), "root", "left").select("root", F.coalesce("new", "root").alias("new"), "n")
-    kept = join_skewed(labels, known, "root", "n", labels.count()).select("node", F.col("new").alias("root"))
-    return materialize(kept.unionByName(moved), "labels")
+    """For pairs of a pivot p and a node x with n elements: linked, and x's signatures for the next round."""
+    both = pairs.join(sets.select(F.col("node").alias("p"), F.col("set").alias("ps")), "p").join(sets.select(F.col("node").alias("x"), F.col("set").alias("xs")), "x")
+    # What x adds comes first, for few others have it; each part is in the order of the hashes, as in every set.
+    both = both.withColumn("added", F.array_except("xs", "ps")).withColumn("common", F.size("xs") - F.size("added"))
+    both = both.withColumn("linked", F.lit(den) * F.col("common") >= F.lit(num) * (F.size("xs") + F.size("ps") - F.col("common")))
+    both = both.withColumn("d", F.concat("added", F.array_except("ps", "xs")))
+    both = both.withColumn("k", F.expr(f"({den - num} * n) div {num}"))  # differences from the largest set that can link
+    far = F.expr(f"({den - num} * ({num} * n + {den} * cast(size(ps) as bigint))) div {den * (den + num)} + 1")  # of a node that doesn't link with p
+    other = F.greatest(F.size("d") - F.col("k"), F.when(F.col("linked"), far).otherwise(0))
+    shared = F.greatest(F.lit(1).cast("long"), F.expr("ceil((size(d) + other - k) / 2.0)").cast("long"))
+    both = both.withColumn("other", other).withColumn("first", F.greatest(F.lit(0).cast("long"), F.size("d") - shared + 1).cast("int"))
+    return both.select("p", "x", "n", "linked", F.transform(F.slice("d", F.lit(1), F.col("first")), lambda e: F.xxhash64("p.cls", e)).alias("sigs"))
 
 
 def link(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text", words: int = 5, num: int = 4, den: int = 5) -> DataFrame:
@@ -141,37 +137,18 @@ def link(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text", words:
     active = materialize(shared.join(nodes, "h").select("sig", "node", "n"), "members")
     sets = materialize(_sets(docs, id_col, text, words, active), "sets")
 
-    labels, done, degrees, pivots = None, None, None, 1
-    while True:
-        if labels is not None:
-            at = active.join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        else:
-            at = active.withColumn("root", F.col("node"))
-        open_ = at.groupBy("sig").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("members")).filter("lo <> hi")
-        open_ = materialize(open_.select("sig", "members"), "open")
-        total = open_.agg(F.coalesce(F.sum("members"), F.lit(0))).first()[0]
-        if not total:
-            break
-        at = materialize(join_skewed(at, open_, "sig", "members", total).drop("members"), "members")
-        if degrees is None:
-            first = at.groupBy("sig").agg(F.min(F.struct("node", "n", "root")).alias("p")).select("sig", "p.*")
-        else:
-            order = Window.partitionBy("sig").orderBy(F.desc_nulls_last("degree"), F.xxhash64(F.lit(pivots), "node"), "node")
-            first = at.join(degrees, "node", "left").withColumn("k", F.row_number().over(order)).filter(F.col("k") <= pivots).select("sig", "node", "n", "root")
-        first = materialize(first, "pivots")
-        p = first.select("sig", F.col("node").alias("p"), F.col("n").alias("pn"), F.col("root").alias("proot"))
-        near = at.join(p, "sig").filter((F.col("root") != F.col("proot")) & (F.lit(den) * F.least("n", "pn") >= F.lit(num) * F.greatest("n", "pn")))
-        pairs = near.select(F.least("node", "p").alias("a"), F.greatest("node", "p").alias("b")).distinct()
-        if done is not None:
-            pairs = pairs.join(done, ["a", "b"], "left_anti")
+    labels = None
+    while not active.isEmpty():
+        at = active.withColumn("root", F.col("node")) if labels is None else active.join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        groups = at.groupBy("sig").agg(F.min("node").alias("p"), F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("members"))
+        groups = groups.filter("lo <> hi").select("sig", "p", "members")
+        pairs = join_skewed(at, groups, "sig", "members", active.count()).filter("node <> p").select("p", F.col("node").alias("x"), "n").distinct()
         judged = materialize(_compare(pairs, sets, num, den), "judged")
-        links = judged.filter("linked").select("a", "b")
-        done = judged.select("a", "b") if done is None else done.unionByName(judged.select("a", "b"))
-        ends = links.select(F.col("a").alias("node")).unionByName(links.select(F.col("b").alias("node"))).groupBy("node").agg(F.count("*").alias("degree"))
-        degrees = materialize(ends if degrees is None else degrees.unionByName(ends).groupBy("node").agg(F.sum("degree").alias("degree")), "degrees")
-        labels = _relabel(labels, links)
-        active = at.join(first.select("sig", "node"), ["sig", "node"], "left_anti").select("sig", "node", "n")
-        pivots *= 4
+        links = judged.filter("linked").select(F.col("p").alias("a"), F.col("x").alias("b"))
+        if not links.isEmpty():
+            known = links if labels is None else links.unionByName(labels.select(F.col("node").alias("a"), F.col("root").alias("b")))
+            labels = components(known)
+        active = materialize(judged.select(F.explode("sigs").alias("sig"), F.col("x").alias("node"), "n").distinct(), "members")
 
     by_class = classes.select("cls", F.struct("doc", "cls").alias("node"), "copies")
     if labels is not None:

@@ -137,10 +137,10 @@ def with_next(docs: DataFrame, *, key: str = "doc_id", columns: list[str], rows_
     wrap = F.when(k == first, F.struct(F.lit(0).alias("block"), F.lit(False).alias("own"), F.lit(1).alias("wrap"))) if first is not None else None
     places = F.array_compact(F.array(*[p for p in (own, before, wrap) if p is not None]))
     sent = docs.withColumn("_order", row_hash(docs, 11)).withColumn("_place", F.explode(places))
-    w = Window.partitionBy("_place.block").orderBy("_place.wrap", k.desc_nulls_last(), "_order")
-    for c in columns:
-        sent = sent.withColumn(f"next_{c}", F.lead(f"`{c}`").over(w))
-    return sent.filter("_place.own").drop("_place", "_order")
+    sent = sent.select(*[F.col(f"`{c}`") for c in docs.columns], "_order", F.col("_place.block").alias("_block"), F.col("_place.own").alias("_own"), F.col("_place.wrap").alias("_wrap"))
+    w = Window.partitionBy("_block").orderBy("_wrap", k.desc_nulls_last(), "_order")
+    follows = sent.select("*", *[F.lead(f"`{c}`").over(w).alias(f"next_{c}") for c in columns])
+    return follows.filter("_own").drop("_block", "_own", "_wrap", "_order")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -7,9 +7,10 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def folded(text: pd.Series) -> pd.Series:
     """Decomposed, without anything but letters and digits, lower-case. There is no such function in the JVM."""
     fold = lambda t: "".join(c for c in unicodedata.normalize("NFKD", t) if c.isalnum()).lower()

@@ -3,12 +3,14 @@
 1. Each text becomes a set of word shingles; equal sets are one class (a class has one node however many copies it has).
 2. A class emits its signatures (shingles.PartEnum): any two similar sets share at least one. A task emits
    those of a class once, so the signatures of a large group of copies don't pile up.
-3. All nodes of a signature's group are compared by their whole sets with one of them, the pivot P. Say D(X) is what
-   X has and P hasn't or the other way round. X and Y differ in |D(X)| + |D(Y)| - 2 |D(X) & D(Y)| elements. So if X and Y
-   link, either both link with P, or they share at least a known number t of elements of D, and then, in one order for
-   both, they share one among the first |D| - t + 1. Those elements, with P, are the signatures of the next round, in
-   which only groups with nodes of more than one component go on. P is in none of them, so rounds end; a group of
-   thousands of near copies costs some comparisons a node, never all pairs, and no link between components is lost.
+3. Each node of a signature's group is compared by whole sets with one of them. The links found make components.
+4. Groups with nodes of more than one component go on. All nodes of one are compared with a pivot P. Say D(X) is what X has and P hasn't or the other way round.
+   X and Y differ in |D(X)| + |D(Y)| - 2 |D(X) & D(Y)| elements. So if X and Y link, either both link with P, or they share
+   at least a known number t of elements of D, and then, in one order for both, they share one among the first
+   |D| - t + 1. The order puts elements first that few D of P have. Those elements, with P, are the signatures of the next
+   round, and groups that few nodes are left in are settled there: in one of at most SMALL nodes, those of different
+   components are compared. P is in no group of the next round, so rounds end; a group of thousands of near copies costs
+   some comparisons a node, never all pairs, and no link between components is lost.
 """
 
 from __future__ import annotations
@@ -32,6 +34,7 @@ SET = T.StructType([T.StructField("n", T.LongType()), T.StructField("cls", T.Bin
 BROADCAST_IDS = 1_000_000
 EMITTED = 50_000  # classes that a task remembers having emitted
 ROWS = 1 << 18
+SMALL = 32  # nodes of a group of which the pairs between components are compared at once
 
 
 def _short(cls: bytes) -> int:
@@ -102,18 +105,40 @@ def _sets(docs: DataFrame, id_col: str, text: str, words: int, nodes: DataFrame)
 
 
 def _compare(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """For pairs of a pivot p and a node x with n elements: linked, and x's signatures for the next round."""
+    """pairs of a pivot p and a node x of n elements, with linked, d (what only one of them has), first (see _refine)."""
     both = pairs.join(sets.select(F.col("node").alias("p"), F.col("set").alias("ps")), "p").join(sets.select(F.col("node").alias("x"), F.col("set").alias("xs")), "x")
-    # What x adds comes first, for few others have it; each part is in the order of the hashes, as in every set.
     both = both.withColumn("added", F.array_except("xs", "ps")).withColumn("common", F.size("xs") - F.size("added"))
     both = both.withColumn("linked", F.lit(den) * F.col("common") >= F.lit(num) * (F.size("xs") + F.size("ps") - F.col("common")))
     both = both.withColumn("d", F.concat("added", F.array_except("ps", "xs")))
-    both = both.withColumn("k", F.expr(f"({den - num} * n) div {num}"))  # differences from the largest set that can link
+    k = F.expr(f"({den - num} * n) div {num}")  # differences from the largest set that can link
     far = F.expr(f"({den - num} * ({num} * n + {den} * cast(size(ps) as bigint))) div {den * (den + num)} + 1")  # of a node that doesn't link with p
-    other = F.greatest(F.size("d") - F.col("k"), F.when(F.col("linked"), far).otherwise(0))
-    shared = F.greatest(F.lit(1).cast("long"), F.expr("ceil((size(d) + other - k) / 2.0)").cast("long"))
-    both = both.withColumn("other", other).withColumn("first", F.greatest(F.lit(0).cast("long"), F.size("d") - shared + 1).cast("int"))
-    return both.select("p", "x", "n", "linked", F.transform(F.slice("d", F.lit(1), F.col("first")), lambda e: F.xxhash64("p.cls", e)).alias("sigs"))
+    both = both.withColumn("k", k).withColumn("far", far)
+
+    def first(other):  # so many elements of d hold one that a partner with at least `other` differences has there too
+        t = F.greatest(F.lit(1).cast("long"), F.ceil((F.size("d") + other - F.col("k")) / F.lit(2.0)).cast("long"))
+        return F.greatest(F.lit(0).cast("long"), F.size("d") - t + 1).cast("int")
+
+    near, away = first(F.greatest(F.size("d") - F.col("k"), F.lit(0))), first(F.greatest(F.size("d") - F.col("k"), F.col("far")))
+    # A node that links with p can gain from those that don't; one that doesn't, from both kinds.
+    mixed, apart = F.when(F.col("linked"), away).otherwise(near), F.when(F.col("linked"), 0).otherwise(away)
+    out = both.select("p", "x", "n", "same", "large", "linked", mixed.alias("mixed"), apart.alias("apart"), F.when(F.col("large"), F.col("d")).alias("d"))
+    return out.withColumn("pair", F.monotonically_increasing_id())  # stays as it is, for the result is written
+
+
+def _refine(judged: DataFrame) -> DataFrame:
+    """Signatures of the next round: for each pair the first elements of d in the order of how few pairs of p have them.
+
+    One kind of signature is for two nodes of which one links with p, another for two of which none does.
+    """
+    parts = judged.select("pair", F.xxhash64("p.cls").alias("p"), "linked", "mixed", "apart", F.explode("d").alias("e"))
+    parts = parts.withColumn("pairs", F.count("*").over(Window.partitionBy("p", "e")))
+    parts = parts.withColumn("place", F.row_number().over(Window.partitionBy("pair").orderBy("pairs", "e"))).filter("pairs > 1")
+    kinds = F.array_compact(F.array(F.when(F.col("place") <= F.col("mixed"), 0), F.when(F.col("place") <= F.col("apart"), 1)))
+    kept = parts.select("pair", "p", "e", "linked", F.explode(kinds).alias("kind")).select("pair", "linked", "kind", F.xxhash64("p", "e", "kind").alias("sig"))
+    sides = Window.partitionBy("sig")
+    kept = kept.withColumn("one", F.bool_or("linked").over(sides)).withColumn("other", F.bool_or(~F.col("linked")).over(sides))
+    kept = kept.filter("kind = 1 or (one and other)").select("pair", "sig")
+    return kept.join(judged.select("pair", F.col("x").alias("node"), "n"), "pair").select("sig", "node", "n").distinct()
 
 
 def link(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text", words: int = 5, num: int = 4, den: int = 5) -> DataFrame:
@@ -137,18 +162,34 @@ def link(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text", words:
     active = materialize(shared.join(nodes, "h").select("sig", "node", "n"), "members")
     sets = materialize(_sets(docs, id_col, text, words, active), "sets")
 
-    labels = None
-    while not active.isEmpty():
+    labels, total, level = None, active.count(), 0
+    while total:
         at = active.withColumn("root", F.col("node")) if labels is None else active.join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        groups = at.groupBy("sig").agg(F.min("node").alias("p"), F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("members"))
+        pivot = F.min(F.struct("node", "root"))
+        groups = at.groupBy("sig").agg(pivot.alias("p"), F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("members"))
         groups = groups.filter("lo <> hi").select("sig", "p", "members")
-        pairs = join_skewed(at, groups, "sig", "members", active.count()).filter("node <> p").select("p", F.col("node").alias("x"), "n").distinct()
-        judged = materialize(_compare(pairs, sets, num, den), "judged")
-        links = judged.filter("linked").select(F.col("p").alias("a"), F.col("x").alias("b"))
+        open_ = join_skewed(at, groups, "sig", "members", total)
+        # First one comparison a node and signature, then a pivot for every group, then for large groups only.
+        if level > 1:
+            open_ = materialize(open_, "open")
+        met = (open_.filter(F.col("members") > SMALL) if level > 1 else open_).withColumn("large", F.lit(level > 0))
+        met = met.filter(F.col("node") != F.col("p.node"))
+        pairs = met.select(F.col("p.node").alias("p"), F.col("node").alias("x"), "n", (F.col("p.root") == F.col("root")).alias("same"), "large")
+        if level > 1:
+            few = open_.filter(F.col("members") <= SMALL).select("sig", "node", "n", "root")
+            one = few.select("sig", F.col("node").alias("p"), F.col("n").alias("pn"), F.col("root").alias("proot"))
+            both = few.join(one, "sig").filter((F.col("p") < F.col("node")) & (F.col("proot") != F.col("root")) & (F.lit(den) * F.least("n", "pn") >= F.lit(num) * F.greatest("n", "pn")))
+            pairs = pairs.unionByName(both.select("p", F.col("node").alias("x"), "n", F.lit(False).alias("same"), F.lit(False).alias("large")))
+        judged = materialize(_compare(pairs.distinct(), sets, num, den), "judged")
+        links = judged.filter("linked and not same").select(F.col("p").alias("a"), F.col("x").alias("b"))
         if not links.isEmpty():
             known = links if labels is None else links.unionByName(labels.select(F.col("node").alias("a"), F.col("root").alias("b")))
             labels = components(known)
-        active = materialize(judged.select(F.explode("sigs").alias("sig"), F.col("x").alias("node"), "n").distinct(), "members")
+        level += 1
+        if level == 1:
+            continue
+        active = materialize(_refine(judged.filter("large")), "members")
+        total = active.count()
 
     by_class = classes.select("cls", F.struct("doc", "cls").alias("node"), "copies")
     if labels is not None:

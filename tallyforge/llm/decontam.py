@@ -8,6 +8,7 @@ words of the window are hit. Spans of hit words are cut out of the text, or the
 from __future__ import annotations
 
 import re
+import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -136,11 +137,11 @@ class Automaton:
                 spans.append([end - hit, end])
 
 
-_built: dict[int, Automaton] = {}
+_built: dict[tuple[str, int], Automaton] = {}
 
 
-def _automaton(shared, window: int) -> Automaton:
-    key = (shared.id, window) if hasattr(shared, "id") else (id(shared), window)
+def _automaton(shared, token: str, window: int) -> Automaton:
+    key = (token, window)  # a worker outlives a broadcast, and an object's address may be used again
     if key not in _built:
         _built.clear()
         _built[key] = Automaton(shared.value, window)
@@ -149,10 +150,11 @@ def _automaton(shared, window: int) -> Automaton:
 
 def _scan_udf(shared, window: int):
     """Text and what an earlier automaton found in it to a SCAN struct."""
+    token = uuid.uuid4().hex
 
     @F.arrow_udf(SCAN)
     def scan(text: pa.Array, before: pa.Array) -> pa.Array:
-        machine, out = _automaton(shared, window), []
+        machine, out = _automaton(shared, token, window), []
         for t, old in zip(text.cast(pa.binary()).to_pylist(), before.to_pylist(), strict=True):
             flat = (t or b"").translate(NORMAL)
             words = flat.split()

@@ -44,13 +44,13 @@ def _later(units: DataFrame, name: str) -> DataFrame:
 
 def _without(docs: DataFrame, removed: DataFrame, id_col: str, text: str, more: list[str]) -> DataFrame:
     """docs with the removed line numbers left out of text; adds n_lines, n_removed and the columns `more`."""
-    keyed = docs.withColumn("_h", F.xxhash64(text))
+    named = [c for c in docs.columns if c not in ("n_lines", "n_removed", *more)]
+    keyed = docs.select(*[F.col(f"`{c}`") for c in named]).withColumn("_h", F.xxhash64(text))
     r = removed.select(F.col("id").alias("_id"), F.col("h").alias("_rh"), "_gone", *more)
     out = keyed.join(r, F.col(f"`{id_col}`").eqNullSafe(F.col("_id")) & (F.col("_h") == F.col("_rh")), "left")
     lines = _lines(F.col(text))
     kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.coalesce("_gone", F.array().cast("array<int>")))
     rest = F.array_join(F.transform(kept, lambda i: F.get(lines, i)), "\n")
-    named = [c for c in docs.columns if c not in ("n_lines", "n_removed", *more)]
     cols = [F.when(F.col("_gone").isNotNull(), rest).otherwise(F.col(text)).alias(c) if c == text else F.col(f"`{c}`") for c in named]
     return out.select(*cols, F.coalesce(F.when(F.col(text).isNotNull(), F.size(lines)), F.lit(0)).cast("long").alias("n_lines"), F.coalesce(F.size("_gone"), F.lit(0)).cast("long").alias("n_removed"), *more)
 

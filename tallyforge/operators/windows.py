@@ -79,7 +79,8 @@ def capped(df: DataFrame, bucket: str, order: Sequence[Column], most: int, n: in
 
 
 def midrank(values: DataFrame, value: str, pool: DataFrame, pool_value: str, group: str) -> DataFrame:
-    """Place of each value among its group's pool: the mean of the shares below and up to it, shifted by half a row.
+    """Place of each value among its group's pool: the mean of the shares below and up to it, shifted by half a row;
+    null where the pool is empty.
 
     Values and pool are laid on one line a group, so no pair of rows is made.
     """
@@ -88,5 +89,5 @@ def midrank(values: DataFrame, value: str, pool: DataFrame, pool_value: str, gro
     upto = F.sum("_pool").over(g.rangeBetween(Window.unboundedPreceding, 0))
     same = F.sum("_pool").over(Window.partitionBy(group, "_v"))
     n = F.sum("_pool").over(Window.partitionBy(group))
-    out = line.withColumn("midrank", (upto - same + upto + 1) / (2 * n))
+    out = line.withColumn("midrank", F.try_divide(upto - same + upto + 1, 2 * n))
     return out.filter("_pool = 0").drop("_v", "_pool")

@@ -1,6 +1,6 @@
-"""Line dedup by overlapping three-line windows, and substring dedup by hashes of single lines.
+"""Line dedup by overlapping three-line windows, and substring dedup by hashes of single lines or of sentences.
 
-Both cut a text at line feeds. A line is compared without blanks at its ends; blank lines are never compared or removed.
+All cut a text at line feeds. A line is compared without blanks at its ends; blank lines are never compared or removed.
 A document is its id and text: rows that repeat both are one document and get one result each. Documents of one id
 but other texts are ordered by a hash of the text. The earliest occurrence is that of the least (id, text hash, line).
 """
@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from tallyforge.llm.common import join_skewed, materialize, table
 
 BLANKS = " \t\r"
+#: A cut before and after each line feed, and after the mark and the blank that end a sentence.
+SENTENCES = r"(?<=\n)|(?=\n)|(?<=[.!?\u2026][ \t])|(?<=[\u3002\uFF01\uFF1F])"
 
 
 def _lines(text: Column) -> Column:
@@ -23,6 +25,10 @@ def _bare(line: Column) -> Column:
     return F.btrim(line, F.lit(BLANKS))
 
 
+def _normal(x: Column) -> Column:
+    return F.regexp_replace(F.translate(_bare(x), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), r"[ \t\r]+", " ")
+
+
 def _digest(*parts: Column) -> Column:
     """128 bits, for at 10**11 units two of 64 would meet by chance."""
     return F.unhex(F.md5(F.concat_ws("\n", *parts)))
@@ -78,6 +84,17 @@ def dedup_windows(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text"
     return _without(docs, gone, id_col, text, [])
 
 
+def _words() -> Column:
+    return F.when(F.col("bare") != "", F.length("bare") - F.length(F.replace("bare", F.lit(" "))) + 1).otherwise(0)
+
+
+def _passages(later: DataFrame, min_words: int) -> DataFrame:
+    """The repeats (id, h, at, words, ...) that stand in runs, by `at`, of at least min_words words."""
+    island = F.col("at") - F.row_number().over(Window.partitionBy("id", "h").orderBy("at"))
+    passage = Window.partitionBy("id", "h", "island")
+    return later.withColumn("island", island).withColumn("total", F.sum("words").over(passage)).filter(F.col("total") >= min_words)
+
+
 def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text", min_words: int = 50) -> DataFrame:
     """docs without passages that stand earlier elsewhere; adds n_lines, n_removed and removed.
 
@@ -89,24 +106,56 @@ def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text",
     """
     line = F.posexplode(_lines(F.col("text"))).alias("line", "x")
     rows = _numbered(docs, id_col, text).select("id", "h", line)
-    bare = F.regexp_replace(F.translate(_bare(F.col("x")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), r"[ \t\r]+", " ")
-    rows = rows.select("id", "h", "line", F.length("x").alias("chars"), bare.alias("bare"))
-    words = F.when(F.col("bare") != "", F.length("bare") - F.length(F.replace("bare", F.lit(" "))) + 1).otherwise(0)
-    rows = rows.select("id", "h", "line", "chars", words.alias("words"), F.when(F.col("bare") != "", _digest(F.col("bare"))).alias("digest"))
+    rows = rows.select("id", "h", "line", F.length("x").alias("chars"), _normal(F.col("x")).alias("bare"))
+    rows = rows.select("id", "h", "line", "chars", _words().alias("words"), F.when(F.col("bare") != "", _digest(F.col("bare"))).alias("digest"))
     in_text = Window.partitionBy("id", "h").orderBy("line")
     start = F.coalesce(F.sum(F.col("chars") + 1).over(in_text.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     rows = rows.distinct().withColumn("start", start).filter(F.col("digest").isNotNull())
     rows = rows.withColumn("at", F.row_number().over(in_text))
     units = materialize(rows, "units")
     later = _later(units, "repeated-units").select("id", "h", "line", "at", "words", "start", "chars")
-    island = F.col("at") - F.row_number().over(Window.partitionBy("id", "h").orderBy("at"))
-    passage = Window.partitionBy("id", "h", "island")
-    long = later.withColumn("island", island).withColumn("total", F.sum("words").over(passage)).filter(F.col("total") >= min_words)
+    long = _passages(later, min_words)
     span = F.struct("line", F.col("start").cast("long").alias("start"), (F.col("start") + F.col("chars")).cast("long").alias("end"))
     gone = long.groupBy("id", "h").agg(F.array_sort(F.collect_list("line")).alias("_gone"), F.array_sort(F.collect_list(span)).alias("removed"))
     return _without(docs, gone, id_col, text, ["removed"])
 
 
+def dedup_sentences(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text", min_words: int = 50) -> DataFrame:
+    """docs without passages of sentences that stand earlier elsewhere; adds n_units, n_removed and removed.
+
+    As dedup_lines(), but the units are the sentences inside lines (a line end ends one too), so a repeat that starts or
+    ends inside a line, or has an edited sentence in it, loses its equal sentences. n_units and n_removed count
+    non-blank units. removed has (start, end) of each unit that went, in code points of the original text. The
+    blank that ends a sentence goes with it, and a line goes with its line feed if all its units do.
+    """
+    pieces = _numbered(docs, id_col, text).select("id", "h", F.posexplode(F.split("text", SENTENCES)).alias("piece", "x"))
+    pieces = pieces.select("id", "h", "piece", F.length("x").alias("chars"), (F.col("x") == "\n").cast("int").alias("feed"), _normal(F.when(F.col("x") == "\n", "").otherwise(F.col("x"))).alias("bare"))
+    digest = F.when(F.col("bare") != "", _digest(F.col("bare"))).alias("digest")
+    pieces = pieces.select("id", "h", "piece", "chars", "feed", _words().alias("words"), digest).distinct()
+    before = Window.partitionBy("id", "h").orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)
+    pieces = pieces.withColumn("start", F.coalesce(F.sum("chars").over(before), F.lit(0))).withColumn("line", F.coalesce(F.sum("feed").over(before), F.lit(0)))
+    in_line = Window.partitionBy("id", "h", "line")
+    pieces = pieces.withColumn("lo", F.min("piece").over(in_line)).withColumn("hi", F.max("piece").over(in_line)).withColumn("in_line", F.count("digest").over(in_line))
+    units = pieces.filter(F.col("digest").isNotNull()).drop("feed").withColumn("at", F.row_number().over(Window.partitionBy("id", "h").orderBy("piece")))
+    units = materialize(units, "units")
+    long = _passages(_later(units, "repeated-units"), min_words)
+    span = F.struct(F.col("start").cast("long").alias("start"), (F.col("start") + F.col("chars")).cast("long").alias("end"))
+    lines = long.groupBy("id", "h", "line", "lo", "hi", "in_line").agg(F.collect_list("piece").alias("gone"), F.collect_list(span).alias("spans"))
+    gone = F.when(F.size("gone") == F.col("in_line"), F.sequence("lo", "hi")).otherwise(F.col("gone"))
+    gone = lines.groupBy("id", "h").agg(F.flatten(F.collect_list(gone)).alias("_gone"), F.array_sort(F.flatten(F.collect_list("spans"))).alias("removed"))
+    counts = units.groupBy("id", "h").agg(F.count("*").alias("n_units"))
+    found = counts.join(gone.withColumnRenamed("id", "_id").withColumnRenamed("h", "_rh"), F.col("id").eqNullSafe(F.col("_id")) & (F.col("h") == F.col("_rh")), "left").drop("_id", "_rh")
+
+    named = [c for c in docs.columns if c not in ("n_units", "n_removed", "removed")]
+    keyed = docs.select(*[F.col(f"`{c}`") for c in named]).withColumn("_h", F.xxhash64(text))
+    found = found.select(F.col("id").alias("_id"), F.col("h").alias("_rh"), "_gone", "n_units", "removed")
+    out = keyed.join(found, F.col(f"`{id_col}`").eqNullSafe(F.col("_id")) & (F.col("_h") == F.col("_rh")), "left")
+    parts = F.split(F.col(text), SENTENCES)
+    rest = F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), "_gone"), lambda i: F.get(parts, i)), "")
+    cols = [F.when(F.col("_gone").isNotNull(), rest).otherwise(F.col(text)).alias(c) if c == text else F.col(f"`{c}`") for c in named]
+    return out.select(*cols, F.coalesce("n_units", F.lit(0)).cast("long").alias("n_units"), F.coalesce(F.size("removed"), F.lit(0)).cast("long").alias("n_removed"), "removed")
+
+
 def query_windows(spark, sf_dir: str) -> DataFrame:
     """op7: n_removed lines of each document, and the digest of what is left."""
     out = dedup_windows(table(spark, sf_dir, "documents"))
@@ -120,6 +169,13 @@ def query_lines(spark, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_removed", F.coalesce(spans, F.lit("")).alias("removed_spans"), F.sha2(F.encode("text", "UTF-8"), 256).alias("kept_sha256"))
 
 
+def query_sentences(spark, sf_dir: str) -> DataFrame:
+    """op10 by sentences: n_removed units of each document, their offsets, and the digest of what is left."""
+    out = dedup_sentences(table(spark, sf_dir, "documents"))
+    spans = F.array_join(F.transform("removed", lambda s: F.concat(s["start"].cast("string"), F.lit("-"), s["end"].cast("string"))), ",")
+    return out.select("doc_id", "n_units", "n_removed", F.coalesce(spans, F.lit("")).alias("removed_spans"), F.sha2(F.encode("text", "UTF-8"), 256).alias("kept_sha256"))
+
+
 _SQL_LINES = r"""
 WITH d AS (SELECT doc_id, text, string_split(text, chr(10)) AS ls FROM documents),
 l AS (

@@ -15,6 +15,7 @@ QUERIES = {
     "op8_partenum_jaccard": jaccard.query,
     "op9_chat_formatting": chat.query,
     "op10_line_hashes": lines.query_lines,
+    "op10_sentence_hashes": lines.query_sentences,
 }
 
 #: DuckDB SQL where it can express the query.

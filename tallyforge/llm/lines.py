@@ -88,11 +88,12 @@ def _words() -> Column:
     return F.when(F.col("bare") != "", F.length("bare") - F.length(F.replace("bare", F.lit(" "))) + 1).otherwise(0)
 
 
-def _passages(later: DataFrame, min_words: int) -> DataFrame:
-    """The repeats (id, h, at, words, ...) that stand in runs, by `at`, of at least min_words words."""
+def _passages(later: DataFrame, min_words: int, whole: Column | None = None) -> DataFrame:
+    """The repeats (id, h, at, words, ...) that stand in runs, by `at`, of at least min_words words or of `whole` units."""
     island = F.col("at") - F.row_number().over(Window.partitionBy("id", "h").orderBy("at"))
     passage = Window.partitionBy("id", "h", "island")
-    return later.withColumn("island", island).withColumn("total", F.sum("words").over(passage)).filter(F.col("total") >= min_words)
+    runs = later.withColumn("island", island).withColumn("total", F.sum("words").over(passage)).withColumn("run", F.count("*").over(passage))
+    return runs.filter((F.col("total") >= min_words) | (F.lit(False) if whole is None else F.col("run") == whole))
 
 
 def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text", min_words: int = 50) -> DataFrame:
@@ -124,7 +125,8 @@ def dedup_sentences(docs: DataFrame, *, id_col: str = "doc_id", text: str = "tex
     """docs without passages of sentences that stand earlier elsewhere; adds n_units, n_removed and removed.
 
     As dedup_lines(), but the units are the sentences inside lines (a line end ends one too), so a repeat that starts or
-    ends inside a line, or has an edited sentence in it, loses its equal sentences. n_units and n_removed count
+    ends inside a line, or has an edited sentence in it, loses its equal sentences. A text of which all units are repeats
+    goes whole, however short. min_words = 1 removes every later occurrence. n_units and n_removed count
     non-blank units. removed has (start, end) of each unit that went, in code points of the original text. The
     blank that ends a sentence goes with it, and a line goes with its line feed if all its units do.
     """
@@ -137,8 +139,9 @@ def dedup_sentences(docs: DataFrame, *, id_col: str = "doc_id", text: str = "tex
     in_line = Window.partitionBy("id", "h", "line")
     pieces = pieces.withColumn("lo", F.min("piece").over(in_line)).withColumn("hi", F.max("piece").over(in_line)).withColumn("in_line", F.count("digest").over(in_line))
     units = pieces.filter(F.col("digest").isNotNull()).drop("feed").withColumn("at", F.row_number().over(Window.partitionBy("id", "h").orderBy("piece")))
+    units = units.withColumn("n_units", F.count("*").over(Window.partitionBy("id", "h")))
     units = materialize(units, "units")
-    long = _passages(_later(units, "repeated-units"), min_words)
+    long = _passages(_later(units, "repeated-units"), min_words, F.col("n_units"))
     span = F.struct(F.col("start").cast("long").alias("start"), (F.col("start") + F.col("chars")).cast("long").alias("end"))
     lines = long.groupBy("id", "h", "line", "lo", "hi", "in_line").agg(F.collect_list("piece").alias("gone"), F.collect_list(span).alias("spans"))
     gone = F.when(F.size("gone") == F.col("in_line"), F.sequence("lo", "hi")).otherwise(F.col("gone"))

@@ -38,7 +38,7 @@ def _units(text):
 
 
 def _expected(texts, least):
-    """Spans of the repeats in runs of at least `least` words."""
+    """Spans of the repeats in runs of at least `least` words, or of a whole text."""
     seen, out = set(), {}
     for doc in sorted(texts):
         run, gone = [], []
@@ -46,7 +46,7 @@ def _expected(texts, least):
             if g in seen:
                 run.append((g, start, end))
                 continue
-            if sum(len(r[0].split(" ")) for r in run) >= least:
+            if sum(len(r[0].split(" ")) for r in run) >= least or len(run) == len(_units(texts[doc] or "")):
                 gone += run
             run = []
             seen.add(g)
@@ -70,3 +70,12 @@ def test_nulls_repeats_clashes_and_no_rows(spark):
         for c in ("n_units", "removed", "line"):
             docs = docs.selectExpr("*", f"'clash' as {c}")
         assert len(lines.dedup_sentences(docs).collect()) == len(some)
+
+
+def test_short_whole_copies_go_and_every_repeat_on_demand(spark):
+    rows = [(1, "Stock line.\nA short text."), (2, "stock line.\nA  SHORT text."), (3, "Stock line.\nOther words.")]
+    docs = spark.createDataFrame(rows, KINDS)
+    got = {r["doc_id"]: r["text"] for r in lines.dedup_sentences(docs).collect()}
+    assert got == {1: rows[0][1], 2: "", 3: rows[2][1]}
+    got = {r["doc_id"]: r["text"] for r in lines.dedup_sentences(docs, min_words=1).collect()}
+    assert got == {1: rows[0][1], 2: "", 3: "Other words."}

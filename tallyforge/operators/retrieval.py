@@ -114,6 +114,73 @@ def top_matches(queries: DataFrame, rows: DataFrame, key: str, vector: str, n: i
     return out.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= n)
 
 
+def _scores(q: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """Dot products summed in one order, so a pair has the same score in whatever batch, and equal vectors tie."""
+    out = np.zeros((len(q), len(v)))
+    for i in range(q.shape[1]):
+        out += q[:, i, None] * v[None, :, i]
+    return out
+
+
+def first_hit_rank(queries: DataFrame, rows: DataFrame, key: str, vector: str, label: str) -> DataFrame:
+    """query and r, its rank among all rows (not the query itself; ties by key) of the best one of its label; null if none is.
+
+    Two passes over rows for each block of queries: the best row of the same label, then how many rows come before it.
+    Tasks return a row a query.
+    """
+    spark = rows.sparkSession
+    kind = rows.schema[key].dataType.simpleString()
+    out = None
+
+    def parts(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        for pdf in batches:
+            for i in range(0, len(pdf), 512):
+                p = pdf.iloc[i : i + 512].sort_values(key)
+                yield p[key].to_numpy(), _units(np.array(p[vector].tolist(), dtype=np.float64)), p[label].to_numpy()
+
+    for keys, block, own in _blocks(queries, key, vector, label):
+        shared = spark.sparkContext.broadcast((keys, _units(block), own))
+
+        def best(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
+            ks, q, mine = shared.value
+            score, first = np.full(len(ks), -np.inf), np.array([None] * len(ks), dtype=object)
+            for ids, v, labels in parts(batches):
+                sims = _scores(q, v)
+                sims[(mine[:, None] != labels[None, :]) | pd.isna(mine)[:, None] | (ks[:, None] == ids[None, :])] = -np.inf
+                at = sims.argmax(axis=1)
+                top, found = sims[np.arange(len(ks)), at], ids[at]
+                for j in np.flatnonzero((top > score) | (np.isfinite(top) & (top == score))):
+                    if top[j] > score[j] or found[j] < first[j]:
+                        score[j], first[j] = top[j], found[j]
+            has = np.isfinite(score)
+            yield pd.DataFrame({"query": ks[has], "score": score[has], "first": first[has].tolist()})
+
+        found = rows.select(key, vector, label).mapInPandas(best, f"query {kind}, score double, first {kind}")
+        found = found.groupBy("query").agg(F.min(F.struct((-F.col("score")).alias("s"), "first")).alias("b")).select("query", -F.col("b.s"), "b.first")
+        hits = {r[0]: (r[1], r[2]) for r in found.collect()}  # a row for each query of the block
+        hit = [(i, *hits[k]) for i, k in enumerate(keys.tolist()) if k in hits]
+        marks = spark.sparkContext.broadcast(hit)
+
+        def before(batches: Iterator[pd.DataFrame], shared=shared, marks=marks) -> Iterator[pd.DataFrame]:
+            ks, q, _ = shared.value
+            if not marks.value:
+                return
+            at, score, first = (np.array(x) for x in zip(*marks.value, strict=True))
+            ks, q, n = ks[at], q[at], np.zeros(len(at), dtype=np.int64)
+            for ids, v, _ in parts(batches):
+                sims = _scores(q, v)
+                ahead = (sims > score[:, None]) | ((sims == score[:, None]) & (ids[None, :] < first[:, None]))
+                n += (ahead & (ks[:, None] != ids[None, :])).sum(axis=1)
+            yield pd.DataFrame({"query": ks, "n": n})
+
+        ranks = rows.select(key, vector, label).mapInPandas(before, f"query {kind}, n long")
+        out = ranks if out is None else out.unionByName(ranks)
+    every = queries.select(F.col(key).alias("query"))
+    if out is None:
+        return every.withColumn("r", F.lit(None).cast("long"))
+    return every.join(out.groupBy("query").agg((F.sum("n") + 1).alias("r")), "query", "left")
+
+
 def top_pairs(rows: DataFrame, key: str, vector: str, other_than: str, n: int) -> DataFrame:
     """The n pairs of different `other_than` with the largest cosine, a < b, exactly.
 

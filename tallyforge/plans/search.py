@@ -82,9 +82,7 @@ k AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY s DESC, c) AS r FROM
 SELECT count(*) AS queries, round(avg(CASE WHEN r <= 1 THEN 1.0 ELSE 0 END), 6) AS recall_at_1, round(avg(CASE WHEN r <= 5 THEN 1.0 ELSE 0 END), 6) AS recall_at_5, round(avg(coalesce(1.0 / r, 0)), 6) AS mrr, CAST(median(r) AS DOUBLE) AS median_rank FROM f""")
 def retrieval_metrics(spark, sf):
     e = _embeddings(spark, sf)
-    found = retrieval.top_matches(e.filter("vec_id % 2 = 0"), e.filter("vec_id % 2 = 1"), "vec_id", "v", 50, carry=["label"])
-    own = e.filter("vec_id % 2 = 0").select(F.col("vec_id").alias("query"), F.col("label").alias("own"))
-    first = own.join(found, "query", "left").groupBy("query").agg(F.min(F.when(F.col("label") == F.col("own"), F.col("rank"))).alias("r"))
+    first = retrieval.first_hit_rank(e.filter("vec_id % 2 = 0"), e.filter("vec_id % 2 = 1"), "vec_id", "v", "label")
     return retrieval.retrieval_metrics(first, "query", "r", (1, 5)).select("queries", *[F.round(c, 6).alias(c) for c in ("recall_at_1", "recall_at_5", "mrr")], "median_rank")
 
 

@@ -21,7 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -87,8 +87,13 @@ def signatures(docs: DataFrame, text: str, words: int, num: int, den: int) -> Da
     return docs.select(F.col(text).cast("string").alias("text")).mapInArrow(emit, "sig long, h long")
 
 
+def _node(doc: str, cls: str) -> Column:
+    """A class by its least id and its digest; those without an id are ordered last, so they aren't pivots or roots of others."""
+    return F.struct(F.col(doc).isNull().alias("no_id"), F.col(doc).alias("doc"), F.col(cls).alias("cls"))
+
+
 def _sets(docs: DataFrame, id_col: str, text: str, words: int, nodes: DataFrame) -> DataFrame:
-    """node and its sorted shingle hashes, for nodes (struct of doc and cls)."""
+    """node and its sorted shingle hashes, for nodes (see _node)."""
 
     @F.arrow_udf(T.StructType([T.StructField("cls", T.BinaryType()), T.StructField("set", T.ArrayType(T.LongType()))]))
     def whole(t: pa.Array) -> pa.Array:
@@ -99,8 +104,10 @@ def _sets(docs: DataFrame, id_col: str, text: str, words: int, nodes: DataFrame)
 
     ids = nodes.select(F.col("node.doc").alias("id")).distinct()
     ids = F.broadcast(ids) if nodes.count() <= BROADCAST_IDS else ids
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text).cast("string").alias("t")).join(ids, "id", "left_semi")
-    found = rows.select("id", whole("t").alias("s")).select(F.struct(F.col("id").alias("doc"), F.col("s.cls").alias("cls")).alias("node"), "s.set")
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text).cast("string").alias("t"))
+    # A null id meets none in a join; its rows are told apart by their digests below, and not dealt by the null.
+    rows = texts.join(ids, "id", "left_semi").unionByName(texts.filter(F.col("id").isNull()))
+    found = rows.select("id", whole("t").alias("s")).select(_node("id", "s.cls").alias("node"), "s.set")
     return found.join(nodes.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"])
 
 
@@ -158,7 +165,7 @@ def link(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text", words:
     group = Window.partitionBy("sig")
     shared = signatures(docs, text, words, num, den).withColumn("lo", F.min("h").over(group)).withColumn("hi", F.max("h").over(group))
     shared = materialize(shared.filter("lo <> hi").select("sig", "h").distinct(), "signatures")
-    nodes = classes.select(F.struct("doc", "cls").alias("node"), "n", _short_udf("cls").alias("h"))
+    nodes = classes.select(_node("doc", "cls").alias("node"), "n", _short_udf("cls").alias("h"))
     active = materialize(shared.join(nodes, "h").select("sig", "node", "n"), "members")
     sets = materialize(_sets(docs, id_col, text, words, active), "sets")
 
@@ -191,7 +198,7 @@ def link(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text", words:
         active = materialize(_refine(judged.filter("large")), "members")
         total = active.count()
 
-    by_class = classes.select("cls", F.struct("doc", "cls").alias("node"), "copies")
+    by_class = classes.select("cls", _node("doc", "cls").alias("node"), "copies")
     if labels is not None:
         by_class = by_class.join(labels, "node", "left")
     else:

@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Used only where the session names no shared folder, as in tests.
-FALLBACK_DIR = "/tmp/checkpoints/tallyforge"
+#: Only for a local master without a named folder, as in tests.
+LOCAL_DIR = "/tmp/checkpoints/tallyforge"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,11 +18,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from spark.checkpoint.dir."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder that driver and executors share, from spark.checkpoint.dir.
+
+    On a cluster it has to be named; a local master, whose tasks run on the driver's machine, has a folder of its own.
+    """
+    conf = spark.sparkContext.getConf()
+    named = spark.conf.get("spark.checkpoint.dir", None) or conf.get("spark.checkpoint.dir")
     if not named:
-        named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    return (named or FALLBACK_DIR).rstrip("/")
+        if not conf.get("spark.master", "").startswith("local[") and conf.get("spark.master", "") != "local":
+            raise ValueError("spark.checkpoint.dir names no folder that driver and executors share")
+        named = LOCAL_DIR
+    return named.rstrip("/")
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
@@ -38,6 +45,16 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(spark: SparkSession, *frames: DataFrame | None) -> None:
+    """Delete the files of materialized frames that nothing reads any more."""
+    for df in frames:
+        for file in df.inputFiles()[:1] if df is not None else []:
+            folder = file.rpartition("/")[0]
+            if re.search(r"/[\w-]+-[0-9a-f]{32}$", folder):
+                path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+                path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def _hashable(kind: T.DataType) -> bool:
     if isinstance(kind, (T.MapType, T.VariantType)):
         return False
@@ -62,19 +79,13 @@ def join_skewed(
 
     counted has the columns key, count (how many of `total` rows have the key) and more. Keys with at
     least total / hot_share rows are at most hot_share in number, whatever the input; only those are
-    broadcast. All other keys meet by shuffle, and none of them is larger than that share. Rows of hot keys
-    are spread over the partitions of that shuffle.
+    broadcast, and their rows stay where they are. The rows of all other keys are joined by shuffle, and none of those keys
+    has more than that share. rows is read twice, so it should be a written table. A null key meets nothing.
     """
     least = max(2, total // hot_share)
-    more = [c for c in counted.columns if c not in (key, count)]
-    hot = counted.filter(F.col(count) >= least)
-    hot = hot.select(F.col(key), F.lit(True).alias("_hot"), F.struct(*more, F.col(count)).alias("_hot_row"))
-    cold = counted.filter(F.col(count) < least).select(F.col(key).alias("_cold_key"), F.struct(*more, F.col(count)).alias("_cold_row"))
-    marked = rows.join(F.broadcast(hot), key, "left")
-    marked = marked.withColumn("_side", F.when(F.col("_hot"), F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in rows.columns]), F.lit(1 << 20))).otherwise(F.lit(-1)))
-    cold = cold.withColumn("_cold_side", F.lit(-1))
-    joined = marked.join(cold, (F.when(F.col("_hot").isNull(), F.col(key)) == F.col("_cold_key")) & (F.col("_side") == F.col("_cold_side")), "left")
-    out = joined.withColumn("_row", F.coalesce(F.col("_hot_row"), F.col("_cold_row")))
-    if how == "inner":
-        out = out.filter(F.col("_row").isNotNull())
-    return out.select(*[F.col(f"`{c}`") for c in rows.columns], *[F.col(f"_row.{c}").alias(c) for c in [*more, count]])
+    more = [c for c in counted.columns if c != key]
+    hot, cold = counted.filter(F.col(count) >= least), counted.filter(F.col(count) < least)
+    cols = [F.col(f"`{c}`") for c in [*rows.columns, *more]]
+    of_hot = rows.join(F.broadcast(hot), key).select(*cols)
+    of_cold = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(cold, key, how).select(*cols)
+    return of_hot.unionByName(of_cold)

@@ -1,16 +1,19 @@
 """N-gram Jaccard join through PartEnum signatures, and the groups that its links make.
 
 1. Each text becomes a set of word shingles; equal sets are one class (a class has one node however many copies it has).
-2. A class emits its signatures (shingles.PartEnum): any two similar sets share at least one. A task emits
-   those of a class once, so the signatures of a large group of copies don't pile up.
-3. Each node of a signature's group is compared by whole sets with one of them. The links found make components.
-4. Groups with nodes of more than one component go on. All nodes of one are compared with a pivot P. Say D(X) is what X has and P hasn't or the other way round.
-   X and Y differ in |D(X)| + |D(Y)| - 2 |D(X) & D(Y)| elements. So if X and Y link, either both link with P, or they share
-   at least a known number t of elements of D, and then, in one order for both, they share one among the first
-   |D| - t + 1. The order puts elements first that few D of P have. Those elements, with P, are the signatures of the next
-   round, and groups that few nodes are left in are settled there: in one of at most SMALL nodes, those of different
-   components are compared. P is in no group of the next round, so rounds end; a group of thousands of near copies costs
-   some comparisons a node, never all pairs, and no link between components is lost.
+2. A class emits its signatures (shingles.PartEnum): any two similar sets share at least one. Of the classes of a
+   batch that share one, all but the first are tied to it there and then, so a signature that very many sets share
+   doesn't pile up. What signatures tie together, directly or not, is a candidate group: all links are within groups.
+3. All sets of a group are compared with one of them, its pivot P. D(X) is what X has and P hasn't or the other way
+   round. Those that link with P are of one component.
+4. Groups of more than one component go on. X and Y differ in |D(X)| + |D(Y)| - 2 |D(X) & D(Y)| elements. So if they
+   link, either both link with P, or they share at least a known number t of elements of D, and then, in one order
+   for both, they share one among the first |D| - t + 1. The order puts elements first that only one component of the
+   group has, for no new link comes of those, then rare ones. The first elements are the signatures of the next round.
+   Sets of different components that share one are compared at once if few do; else they make
+   the groups of the next round, in which D is all that is left of a set. P is in none of them, so rounds end.
+
+A set is compared with one pivot a round, never with all of its group, and no link between components is lost.
 """
 
 from __future__ import annotations
@@ -25,16 +28,17 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyforge.llm.common import join_skewed, materialize, table
+from tallyforge.llm.common import discard, join_skewed, materialize, table
 from tallyforge.llm.components import components
-from tallyforge.llm.shingles import PartEnum, set_digest, shingle_set
+from tallyforge.llm.shingles import PartEnum, mix, set_digest, shingle_set
 
 SET = T.StructType([T.StructField("n", T.LongType()), T.StructField("cls", T.BinaryType())])
-#: Up to so many ids of documents that share a signature are broadcast; more meet their texts by shuffle.
+#: Up to so many ids of documents that share a signature are broadcast (16 bytes each); more meet their texts by shuffle.
 BROADCAST_IDS = 1_000_000
 EMITTED = 50_000  # classes that a task remembers having emitted
-ROWS = 1 << 18
-SMALL = 32  # nodes of a group of which the pairs between components are compared at once
+ROWS = 1 << 20  # signatures of a batch
+SMALL = 8  # sets that share a signature of a later round and are compared at once
+HOT_PIVOTS = 100  # groups at most of which the pivots are broadcast
 
 
 def _short(cls: bytes) -> int:
@@ -52,16 +56,31 @@ def shingle_classes(docs: DataFrame, id_col: str, text: str, words: int) -> Data
     return docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("h"), classes(F.col(text).cast("string")).alias("s")).select("id", "h", "s.n", "s.cls")
 
 
+def _tied(sigs: np.ndarray, hs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The same ties with fewer rows a signature: its first class stays, each other shares a made-up one with that first."""
+    order = np.lexsort((hs, sigs))
+    sigs, hs = sigs[order], hs[order]
+    first = np.concatenate([[True], sigs[1:] != sigs[:-1]])
+    to = hs[np.maximum.accumulate(np.where(first, np.arange(len(sigs)), 0))]
+    ties = np.unique(np.stack([hs[~first], to[~first]], axis=1), axis=0)
+    ties = ties[ties[:, 0] != ties[:, 1]]
+    made = mix(ties[:, 0].view(np.uint64) * np.uint64(0xD6E8FEB86659FD93) + mix(ties[:, 1].view(np.uint64)))
+    return np.concatenate([sigs[first], made, made]), np.concatenate([hs[first], ties[:, 0], ties[:, 1]])
+
+
 def signatures(docs: DataFrame, text: str, words: int, num: int, den: int) -> DataFrame:
-    """sig and h (first half of the digest) of the sets of docs."""
+    """sig and h (first half of the digest) of the sets of docs; texts without words have none.
+
+    Classes of a batch that share a signature are tied by made-up ones (see _tied), which tie the same classes together.
+    """
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enum, emitted = PartEnum(num, den), OrderedDict()
         sigs, hs, held = [], [], 0
 
         def batch() -> pa.RecordBatch:
-            flat = np.concatenate(sigs).view(np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(flat), pa.array(np.repeat(np.array(hs, dtype=np.int64), [len(s) for s in sigs]))], ["sig", "h"])
+            flat = _tied(np.concatenate(sigs), np.repeat(np.array(hs, dtype=np.int64), [len(s) for s in sigs]))
+            return pa.RecordBatch.from_arrays([pa.array(flat[0].view(np.int64)), pa.array(flat[1])], ["sig", "h"])
 
         for b in batches:
             for x in b.column(0).cast(pa.binary()).to_pylist():
@@ -88,12 +107,18 @@ def signatures(docs: DataFrame, text: str, words: int, num: int, den: int) -> Da
 
 
 def _node(doc: str, cls: str) -> Column:
-    """A class by its least id and its digest; those without an id are ordered last, so they aren't pivots or roots of others."""
+    """A class by its least id and its digest; those without an id are ordered last, so they aren't roots of others."""
     return F.struct(F.col(doc).isNull().alias("no_id"), F.col(doc).alias("doc"), F.col(cls).alias("cls"))
 
 
-def _sets(docs: DataFrame, id_col: str, text: str, words: int, nodes: DataFrame) -> DataFrame:
-    """node and its sorted shingle hashes, for nodes (see _node)."""
+def _groups(ties: DataFrame) -> DataFrame:
+    """node and the root of its group, roots included, for ties (a, b)."""
+    tied = materialize(components(ties), "groups")
+    return tied.unionByName(tied.select(F.col("root").alias("node"), "root").distinct())
+
+
+def _sets(docs: DataFrame, id_col: str, text: str, words: int, members: DataFrame) -> DataFrame:
+    """members (x, id and h of one row of each, more) with s, their sorted shingle hashes."""
 
     @F.arrow_udf(T.StructType([T.StructField("cls", T.BinaryType()), T.StructField("set", T.ArrayType(T.LongType()))]))
     def whole(t: pa.Array) -> pa.Array:
@@ -102,50 +127,113 @@ def _sets(docs: DataFrame, id_col: str, text: str, words: int, nodes: DataFrame)
         lists = pa.ListArray.from_arrays(np.cumsum([0, *map(len, sets)]).astype(np.int32), pa.array(flat))
         return pa.StructArray.from_arrays([pa.array([set_digest(s) if len(s) else None for s in sets], pa.binary()), lists], ["cls", "set"])
 
-    ids = nodes.select(F.col("node.doc").alias("id")).distinct()
-    ids = F.broadcast(ids) if nodes.count() <= BROADCAST_IDS else ids
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text).cast("string").alias("t"))
-    # A null id meets none in a join; its rows are told apart by their digests below, and not dealt by the null.
-    rows = texts.join(ids, "id", "left_semi").unionByName(texts.filter(F.col("id").isNull()))
-    found = rows.select("id", whole("t").alias("s")).select(_node("id", "s.cls").alias("node"), "s.set")
-    return found.join(nodes.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"])
-
-
-def _compare(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """pairs of a pivot p and a node x of n elements, with linked, d (what only one of them has), first (see _refine)."""
-    both = pairs.join(sets.select(F.col("node").alias("p"), F.col("set").alias("ps")), "p").join(sets.select(F.col("node").alias("x"), F.col("set").alias("xs")), "x")
-    both = both.withColumn("added", F.array_except("xs", "ps")).withColumn("common", F.size("xs") - F.size("added"))
-    both = both.withColumn("linked", F.lit(den) * F.col("common") >= F.lit(num) * (F.size("xs") + F.size("ps") - F.col("common")))
-    both = both.withColumn("d", F.concat("added", F.array_except("ps", "xs")))
+    keys = _small(members.select(F.col("id").alias("_id"), F.col("h").alias("_h")).distinct())
+    texts = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("h"), F.col(text).cast("string").alias("t"))
+    rows = texts.join(keys, F.col("id").eqNullSafe(F.col("_id")) & (F.col("h") == F.col("_h")), "left_semi")
+    found = rows.select(whole("t").alias("s")).select(F.col("s.cls").alias("x"), F.col("s.set").alias("s"))
+    return found.join(_small(members.drop("id", "h")), "x").dropDuplicates(["x"])
+
+
+def _differences(items: DataFrame, num: int, den: int) -> DataFrame:
+    """items (g, x, n, s, rank) compared with the pivot of their g, that of the least rank.
+
+    What two items of a g differ in are the elements that only one of their s has. n is the size of the whole set. Gives g, x,
+    n, linked, p, s (the difference from p), mixed and apart (see _later_signatures); p itself is left out.
+    """
+    pivots = items.groupBy("g").agg(F.min(F.struct("rank", "x")).alias("least"), F.count("*").alias("members"))
+    pivots = pivots.select("g", F.col("least.x").alias("p"), "members")
+    own = pivots.join(items.select(F.col("x").alias("p"), F.col("n").alias("pn"), F.col("s").alias("ps")), "p").select("g", "members", "p", "pn", "ps")
+    both = join_skewed(items.drop("rank"), materialize(own, "pivots"), "g", "members", items.count(), HOT_PIVOTS).filter("x <> p")
+    d = F.concat(F.array_except("s", "ps"), F.array_except("ps", "s"))
+    both = both.select("g", "x", "n", "p", "pn", d.alias("s")).withColumn("size", F.size("s").cast("long"))
+    both = both.withColumn("linked", _links(F.col("n"), F.col("pn"), F.col("size"), num, den))
     k = F.expr(f"({den - num} * n) div {num}")  # differences from the largest set that can link
-    far = F.expr(f"({den - num} * ({num} * n + {den} * cast(size(ps) as bigint))) div {den * (den + num)} + 1")  # of a node that doesn't link with p
-    both = both.withColumn("k", k).withColumn("far", far)
+    far = F.expr(f"({den - num} * ({num} * n + {den} * pn)) div {den * (den + num)} + 1")  # of a set that doesn't link with p
 
-    def first(other):  # so many elements of d hold one that a partner with at least `other` differences has there too
-        t = F.greatest(F.lit(1).cast("long"), F.ceil((F.size("d") + other - F.col("k")) / F.lit(2.0)).cast("long"))
-        return F.greatest(F.lit(0).cast("long"), F.size("d") - t + 1).cast("int")
+    def first(other):  # so many elements of s hold one that a partner with at least `other` differences has there too
+        t = F.greatest(F.lit(1).cast("long"), F.ceil((F.col("size") + other - k) / F.lit(2.0)).cast("long"))
+        return F.greatest(F.lit(0).cast("long"), F.col("size") - t + 1).cast("int")
 
-    near, away = first(F.greatest(F.size("d") - F.col("k"), F.lit(0))), first(F.greatest(F.size("d") - F.col("k"), F.col("far")))
-    # A node that links with p can gain from those that don't; one that doesn't, from both kinds.
+    near, away = first(F.greatest(F.col("size") - k, F.lit(0))), first(F.greatest(F.col("size") - k, far))
+    # A set that links with p can gain from those that don't; one that doesn't, from both kinds.
     mixed, apart = F.when(F.col("linked"), away).otherwise(near), F.when(F.col("linked"), 0).otherwise(away)
-    out = both.select("p", "x", "n", "same", "large", "linked", mixed.alias("mixed"), apart.alias("apart"), F.when(F.col("large"), F.col("d")).alias("d"))
-    return out.withColumn("pair", F.monotonically_increasing_id())  # stays as it is, for the result is written
+    return both.select("g", "x", "n", "p", "linked", "s", mixed.alias("mixed"), apart.alias("apart"))
+
+
+def _links(n: Column, pn: Column, differ: Column, num: int, den: int) -> Column:
+    """Whether sets of n and pn elements that differ in so many link."""
+    return F.lit(den) * (n + pn - differ) >= F.lit(num) * (n + pn + differ)
 
 
-def _refine(judged: DataFrame) -> DataFrame:
-    """Signatures of the next round: for each pair the first elements of d in the order of how few pairs of p have them.
+def _later_signatures(judged: DataFrame) -> DataFrame:
+    """sig, x, root and rank for the sets of judged (with their roots) that some set of another root may link with.
 
-    One kind of signature is for two nodes of which one links with p, another for two of which none does.
+    One kind of signature is for two sets of which one links with p, another for two of which none does. rank is the
+    number of elements that only one component has: the set with the fewest is the nearest to the others.
     """
-    parts = judged.select("pair", F.xxhash64("p.cls").alias("p"), "linked", "mixed", "apart", F.explode("d").alias("e"))
-    parts = parts.withColumn("pairs", F.count("*").over(Window.partitionBy("p", "e")))
-    parts = parts.withColumn("place", F.row_number().over(Window.partitionBy("pair").orderBy("pairs", "e"))).filter("pairs > 1")
-    kinds = F.array_compact(F.array(F.when(F.col("place") <= F.col("mixed"), 0), F.when(F.col("place") <= F.col("apart"), 1)))
-    kept = parts.select("pair", "p", "e", "linked", F.explode(kinds).alias("kind")).select("pair", "linked", "kind", F.xxhash64("p", "e", "kind").alias("sig"))
-    sides = Window.partitionBy("sig")
-    kept = kept.withColumn("one", F.bool_or("linked").over(sides)).withColumn("other", F.bool_or(~F.col("linked")).over(sides))
-    kept = kept.filter("kind = 1 or (one and other)").select("pair", "sig")
-    return kept.join(judged.select("pair", F.col("x").alias("node"), "n"), "pair").select("sig", "node", "n").distinct()
+    roots = judged.groupBy("g").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("members")).filter("lo <> hi")
+    open_ = materialize(join_skewed(judged.drop("p"), roots, "g", "members", judged.count()).drop("lo", "hi", "members"), "open")
+    parts = open_.select("x", "root", F.explode("s").alias("e"), "g").select("x", "root", F.xxhash64("g", "e").alias("e"))
+    parts = materialize(parts, "elements")
+    shared = parts.groupBy("e").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("members"))
+    shared = materialize(shared.filter("lo <> hi").select("e", "members"), "shared-elements")
+    found = join_skewed(parts.select("x", "e"), shared, "e", "members", parts.count())
+    found = found.groupBy("x").agg(F.sort_array(F.collect_list(F.struct("members", "e"))).alias("es"))  # of one set
+    both = open_.select("x", "root", "linked", F.size("s").alias("size"), "mixed", "apart").join(found, "x").withColumn("rank", F.col("size") - F.size("es"))
+    take = lambda most, kind: F.transform(F.slice("es", 1, F.greatest(F.lit(0), F.col(most) - F.col("rank"))), lambda e: F.struct(e["e"].alias("e"), F.lit(kind).alias("kind")))
+    kept = both.select("x", "root", "linked", "rank", F.explode(F.concat(take("mixed", 0), take("apart", 1))).alias("t"))
+    kept = materialize(kept.select(F.xxhash64("t.e", "t.kind").alias("sig"), "x", "root", "rank", F.col("t.kind").alias("kind"), "linked"), "first-elements")
+    sides = [F.min("root").alias("lo"), F.max("root").alias("hi"), F.bool_or("linked").alias("one"), F.bool_or(~F.col("linked")).alias("other"), F.count("*").alias("members")]
+    useful = kept.groupBy("sig").agg(*sides, F.max("kind").alias("of")).filter("lo <> hi and (of = 1 or (one and other))").select("sig", "members")
+    out = materialize(join_skewed(kept.select("sig", "x", "root", "rank"), materialize(useful, "useful"), "sig", "members", kept.count()), "later-signatures")
+    discard(judged.sparkSession, parts, shared, kept)
+    return out
+
+
+def _few(found: DataFrame, judged: DataFrame, num: int, den: int) -> DataFrame:
+    """Links (a, b) of sets of different roots, of which few share a signature."""
+    few = found.filter(F.col("members") <= SMALL)
+    other = few.select("sig", F.col("x").alias("y"), F.col("root").alias("yroot"))
+    pairs = few.join(other, "sig").filter((F.col("x") < F.col("y")) & (F.col("root") != F.col("yroot"))).select("x", "y").distinct()
+    s = judged.select("x", "n", "s")
+    both = pairs.join(s, "x").join(s.select(F.col("x").alias("y"), F.col("n").alias("yn"), F.col("s").alias("ys")), "y")
+    differ = F.size("s") + F.size("ys") - 2 * F.size(F.array_intersect("s", "ys"))
+    return both.filter(_links(F.col("n"), F.col("yn"), differ.cast("long"), num, den)).select(F.col("x").alias("a"), F.col("y").alias("b"))
+
+
+def _components(classes: DataFrame, items: DataFrame, num: int, den: int) -> DataFrame | None:
+    """x and root of the classes that links join to others; items are the sets of candidate groups (see _differences)."""
+    spark, labels = items.sparkSession, None
+
+    def label(links: DataFrame) -> DataFrame | None:
+        links = materialize(links, "links")
+        if links.isEmpty():
+            return labels
+        known = links if labels is None else links.unionByName(labels.select(F.col("x").alias("a"), F.col("root").alias("b")))
+        return components(known).select(F.col("node").alias("x"), "root")
+
+    def rooted(df: DataFrame) -> DataFrame:
+        if labels is None:
+            return df.withColumn("root", F.col("x"))
+        return df.join(labels, "x", "left").withColumn("root", F.coalesce("root", "x"))
+
+    while True:
+        judged = materialize(_differences(items, num, den), "judged")
+        labels = label(judged.filter("linked").select(F.col("p").alias("a"), F.col("x").alias("b")))
+        found = _later_signatures(materialize(rooted(judged), "rooted"))
+        labels = label(_few(found, judged, num, den))
+        many = found.filter(F.col("members") > SMALL)
+        if many.isEmpty():
+            discard(spark, judged, items, found)
+            return labels
+        # Of those that share a signature with many, the groups that still hold more than one component.
+        least = many.groupBy("sig").agg(F.min("x").alias("b"), F.max("members").alias("times"))
+        ties = join_skewed(many.select("sig", "x"), least, "sig", "times", many.count()).filter("x <> b").select(F.col("x").alias("a"), "b")
+        group = _groups(ties).withColumnsRenamed({"node": "x", "root": "g"})
+        ranks = many.groupBy("x").agg(F.min("rank").alias("rank"))
+        again = materialize(judged.select("x", "n", "s").join(group, "x").join(ranks, "x").select("g", "x", "n", "s", "rank"), "items")
+        discard(spark, judged, items, found)
+        items = again
 
 
 def link(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text", words: int = 5, num: int = 4, den: int = 5) -> DataFrame:
@@ -156,57 +244,31 @@ def link(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text", words:
     null, has an empty set, links with nothing, and is a component of its own. Rows that repeat each other
     are one class. Rows with one id but other texts are judged by their own texts. A null id is larger than no other: it is
     a component's id only if all its ids are null. root is the digest of the component's set of least id, null for an
-    empty set. Other columns of docs are ignored.
+    empty set. Other columns of docs are ignored. An empty docs gives an empty result.
     """
     rows = materialize(shingle_classes(docs, id_col, text, words), "classes")
-    classes = rows.filter(F.col("cls").isNotNull()).groupBy("cls").agg(F.min("id").alias("doc"), F.max("n").alias("n"), F.count("*").alias("copies"))
-    classes = materialize(classes, "class-nodes")
-
-    group = Window.partitionBy("sig")
-    shared = signatures(docs, text, words, num, den).withColumn("lo", F.min("h").over(group)).withColumn("hi", F.max("h").over(group))
-    shared = materialize(shared.filter("lo <> hi").select("sig", "h").distinct(), "signatures")
-    nodes = classes.select(_node("doc", "cls").alias("node"), "n", _short_udf("cls").alias("h"))
-    active = materialize(shared.join(nodes, "h").select("sig", "node", "n"), "members")
-    sets = materialize(_sets(docs, id_col, text, words, active), "sets")
-
-    labels, total, level = None, active.count(), 0
-    while total:
-        at = active.withColumn("root", F.col("node")) if labels is None else active.join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        pivot = F.min(F.struct("node", "root"))
-        groups = at.groupBy("sig").agg(pivot.alias("p"), F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("members"))
-        groups = groups.filter("lo <> hi").select("sig", "p", "members")
-        open_ = join_skewed(at, groups, "sig", "members", total)
-        # First one comparison a node and signature, then a pivot for every group, then for large groups only.
-        if level > 1:
-            open_ = materialize(open_, "open")
-        met = (open_.filter(F.col("members") > SMALL) if level > 1 else open_).withColumn("large", F.lit(level > 0))
-        met = met.filter(F.col("node") != F.col("p.node"))
-        pairs = met.select(F.col("p.node").alias("p"), F.col("node").alias("x"), "n", (F.col("p.root") == F.col("root")).alias("same"), "large")
-        if level > 1:
-            few = open_.filter(F.col("members") <= SMALL).select("sig", "node", "n", "root")
-            one = few.select("sig", F.col("node").alias("p"), F.col("n").alias("pn"), F.col("root").alias("proot"))
-            both = few.join(one, "sig").filter((F.col("p") < F.col("node")) & (F.col("proot") != F.col("root")) & (F.lit(den) * F.least("n", "pn") >= F.lit(num) * F.greatest("n", "pn")))
-            pairs = pairs.unionByName(both.select("p", F.col("node").alias("x"), "n", F.lit(False).alias("same"), F.lit(False).alias("large")))
-        judged = materialize(_compare(pairs.distinct(), sets, num, den), "judged")
-        links = judged.filter("linked and not same").select(F.col("p").alias("a"), F.col("x").alias("b"))
-        if not links.isEmpty():
-            known = links if labels is None else links.unionByName(labels.select(F.col("node").alias("a"), F.col("root").alias("b")))
-            labels = components(known)
-        level += 1
-        if level == 1:
-            continue
-        active = materialize(_refine(judged.filter("large")), "members")
-        total = active.count()
-
-    by_class = classes.select("cls", _node("doc", "cls").alias("node"), "copies")
-    if labels is not None:
-        by_class = by_class.join(labels, "node", "left")
-    else:
-        by_class = by_class.withColumn("root", F.col("node"))
-    by_class = by_class.select("cls", F.coalesce("root", "node").alias("root"), "copies")
-    full = rows.filter(F.col("cls").isNotNull())
-    linked = join_skewed(full, by_class, "cls", "copies", full.count())
-    linked = linked.select("id", "h", "n", F.col("root.doc").alias("component"), F.col("root.cls").alias("root"))
+    filled = rows.filter(F.col("cls").isNotNull())
+    row = F.struct(F.col("id").isNull().alias("no_id"), "id", "h")
+    classes = filled.groupBy("cls").agg(F.min(row).alias("row"), F.max("n").alias("n"), F.count("*").alias("copies"))
+    classes = materialize(classes.select("cls", "row.id", "row.h", "n", "copies"), "class-nodes")
+
+    shared = signatures(docs, text, words, num, den).withColumn("b", F.min("h").over(Window.partitionBy("sig")))
+    ties = materialize(shared.filter("h <> b").select(F.col("h").alias("a"), "b").distinct(), "ties")
+    group = _groups(ties).withColumnsRenamed({"node": "short", "root": "g"})
+    # Classes of one short digest are in one group, which is as good as any that holds both.
+    members = classes.withColumn("short", _short_udf("cls")).join(group, "short")
+    members = members.select(F.col("cls").alias("x"), "id", "h", "g", "n", (-F.col("copies")).alias("rank"))
+    members = materialize(members, "members")
+    items = materialize(_sets(docs, id_col, text, words, members).select("g", "x", "n", "s", "rank"), "sets")
+    labels = _components(classes, items, num, den)
+
+    nodes = classes.select(F.col("cls").alias("x"), "id", "copies")
+    nodes = nodes.withColumn("root", F.col("x")) if labels is None else nodes.join(labels, "x", "left").withColumn("root", F.coalesce("root", "x"))
+    nodes = materialize(nodes, "rooted-classes")
+    least = nodes.groupBy("root").agg(F.min(_node("id", "x")).alias("least"), F.count("*").alias("members"))
+    by_class = join_skewed(nodes, least, "root", "members", nodes.count()).select(F.col("x").alias("cls"), "least", "copies")
+    linked = join_skewed(filled, materialize(by_class, "labelled-classes"), "cls", "copies", filled.count())
+    linked = linked.select("id", "h", "n", F.col("least.doc").alias("component"), F.col("least.cls").alias("root"))
     alone = rows.filter(F.col("cls").isNull())
     return linked.unionByName(alone.select("id", "h", "n", F.col("id").alias("component"), F.col("cls").alias("root")))
 

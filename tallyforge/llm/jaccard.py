@@ -4,16 +4,17 @@
 2. A class emits its signatures (shingles.PartEnum): any two similar sets share at least one. Of the classes of a
    batch that share one, all but the first are tied to it there and then, so a signature that very many sets share
    doesn't pile up. What signatures tie together, directly or not, is a candidate group: all links are within groups.
-3. All sets of a group are compared with one of them, its pivot P. D(X) is what X has and P hasn't or the other way
-   round. Those that link with P are of one component.
-4. Groups of more than one component go on. X and Y differ in |D(X)| + |D(Y)| - 2 |D(X) & D(Y)| elements. So if they
-   link, either both link with P, or they share at least a known number t of elements of D, and then, in one order
-   for both, they share one among the first |D| - t + 1. The order puts elements first that only one component of the
-   group has, for no new link comes of those, then rare ones. The first elements are the signatures of the next round.
-   Sets of different components that share one are compared at once if few do; else they make
-   the groups of the next round, in which D is all that is left of a set. P is in none of them, so rounds end.
-
-A set is compared with one pivot a round, never with all of its group, and no link between components is lost.
+3. All sets of a group are compared with one of them, its pivot. D(X) is what X has and the pivot P hasn't or the other
+   way round. Those that link with P are of one component.
+4. Groups of more than one component get a second pivot: the set that is nearest to the group's majority (the elements that more than
+   half of its sets have). Near copies of a text mostly link with that one.
+5. X and Y differ in |D(X)| + |D(Y)| - 2 |D(X) & D(Y)| elements. So two that link, not both with P, share at least a
+   number t >= 1 of elements of D that the sizes of their sets and of their D tell. Cut into t - 1 buckets by a hash, the elements of D
+   hold a shared pair in some bucket (shingles.shared_pairs). Sets of different components that have such a pair
+   in common are compared at once if few do, first by 128 bits of D; else they make the groups of the next round, in
+   which D is all that is left of a set. Pivots are in none of them, so rounds end.
+
+A set is compared with two pivots a round, never with all of its group, and no link between components is lost.
 """
 
 from __future__ import annotations
@@ -30,14 +31,14 @@ from pyspark.sql import types as T
 
 from tallyforge.llm.common import discard, join_skewed, materialize, table
 from tallyforge.llm.components import components
-from tallyforge.llm.shingles import PartEnum, mix, set_digest, shingle_set
+from tallyforge.llm.shingles import PartEnum, mix, parity, set_digest, shared_pairs, shingle_set
 
 SET = T.StructType([T.StructField("n", T.LongType()), T.StructField("cls", T.BinaryType())])
 #: Up to so many ids of documents that share a signature are broadcast (16 bytes each); more meet their texts by shuffle.
 BROADCAST_IDS = 1_000_000
 EMITTED = 50_000  # classes that a task remembers having emitted
 ROWS = 1 << 20  # signatures of a batch
-SMALL = 8  # sets that share a signature of a later round and are compared at once
+SMALL = 1000  # sets that share a signature of a later round and are compared at once
 HOT_PIVOTS = 100  # groups at most of which the pivots are broadcast
 
 
@@ -135,29 +136,18 @@ def _sets(docs: DataFrame, id_col: str, text: str, words: int, members: DataFram
 
 
 def _differences(items: DataFrame, num: int, den: int) -> DataFrame:
-    """items (g, x, n, s, rank) compared with the pivot of their g, that of the least rank.
+    """items (g, x, n, s, rank) compared with the pivot p of their g, that of the least rank.
 
     What two items of a g differ in are the elements that only one of their s has. n is the size of the whole set. Gives g, x,
-    n, linked, p, s (the difference from p), mixed and apart (see _later_signatures); p itself is left out.
+    n, p, linked and s (the difference from p); p itself is left out.
     """
     pivots = items.groupBy("g").agg(F.min(F.struct("rank", "x")).alias("least"), F.count("*").alias("members"))
     pivots = pivots.select("g", F.col("least.x").alias("p"), "members")
     own = pivots.join(items.select(F.col("x").alias("p"), F.col("n").alias("pn"), F.col("s").alias("ps")), "p").select("g", "members", "p", "pn", "ps")
     both = join_skewed(items.drop("rank"), materialize(own, "pivots"), "g", "members", items.count(), HOT_PIVOTS).filter("x <> p")
     d = F.concat(F.array_except("s", "ps"), F.array_except("ps", "s"))
-    both = both.select("g", "x", "n", "p", "pn", d.alias("s")).withColumn("size", F.size("s").cast("long"))
-    both = both.withColumn("linked", _links(F.col("n"), F.col("pn"), F.col("size"), num, den))
-    k = F.expr(f"({den - num} * n) div {num}")  # differences from the largest set that can link
-    far = F.expr(f"({den - num} * ({num} * n + {den} * pn)) div {den * (den + num)} + 1")  # of a set that doesn't link with p
-
-    def first(other):  # so many elements of s hold one that a partner with at least `other` differences has there too
-        t = F.greatest(F.lit(1).cast("long"), F.ceil((F.col("size") + other - k) / F.lit(2.0)).cast("long"))
-        return F.greatest(F.lit(0).cast("long"), F.col("size") - t + 1).cast("int")
-
-    near, away = first(F.greatest(F.col("size") - k, F.lit(0))), first(F.greatest(F.col("size") - k, far))
-    # A set that links with p can gain from those that don't; one that doesn't, from both kinds.
-    mixed, apart = F.when(F.col("linked"), away).otherwise(near), F.when(F.col("linked"), 0).otherwise(away)
-    return both.select("g", "x", "n", "p", "linked", "s", mixed.alias("mixed"), apart.alias("apart"))
+    both = both.select("g", "x", "n", "p", "pn", d.alias("s"))
+    return both.select("g", "x", "n", "p", _links(F.col("n"), F.col("pn"), F.size("s").cast("long"), num, den).alias("linked"), "s")
 
 
 def _links(n: Column, pn: Column, differ: Column, num: int, den: int) -> Column:
@@ -165,43 +155,67 @@ def _links(n: Column, pn: Column, differ: Column, num: int, den: int) -> Column:
     return F.lit(den) * (n + pn - differ) >= F.lit(num) * (n + pn + differ)
 
 
-def _later_signatures(judged: DataFrame) -> DataFrame:
-    """sig, x, root and rank for the sets of judged (with their roots) that some set of another root may link with.
-
-    One kind of signature is for two sets of which one links with p, another for two of which none does. rank is the
-    number of elements that only one component has: the set with the fewest is the nearest to the others.
-    """
+def _open(judged: DataFrame) -> DataFrame:
+    """The rows of judged (with roots) of which the g holds more than one root; adds members, how many g has."""
     roots = judged.groupBy("g").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("members")).filter("lo <> hi")
-    open_ = materialize(join_skewed(judged.drop("p"), roots, "g", "members", judged.count()).drop("lo", "hi", "members"), "open")
-    parts = open_.select("x", "root", F.explode("s").alias("e"), "g").select("x", "root", F.xxhash64("g", "e").alias("e"))
-    parts = materialize(parts, "elements")
-    shared = parts.groupBy("e").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("members"))
-    shared = materialize(shared.filter("lo <> hi").select("e", "members"), "shared-elements")
-    found = join_skewed(parts.select("x", "e"), shared, "e", "members", parts.count())
-    found = found.groupBy("x").agg(F.sort_array(F.collect_list(F.struct("members", "e"))).alias("es"))  # of one set
-    both = open_.select("x", "root", "linked", F.size("s").alias("size"), "mixed", "apart").join(found, "x").withColumn("rank", F.col("size") - F.size("es"))
-    take = lambda most, kind: F.transform(F.slice("es", 1, F.greatest(F.lit(0), F.col(most) - F.col("rank"))), lambda e: F.struct(e["e"].alias("e"), F.lit(kind).alias("kind")))
-    kept = both.select("x", "root", "linked", "rank", F.explode(F.concat(take("mixed", 0), take("apart", 1))).alias("t"))
-    kept = materialize(kept.select(F.xxhash64("t.e", "t.kind").alias("sig"), "x", "root", "rank", F.col("t.kind").alias("kind"), "linked"), "first-elements")
-    sides = [F.min("root").alias("lo"), F.max("root").alias("hi"), F.bool_or("linked").alias("one"), F.bool_or(~F.col("linked")).alias("other"), F.count("*").alias("members")]
-    useful = kept.groupBy("sig").agg(*sides, F.max("kind").alias("of")).filter("lo <> hi and (of = 1 or (one and other))").select("sig", "members")
-    out = materialize(join_skewed(kept.select("sig", "x", "root", "rank"), materialize(useful, "useful"), "sig", "members", kept.count()), "later-signatures")
-    discard(judged.sparkSession, parts, shared, kept)
+    return join_skewed(judged, materialize(roots.select("g", "members"), "open-groups"), "g", "members", judged.count())
+
+
+def _around_majority(rows: DataFrame) -> DataFrame:
+    """Items with the distance from their group's majority as rank, for rows (g, x, n, s, members)."""
+    counted = rows.select("g", "members", F.explode("s").alias("e")).groupBy("g", "members", "e").agg(F.count("*").alias("have"))
+    major = counted.filter("2 * have > members").groupBy("g", "members").agg(F.collect_list("e").alias("major"))  # at most twice a mean s
+    found = join_skewed(rows.drop("members"), materialize(major, "majorities"), "g", "members", rows.count(), HOT_PIVOTS, how="left")
+    major = F.coalesce("major", F.array().cast("array<bigint>"))
+    return found.select("g", "x", "n", "s", (F.size(F.array_except("s", major)) + F.size(F.array_except(major, F.col("s")))).alias("rank"))
+
+
+def _marks(num: int, den: int):
+    """shared_pairs() and parity() of s, for sets of n elements."""
+    enum = PartEnum(num, den)
+
+    @F.arrow_udf(T.StructType([T.StructField("sigs", T.ArrayType(T.LongType())), T.StructField("b0", T.LongType()), T.StructField("b1", T.LongType())]))
+    def marks(s: pa.Array, n: pa.Array) -> pa.Array:
+        flat, ends = s.flatten().to_numpy(zero_copy_only=False).view(np.uint64), np.cumsum([0, *s.value_lengths().to_pylist()])
+        sets = [np.sort(flat[ends[i] : ends[i + 1]]) for i in range(len(s))]
+        sigs = [shared_pairs(d, size, enum) for d, size in zip(sets, n.to_pylist(), strict=True)]
+        bits = np.array([parity(d) for d in sets], dtype=np.uint64).reshape(-1, 2).view(np.int64)
+        lists = pa.ListArray.from_arrays(np.cumsum([0, *map(len, sigs)]).astype(np.int32), pa.array(np.concatenate([np.zeros(0, dtype=np.uint64), *sigs]).view(np.int64)))
+        return pa.StructArray.from_arrays([lists, pa.array(bits[:, 0]), pa.array(bits[:, 1])], ["sigs", "b0", "b1"])
+
+    return marks("s", "n")
+
+
+def _later_signatures(rows: DataFrame, num: int, den: int) -> DataFrame:
+    """sig, x, r (hash of its root), n, its parity bits, and members, for the sets of rows that may link with one of another root."""
+    marked = rows.select("x", F.xxhash64("root").alias("r"), "n", "linked", "g", _marks(num, den).alias("m"))
+    kept = marked.select("x", "r", "n", "linked", "g", "m.b0", "m.b1", F.explode("m.sigs").alias("t"))
+    kept = materialize(kept.select(F.xxhash64("g", "t").alias("sig"), "x", "r", "n", "linked", "b0", "b1"), "shared-pairs")
+    useful = kept.groupBy("sig").agg(F.min("r").alias("lo"), F.max("r").alias("hi"), F.bool_or(~F.col("linked")).alias("apart"), F.count("*").alias("members"))
+    useful = materialize(useful.filter("lo <> hi and apart").select("sig", "members"), "useful")
+    out = materialize(join_skewed(kept.drop("linked"), useful, "sig", "members", kept.count()), "later-signatures")
+    discard(rows.sparkSession, kept, useful)
     return out
 
 
 def _few(found: DataFrame, judged: DataFrame, num: int, den: int) -> DataFrame:
-    """Links (a, b) of sets of different roots, of which few share a signature."""
-    few = found.filter(F.col("members") <= SMALL)
-    other = few.select("sig", F.col("x").alias("y"), F.col("root").alias("yroot"))
-    pairs = few.join(other, "sig").filter((F.col("x") < F.col("y")) & (F.col("root") != F.col("yroot"))).select("x", "y").distinct()
+    """Links (a, b) of sets of different roots, of which few share a signature.
+
+    The parity bits of two sets differ in no more places than the sets do, so the join leaves out most pairs
+    that don't link; the others are compared by their elements.
+    """
+    few = found.filter(F.col("members") <= SMALL).drop("members")
+    other = few.select("sig", *[F.col(c).alias(f"y_{c}") for c in ("x", "r", "n", "b0", "b1")])
+    bits = F.bit_count(F.col("b0").bitwiseXOR(F.col("y_b0"))) + F.bit_count(F.col("b1").bitwiseXOR(F.col("y_b1")))
+    near = (few["sig"] == other["sig"]) & (F.col("x") < F.col("y_x")) & (F.col("r") != F.col("y_r")) & _links(F.col("n"), F.col("y_n"), bits.cast("long"), num, den)
+    pairs = few.join(other, near).select("x", F.col("y_x").alias("y")).distinct()
     s = judged.select("x", "n", "s")
     both = pairs.join(s, "x").join(s.select(F.col("x").alias("y"), F.col("n").alias("yn"), F.col("s").alias("ys")), "y")
     differ = F.size("s") + F.size("ys") - 2 * F.size(F.array_intersect("s", "ys"))
     return both.filter(_links(F.col("n"), F.col("yn"), differ.cast("long"), num, den)).select(F.col("x").alias("a"), F.col("y").alias("b"))
 
 
-def _components(classes: DataFrame, items: DataFrame, num: int, den: int) -> DataFrame | None:
+def _components(items: DataFrame, num: int, den: int) -> DataFrame | None:
     """x and root of the classes that links join to others; items are the sets of candidate groups (see _differences)."""
     spark, labels = items.sparkSession, None
 
@@ -217,23 +231,29 @@ def _components(classes: DataFrame, items: DataFrame, num: int, den: int) -> Dat
             return df.withColumn("root", F.col("x"))
         return df.join(labels, "x", "left").withColumn("root", F.coalesce("root", "x"))
 
+    def compared(items: DataFrame, name: str) -> tuple[DataFrame, DataFrame | None]:
+        judged = materialize(_differences(items, num, den), name)
+        return judged, label(judged.filter("linked").select(F.col("p").alias("a"), F.col("x").alias("b")))
+
     while True:
-        judged = materialize(_differences(items, num, den), "judged")
-        labels = label(judged.filter("linked").select(F.col("p").alias("a"), F.col("x").alias("b")))
-        found = _later_signatures(materialize(rooted(judged), "rooted"))
+        first, labels = compared(items, "judged")
+        open_ = materialize(_open(materialize(rooted(first), "rooted")), "open")
+        if open_.isEmpty():
+            return labels
+        central = materialize(_around_majority(open_), "central")
+        judged, labels = compared(central, "judged-centrally")
+        open_ = materialize(_open(materialize(rooted(judged), "rooted")), "open")
+        found = _later_signatures(open_, num, den)
         labels = label(_few(found, judged, num, den))
+        discard(spark, items, first, central, open_)
+        # Of those that share a signature with many, the groups that still hold more than one component.
         many = found.filter(F.col("members") > SMALL)
         if many.isEmpty():
-            discard(spark, judged, items, found)
             return labels
-        # Of those that share a signature with many, the groups that still hold more than one component.
         least = many.groupBy("sig").agg(F.min("x").alias("b"), F.max("members").alias("times"))
         ties = join_skewed(many.select("sig", "x"), least, "sig", "times", many.count()).filter("x <> b").select(F.col("x").alias("a"), "b")
         group = _groups(ties).withColumnsRenamed({"node": "x", "root": "g"})
-        ranks = many.groupBy("x").agg(F.min("rank").alias("rank"))
-        again = materialize(judged.select("x", "n", "s").join(group, "x").join(ranks, "x").select("g", "x", "n", "s", "rank"), "items")
-        discard(spark, judged, items, found)
-        items = again
+        items = materialize(judged.select("x", "n", "s").join(group, "x").select("g", "x", "n", "s", F.size("s").alias("rank")), "items")
 
 
 def link(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text", words: int = 5, num: int = 4, den: int = 5) -> DataFrame:
@@ -260,7 +280,7 @@ def link(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text", words:
     members = members.select(F.col("cls").alias("x"), "id", "h", "g", "n", (-F.col("copies")).alias("rank"))
     members = materialize(members, "members")
     items = materialize(_sets(docs, id_col, text, words, members).select("g", "x", "n", "s", "rank"), "sets")
-    labels = _components(classes, items, num, den)
+    labels = _components(items, num, den)
 
     nodes = classes.select(F.col("cls").alias("x"), "id", "copies")
     nodes = nodes.withColumn("root", F.col("x")) if labels is None else nodes.join(labels, "x", "left").withColumn("root", F.coalesce("root", "x"))

@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from tallyforge.llm.common import join_skewed, materialize, table
 
 BLANKS = " \t\r"
+#: A run of repeated sentences with fewer words in all is common speech ("Thank you.") and stays.
+PASSAGE_WORDS = 15
 #: A cut before and after each line feed, and after the mark and the blank that end a sentence.
 SENTENCES = r"(?<=\n)|(?=\n)|(?<=[.!?\u2026][ \t])|(?<=[\u3002\uFF01\uFF1F])"
 
@@ -96,13 +98,12 @@ def _passages(later: DataFrame, min_words: int, whole: Column | None = None) ->
     return runs.filter((F.col("total") >= min_words) | (F.lit(False) if whole is None else F.col("run") == whole))
 
 
-def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text", min_words: int = 50) -> DataFrame:
-    """docs without passages that stand earlier elsewhere; adds n_lines, n_removed and removed.
+def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text", min_words: int = 1) -> DataFrame:
+    """docs without lines that stand earlier elsewhere; adds n_lines, n_removed and removed.
 
     The units are single lines, normalised (A-Z lower-cased, runs of blanks one space). A unit of which an
-    earlier occurrence exists is a repeat. Repeats that follow each other with no other non-blank line between make a
-    passage, and a passage of at least min_words words is removed (so a stock line alone stays). removed has
-    (line, start, end) of each line that went, in code points of the original text. Empty and null texts stay.
+    earlier occurrence exists is a repeat and goes. With min_words above 1, only repeats go that follow each other with no
+    other non-blank line between and have so many words in all. removed has (line, start, end) of each line that went, in code points of the original text. Empty and null texts stay.
     Columns of docs with those names are replaced.
     """
     line = F.posexplode(_lines(F.col("text"))).alias("line", "x")
@@ -121,11 +122,12 @@ def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text",
     return _without(docs, gone, id_col, text, ["removed"])
 
 
-def dedup_sentences(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text", min_words: int = 50) -> DataFrame:
+def dedup_sentences(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text", min_words: int = PASSAGE_WORDS) -> DataFrame:
     """docs without passages of sentences that stand earlier elsewhere; adds n_units, n_removed and removed.
 
-    As dedup_lines(), but the units are the sentences inside lines (a line end ends one too), so a repeat that starts or
-    ends inside a line, or has an edited sentence in it, loses its equal sentences. A text of which all units are repeats
+    The units are the sentences inside lines (a line end ends one too), normalised as in dedup_lines(), so a repeat that
+    starts or ends inside a line, or has an edited sentence in it, loses its equal sentences. Repeats that follow each
+    other with no other non-blank unit between make a passage, and one of at least min_words words goes. A text of which all units are repeats
     goes whole, however short. min_words = 1 removes every later occurrence. n_units and n_removed count
     non-blank units. removed has (start, end) of each unit that went, in code points of the original text. The
     blank that ends a sentence goes with it, and a line goes with its line feed if all its units do.
@@ -165,18 +167,21 @@ def query_windows(spark, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_removed", F.sha2(F.encode("text", "UTF-8"), 256).alias("kept_sha256"))
 
 
-def query_lines(spark, sf_dir: str) -> DataFrame:
-    """op10: n_removed lines of each document, their offsets, and the digest of what is left."""
-    out = dedup_lines(table(spark, sf_dir, "documents"))
-    spans = F.array_join(F.transform("removed", lambda s: F.concat(s["start"].cast("string"), F.lit("-"), s["end"].cast("string"))), ",")
-    return out.select("doc_id", "n_lines", "n_removed", F.coalesce(spans, F.lit("")).alias("removed_spans"), F.sha2(F.encode("text", "UTF-8"), 256).alias("kept_sha256"))
+def _spans(removed: str) -> Column:
+    each = F.transform(removed, lambda s: F.concat(s["start"].cast("string"), F.lit("-"), s["end"].cast("string")))
+    return F.coalesce(F.array_join(each, ","), F.lit("")).alias("removed_spans")
 
 
 def query_sentences(spark, sf_dir: str) -> DataFrame:
-    """op10 by sentences: n_removed units of each document, their offsets, and the digest of what is left."""
+    """op10: n_removed sentences of each document, their offsets, and the digest of what is left."""
     out = dedup_sentences(table(spark, sf_dir, "documents"))
-    spans = F.array_join(F.transform("removed", lambda s: F.concat(s["start"].cast("string"), F.lit("-"), s["end"].cast("string"))), ",")
-    return out.select("doc_id", "n_units", "n_removed", F.coalesce(spans, F.lit("")).alias("removed_spans"), F.sha2(F.encode("text", "UTF-8"), 256).alias("kept_sha256"))
+    return out.select("doc_id", "n_removed", "n_units", _spans("removed"), F.sha2(F.encode("text", "UTF-8"), 256).alias("kept_sha256"))
+
+
+def query_lines(spark, sf_dir: str) -> DataFrame:
+    """op10 by whole lines: every later occurrence of a line goes."""
+    out = dedup_lines(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_removed", "n_lines", _spans("removed"), F.sha2(F.encode("text", "UTF-8"), 256).alias("kept_sha256"))
 
 
 _SQL_LINES = r"""
@@ -210,8 +215,23 @@ SQL_LINES = (
 , u AS (SELECT doc_id, line, length(x) AS chars, regexp_replace(translate(bare, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \t\r]+', ' ', 'g') AS g,
   coalesce(sum(length(x) + 1) OVER (PARTITION BY doc_id ORDER BY line ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM l),
 n AS (SELECT *, len(string_split(g, ' ')) AS words, row_number() OVER (PARTITION BY doc_id ORDER BY line) AS nr, row_number() OVER (PARTITION BY g ORDER BY doc_id, line) AS nth FROM u WHERE g <> ''),
-r AS (SELECT *, nr - row_number() OVER (PARTITION BY doc_id ORDER BY nr) AS island FROM n WHERE nth > 1),
-gone AS (SELECT doc_id, line, CAST(start AS BIGINT) AS start, CAST(start + chars AS BIGINT) AS stop FROM (SELECT *, sum(words) OVER (PARTITION BY doc_id, island) AS total FROM r) WHERE total >= 50)
+gone AS (SELECT doc_id, line, CAST(start AS BIGINT) AS start, CAST(start + chars AS BIGINT) AS stop FROM n WHERE nth > 1)
 """
     + _SQL_REST.format(more="coalesce(string_agg(gone.start || '-' || gone.stop, ',' ORDER BY gone.start), '') AS removed_spans,")
 )
+
+#: chr(57344) is a private character that stands for a cut.
+SQL_SENTENCES = r"""
+WITH d AS (SELECT doc_id, text, string_split(regexp_replace(regexp_replace(replace(text, chr(10), chr(57344) || chr(10) || chr(57344)), '([.!?\x{2026}][ \t])', '\1' || chr(57344), 'g'), '([\x{3002}\x{FF01}\x{FF1F}])', '\1' || chr(57344), 'g'), chr(57344)) AS ps FROM documents),
+p AS (SELECT doc_id, i, ps[i] AS x FROM (SELECT doc_id, ps, unnest(range(1, len(ps) + 1)) AS i FROM d)),
+q AS (SELECT *, CASE WHEN x = chr(10) THEN '' ELSE regexp_replace(translate(trim(x, ' ' || chr(9) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \t\r]+', ' ', 'g') END AS g,
+  coalesce(sum(length(x)) OVER w, 0) AS start, coalesce(sum(CASE WHEN x = chr(10) THEN 1 ELSE 0 END) OVER w, 0) AS line FROM p WINDOW w AS (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+u AS (SELECT *, len(string_split(g, ' ')) AS words, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS nr, count(*) OVER (PARTITION BY doc_id) AS n_units, count(*) OVER (PARTITION BY doc_id, line) AS in_line, row_number() OVER (PARTITION BY g ORDER BY doc_id, i) AS nth FROM q WHERE g <> ''),
+r AS (SELECT *, nr - row_number() OVER (PARTITION BY doc_id ORDER BY nr) AS island FROM u WHERE nth > 1),
+s AS (SELECT doc_id, i, line, in_line, CAST(start AS BIGINT) AS start, CAST(start + length(x) AS BIGINT) AS stop FROM (SELECT *, sum(words) OVER k AS total, count(*) OVER k AS run FROM r WINDOW k AS (PARTITION BY doc_id, island)) WHERE total >= 15 OR run = n_units),
+whole AS (SELECT doc_id, line FROM s GROUP BY doc_id, line, in_line HAVING count(*) = in_line),
+kept AS (SELECT q.doc_id, string_agg(q.x, '' ORDER BY q.i) AS t FROM q LEFT JOIN s ON s.doc_id = q.doc_id AND s.i = q.i LEFT JOIN whole ON whole.doc_id = q.doc_id AND whole.line = q.line WHERE s.i IS NULL AND whole.line IS NULL GROUP BY q.doc_id),
+n AS (SELECT doc_id, any_value(n_units) AS n_units FROM u GROUP BY doc_id), m AS (SELECT doc_id, count(*) AS n_removed, string_agg(start || '-' || stop, ',' ORDER BY start) AS spans FROM s GROUP BY doc_id)
+SELECT d.doc_id, coalesce(m.n_removed, 0) AS n_removed, coalesce(n.n_units, 0) AS n_units, coalesce(m.spans, '') AS removed_spans, sha256(CASE WHEN m.doc_id IS NULL THEN d.text ELSE coalesce(kept.t, '') END) AS kept_sha256
+FROM d LEFT JOIN n USING (doc_id) LEFT JOIN m USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""

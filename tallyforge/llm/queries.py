@@ -14,8 +14,8 @@ QUERIES = {
     "op7_line_windows": lines.query_windows,
     "op8_partenum_jaccard": jaccard.query,
     "op9_chat_formatting": chat.query,
-    "op10_line_hashes": lines.query_lines,
     "op10_sentence_hashes": lines.query_sentences,
+    "op10_line_hashes": lines.query_lines,
 }
 
 #: DuckDB SQL where it can express the query.
@@ -24,5 +24,6 @@ SQL: dict[str, str] = {
     "op7_line_windows": lines.SQL_WINDOWS,
     "op8_partenum_jaccard": jaccard.SQL,
     "op9_chat_formatting": chat.SQL,
+    "op10_sentence_hashes": lines.SQL_SENTENCES,
     "op10_line_hashes": lines.SQL_LINES,
 }

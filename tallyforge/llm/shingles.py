@@ -92,13 +92,18 @@ class PartEnum:
             self.bands.append((self.bands[-1] + 1) * self.den // self.num)
         return int(np.searchsorted(self.bands, size))
 
+    def differences(self, band: int) -> int:
+        """The most elements in which two similar sets of the band and the one before differ."""
+        while len(self.bands) <= band:
+            self.bands.append((self.bands[-1] + 1) * self.den // self.num)
+        return 2 * (self.den - self.num) * self.bands[band] // (self.den + self.num)
+
     @lru_cache(maxsize=None)  # noqa: B019  bands are some hundreds
     def plan(self, band: int) -> tuple[int, int, np.ndarray]:
         """extra, the number of cells, and the cells of each subset, part by part."""
-        while len(self.bands) <= band:
-            self.bands.append((self.bands[-1] + 1) * self.den // self.num)
+        self.differences(band)
         low, high = (self.bands[band - 2] if band > 1 else 0) + 1, self.bands[band]
-        k = 2 * (self.den - self.num) * high // (self.den + self.num)
+        k = self.differences(band)
         if k == 0:
             return 0, 1, np.zeros((1, 1), dtype=np.int64)
         best = None
@@ -141,3 +146,49 @@ class PartEnum:
             empty = held == 0
             out.append(sig[~empty] if empty.any(axis=1).sum() <= extra else sig.ravel())
         return np.concatenate(out)
+
+
+def shared_pairs(d: np.ndarray, size: int, enum: PartEnum) -> np.ndarray:
+    """Signatures of a set of `size` elements of which d (sorted) differ from a pivot's.
+
+    Two similar sets, not both similar to the pivot, have one in common. They differ in at most k elements and share t of those
+    of d; as |d| is known to within a step for both, t is at least (|d| + |d'| - k) / 2, and at least 1: where they share none,
+    each is less similar to the other than to the pivot. Of t shared elements in t - 1 buckets two share a bucket.
+    """
+    own, out = enum.band(size), []
+    for band in (own, own + 1):
+        k = enum.differences(band)
+        step = max(1, k // 4)
+        at, buckets = len(d) // step, {}
+        for other in range(max(0, at - k // step - 1), at + k // step + 2):
+            low, high = min(at, other), max(at, other)
+            t = max(1, -(-((low + high) * step - k) // 2))
+            if t >= (low + 1) * step and t > 1:
+                continue  # the smaller d has fewer
+            if t not in buckets:
+                buckets[t] = d if t == 1 else _pairs(d, t - 1)
+            out.append(mix(buckets[t] + mix(np.array([band << 42 | low << 21 | high], dtype=U))))
+    return np.unique(np.concatenate(out)) if out else np.zeros(0, dtype=U)
+
+
+def _pairs(d: np.ndarray, buckets: int) -> np.ndarray:
+    """A hash of each pair of elements that share a bucket."""
+    h = mix(d ^ U(0x2545F4914F6CDD1D))
+    b = h % U(buckets)
+    order = np.argsort(b, kind="stable")
+    b, h = b[order], h[order]
+    out, gap = [], 1
+    while gap < len(b):
+        same = b[gap:] == b[:-gap]
+        if not same.any():
+            break
+        x, y = h[gap:][same], h[:-gap][same]
+        out.append(mix(np.minimum(x, y)) + np.maximum(x, y))
+        gap += 1
+    return np.concatenate(out) if out else np.zeros(0, dtype=U)
+
+
+def parity(d: np.ndarray) -> np.ndarray:
+    """128 bits: whether an odd number of the elements fall on each. Those of two sets differ in no more bits than the sets in elements."""
+    odd = np.bincount((mix(d ^ U(0x9FB21C651E98DF25)) >> U(57)).astype(np.int64), minlength=128) & 1
+    return np.packbits(odd.astype(np.uint8)).view(U)

@@ -37,7 +37,7 @@ SET = T.StructType([T.StructField("n", T.LongType()), T.StructField("cls", T.Bin
 #: Up to so many ids of documents that share a signature are broadcast (16 bytes each); more meet their texts by shuffle.
 BROADCAST_IDS = 1_000_000
 EMITTED = 50_000  # classes that a task remembers having emitted
-ROWS = 1 << 20  # signatures of a batch
+ROWS = 1 << 18  # signatures of a batch
 SMALL = 1000  # sets that share a signature of a later round and are compared at once
 HOT_PIVOTS = 100  # groups at most of which the pivots are broadcast
 

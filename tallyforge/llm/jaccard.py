@@ -46,12 +46,16 @@ def _short(cls: bytes) -> int:
     return struct.unpack("<q", cls[:8])[0]
 
 
+def _texts(column: pa.Array) -> Iterator[bytes | None]:
+    return (x.as_py() for x in column.cast(pa.binary()))
+
+
 def shingle_classes(docs: DataFrame, id_col: str, text: str, words: int) -> DataFrame:
     """id, h (hash of the text), n (size of the set), cls (its digest, null if it is empty) for each row."""
 
     @F.arrow_udf(SET)
     def classes(t: pa.Array) -> pa.Array:
-        sets = [shingle_set(x, words) for x in t.cast(pa.binary()).to_pylist()]
+        sets = (shingle_set(x, words) for x in _texts(t))  # one at a time
         return pa.array([{"n": len(s), "cls": set_digest(s) if len(s) else None} for s in sets], type=pa.struct([("n", pa.int64()), ("cls", pa.binary())]))
 
     return docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("h"), classes(F.col(text).cast("string")).alias("s")).select("id", "h", "s.n", "s.cls")
@@ -84,7 +88,7 @@ def signatures(docs: DataFrame, text: str, words: int, num: int, den: int) -> Da
             return pa.RecordBatch.from_arrays([pa.array(flat[0].view(np.int64)), pa.array(flat[1])], ["sig", "h"])
 
         for b in batches:
-            for x in b.column(0).cast(pa.binary()).to_pylist():
+            for x in _texts(b.column(0)):
                 s = shingle_set(x, words)
                 if not len(s):
                     continue
@@ -121,17 +125,28 @@ def _groups(ties: DataFrame) -> DataFrame:
 def _sets(docs: DataFrame, id_col: str, text: str, words: int, members: DataFrame) -> DataFrame:
     """members (x, id and h of one row of each, more) with s, their sorted shingle hashes."""
 
-    @F.arrow_udf(T.StructType([T.StructField("cls", T.BinaryType()), T.StructField("set", T.ArrayType(T.LongType()))]))
-    def whole(t: pa.Array) -> pa.Array:
-        sets = [shingle_set(x, words) for x in t.cast(pa.binary()).to_pylist()]
-        flat = np.concatenate([np.zeros(0, dtype=np.uint64), *sets]).view(np.int64)
-        lists = pa.ListArray.from_arrays(np.cumsum([0, *map(len, sets)]).astype(np.int32), pa.array(flat))
-        return pa.StructArray.from_arrays([pa.array([set_digest(s) if len(s) else None for s in sets], pa.binary()), lists], ["cls", "set"])
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sets, held = [], 0
+
+        def batch() -> pa.RecordBatch:
+            lists = pa.ListArray.from_arrays(np.cumsum([0, *map(len, sets)]).astype(np.int32), pa.array(np.concatenate(sets).view(np.int64)))
+            return pa.RecordBatch.from_arrays([pa.array([set_digest(s) for s in sets], pa.binary()), lists], ["x", "s"])
+
+        for b in batches:
+            for x in _texts(b.column(0)):
+                s = shingle_set(x, words)
+                sets += [s] if len(s) else []
+                held += len(s)
+                if held >= ROWS:
+                    yield batch()
+                    sets, held = [], 0
+        if sets:
+            yield batch()
 
     keys = _small(members.select(F.col("id").alias("_id"), F.col("h").alias("_h")).distinct())
     texts = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("h"), F.col(text).cast("string").alias("t"))
     rows = texts.join(keys, F.col("id").eqNullSafe(F.col("_id")) & (F.col("h") == F.col("_h")), "left_semi")
-    found = rows.select(whole("t").alias("s")).select(F.col("s.cls").alias("x"), F.col("s.set").alias("s"))
+    found = rows.select("t").mapInArrow(whole, "x binary, s array<long>")
     return found.join(_small(members.drop("id", "h")), "x").dropDuplicates(["x"])
 
 
@@ -170,26 +185,36 @@ def _around_majority(rows: DataFrame) -> DataFrame:
     return found.select("g", "x", "n", "s", (F.size(F.array_except("s", major)) + F.size(F.array_except(major, F.col("s")))).alias("rank"))
 
 
-def _marks(num: int, den: int):
-    """shared_pairs() and parity() of s, for sets of n elements."""
-    enum = PartEnum(num, den)
-
-    @F.arrow_udf(T.StructType([T.StructField("sigs", T.ArrayType(T.LongType())), T.StructField("b0", T.LongType()), T.StructField("b1", T.LongType())]))
-    def marks(s: pa.Array, n: pa.Array) -> pa.Array:
-        flat, ends = s.flatten().to_numpy(zero_copy_only=False).view(np.uint64), np.cumsum([0, *s.value_lengths().to_pylist()])
-        sets = [np.sort(flat[ends[i] : ends[i + 1]]) for i in range(len(s))]
-        sigs = [shared_pairs(d, size, enum) for d, size in zip(sets, n.to_pylist(), strict=True)]
-        bits = np.array([parity(d) for d in sets], dtype=np.uint64).reshape(-1, 2).view(np.int64)
-        lists = pa.ListArray.from_arrays(np.cumsum([0, *map(len, sigs)]).astype(np.int32), pa.array(np.concatenate([np.zeros(0, dtype=np.uint64), *sigs]).view(np.int64)))
-        return pa.StructArray.from_arrays([lists, pa.array(bits[:, 0]), pa.array(bits[:, 1])], ["sigs", "b0", "b1"])
-
-    return marks("s", "n")
-
-
 def _later_signatures(rows: DataFrame, num: int, den: int) -> DataFrame:
     """sig, x, r (hash of its root), n, its parity bits, and members, for the sets of rows that may link with one of another root."""
-    marked = rows.select("x", F.xxhash64("root").alias("r"), "n", "linked", "g", _marks(num, den).alias("m"))
-    kept = marked.select("x", "r", "n", "linked", "g", "m.b0", "m.b1", F.explode("m.sigs").alias("t"))
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Each row as often as it has shared pairs (t), with the bits of its s instead of s."""
+        enum = PartEnum(num, den)
+        for b in batches:
+            n, s = b.column("n").to_pylist(), b.column("s")
+            at, bits, found, held = [], [], [], 0
+
+            def batch(b=b) -> pa.RecordBatch:
+                times = pa.array(np.repeat(np.array(at), [len(f) for f in found]))
+                each = np.repeat(np.array(bits, dtype=np.uint64).view(np.int64), [len(f) for f in found], axis=0)
+                cols = [b.column(c).take(times) for c in ("x", "r", "n", "linked", "g")]
+                return pa.RecordBatch.from_arrays([*cols, pa.array(each[:, 0]), pa.array(each[:, 1]), pa.array(np.concatenate(found).view(np.int64))], ["x", "r", "n", "linked", "g", "b0", "b1", "t"])
+
+            for i in range(len(n)):
+                d = np.sort(s[i].values.to_numpy(zero_copy_only=False).view(np.uint64))
+                found.append(shared_pairs(d, n[i], enum))
+                bits.append(parity(d))
+                at.append(i)
+                held += len(found[-1])
+                if held >= ROWS:
+                    yield batch()
+                    at, bits, found, held = [], [], [], 0
+            if held:
+                yield batch()
+
+    marked = rows.select("x", F.xxhash64("root").alias("r"), "n", "linked", F.xxhash64("g").alias("g"), "s")
+    kept = marked.mapInArrow(emit, "x binary, r long, n long, linked boolean, g long, b0 long, b1 long, t long")
     kept = materialize(kept.select(F.xxhash64("g", "t").alias("sig"), "x", "r", "n", "linked", "b0", "b1"), "shared-pairs")
     useful = kept.groupBy("sig").agg(F.min("r").alias("lo"), F.max("r").alias("hi"), F.bool_or(~F.col("linked")).alias("apart"), F.count("*").alias("members"))
     useful = materialize(useful.filter("lo <> hi and apart").select("sig", "members"), "useful")

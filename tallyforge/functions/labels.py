@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Season type by a part of the text (first match counts), and by the first digits of a game's id.
-SEASON_TYPES = [("all.star", "all_star"), ("playoff", "playoffs"), ("in-season tournament", "regular"), ("regular", "regular")]
+SEASON_TYPES = [("all.star", "all_star"), ("playoff", "playoffs"), ("in-season tournament", "regular"), ("in season tournament", "regular"), ("regular", "regular")]
 GAME_PREFIXES = {"002": "regular", "004": "playoffs", "001": "preseason"}
 #: Least score of each tier, and least attempts of each grade of reliability.
 TIERS = [(0.95, "elite"), (0.90, "very strong"), (0.85, "strong"), (0.80, "clear"), (0.70, "moderate"), (0.60, "loose")]
@@ -18,6 +18,11 @@ def season_label(start: Column) -> Column:
     return F.format_string("%04d-%02d", start.cast("int"), ((start + 1) % 100).cast("int"))
 
 
+def season_ending(end: Column) -> Column:
+    """2000 -> 1999-00."""
+    return season_label(end - 1)
+
+
 def season_of(date: Column, first_month: int = 9) -> Column:
     return season_label(F.year(date) - F.when(F.month(date) >= first_month, 0).otherwise(1))
 
@@ -27,7 +32,8 @@ def season_start(label: Column) -> Column:
 
 
 def season_type(text: Column) -> Column:
-    lower, out = F.lower(F.trim(text)), F.when(text.isNull(), "unknown")
+    lower = F.lower(F.trim(text))
+    out = F.when(text.isNull() | (lower == "unknown"), "unknown")
     for part, name in SEASON_TYPES:
         out = out.when(lower.rlike(part), name)
     return out.otherwise("other")
@@ -41,6 +47,7 @@ def game_id_type(game_id: Column) -> Column:
     return out.otherwise("other")
 
 
+#: The rules of zone() and action(), their order and their words are fixed values.
 def zone(name: Column, distance: Column) -> Column:
     """Where a shot was taken; a missing distance counts as 0, and so as at the rim."""
     low, far = F.lower(F.coalesce(name, F.lit(""))), F.greatest(F.coalesce(distance, F.lit(0.0)), F.lit(0.0))

@@ -47,3 +47,33 @@ def search(rows: DataFrame, name: str, query: str, *, most_edits: int = 2, ascii
     literal = found.filter("priority < 3").select(F.lit(True).alias("_literal")).limit(1)
     kept = found.join(F.broadcast(literal), F.lit(True), "left").filter(F.col("_literal").isNull() | (F.col("priority") < 3))
     return kept.drop("_full", "_words", "_literal")
+
+
+def within(rows: DataFrame, team: str | None, name: str, query: str) -> DataFrame:
+    """Rows of a team (or all) whose name contains the text as it stands, in any case."""
+    rows = rows.filter(F.col("team") == team) if team else rows
+    text = query.strip()
+    return rows.filter(F.contains(F.lower(F.col(name)), F.lit(text.lower()))) if text else rows
+
+
+def resolve(rows: DataFrame, team: str, name: str, query: str, **how) -> DataFrame:
+    """search() in the team; if the best hit of all rows is strictly better, those of all rows. Adds league_wide."""
+    everywhere = search(rows, name, query, **how)
+    local = search(within(rows, team, name, query), name, query, **how)
+    best = lambda df, c: df.agg(F.min(F.struct("priority", "distance")).alias(c))
+    relaxed = best(everywhere, "_l").join(F.broadcast(best(local, "_t"))).select((F.col("_l").isNotNull() & (F.col("_t").isNull() | (F.col("_l") < F.col("_t")))).alias("league_wide"))  # a row each
+    flag = F.broadcast(relaxed)
+    return local.join(flag).filter("not league_wide").unionByName(everywhere.join(flag).filter("league_wide"))
+
+
+def candidates(rows: DataFrame, name: str, key: str, team: str | None = None, without: list | None = None) -> DataFrame:
+    """Rows to choose from, by name, team and key: those of a team only, without some keys."""
+    rows = rows.filter(F.col("team") == team) if team else rows
+    rows = rows.filter(~F.col(key).isin(*without)) if without else rows
+    return rows.orderBy(name, "team", key)
+
+
+def active_columns(rows: DataFrame, columns: list[str], least: int = 2) -> list[str]:
+    """The columns with at least so many values; one aggregation."""
+    counts = rows.agg(*[F.count(c).alias(c) for c in columns]).first()
+    return [c for c in columns if counts[c] >= least]

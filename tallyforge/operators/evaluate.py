@@ -7,34 +7,23 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyforge.operators.windows import percentile_table
+from tallyforge.operators.windows import cumulative, exact_quantiles, percentile_table
 
 
 def ranking_quality(rows: DataFrame, score: str, label: str) -> DataFrame:
-    """roc_auc and average_precision over distinct thresholds.
-
-    Counts per distinct score come first; cumulative counts over score ranges need no window over all rows.
-    """
-    per = rows.groupBy(F.col(score).cast("double").alias("s")).agg(F.sum(F.col(label).cast("double")).alias("p"), F.count("*").cast("double").alias("n"))
-    edges = per.agg(F.percentile_approx("s", [i / 32 for i in range(1, 32)], 1000)).first()[0] or []
-    edges = sorted(set(edges))
-    part = F.size(F.filter(F.array(*[F.lit(e) for e in edges]), lambda e: e < F.col("s"))) if edges else F.lit(0)
-    per = per.withColumn("part", part)
-    sums = {r["part"]: (r["p"], r["n"]) for r in per.groupBy("part").agg(F.sum("p").alias("p"), F.sum("n").alias("n")).collect()}  # 32 rows
-    above_p, above_n, p, n = {}, {}, 0.0, 0.0
-    for k in sorted(sums, reverse=True):
-        above_p[k], above_n[k] = p, n
-        p, n = p + sums[k][0], n + sums[k][1]
-    at = lambda m: F.element_at(F.create_map(*[F.lit(x) for kv in (m or {0: 0.0}).items() for x in kv]), F.col("part"))
-    w = Window.partitionBy("part").orderBy(F.desc("s")).rowsBetween(Window.unboundedPreceding, 0)
-    cum = per.withColumn("tp", F.sum("p").over(w) + at(above_p)).withColumn("all", F.sum("n").over(w) + at(above_n))
-    neg = F.col("n") - F.col("p")
-    # Each negative is above all positives but those at or above it; ties count half.
-    won = neg * (F.col("tp") - F.col("p") / 2)
-    return cum.agg(
-        F.try_divide(F.sum(won), F.nullif(F.sum("p") * F.sum(neg), F.lit(0.0))).alias("roc_auc"),
-        F.try_divide(F.sum(F.col("p") * F.col("tp") / F.col("all")), F.nullif(F.sum("p"), F.lit(0.0))).alias("average_precision"),
-    )
+    """roc_auc and average_precision over distinct thresholds, from running counts of all rows and of the positives."""
+    both = rows.select((-F.col(score).cast("double")).alias("s"), F.col(label).cast("double").alias("p"))
+    per = both.groupBy("s").agg(F.sum("p").alias("p"), F.count("*").alias("c"))
+    everything = cumulative(both, "s").select(F.col("v").alias("s"), F.col("upto").alias("all"))
+    found = cumulative(both.filter("p > 0"), "s").select(F.col("v").alias("s"), F.col("upto").alias("tp"))
+    cum = per.join(everything, "s").join(found, "s", "left")
+    precision = cum.filter("p > 0").agg((F.sum(F.col("p") * F.col("tp") / F.col("all"))).alias("_gain"), F.sum("p").alias("_p"))
+    # Each positive beats the negatives below it and half of those level with it.
+    total = per.agg((F.sum("c") - F.sum("p")).alias("negatives"))
+    wins = cum.filter("p > 0").join(F.broadcast(total)).select("p", "negatives", (F.col("all") - F.col("tp")).alias("not_below"), (F.col("c") - F.col("p")).alias("level"))
+    roc = wins.agg(F.sum(F.col("p") * (F.col("negatives") - F.col("not_below") + F.col("level") / 2)).alias("_wins"), F.sum("p").alias("_positives"), F.max("negatives").alias("_negatives"))
+    out = roc.join(F.broadcast(precision))  # a row each
+    return out.select(F.try_divide("_wins", F.nullif(F.col("_positives") * F.col("_negatives"), F.lit(0.0))).alias("roc_auc"), F.try_divide("_gain", F.nullif(F.col("_p"), F.lit(0.0))).alias("average_precision"))
 
 
 def precision_at(rows: DataFrame, score: str, label: str, key: str, n: int) -> DataFrame:
@@ -43,12 +32,10 @@ def precision_at(rows: DataFrame, score: str, label: str, key: str, n: int) -> D
 
 def regression_errors(rows: DataFrame, actual: str, predicted: str, quantile: float = 0.8) -> DataFrame:
     e = F.col(predicted) - F.col(actual)
-    return rows.agg(
-        F.avg(F.abs(e)).alias("mae"),
-        F.sqrt(F.avg(e * e)).alias("rmse"),
-        F.percentile(F.abs(e), quantile).alias("error_quantile"),
-        F.stddev_samp(e).alias("error_deviation"),
-    )
+    errors = rows.select(e.alias("e"), F.abs(e).alias("size"))
+    of = errors.agg(F.avg("size").alias("mae"), F.sqrt(F.avg(F.col("e") * F.col("e"))).alias("rmse"), F.stddev_samp("e").alias("error_deviation"))
+    at = exact_quantiles(errors, "size", [quantile]).withColumnRenamed("q0", "error_quantile")
+    return of.join(F.broadcast(at)).select("mae", "rmse", "error_quantile", "error_deviation")  # a row each
 
 
 def rank_correlation(rows: DataFrame, a: str, b: str) -> DataFrame:
@@ -66,7 +53,9 @@ def non_negative_line(rows: DataFrame, x: str, y: str) -> DataFrame:
 
 def quantiles(rows: DataFrame, value: str, at: Sequence[float], above: Sequence[float]) -> DataFrame:
     """Exact quantiles, and shares above thresholds."""
-    return rows.agg(*[F.percentile(value, q).alias(f"q{int(q * 100)}") for q in at], *[F.avg(F.when(F.col(value) > t, 1.0).otherwise(0.0)).alias(f"above_{int(t * 100)}") for t in above])
+    shares = rows.agg(*[F.avg(F.when(F.col(value) > t, 1.0).otherwise(0.0)).alias(f"above_{int(t * 100)}") for t in above])
+    found = exact_quantiles(rows, value, at).select(*[F.col(f"q{i}").alias(f"q{int(q * 100)}") for i, q in enumerate(at)])
+    return found.join(F.broadcast(shares))  # a row each
 
 
 def jaccard_at(first: DataFrame, second: DataFrame, query: str, item: str) -> DataFrame:

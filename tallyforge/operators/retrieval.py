@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyforge.functions.vectors import angular, dot, unit
+from tallyforge.operators.windows import exact_quantiles
 
-#: Rows of vectors that a broadcast block may hold; more queries are taken block after block.
-BLOCK_ROWS = 4096
+#: Rows of vectors in a block, about; each pair of blocks is one task's matrix product.
+BLOCK_ROWS = 2048
 
 
 def reference(rows: DataFrame, key: str, value, columns: Sequence[str]) -> DataFrame:
@@ -58,162 +60,138 @@ def within_band(column: str, tolerance: float) -> Column:
     return F.abs(F.col(column) - F.col(f"ref_{column}")) <= F.lit(tolerance)
 
 
-def _blocks(queries: DataFrame, key: str, vector: str, group: str | None = None) -> Iterator[tuple[np.ndarray, ...]]:
-    """Query rows as arrays, BLOCK_ROWS at a time, so neither the driver nor a broadcast holds more."""
-    total = queries.count()
-    blocks = max(1, -(-total // BLOCK_ROWS))
-    part = F.pmod(F.xxhash64(key), F.lit(blocks))
-    for b in range(blocks):
-        pdf = (queries if blocks == 1 else queries.filter(part == b)).select(F.col(key).alias("k"), F.col(vector).alias("v"), F.col(group or key).alias("g")).toPandas()
-        if len(pdf):
-            pdf = pdf.sort_values("k")
-            yield pdf["k"].to_numpy(), np.array(pdf["v"].tolist(), dtype=np.float64), pdf["g"].to_numpy()
+def block_pairs(queries: DataFrame, rows: DataFrame, key: str, upper: bool = False):
+    """Rows of each pair of a block of queries and a block of rows, grouped; _side is 0 for queries.
+
+    Both frames have the same columns. A block is a hash of the key, so the plan has one join of any size and neither the driver nor a
+    broadcast holds vectors. upper leaves out pairs below the diagonal, for frames that are the same.
+    """
+    per = [max(1, -(-df.count() // BLOCK_ROWS)) for df in (queries, rows)]
+    own = lambda n: F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    q = queries.withColumn("_side", F.lit(0)).withColumn("_q", own(per[0])).withColumn("_r", every(per[1]))
+    r = rows.withColumn("_side", F.lit(1)).withColumn("_r", own(per[1])).withColumn("_q", every(per[0]))
+    both = q.unionByName(r)
+    return (both.filter("_q <= _r") if upper else both).groupBy("_q", "_r")
+
+
+def side(pair: pa.Table, n: int, key: str) -> pa.Table:
+    """The queries (0) or rows (1) of a pair of blocks, by key."""
+    return pair.filter(pc.equal(pair.column("_side"), n)).sort_by(key)
 
 
-def _units(m: np.ndarray) -> np.ndarray:
+def matrix(part: pa.Table, vector: str) -> np.ndarray:
+    if not part.num_rows:
+        return np.zeros((0, 0))
+    flat = part.column(vector).combine_chunks().flatten()
+    return flat.to_numpy(zero_copy_only=False).astype(np.float64).reshape(part.num_rows, -1)
+
+
+def units(m: np.ndarray) -> np.ndarray:
     n = np.linalg.norm(m, axis=1, keepdims=True)
     return m / np.where(n > 0, n, 1)
 
 
-def top_matches(queries: DataFrame, rows: DataFrame, key: str, vector: str, n: int, *, carry: Sequence[str] = ()) -> DataFrame:
-    """For each query the n rows with the largest cosine (not the query itself), exactly.
-
-    Blocks of queries are broadcast; each task keeps n rows a query (ties by key), and a window limit
-    joins what the tasks found. The work is queries x rows by matrix products; no pair of rows is shuffled but the kept ones.
-    """
-    spark = rows.sparkSession
-    kind = rows.schema[key].dataType.simpleString()
-    more = "".join(f", {c} {rows.schema[c].dataType.simpleString()}" for c in carry)
-    out = None
-    for keys, block, _ in _blocks(queries, key, vector):
-        shared = spark.sparkContext.broadcast((keys, _units(block)))
-
-        def scan(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            ks, q = shared.value
-            best = None
-            for pdf in batches:
-                if not len(pdf):
-                    continue
-                sims = q @ _units(np.array(pdf[vector].tolist(), dtype=np.float64)).T
-                ids = pdf[key].to_numpy()
-                sims[ks[:, None] == ids[None, :]] = -np.inf
-                m = min(n, len(ids))
-                edge = np.partition(sims, len(ids) - m, axis=1)[:, len(ids) - m]
-                qi, ri = np.nonzero((sims >= edge[:, None]) & np.isfinite(sims))
-                new = pd.DataFrame({"query": ks[qi], key: ids[ri], "cosine": sims[qi, ri], **{c: pdf[c].to_numpy()[ri] for c in carry}})
-                best = new if best is None else pd.concat([best, new])
-                best = best.sort_values(["query", "cosine", key], ascending=[True, False, True]).groupby("query").head(n)
-            if best is not None:
-                yield best
-
-        found = rows.select(key, vector, *carry).mapInPandas(scan, f"query {kind}, {key} {kind}, cosine double{more}")
-        out = found if out is None else out.unionByName(found)
-    if out is None:
-        return spark.createDataFrame([], f"query {kind}, {key} {kind}, cosine double{more}, rank int")
-    best = Window.partitionBy("query").orderBy(F.desc("cosine"), key)
-    return out.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= n)
-
-
-def _scores(q: np.ndarray, v: np.ndarray) -> np.ndarray:
-    """Dot products summed in one order, so a pair has the same score in whatever batch, and equal vectors tie."""
+def scores(q: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """Dot products summed in one order, so a pair has the same score in whatever block, and equal vectors tie."""
     out = np.zeros((len(q), len(v)))
-    for i in range(q.shape[1]):
+    for i in range(q.shape[1] if len(q) and len(v) else 0):
         out += q[:, i, None] * v[None, :, i]
     return out
 
 
+def _kind(df: DataFrame, column: str) -> str:
+    return df.schema[column].dataType.simpleString()
+
+
+def top_matches(queries: DataFrame, rows: DataFrame, key: str, vector: str, n: int, *, carry: Sequence[str] = (), apart: str | None = None) -> DataFrame:
+    """For each query the n rows with the largest cosine (not the query itself), exactly, with rank; ties by key.
+
+    apart names a column of which a match has another value than the query. Each pair of blocks keeps n rows a
+    query, and a window limit joins what they found.
+    """
+    cols = list(dict.fromkeys([key, vector, *carry, *([apart] if apart else [])]))
+    schema = f"query {_kind(rows, key)}, {key} {_kind(rows, key)}, cosine double" + "".join(f", {c} {_kind(rows, c)}" for c in carry)
+
+    def best(pair: pa.Table) -> pa.Table:
+        q, r = side(pair, 0, key), side(pair, 1, key)
+        ks, ids = q.column(key).to_numpy(), r.column(key).to_numpy()
+        sims = scores(units(matrix(q, vector)), units(matrix(r, vector)))
+        sims[ks[:, None] == ids[None, :]] = -np.inf
+        if apart:
+            sims[q.column(apart).to_numpy()[:, None] == r.column(apart).to_numpy()[None, :]] = -np.inf
+        at = np.argsort(-sims, axis=1, kind="stable")[:, :n]  # rows are by key, so ties are too
+        qi, ri = np.repeat(np.arange(len(ks)), at.shape[1]), at.ravel()
+        ok = np.isfinite(sims[qi, ri])
+        qi, ri = qi[ok], ri[ok]
+        return pa.table({"query": q.column(key).take(pa.array(qi)), key: r.column(key).take(pa.array(ri)), "cosine": sims[qi, ri], **{c: r.column(c).take(pa.array(ri)) for c in carry}})
+
+    found = block_pairs(queries.select(*cols), rows.select(*cols), key).applyInArrow(best, schema)
+    by = Window.partitionBy("query").orderBy(F.desc("cosine"), key)
+    return found.withColumn("rank", F.row_number().over(by)).filter(F.col("rank") <= n)
+
+
 def first_hit_rank(queries: DataFrame, rows: DataFrame, key: str, vector: str, label: str) -> DataFrame:
     """query and r, its rank among all rows (not the query itself; ties by key) of the best one of its label; null if none is.
 
-    Two passes over rows for each block of queries: the best row of the same label, then how many rows come before it.
-    Tasks return a row a query.
+    Two passes over the pairs of blocks: the best row of the same label, then how many rows come before it.
     """
-    spark = rows.sparkSession
-    kind = rows.schema[key].dataType.simpleString()
-    out = None
-
-    def parts(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        for pdf in batches:
-            for i in range(0, len(pdf), 512):
-                p = pdf.iloc[i : i + 512].sort_values(key)
-                yield p[key].to_numpy(), _units(np.array(p[vector].tolist(), dtype=np.float64)), p[label].to_numpy()
-
-    for keys, block, own in _blocks(queries, key, vector, label):
-        shared = spark.sparkContext.broadcast((keys, _units(block), own))
-
-        def best(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            ks, q, mine = shared.value
-            score, first = np.full(len(ks), -np.inf), np.array([None] * len(ks), dtype=object)
-            for ids, v, labels in parts(batches):
-                sims = _scores(q, v)
-                sims[(mine[:, None] != labels[None, :]) | pd.isna(mine)[:, None] | (ks[:, None] == ids[None, :])] = -np.inf
-                at = sims.argmax(axis=1)
-                top, found = sims[np.arange(len(ks)), at], ids[at]
-                for j in np.flatnonzero((top > score) | (np.isfinite(top) & (top == score))):
-                    if top[j] > score[j] or found[j] < first[j]:
-                        score[j], first[j] = top[j], found[j]
-            has = np.isfinite(score)
-            yield pd.DataFrame({"query": ks[has], "score": score[has], "first": first[has].tolist()})
-
-        found = rows.select(key, vector, label).mapInPandas(best, f"query {kind}, score double, first {kind}")
-        found = found.groupBy("query").agg(F.min(F.struct((-F.col("score")).alias("s"), "first")).alias("b")).select("query", -F.col("b.s"), "b.first")
-        hits = {r[0]: (r[1], r[2]) for r in found.collect()}  # a row for each query of the block
-        hit = [(i, *hits[k]) for i, k in enumerate(keys.tolist()) if k in hits]
-        marks = spark.sparkContext.broadcast(hit)
-
-        def before(batches: Iterator[pd.DataFrame], shared=shared, marks=marks) -> Iterator[pd.DataFrame]:
-            ks, q, _ = shared.value
-            if not marks.value:
-                return
-            at, score, first = (np.array(x) for x in zip(*marks.value, strict=True))
-            ks, q, n = ks[at], q[at], np.zeros(len(at), dtype=np.int64)
-            for ids, v, _ in parts(batches):
-                sims = _scores(q, v)
-                ahead = (sims > score[:, None]) | ((sims == score[:, None]) & (ids[None, :] < first[:, None]))
-                n += (ahead & (ks[:, None] != ids[None, :])).sum(axis=1)
-            yield pd.DataFrame({"query": ks, "n": n})
-
-        ranks = rows.select(key, vector, label).mapInPandas(before, f"query {kind}, n long")
-        out = ranks if out is None else out.unionByName(ranks)
+    kind, cols = _kind(rows, key), [key, vector, label]
+
+    def best(pair: pa.Table) -> pa.Table:
+        q, r = side(pair, 0, key), side(pair, 1, key)
+        ks, ids = q.column(key).to_numpy(), r.column(key).to_numpy()
+        mine, other = np.array(q.column(label).to_pylist(), dtype=object), np.array(r.column(label).to_pylist(), dtype=object)
+        sims = scores(units(matrix(q, vector)), units(matrix(r, vector)))
+        if sims.size:
+            sims[(mine[:, None] != other[None, :]) | np.array([m is None for m in mine])[:, None] | (ks[:, None] == ids[None, :])] = -np.inf
+            at = sims.argmax(axis=1)
+            has = np.flatnonzero(np.isfinite(sims[np.arange(len(ks)), at]))
+        else:
+            at, has = np.zeros(0, dtype=int), np.zeros(0, dtype=int)
+        return pa.table({"query": q.column(key).take(pa.array(has)), "score": sims[has, at[has]] if len(has) else np.zeros(0), "first": r.column(key).take(pa.array(at[has]))})
+
+    found = block_pairs(queries.select(*cols), rows.select(*cols), key).applyInArrow(best, f"query {kind}, score double, first {kind}")
+    hits = found.groupBy("query").agg(F.min(F.struct((-F.col("score")).alias("s"), "first")).alias("b")).select(F.col("query").alias(key), (-F.col("b.s")).alias("_score"), F.col("b.first").alias("_first"))
+
+    def before(pair: pa.Table) -> pa.Table:
+        q, r = side(pair, 0, key), side(pair, 1, key)
+        ks, ids = q.column(key).to_numpy(), r.column(key).to_numpy()
+        score, first = q.column("_score").to_numpy(), q.column("_first").to_numpy()
+        sims = scores(units(matrix(q, vector)), units(matrix(r, vector)))
+        ahead = (sims > score[:, None]) | ((sims == score[:, None]) & (ids[None, :] < first[:, None]))
+        return pa.table({"query": q.column(key), "n": (ahead & (ks[:, None] != ids[None, :])).sum(axis=1).astype(np.int64)})
+
+    marked = queries.select(key, vector).join(hits, key)
+    plain = rows.select(key, vector, F.lit(None).cast("double").alias("_score"), F.lit(None).cast(kind).alias("_first"))
+    ranks = block_pairs(marked, plain, key).applyInArrow(before, f"query {kind}, n long")
     every = queries.select(F.col(key).alias("query"))
-    if out is None:
-        return every.withColumn("r", F.lit(None).cast("long"))
-    return every.join(out.groupBy("query").agg((F.sum("n") + 1).alias("r")), "query", "left")
+    return every.join(ranks.groupBy("query").agg((F.sum("n") + 1).alias("r")), "query", "left")
 
 
 def top_pairs(rows: DataFrame, key: str, vector: str, other_than: str, n: int) -> DataFrame:
     """The n pairs of different `other_than` with the largest cosine, a < b, exactly.
 
-    A pair of the n best is among the n best of its own two rows, so n matches of each row suffice.
+    Each pair of blocks returns the n best of its own, and those are ordered.
     """
-    spark = rows.sparkSession
-    kind = rows.schema[key].dataType.simpleString()
-    out = None
-    for keys, block, labels in _blocks(rows, key, vector, other_than):
-        shared = spark.sparkContext.broadcast((keys, _units(block), labels))
-
-        def scan(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            ks, q, groups = shared.value
-            best = None
-            for pdf in batches:
-                if not len(pdf):
-                    continue
-                sims = q @ _units(np.array(pdf[vector].tolist(), dtype=np.float64)).T
-                ids, own = pdf[key].to_numpy(), pdf[other_than].to_numpy()
-                sims[(ks[:, None] >= ids[None, :]) | (groups[:, None] == own[None, :])] = -np.inf
-                flat = sims.ravel()
-                m = min(n, flat.size)
-                edge = np.partition(flat, flat.size - m)[flat.size - m]
-                qi, ri = np.nonzero((sims >= edge) & np.isfinite(sims))
-                new = pd.DataFrame({"a": ks[qi], "b": ids[ri], "cosine": sims[qi, ri]})
-                best = new if best is None else pd.concat([best, new])
-                best = best.sort_values(["cosine", "a", "b"], ascending=[False, True, True]).head(n)
-            if best is not None:
-                yield best
-
-        found = rows.select(key, vector, other_than).mapInPandas(scan, f"a {kind}, b {kind}, cosine double")
-        out = found if out is None else out.unionByName(found)
-    return out.orderBy(F.desc("cosine"), "a", "b").limit(n)
+    kind, cols = _kind(rows, key), [key, vector, other_than]
+
+    def best(pair: pa.Table) -> pa.Table:
+        q, r = side(pair, 0, key), side(pair, 1, key)
+        ks, ids = q.column(key).to_numpy(), r.column(key).to_numpy()
+        own, other = np.array(q.column(other_than).to_pylist(), dtype=object), np.array(r.column(other_than).to_pylist(), dtype=object)
+        sims = scores(units(matrix(q, vector)), units(matrix(r, vector)))
+        if sims.size:
+            same_block = pair.column("_q")[0].as_py() == pair.column("_r")[0].as_py()
+            sims[(own[:, None] == other[None, :]) | (ks[:, None] == ids[None, :]) | ((ks[:, None] > ids[None, :]) & same_block)] = -np.inf
+        a, b = np.minimum(ks[:, None], ids[None, :]), np.maximum(ks[:, None], ids[None, :])
+        qi, ri = np.nonzero(np.isfinite(sims))
+        order = np.lexsort((b[qi, ri], a[qi, ri], -sims[qi, ri]))[:n]
+        qi, ri = qi[order], ri[order]
+        return pa.table({"a": a[qi, ri], "b": b[qi, ri], "cosine": sims[qi, ri]})
+
+    found = block_pairs(rows.select(*cols), rows.select(*cols), key, upper=True).applyInArrow(best, f"a {kind}, b {kind}, cosine double")
+    return found.orderBy(F.desc("cosine"), "a", "b").limit(n)
 
 
 def retrieval_metrics(scored: DataFrame, query: str, hit_rank: str, at: Sequence[int] = (1, 3, 5, 10)) -> DataFrame:
@@ -223,5 +201,4 @@ def retrieval_metrics(scored: DataFrame, query: str, hit_rank: str, at: Sequence
         F.count(query).alias("queries"),
         *[F.avg(F.when(rank <= k, 1.0).otherwise(0.0)).alias(f"recall_at_{k}") for k in at],
         F.avg(F.coalesce(1 / rank, F.lit(0.0))).alias("mrr"),
-        F.median(rank).cast("double").alias("median_rank"),
-    )
+    ).join(F.broadcast(exact_quantiles(scored, hit_rank, [0.5]).withColumnRenamed("q0", "median_rank")), how="left")  # a row each

@@ -6,27 +6,16 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-
-def water_fill(weights: np.ndarray, total: float = 240.0, cap: float = 48.0) -> np.ndarray:
-    """Shares of `total` in proportion to weights, none above cap; what is cut off goes to the others."""
-    w = np.clip(np.nan_to_num(weights.astype(float)), 0, None)
-    out, open_, left = np.zeros(len(w)), w > 0, float(total)
-    while left > 1e-9 and open_.any():
-        share = np.where(open_, left * w / w[open_].sum(), 0)
-        full = open_ & (share >= cap)
-        if not full.any():
-            return np.where(open_, share, out)
-        out[full] = cap
-        left -= cap * full.sum()
-        open_ &= ~full
-    return out
+from tallyforge.operators.retrieval import block_pairs, matrix, side
+from tallyforge.operators.windows import exact_quantiles
 
 
 def fit_minutes(rosters: DataFrame, roster: str, weight: str, into: str = "minutes", total: float = 240.0, cap: float = 48.0) -> DataFrame:
-    """water_fill() within each roster, natively.
+    """Shares of `total` in proportion to weights, none above cap; what is cut off goes to the others of the roster.
 
     With weights in falling order, the first k rows are at the cap, for the least k such that the next row's share of
     what is left is below it. So one sorted window gives every row's minutes, whatever a roster's size.
@@ -46,16 +35,20 @@ def fit_minutes(rosters: DataFrame, roster: str, weight: str, into: str = "minut
     return rows.withColumn(into, minutes).drop("_w", "_k", "_rest", "_free", "_full", "_left")
 
 
-def allocate(rosters: DataFrame, roster: str, key: str, total: float = 240.0, cap: float = 48.0) -> DataFrame:
+def allocate(rosters: DataFrame, roster: str, key: str, total: float = 240.0, cap: float = 48.0, most: int = 60) -> DataFrame:
     """Minutes for newcomers taken from weaker players of their place.
 
     rosters has roster, key, place, quality, minutes (incumbents') and newcomer (wanted minutes in `minutes`). Newcomers
     come strongest first. Each takes open minutes, then from each weaker incumbent of its place the share
-    clip((own - their quality) / 0.20) of their minutes, weakest first. A roster has a few dozen rows, and each step
-    depends on the one before, so one pandas group is a roster.
+    clip((own - their quality) / 0.20) of their minutes, weakest first. Each step depends on the one before, so one
+    pandas group is a roster; one of more than `most` players is an error.
     """
     schema = f"{roster} {rosters.schema[roster].dataType.simpleString()}, {key} {rosters.schema[key].dataType.simpleString()}, before double, after double"
 
+    sizes = Window.partitionBy(roster)
+    fits = F.when(F.count("*").over(sizes) <= most, F.col(roster)).otherwise(F.raise_error(F.lit(f"a roster has more than {most} players")))
+    rosters = rosters.withColumn(roster, fits.cast(rosters.schema[roster].dataType))
+
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["quality", key], ascending=[False, True]).reset_index(drop=True)
         new = pdf["newcomer"].to_numpy(dtype=bool)
@@ -90,31 +83,23 @@ def nearest_groups(groups: DataFrame, key: str, features: Sequence[str], value,
 def support(groups: DataFrame, key: str, vector: str, quantile: float = 0.95) -> DataFrame:
     """Each group's distance to its nearest other, and whether that is within the given quantile of all.
 
-    vector: array<double>. Distances come from unit-free matrix blocks, so no pair of groups is shuffled.
+    vector: array<double>. Distances come from pairs of blocks, one matrix product each.
     """
-    spark = groups.sparkSession
     kind = groups.schema[key].dataType.simpleString()
-    total = groups.count()
-    blocks = max(1, -(-total // 4096))
-    out = None
-    for b in range(blocks):
-        pdf = groups.filter(F.pmod(F.xxhash64(key), F.lit(blocks)) == b).select(key, vector).toPandas()
-        shared = spark.sparkContext.broadcast((pdf[key].to_numpy(), np.array(pdf[vector].tolist(), dtype=float).reshape(len(pdf), -1)))
-
-        def scan(batches, shared=shared):
-            ks, q = shared.value
-            near = np.full(len(ks), np.inf)
-            for part in batches:
-                if len(part) and len(ks):
-                    v = np.array(part[vector].tolist(), dtype=float)
-                    for i in range(0, len(ks), 256):
-                        d = np.sqrt(((q[i : i + 256, None, :] - v[None, :, :]) ** 2).sum(axis=2))
-                        d[ks[i : i + 256, None] == part[key].to_numpy()[None, :]] = np.inf
-                        near[i : i + 256] = np.minimum(near[i : i + 256], d.min(axis=1))
-            yield pd.DataFrame({key: ks, "nearest": near})
-
-        found = groups.select(key, vector).mapInPandas(scan, f"{key} {kind}, nearest double")
-        out = found if out is None else out.unionByName(found)
-    near = out.groupBy(key).agg(F.min("nearest").alias("nearest"))
-    edge = near.agg(F.percentile("nearest", quantile).alias("threshold"))
+
+    def scan(pair: pa.Table) -> pa.Table:
+        q, r = side(pair, 0, key), side(pair, 1, key)
+        ks, ids = q.column(key).to_numpy(), r.column(key).to_numpy()
+        a, b = matrix(q, vector), matrix(r, vector)
+        near = np.full(len(ks), np.inf)
+        for i in range(0, len(ks) if len(ids) else 0, 256):
+            d = np.sqrt(((a[i : i + 256, None, :] - b[None, :, :]) ** 2).sum(axis=2))
+            d[ks[i : i + 256, None] == ids[None, :]] = np.inf
+            near[i : i + 256] = d.min(axis=1)
+        return pa.table({key: q.column(key), "nearest": near})
+
+    rows = groups.select(key, vector)
+    found = block_pairs(rows, rows, key).applyInArrow(scan, f"{key} {kind}, nearest double")
+    near = found.groupBy(key).agg(F.min("nearest").alias("nearest"))
+    edge = exact_quantiles(near, "nearest", [quantile]).withColumnRenamed("q0", "threshold")
     return near.join(F.broadcast(edge)).withColumn("supported", F.col("nearest") <= F.col("threshold"))

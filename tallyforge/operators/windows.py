@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyforge.sources.scratch import kept
+
 
 def percentile_rank(value: Column, group: Sequence[Column], higher_is_better: bool = True) -> Column:
     """Rank over the number of values, ties sharing their mean rank; null for null.
@@ -19,26 +22,64 @@ def percentile_rank(value: Column, group: Sequence[Column], higher_is_better: bo
     return F.when(value.isNotNull(), (F.rank().over(g.orderBy(order)) + (ties - 1) / 2) / F.count(value).over(g))
 
 
-def percentile_table(df: DataFrame, value: str, higher_is_better: bool = True) -> DataFrame:
-    """Each distinct value of a whole column with its percentile rank, in one shuffle by value range.
+def on_group(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """left with the columns of right, one row for each value of keys; nulls are a value. Without keys, right has one row."""
+    if not keys:
+        return left.join(F.broadcast(right))
+    right = right.withColumnsRenamed({k: f"_of_{k}" for k in keys})
+    same = [F.col(k).eqNullSafe(F.col(f"_of_{k}")) for k in keys]
+    return left.join(right, reduce(lambda a, b: a & b, same)).drop(*[f"_of_{k}" for k in keys])
+
+
+def cumulative(df: DataFrame, value: str, group: Sequence[str] = (), ranges: int = 64) -> DataFrame:
+    """Each distinct value v of each group with n (its rows), upto (rows up to it, its own included) and total.
+
+    Values are counted first. Ranges of values are then cut at approximate quantiles: a running count inside each range and
+    the sums of the ranges before make the running count of the group, so no task holds a group and nothing goes to the driver.
+    """
+    v = F.col(value).cast("double")
+    counts = kept(df.filter(v.isNotNull()).groupBy(*group, v.alias("v")).agg(F.count("*").alias("n")), "value-counts")
+    edges = counts.groupBy(*group).agg(F.percentile_approx("v", [i / ranges for i in range(1, ranges)], 1000).alias("_edges"), F.sum("n").alias("total"))
+    placed = on_group(counts, edges, group).withColumn("_range", F.size(F.filter("_edges", lambda e: e < F.col("v")))).drop("_edges")
+    before = F.sum("_sum").over(Window.partitionBy(*group).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))
+    sums = placed.groupBy(*group, "_range").agg(F.sum("n").alias("_sum")).withColumn("_before", F.coalesce(before, F.lit(0))).drop("_sum")
+    inside = F.sum("n").over(Window.partitionBy(*group, "_range").orderBy("v").rowsBetween(Window.unboundedPreceding, 0))
+    return on_group(placed, sums, [*group, "_range"]).withColumn("upto", inside + F.col("_before")).drop("_range", "_before")
+
+
+def percentile_table(df: DataFrame, value: str, higher_is_better: bool = True, group: Sequence[str] = ()) -> DataFrame:
+    """Each distinct value v of each group with pct: rank over the number of values, ties sharing their mean rank."""
+    rank = F.col("upto") - F.col("n") if higher_is_better else F.col("total") - F.col("upto")
+    return cumulative(df, value, group).select(*group, "v", ((rank + (F.col("n") + 1) / 2) / F.col("total")).alias("pct"))
+
+
+def percentiles(df: DataFrame, key: Sequence[str], columns: dict[str, bool], group: Sequence[str] = (), missing: float = 0.5, prefix: str = "pct_") -> DataFrame:
+    """df (one row a key) with the percentile of each column in its group, `missing` for null; False ranks high values low.
 
-    Counts each value first; a running count within value ranges and the totals of the ranges before make the ranks.
+    All columns are ranked at once in long form.
     """
-    v = F.col(value)
-    counts = df.filter(v.isNotNull()).groupBy(v.alias("v")).agg(F.count("*").alias("n"))
-    edges = df.agg(F.percentile_approx(v, [i / 64 for i in range(1, 64)], 1000)).first()[0] or []
-    edges = sorted(set(edges))
-    part = F.size(F.filter(F.array(*[F.lit(e) for e in edges]), lambda e: e < F.col("v"))) if edges else F.lit(0)
-    counts = counts.withColumn("part", part)
-    totals = {r["part"]: r["n"] for r in counts.groupBy("part").agg(F.sum("n").alias("n")).collect()}  # 64 rows
-    before, total = {}, 0
-    for p in sorted(totals):
-        before[p] = total
-        total += totals[p]
-    start = F.element_at(F.create_map(*[F.lit(x) for kv in (before or {0: 0}).items() for x in kv]), F.col("part"))
-    upto = F.sum("n").over(Window.partitionBy("part").orderBy("v")) + start
-    low = (upto - F.col("n") + (F.col("n") + 1) / 2) / F.lit(total or 1)
-    return counts.select("v", (low if higher_is_better else F.lit(1.0) + F.lit(1.0 / (total or 1)) - low).alias("pct"))
+    df = kept(df, "to-rank")
+    long = df.select(*key, *[c for c in group if c not in key], *[F.col(c).cast("double").alias(c) for c in columns]).unpivot([*key, *[c for c in group if c not in key]], list(columns), "feature", "_x")
+    high = F.array(*[F.lit(c) for c, up in columns.items() if up])
+    table = cumulative(long, "_x", [*group, "feature"])
+    rank = F.when(F.array_contains(high, F.col("feature")), F.col("upto") - F.col("n")).otherwise(F.col("total") - F.col("upto"))
+    table = table.select(*group, "feature", F.col("v").alias("_x"), ((rank + (F.col("n") + 1) / 2) / F.col("total")).alias("pct"))
+    ranked = on_group(long.filter("_x is not null"), table, [*group, "feature", "_x"])
+    wide = ranked.groupBy(*key).agg(*[F.max(F.when(F.col("feature") == c, F.col("pct"))).alias(f"{prefix}{c}") for c in columns])
+    return df.join(wide, list(key), "left").fillna(missing, [f"{prefix}{c}" for c in columns])
+
+
+def exact_quantiles(df: DataFrame, value: str, at: Sequence[float], group: Sequence[str] = ()) -> DataFrame:
+    """Interpolated quantiles q0, q1, ... of each group from counted values."""
+    run = cumulative(df, value, group)
+    low, high = F.col("upto") - F.col("n"), F.col("upto")
+    place = [F.lit(float(q)) * (F.col("total") - 1) for q in at]
+    held = lambda k: F.max(F.when((low <= k) & (k < high), F.col("v")))
+    found = run.groupBy(*group).agg(
+        F.max("total").alias("_total"), *[held(F.floor(k)).alias(f"_lo{i}") for i, k in enumerate(place)], *[held(F.least(F.floor(k) + 1, F.col("total") - 1)).alias(f"_hi{i}") for i, k in enumerate(place)]
+    )
+    part = [F.lit(float(q)) * (F.col("_total") - 1) - F.floor(F.lit(float(q)) * (F.col("_total") - 1)) for q in at]
+    return found.select(*group, *[(F.col(f"_lo{i}") + part[i] * (F.col(f"_hi{i}") - F.col(f"_lo{i}"))).alias(f"q{i}") for i in range(len(at))])
 
 
 def standard_score(value: Column, group: Sequence[Column]) -> Column:

@@ -119,12 +119,16 @@ RANK = "(rank() OVER (PARTITION BY {g} ORDER BY {v} {o}) + (count(*) OVER (PARTI
 @query("pct_rank_avg", f"SELECT c_custkey, round({RANK.format(g='c_nationkey', v='c_acctbal', o='ASC')}, 6) AS pct, round({RANK.format(g='c_mktsegment', v='c_nationkey', o='ASC')}, 6) AS tied FROM customer")
 def pct_rank_avg(spark, sf):
     c = read(spark, sf, "customer")
-    return c.select("c_custkey", F.round(windows.percentile_rank(F.col("c_acctbal"), [F.col("c_nationkey")]), 6).alias("pct"), F.round(windows.percentile_rank(F.col("c_nationkey"), [F.col("c_mktsegment")]), 6).alias("tied"))
+    rows = windows.percentiles(c.select("c_custkey", "c_acctbal", "c_nationkey", "c_mktsegment"), ["c_custkey"], {"c_acctbal": True}, ["c_nationkey"])
+    tied = windows.percentile_table(c, "c_nationkey", group=["c_mktsegment"]).withColumnRenamed("v", "c_nationkey")
+    rows = windows.on_group(rows, tied, ["c_mktsegment", "c_nationkey"])
+    return rows.select("c_custkey", F.round("pct_c_acctbal", 6).alias("pct"), F.round("pct", 6).alias("tied"))
 
 
 @query("pct_rank_desc", f"SELECT s_suppkey, round({RANK.format(g='s_nationkey', v='s_acctbal', o='DESC')}, 6) AS pct FROM supplier")
 def pct_rank_desc(spark, sf):
-    return read(spark, sf, "supplier").select("s_suppkey", F.round(windows.percentile_rank(F.col("s_acctbal"), [F.col("s_nationkey")], False), 6).alias("pct"))
+    rows = read(spark, sf, "supplier").select("s_suppkey", "s_nationkey", "s_acctbal")
+    return windows.percentiles(rows, ["s_suppkey"], {"s_acctbal": False}, ["s_nationkey"]).select("s_suppkey", F.round("pct_s_acctbal", 6).alias("pct"))
 
 
 @query("pct_rank_whole", "SELECT p_partkey, round((rank() OVER (ORDER BY p_size) + (count(*) OVER (PARTITION BY p_size) - 1) / 2) / count(*) OVER (), 6) AS pct FROM part")
@@ -188,14 +192,14 @@ P = {c: RANK.format(g="c_nationkey", v=c, o="ASC") for c in ("games", "total", "
 
 @query("trait_blend", CUSTOMERS + f", p AS (SELECT *, {P['games']} AS pg, {P['total']} AS pt, {P['c_acctbal']} AS pa FROM f) SELECT c_custkey, round(least(1, greatest(0, 0.55 * pg + 0.30 * pt + 0.15 * pa)), 6) AS volume, round((pt + pa) / 2, 6) AS value FROM p")
 def trait_blend(spark, sf):
-    p = {c: windows.percentile_rank(F.col(c), [F.col("c_nationkey")]) for c in ("games", "total", "c_acctbal")}
-    rows = _customers(spark, sf).select("c_custkey", p["games"].alias("pg"), p["total"].alias("pt"), p["c_acctbal"].alias("pa"))
+    rows = windows.percentiles(_customers(spark, sf).select("c_custkey", "c_nationkey", "games", "total", "c_acctbal"), ["c_custkey"], dict.fromkeys(("games", "total", "c_acctbal"), True), ["c_nationkey"])
+    rows = rows.withColumnsRenamed({"pct_games": "pg", "pct_total": "pt", "pct_c_acctbal": "pa"})
     return rows.select("c_custkey", F.round(clip(0.55 * F.col("pg") + 0.30 * F.col("pt") + 0.15 * F.col("pa")), 6).alias("volume"), F.round((F.col("pt") + F.col("pa")) / 2, 6).alias("value"))
 
 
 @query("quality_proxy", CUSTOMERS + f", p AS (SELECT *, {P['total']} AS pt FROM f) SELECT c_custkey, round(0.5 + (pt - 0.5) * games / (games + 10.0), 6) AS quality, round(1 / (1 + exp(-c_acctbal / 2000)), 6) AS squashed, least(1.0, games / 50.0) AS reliability FROM p")
 def quality_proxy(spark, sf):
-    rows = _customers(spark, sf).withColumn("pt", windows.percentile_rank(F.col("total"), [F.col("c_nationkey")]))
+    rows = windows.percentiles(_customers(spark, sf).select("c_custkey", "c_nationkey", "games", "total", "c_acctbal"), ["c_custkey"], {"total": True}, ["c_nationkey"]).withColumnRenamed("pct_total", "pt")
     quality = 0.5 + (F.col("pt") - 0.5) * F.col("games") / (F.col("games") + 10.0)
     return rows.select("c_custkey", F.round(quality, 6).alias("quality"), F.round(logistic(F.col("c_acctbal"), 2000.0), 6).alias("squashed"), F.least(F.lit(1.0), F.col("games") / 50.0).alias("reliability"))
 
@@ -277,7 +281,9 @@ def melt_metrics(spark, sf):
     return evidence.melt(rows, ["user_id"], ["n", "most", "least"])
 
 
-@query("minutes_waterfill")
+@query("minutes_waterfill", """WITH p AS (SELECT s_nationkey, s_suppkey, greatest(s_acctbal, 0) AS w FROM supplier), o AS (SELECT *, row_number() OVER (PARTITION BY s_nationkey ORDER BY w DESC, s_suppkey) - 1 AS k, sum(w) OVER (PARTITION BY s_nationkey ORDER BY w DESC, s_suppkey ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS rest FROM p),
+f AS (SELECT *, CASE WHEN coalesce(greatest(0, 240 - 48 * k) * w / nullif(rest, 0), 0) < 48 THEN k END AS free FROM o), h AS (SELECT *, coalesce(min(free) OVER (PARTITION BY s_nationkey), count(*) OVER (PARTITION BY s_nationkey)) AS capped FROM f), l AS (SELECT *, max(CASE WHEN k = capped THEN rest END) OVER (PARTITION BY s_nationkey) AS lft FROM h)
+SELECT s_nationkey, s_suppkey, round(CASE WHEN w <= 0 THEN 0 WHEN k < capped THEN 48 ELSE (240 - 48 * capped) * w / lft END, 6) AS minutes FROM l""")
 def minutes_waterfill(spark, sf):
     rows = read(spark, sf, "supplier").select("s_nationkey", "s_suppkey", F.greatest(F.col("s_acctbal"), F.lit(0.0)).alias("w"))
     return roster.fit_minutes(rows, "s_nationkey", "w").select("s_nationkey", "s_suppkey", F.round("minutes", 6).alias("minutes"))
@@ -286,8 +292,8 @@ def minutes_waterfill(spark, sf):
 @query("allocation")
 def allocation(spark, sf):
     c = read(spark, sf, "customer")
-    rows = c.select("c_nationkey", "c_custkey", F.col("c_mktsegment").alias("place"), windows.percentile_rank(F.col("c_acctbal"), [F.col("c_nationkey")]).alias("quality"), (F.col("c_custkey") % 7 == 0).alias("newcomer"))
-    from pyspark.sql import Window
-
-    share = F.lit(240.0) / F.count("*").over(Window.partitionBy("c_nationkey"))
-    return roster.allocate(rows.withColumn("minutes", F.when(F.col("newcomer"), share * 2).otherwise(share)), "c_nationkey", "c_custkey")
+    # Rosters of fifteen: customers of a nation with neighbouring keys.
+    ranked = windows.percentiles(c.select("c_custkey", "c_nationkey", "c_mktsegment", "c_acctbal"), ["c_custkey"], {"c_acctbal": True}, ["c_nationkey"])
+    rows = ranked.select(F.format_string("%d/%d", "c_nationkey", F.floor(F.col("c_custkey") / 375)).alias("roster"), "c_custkey", F.col("c_mktsegment").alias("place"), F.col("pct_c_acctbal").alias("quality"), (F.col("c_custkey") % 7 == 0).alias("newcomer"))
+    share = F.lit(16.0)
+    return roster.allocate(rows.withColumn("minutes", F.when(F.col("newcomer"), share * 2).otherwise(share)), "roster", "c_custkey")

@@ -78,7 +78,7 @@ NEIGHBOURS = EMB + """, p AS (SELECT a.vec_id AS q, b.vec_id AS c, a.label = b.l
 k AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY s DESC, c) AS r FROM p)"""
 
 
-@query("retrieval_metrics", NEIGHBOURS + """, f AS (SELECT q, min(r) FILTER (hit AND r <= 50) AS r FROM k GROUP BY q)
+@query("retrieval_metrics", NEIGHBOURS + """, f AS (SELECT q, min(r) FILTER (hit) AS r FROM k GROUP BY q)
 SELECT count(*) AS queries, round(avg(CASE WHEN r <= 1 THEN 1.0 ELSE 0 END), 6) AS recall_at_1, round(avg(CASE WHEN r <= 5 THEN 1.0 ELSE 0 END), 6) AS recall_at_5, round(avg(coalesce(1.0 / r, 0)), 6) AS mrr, CAST(median(r) AS DOUBLE) AS median_rank FROM f""")
 def retrieval_metrics(spark, sf):
     e = _embeddings(spark, sf)
@@ -108,8 +108,8 @@ NEAR = CUSTOMERS + ", p AS (SELECT c_custkey, " + ", ".join(f"{PCT[c]} AS {c}" f
 
 
 def _similar(spark, sf):
-    p = {c: windows.percentile_rank(F.col(c), [F.col("c_nationkey")]) for c in WEIGHTS}
-    rows = _customers(spark, sf).select("c_custkey", F.array(*p.values()).alias("v"))
+    rows = windows.percentiles(_customers(spark, sf).select("c_custkey", "c_nationkey", *WEIGHTS), ["c_custkey"], dict.fromkeys(WEIGHTS, True), ["c_nationkey"])
+    rows = rows.select("c_custkey", F.array(*[F.col(f"pct_{c}") for c in WEIGHTS]).alias("v"))
     w = F.array(*[F.lit(x) for x in WEIGHTS.values()])
     score = F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - weighted_distance(F.col("v"), F.col("ref_v"), w)))
     gaps = F.zip_with(F.zip_with("v", "ref_v", lambda a, b: (a - b) * (a - b)), w, lambda g, x: g * x)
@@ -166,12 +166,12 @@ def fuzzy_names(spark, sf):
     return names.search(read(spark, sf, "part").select("p_partkey", "p_name"), "p_name", "wiget", ascii_only=True)
 
 
-@query("folded_names")
+@query("folded_names", FUZZY.replace("wiget", "ring"))
 def folded_names(spark, sf):
     return names.search(read(spark, sf, "part").select("p_partkey", "p_name"), "p_name", "Rïng")
 
 
-@query("number_tokens", "SELECT doc_id, len(list_distinct(regexp_extract_all(coalesce(text, ''), '(\\d+(?:\\.\\d+)?)', 1))) AS n_numbers FROM documents")
+@query("number_tokens", "SELECT doc_id, len(list_distinct(regexp_extract_all(coalesce(text, ''), '(?:^|[^\\w.-])(-?\\d+(?:\\.\\d+)?)', 1))) AS n_numbers FROM documents")
 def number_tokens(spark, sf):
     return read(spark, sf, "documents").select("doc_id", F.size(text.numbers(F.col("text"))).cast("long").alias("n_numbers"))
 
@@ -194,18 +194,14 @@ def bootstrap_stability(spark, sf):
     return drawn.groupBy("user_id").agg(F.sum("times").alias("draws"), (F.sum(F.col("value") * F.col("times")) / F.sum("times")).alias("mean_value"))
 
 
-@query("knn_cv")
+@query("knn_cv", EMB + """, p AS (SELECT a.vec_id AS query, b.label AS y, list_dot_product(a.v, b.v) / sqrt(list_dot_product(a.v, a.v) * list_dot_product(b.v, b.v)) AS s, b.vec_id AS c FROM e a JOIN e b ON a.vec_id % 5 <> b.vec_id % 5),
+k AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY s DESC, c) AS r FROM p) SELECT query, round(sum(y / (1 - s + 0.01)) / sum(1 / (1 - s + 0.01)), 5) AS predicted FROM k WHERE r <= 15 GROUP BY query""")
 def knn_cv(spark, sf):
     """Five-fold predictions of the label by the 15 nearest vectors of other folds."""
-    e = _embeddings(spark, sf)
-    fold = F.pmod(F.xxhash64(F.lit(5), "vec_id"), F.lit(5))
-    out = None
-    for k in range(5):
-        found = retrieval.top_matches(e.filter(fold == k), e.filter(fold != k), "vec_id", "v", 15, carry=["label"])
-        weight = 1 / (1 - F.col("cosine") + 1e-6)
-        pred = found.groupBy("query").agg((F.sum(F.col("label") * weight) / F.sum(weight)).alias("predicted"))
-        out = pred if out is None else out.unionByName(pred)
-    return out
+    e = _embeddings(spark, sf).withColumn("fold", F.col("vec_id") % 5)
+    found = retrieval.top_matches(e, e, "vec_id", "v", 15, carry=["label"], apart="fold")
+    weight = 1 / (1 - F.col("cosine") + 0.01)
+    return found.groupBy("query").agg(F.round(F.sum(F.col("label") * weight) / F.sum(weight), 5).alias("predicted"))
 
 
 @query("logistic_fit")

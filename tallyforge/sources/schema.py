@@ -6,6 +6,7 @@ from collections.abc import Iterable
 
 from pyspark.sql import DataFrame
 
+#: Names and types of the columns of the input files.
 PLAYER_GAMES = """firstName string, lastName string, personId long, gameId long, gameDate string, gameType string, numMinutes double,
 points double, assists double, blocks double, steals double, turnovers double, reboundsTotal double, reboundsOffensive double, reboundsDefensive double,
 foulsPersonal double, plusMinusPoints double, fieldGoalsAttempted double, fieldGoalsMade double, threePointersAttempted double, threePointersMade double,
@@ -26,10 +27,8 @@ def require_columns(df: DataFrame, needed: Iterable[str], what: str = "input") -
 
 
 def snake_case(name: str) -> str:
-    """camelCase to snake_case."""
+    """camelCase to snake_case: a capital after a small letter or a digit begins a word; gameDateTimeEst is game_datetime_est."""
     out = ""
-    for i, c in enumerate(name):
-        if c.isupper() and i and (not name[i - 1].isupper() or (i + 1 < len(name) and name[i + 1].islower())):
-            out += "_"
-        out += c.lower()
-    return out.replace("playerteam", "player_team").replace("opponentteam", "opponent_team")
+    for before, c in zip(" " + name, name, strict=False):
+        out += ("_" if c.isascii() and c.isupper() and before.isascii() and (before.islower() or before.isdigit()) else "") + c.lower()
+    return out.replace("date_time_est", "datetime_est")

@@ -90,9 +90,11 @@ def render(messages: DataFrame, template: Template = CHATML) -> DataFrame:
     """One row per conversation: conv_id, formatted, loss_mask.
 
     loss_mask has (turn, start, length) of each learned text, start and length in code points of that turn's
-    written form. A conversation is one string by nature; nothing larger than that meets in a task's row.
+    written form. A conversation is one string by nature; nothing larger than that meets in a task's row. A null role or text
+    is empty; rows of a null conv_id are one conversation; of a null message number they come first, ties by what is written.
+    Other columns are ignored, no messages give no rows.
     """
-    role, text = _escape_role(F.col("role"), template), escape(F.col("text"), template)
+    role, text = _escape_role(F.coalesce("role", F.lit("")), template), escape(F.coalesce("text", F.lit("")), template)
     turn = F.concat(F.lit(template.open), role, F.lit("\n"), text, F.lit(template.close))
     span = F.when(F.col("role") == template.learned, F.struct((F.length(role) + len(template.open) + 1).alias("start"), F.length(text).alias("length")))
     turns = messages.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("message", turn.alias("turn"), span.alias("span")))).alias("_turns"))
@@ -101,7 +103,11 @@ def render(messages: DataFrame, template: Template = CHATML) -> DataFrame:
 
 
 def read_back(formatted: DataFrame, template: Template = CHATML) -> DataFrame:
-    """Parse the written form: adds turns, an array of (role, text), and loss_text."""
+    """Parse the written form: adds turns, an array of (role, text), and loss_text.
+
+    What render() wrote is read back exactly. A null form gives nulls, an empty one no turns; of a form that
+    doesn't end with the closing mark, what stands after the last one is left out. Columns turns and loss_text are replaced.
+    """
     quoted = "".join(c if c.isalnum() else "\\" + c for c in template.close)
     pieces = F.split("formatted", quoted)
     pieces = F.slice(pieces, F.lit(1), F.size(pieces) - 1)  # nothing follows the last mark
@@ -116,7 +122,7 @@ def read_back(formatted: DataFrame, template: Template = CHATML) -> DataFrame:
         )
 
     learned = F.transform("loss_mask", lambda m: unescape(F.substr(F.get("_pieces", m["turn"]), m["start"] + 1, m["length"])))
-    return parsed.select(*[F.col(f"`{c}`") for c in formatted.columns], F.transform("_pieces", turn).alias("turns"), F.array_join(learned, "").alias("loss_text"))
+    return parsed.select(*[F.col(f"`{c}`") for c in formatted.columns if c not in ("turns", "loss_text")], F.transform("_pieces", turn).alias("turns"), F.array_join(learned, "").alias("loss_text"))
 
 
 PLANTED = """SELECT * FROM VALUES

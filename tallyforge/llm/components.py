@@ -23,7 +23,8 @@ def components(edges: DataFrame) -> DataFrame:
 
     Alternates two steps until the edges are stars around the roots: each node ties its larger neighbours to the least
     one, then each ties its smaller neighbours and itself to the least of them. Nodes with very many neighbours are
-    shared out. Rounds are written to the shared folder.
+    shared out. Rounds are written to the shared folder. An edge with a null end and one from a node to itself tie nothing;
+    repeated edges count once; no edges give no rows; other columns are ignored.
     """
     clean = edges.filter(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     now = materialize(clean, "edges")

@@ -135,7 +135,11 @@ SCHEMA = "bucket long, source_no int, p double, size long, uid long"
 
 
 def pivotal(rows: DataFrame, *, seed: int, bucket_rows: int = 50_000, fan_in: int = 64) -> DataFrame:
-    """source_no, uid and up (p rounded to 0 or 1) for rows of (source_no, uid, size > 0, 0 < p < 1)."""
+    """source_no, uid and up (p rounded to 0 or 1) for rows of (source_no, uid, size > 0, 0 < p < 1).
+
+    (source_no, uid) is a key and nothing is null; rows of a size of 0 or a p of 0 or 1 are not for this. No rows give no rows.
+    In a source the sum of size times up stays within one size of the sum of size times p. Other columns are ignored.
+    """
     total = rows.count()
     buckets = max(1, -(-total // bucket_rows))
     now = rows.withColumn("bucket", F.pmod(F.xxhash64(F.lit(seed), "uid", "source_no"), F.lit(buckets)))
@@ -205,7 +209,7 @@ def mix(docs: DataFrame, *, text: str = "text", source: str = "source", seed: in
 
 
 def repeat_copies(mixed: DataFrame, columns: list[str], prefix: str = "") -> DataFrame:
-    """Each row of mixed as often as its copies say, with these columns."""
+    """Each row of mixed as often as its copies say, with these columns; null or no copies: not at all. A column _n is not kept."""
     copies = F.col(f"{prefix}copies")
     times = mixed.filter(copies > 0).withColumn("_n", F.explode(F.sequence(F.lit(1).cast("long"), copies)))
     return times.select(*[F.col(f"`{c}`") for c in columns])

@@ -84,7 +84,10 @@ def read_payloads(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_headers(spark: SparkSession, path: str) -> DataFrame:
-    """The exact headers with the fields parsed from them: page_id, record_type, refers_to, url, digest."""
+    """The exact headers with the fields parsed from them: page_id, record_type, refers_to, url, digest.
+
+    A field that a header hasn't, or a page id that is no whole number, is null. An empty archive has no rows.
+    """
     stored = spark.read.schema("header binary, key binary, has_payload boolean").parquet(f"{path}/headers")
     text = F.decode("header", "UTF-8")
     field = lambda name: F.regexp_extract(text, rf"\r\n{name}: ([^\r\n]*)\r\n", 1)
@@ -100,7 +103,10 @@ def read_headers(spark: SparkSession, path: str) -> DataFrame:
 
 
 def records(spark: SparkSession, path: str) -> DataFrame:
-    """The WARC records byte by byte: page_id and record (header, block, two line ends)."""
+    """The WARC records byte by byte: page_id and record (header, block, two line ends), one for each header.
+
+    A revisit has an empty block; a payload that isn't what its digest says stops the job.
+    """
     with_block = read_headers(spark, path).join(read_payloads(spark, path), "key")
     block = F.when(F.col("has_payload"), F.col("payload")).otherwise(F.lit(b""))
     return with_block.select("page_id", F.concat(F.col("header"), block, F.lit((CRLF + CRLF).encode())).alias("record"))
@@ -112,7 +118,7 @@ def query(spark, sf_dir: str) -> DataFrame:
     write_archive(table(spark, sf_dir, "pages"), path)
     headers = read_headers(spark, path)
     facts = read_payloads(spark, path).select("key", F.octet_length("payload").cast("long").alias("payload_bytes"), base32_sha1(F.col("payload")).alias("payload_digest"))
-    facts = facts.join(headers.groupBy("key").agg(F.count("*").alias("n_records")), "key")
+    facts = materialize(facts.join(headers.groupBy("key").agg(F.count("*").alias("n_records")), "key"), "warc-facts")
     full = join_skewed(headers.select("key", "page_id", "record_type", "refers_to", "stated_digest"), facts, "key", "n_records", headers.count())
     same = F.col("stated_digest") == F.col("payload_digest")
     digest = F.when(same, F.col("payload_digest")).otherwise(F.raise_error(F.lit("a header states another digest")).cast("string"))

@@ -15,10 +15,9 @@ from tallyforge.operators.windows import exact_quantiles
 
 def standardised(rows: DataFrame, features: Sequence[str]) -> DataFrame:
     """Features filled by their medians and scaled by population deviations, as one vector column."""
-    stats = None
-    for c in features:
-        of = exact_quantiles(rows, c, [0.5]).withColumnRenamed("q0", f"d_{c}")
-        stats = of if stats is None else stats.join(F.broadcast(of))  # a row each
+    long = rows.select(*[F.col(c).cast("double").alias(c) for c in features]).unpivot([], list(features), "feature", "x")
+    found = exact_quantiles(long, "x", [0.5], ["feature"])
+    stats = found.agg(*[F.max(F.when(F.col("feature") == c, F.col("q0"))).alias(f"d_{c}") for c in features])
     filled = rows.join(F.broadcast(stats)).select(*rows.columns, *[F.coalesce(F.col(c).cast("double"), F.col(f"d_{c}"), F.lit(0.0)).alias(f"f_{c}") for c in features])
     scale = filled.agg(*[F.avg(f"f_{c}").alias(f"m_{c}") for c in features], *[F.stddev_pop(f"f_{c}").alias(f"s_{c}") for c in features])
     z = [F.coalesce(F.try_divide(F.col(f"f_{c}") - F.col(f"m_{c}"), F.nullif(F.col(f"s_{c}"), F.lit(0.0))), F.lit(0.0)).alias(f"z_{c}") for c in features]

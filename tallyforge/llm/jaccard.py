@@ -39,6 +39,7 @@ BROADCAST_IDS = 1_000_000
 EMITTED = 50_000  # classes that a task remembers having emitted
 ROWS = 1 << 18  # signatures of a batch
 SMALL = 1000  # sets that share a signature of a later round and are compared at once
+SETS_A_TASK = 512  # of which a task makes the signatures of a later round
 HOT_PIVOTS = 100  # groups at most of which the pivots are broadcast
 
 
@@ -214,6 +215,7 @@ def _later_signatures(rows: DataFrame, num: int, den: int) -> DataFrame:
                 yield batch()
 
     marked = rows.select("x", F.xxhash64("root").alias("r"), "n", "linked", F.xxhash64("g").alias("g"), "s")
+    marked = marked.repartition(max(1, -(-rows.count() // SETS_A_TASK)), "x")  # few sets make many rows
     kept = marked.mapInArrow(emit, "x binary, r long, n long, linked boolean, g long, b0 long, b1 long, t long")
     kept = materialize(kept.select(F.xxhash64("g", "t").alias("sig"), "x", "r", "n", "linked", "b0", "b1"), "shared-pairs")
     useful = kept.groupBy("sig").agg(F.min("r").alias("lo"), F.max("r").alias("hi"), F.bool_or(~F.col("linked")).alias("apart"), F.count("*").alias("members"))

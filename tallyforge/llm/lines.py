@@ -57,8 +57,7 @@ def _without(docs: DataFrame, removed: DataFrame, id_col: str, text: str, more:
     r = removed.select(F.col("id").alias("_id"), F.col("h").alias("_rh"), "_gone", *more)
     out = keyed.join(r, F.col(f"`{id_col}`").eqNullSafe(F.col("_id")) & (F.col("_h") == F.col("_rh")), "left")
     lines = _lines(F.col(text))
-    kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.coalesce("_gone", F.array().cast("array<int>")))
-    rest = F.array_join(F.transform(kept, lambda i: F.get(lines, i)), "\n")
+    rest = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains("_gone", i)), "\n")  # cut once, not once a line
     cols = [F.when(F.col("_gone").isNotNull(), rest).otherwise(F.col(text)).alias(c) if c == text else F.col(f"`{c}`") for c in named]
     return out.select(*cols, F.coalesce(F.when(F.col(text).isNotNull(), F.size(lines)), F.lit(0)).cast("long").alias("n_lines"), F.coalesce(F.size("_gone"), F.lit(0)).cast("long").alias("n_removed"), *more)
 
@@ -156,7 +155,7 @@ def dedup_sentences(docs: DataFrame, *, id_col: str = "doc_id", text: str = "tex
     found = found.select(F.col("id").alias("_id"), F.col("h").alias("_rh"), "_gone", "n_units", "removed")
     out = keyed.join(found, F.col(f"`{id_col}`").eqNullSafe(F.col("_id")) & (F.col("_h") == F.col("_rh")), "left")
     parts = F.split(F.col(text), SENTENCES)
-    rest = F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), "_gone"), lambda i: F.get(parts, i)), "")
+    rest = F.array_join(F.filter(parts, lambda x, i: ~F.array_contains("_gone", i)), "")  # cut once, not once a piece
     cols = [F.when(F.col("_gone").isNotNull(), rest).otherwise(F.col(text)).alias(c) if c == text else F.col(f"`{c}`") for c in named]
     return out.select(*cols, F.coalesce("n_units", F.lit(0)).cast("long").alias("n_units"), F.coalesce(F.size("removed"), F.lit(0)).cast("long").alias("n_removed"), "removed")
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tallyforge.llm import chat, decontam, fingerprints, jaccard, langid, lines, mixing, sharding, warc
+from tallyforge.llm import audit, chat, decontam, fingerprints, jaccard, langid, lines, mixing, sharding, simhash, warc, whitening
 
 QUERIES = {
     "op1_multiset_fingerprints": fingerprints.query,
@@ -16,6 +16,9 @@ QUERIES = {
     "op9_chat_formatting": chat.query,
     "op10_sentence_hashes": lines.query_sentences,
     "op10_line_hashes": lines.query_lines,
+    "op11_svd_whitening": whitening.query,
+    "op12_filter_audit": audit.query,
+    "op13_simhash_pivots": simhash.query,
 }
 
 #: DuckDB SQL where it can express the query.
@@ -26,4 +29,5 @@ SQL: dict[str, str] = {
     "op9_chat_formatting": chat.SQL,
     "op10_sentence_hashes": lines.SQL_SENTENCES,
     "op10_line_hashes": lines.SQL_LINES,
+    "op12_filter_audit": audit.SQL,
 }

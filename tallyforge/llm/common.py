@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import uuid
+from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,6 +32,14 @@ def shared_dir(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
+def fresh(taken: Iterable[str], *names: str) -> list[str]:
+    """names, with as many underscores before them as it takes to be none of `taken` (case doesn't tell names apart)."""
+    low, mark = {c.lower() for c in taken}, "_"
+    while any(mark + n in low for n in names):
+        mark += "_"
+    return [mark + n for n in names]
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 

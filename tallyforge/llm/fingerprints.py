@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyforge.llm.common import row_hash, table
+from tallyforge.llm.common import fresh, row_hash, table
 
 IDENTITY = 32
 SKETCH = 128
@@ -121,7 +121,7 @@ def with_next(docs: DataFrame, *, key: str = "doc_id", columns: list[str], rows_
     The keys are cut into blocks at keys that rows have. A row with such a key goes to its own block and
     to the one before, so each block has what follows it, and one exchange by block is all. The driver gets at most
     most_blocks keys. Null keys are last. Rows of one key are ordered by a hash of the row. If all keys are null, the
-    last row has no next one.
+    last row has no next one. Columns of docs named next_<column> are replaced.
     """
     k = F.col(f"`{key}`").cast("long")
     ids = docs.select(k.alias("k"))
@@ -136,11 +136,13 @@ def with_next(docs: DataFrame, *, key: str = "doc_id", columns: list[str], rows_
     before = F.when(k.isin(cuts), F.struct((own["block"] + 1).alias("block"), F.lit(False).alias("own"), F.lit(0).alias("wrap"))) if cuts else None
     wrap = F.when(k == first, F.struct(F.lit(0).alias("block"), F.lit(False).alias("own"), F.lit(1).alias("wrap"))) if first is not None else None
     places = F.array_compact(F.array(*[p for p in (own, before, wrap) if p is not None]))
-    sent = docs.withColumn("_order", row_hash(docs, 11)).withColumn("_place", F.explode(places))
-    sent = sent.select(*[F.col(f"`{c}`") for c in docs.columns], "_order", F.col("_place.block").alias("_block"), F.col("_place.own").alias("_own"), F.col("_place.wrap").alias("_wrap"))
-    w = Window.partitionBy("_block").orderBy("_wrap", k.desc_nulls_last(), "_order")
+    order, place, block, mine, last = fresh(docs.columns, "order", "place", "block", "own", "wrap")
+    kept = [F.col(f"`{c}`") for c in docs.columns if c not in {f"next_{x}" for x in columns}]
+    sent = docs.withColumn(order, row_hash(docs, 11)).withColumn(place, F.explode(places))
+    sent = sent.select(*kept, order, F.col(place)["block"].alias(block), F.col(place)["own"].alias(mine), F.col(place)["wrap"].alias(last))
+    w = Window.partitionBy(block).orderBy(last, k.desc_nulls_last(), order)
     follows = sent.select("*", *[F.lead(f"`{c}`").over(w).alias(f"next_{c}") for c in columns])
-    return follows.filter("_own").drop("_block", "_own", "_wrap", "_order")
+    return follows.filter(F.col(mine)).drop(block, mine, last, order)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyforge.llm.common import discard, join_skewed, materialize, table
+from tallyforge.llm.common import discard, fresh, join_skewed, materialize, table
 from tallyforge.llm.components import components
 from tallyforge.llm.shingles import PartEnum, mix, parity, set_digest, shared_pairs, shingle_set
 
@@ -340,15 +340,16 @@ def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text", wor
     keys = marked.groupBy("id", "h").agg(F.bool_or(own).alias("stays"), F.count("*").alias("times"))
     keys = materialize(keys.filter("not stays or times > 1"), "dropped")
 
-    keyed = docs.withColumn("_h", F.xxhash64(text))
-    same = lambda k: F.col(f"`{id_col}`").eqNullSafe(k["id"]) & (F.col("_h") == k["h"])
+    (h,) = fresh(docs.columns, "h")
+    keyed = docs.withColumn(h, F.xxhash64(text))
+    same = lambda k: F.col(f"`{id_col}`").eqNullSafe(k["id"]) & (F.col(h) == k["h"])
     gone = keys.filter("not stays").select("id", "h")
     rest = keyed.join(_small(gone), same(gone), "left_anti")
     again = keys.filter("stays and times > 1").select("id", "h")
     if again.isEmpty():
-        return rest.drop("_h")
-    once = rest.join(_small(again), same(again), "left_semi").dropDuplicates([id_col, "_h"])
-    return rest.join(_small(again), same(again), "left_anti").unionByName(once).drop("_h")
+        return rest.drop(h)
+    once = rest.join(_small(again), same(again), "left_semi").dropDuplicates([id_col, h])
+    return rest.join(_small(again), same(again), "left_anti").unionByName(once).drop(h)
 
 
 @F.arrow_udf(T.LongType())

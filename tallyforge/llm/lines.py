@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyforge.llm.common import join_skewed, materialize, table
+from tallyforge.llm.common import fresh, join_skewed, materialize, table
 
 BLANKS = " \t\r"
 #: A run of repeated sentences with fewer words in all is common speech ("Thank you.") and stays.
@@ -50,16 +50,22 @@ def _later(units: DataFrame, name: str) -> DataFrame:
     return later.filter(place != F.col("first"))
 
 
+def _kept(pieces: Column, gone: Column, sep: str) -> Column:
+    """pieces, put together without those at the places `gone`; each is looked at once."""
+    each = F.transform(F.array(pieces), lambda p: F.transform(F.array_except(F.sequence(F.lit(0), F.size(p) - 1), gone), lambda i: F.get(p, i)))
+    return F.array_join(each[0], sep)
+
+
 def _without(docs: DataFrame, removed: DataFrame, id_col: str, text: str, more: list[str]) -> DataFrame:
     """docs with the removed line numbers left out of text; adds n_lines, n_removed and the columns `more`."""
     named = [c for c in docs.columns if c not in ("n_lines", "n_removed", *more)]
-    keyed = docs.select(*[F.col(f"`{c}`") for c in named]).withColumn("_h", F.xxhash64(text))
-    r = removed.select(F.col("id").alias("_id"), F.col("h").alias("_rh"), "_gone", *more)
-    out = keyed.join(r, F.col(f"`{id_col}`").eqNullSafe(F.col("_id")) & (F.col("_h") == F.col("_rh")), "left")
+    h, of_id, of_h, gone = fresh(named, "h", "id", "rh", "gone")
+    keyed = docs.select(*[F.col(f"`{c}`") for c in named], F.xxhash64(text).alias(h))
+    r = removed.select(F.col("id").alias(of_id), F.col("h").alias(of_h), F.col("gone").alias(gone), *more)
+    out = keyed.join(r, F.col(f"`{id_col}`").eqNullSafe(F.col(of_id)) & (F.col(h) == F.col(of_h)), "left")
     lines = _lines(F.col(text))
-    rest = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains("_gone", i)), "\n")  # cut once, not once a line
-    cols = [F.when(F.col("_gone").isNotNull(), rest).otherwise(F.col(text)).alias(c) if c == text else F.col(f"`{c}`") for c in named]
-    return out.select(*cols, F.coalesce(F.when(F.col(text).isNotNull(), F.size(lines)), F.lit(0)).cast("long").alias("n_lines"), F.coalesce(F.size("_gone"), F.lit(0)).cast("long").alias("n_removed"), *more)
+    cols = [F.when(F.col(gone).isNotNull(), _kept(lines, F.col(gone), "\n")).otherwise(F.col(text)).alias(c) if c == text else F.col(f"`{c}`") for c in named]
+    return out.select(*cols, F.coalesce(F.when(F.col(text).isNotNull(), F.size(lines)), F.lit(0)).cast("long").alias("n_lines"), F.coalesce(F.size(gone), F.lit(0)).cast("long").alias("n_removed"), *more)
 
 
 def dedup_windows(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text", size: int = 3) -> DataFrame:
@@ -81,7 +87,7 @@ def dedup_windows(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text"
     at = F.col("at") + F.col("k")
     hit = later.select("id", "h", "at", "first", F.posexplode("lines").alias("k", "line"))
     hit = hit.filter(~(same & (at >= F.col("first.at")) & (at < F.col("first.at") + size)))
-    gone = hit.groupBy("id", "h").agg(F.array_sort(F.collect_set("line")).alias("_gone"))  # lines of one document
+    gone = hit.groupBy("id", "h").agg(F.collect_set("line").alias("gone"))  # lines of one document
     return _without(docs, gone, id_col, text, [])
 
 
@@ -117,7 +123,7 @@ def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text",
     later = _later(units, "repeated-units").select("id", "h", "line", "at", "words", "start", "chars")
     long = _passages(later, min_words)
     span = F.struct("line", F.col("start").cast("long").alias("start"), (F.col("start") + F.col("chars")).cast("long").alias("end"))
-    gone = long.groupBy("id", "h").agg(F.array_sort(F.collect_list("line")).alias("_gone"), F.array_sort(F.collect_list(span)).alias("removed"))
+    gone = long.groupBy("id", "h").agg(F.collect_list("line").alias("gone"), F.array_sort(F.collect_list(span)).alias("removed"))
     return _without(docs, gone, id_col, text, ["removed"])
 
 
@@ -146,17 +152,17 @@ def dedup_sentences(docs: DataFrame, *, id_col: str = "doc_id", text: str = "tex
     span = F.struct(F.col("start").cast("long").alias("start"), (F.col("start") + F.col("chars")).cast("long").alias("end"))
     lines = long.groupBy("id", "h", "line", "lo", "hi", "in_line").agg(F.collect_list("piece").alias("gone"), F.collect_list(span).alias("spans"))
     gone = F.when(F.size("gone") == F.col("in_line"), F.sequence("lo", "hi")).otherwise(F.col("gone"))
-    gone = lines.groupBy("id", "h").agg(F.flatten(F.collect_list(gone)).alias("_gone"), F.array_sort(F.flatten(F.collect_list("spans"))).alias("removed"))
+    gone = lines.groupBy("id", "h").agg(F.flatten(F.collect_list(gone)).alias("gone"), F.array_sort(F.flatten(F.collect_list("spans"))).alias("removed"))
     counts = units.groupBy("id", "h").agg(F.count("*").alias("n_units"))
     found = counts.join(gone.withColumnRenamed("id", "_id").withColumnRenamed("h", "_rh"), F.col("id").eqNullSafe(F.col("_id")) & (F.col("h") == F.col("_rh")), "left").drop("_id", "_rh")
 
     named = [c for c in docs.columns if c not in ("n_units", "n_removed", "removed")]
-    keyed = docs.select(*[F.col(f"`{c}`") for c in named]).withColumn("_h", F.xxhash64(text))
-    found = found.select(F.col("id").alias("_id"), F.col("h").alias("_rh"), "_gone", "n_units", "removed")
-    out = keyed.join(found, F.col(f"`{id_col}`").eqNullSafe(F.col("_id")) & (F.col("_h") == F.col("_rh")), "left")
-    parts = F.split(F.col(text), SENTENCES)
-    rest = F.array_join(F.filter(parts, lambda x, i: ~F.array_contains("_gone", i)), "")  # cut once, not once a piece
-    cols = [F.when(F.col("_gone").isNotNull(), rest).otherwise(F.col(text)).alias(c) if c == text else F.col(f"`{c}`") for c in named]
+    h, of_id, of_h, out_of = fresh(named, "h", "id", "rh", "gone")
+    keyed = docs.select(*[F.col(f"`{c}`") for c in named], F.xxhash64(text).alias(h))
+    found = found.select(F.col("id").alias(of_id), F.col("h").alias(of_h), F.col("gone").alias(out_of), "n_units", "removed")
+    out = keyed.join(found, F.col(f"`{id_col}`").eqNullSafe(F.col(of_id)) & (F.col(h) == F.col(of_h)), "left")
+    rest = _kept(F.split(F.col(text), SENTENCES), F.col(out_of), "")
+    cols = [F.when(F.col(out_of).isNotNull(), rest).otherwise(F.col(text)).alias(c) if c == text else F.col(f"`{c}`") for c in named]
     return out.select(*cols, F.coalesce("n_units", F.lit(0)).cast("long").alias("n_units"), F.coalesce(F.size("removed"), F.lit(0)).cast("long").alias("n_removed"), "removed")
 
 

@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyforge.llm.common import materialize, row_hash, table
+from tallyforge.llm.common import fresh, materialize, row_hash, table
 
 WORDS = r"[^\x20\x09-\x0D]+"
 EPS = 1e-9
@@ -180,8 +180,8 @@ def mix(docs: DataFrame, *, text: str = "text", source: str = "source", seed: in
     Columns of docs with these names are replaced.
     """
     docs = docs.drop(*[prefix + c for c in ("size", "source_size", "target", "copies", "taken")])
-    rows = docs.withColumn("_h", row_hash(docs, seed)).withColumn("_size", word_count(F.col(text)))
-    keys = rows.groupBy("_h", F.col(source).cast("string").alias("source")).agg(F.max("_size").alias("size"), F.count("*").alias("n"))
+    rows = docs.select(row_hash(docs, seed).alias("_h"), F.col(f"`{source}`").cast("string").alias("source"), word_count(F.col(f"`{text}`")).alias("size"))
+    keys = rows.groupBy("_h", "source").agg(F.max("size").alias("size"), F.count("*").alias("n"))
     keys = materialize(keys, "mix-keys")
     sizes = {r["source"]: int(r["size"]) for r in keys.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("size")).collect()}
     goal = targets(sizes, weights=weights, share=share, most=most)
@@ -196,22 +196,24 @@ def mix(docs: DataFrame, *, text: str = "text", source: str = "source", seed: in
     keys = keys.withColumn("p", F.greatest(F.col("wanted") - F.col("whole"), F.lit(0.0)))
     open_ = keys.filter(F.col("p") > EPS).select("source_no", F.col("_h").alias("uid"), "size", "p")
     rounded = pivotal(open_, seed=seed).withColumnRenamed("uid", "_h")
-    settled = keys.join(rounded, ["_h", "source_no"], "left").select("_h", _named(F.col("source")).alias("_s"), "size", "n", "source_size", "target", (F.col("whole") + F.coalesce("up", F.lit(0))).alias("_copies")).withColumnsRenamed({c: f"_mix_{c}" for c in ("size", "n", "source_size", "target")})
+    h, s, k, up, size, n, source_size, target = fresh(docs.columns, "h", "s", "k", "copies", "size", "n", "source_size", "target")
+    found = {h: F.col("_h"), s: _named(F.col("source")), size: F.col("size"), n: F.col("n"), source_size: F.col("source_size"), target: F.col("target"), up: F.col("whole") + F.coalesce("up", F.lit(0))}
+    settled = keys.join(rounded, ["_h", "source_no"], "left").select(*[c.alias(name) for name, c in found.items()])
 
     # The k-th of n equal rows gets an equal part of the copies, the first ones one more.
     # The window and the join have the same plain keys, so the rows move once.
-    numbered = docs.withColumn("_h", row_hash(docs, seed)).withColumn("_s", _named(F.col(f"`{source}`").cast("string")))
-    numbered = numbered.withColumn("_k", F.row_number().over(Window.partitionBy("_h", "_s").orderBy("_h")))
-    copies = F.expr("_copies div _mix_n + if(_k <= _copies % _mix_n, 1, 0)").cast("long")
-    out = numbered.join(settled, ["_h", "_s"])
-    more = {"size": F.col("_mix_size"), "source_size": F.col("_mix_source_size"), "target": F.col("_mix_target"), "copies": copies, "taken": copies * F.col("_mix_size")}
+    numbered = docs.withColumn(h, row_hash(docs, seed)).withColumn(s, _named(F.col(f"`{source}`").cast("string")))
+    numbered = numbered.withColumn(k, F.row_number().over(Window.partitionBy(h, s).orderBy(h)))
+    copies = F.expr(f"{up} div {n} + if({k} <= {up} % {n}, 1, 0)").cast("long")
+    out = numbered.join(settled, [h, s])
+    more = {"size": F.col(size), "source_size": F.col(source_size), "target": F.col(target), "copies": copies, "taken": copies * F.col(size)}
     return out.select(*[F.col(f"`{c}`") for c in docs.columns], *[c.alias(prefix + name) for name, c in more.items()])
 
 
 def repeat_copies(mixed: DataFrame, columns: list[str], prefix: str = "") -> DataFrame:
-    """Each row of mixed as often as its copies say, with these columns; null or no copies: not at all. A column _n is not kept."""
+    """Each row of mixed as often as its copies say, with these columns; null or no copies: not at all."""
     copies = F.col(f"{prefix}copies")
-    times = mixed.filter(copies > 0).withColumn("_n", F.explode(F.sequence(F.lit(1).cast("long"), copies)))
+    times = mixed.filter(copies > 0).withColumn(*fresh(mixed.columns, "n"), F.explode(F.sequence(F.lit(1).cast("long"), copies)))
     return times.select(*[F.col(f"`{c}`") for c in columns])
 
 

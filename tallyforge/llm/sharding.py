@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyforge.llm.common import materialize, row_hash
+from tallyforge.llm.common import fresh, materialize, row_hash
 
 #: numpy draws populations below this; larger ones take _hypergeometric.
 NUMPY_LIMIT = 10**9
@@ -118,13 +118,14 @@ def shard(df: DataFrame, n_shards: int, *, seed: int = 20, block_rows: int = 163
         return pd.Series(out)
 
     base, rest = divmod(total, n_shards)
-    numbered = src.select(*[F.col(f"`{c}`") for c in kept], row_hash(src, seed).alias("_h")).sortWithinPartitions("_h")
-    numbered = numbered.withColumn("_id", F.monotonically_increasing_id())  # partition << 33 | position
-    labelled = numbered.withColumn("_block", block_of(F.shiftrightunsigned("_id", 33), F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))))
-    placed = labelled.withColumn("_rank", F.row_number().over(Window.partitionBy("_block").orderBy(F.xxhash64(F.lit(seed + 1), "_h"), "_h")))
-    shard_no = F.expr(f"cast(_block div {blocks} as int)")
-    start = F.expr(f"((_block % {blocks}) * ({base} + if(_block div {blocks} < {rest}, 1, 0))) div {blocks}")
-    return placed.select(*[F.col(f"`{c}`") for c in kept], shard_no.alias("shard"), (start + F.col("_rank") - 1).cast("long").alias("slot"))
+    h, at, block, rank = fresh(kept, "h", "id", "block", "rank")
+    numbered = src.select(*[F.col(f"`{c}`") for c in kept], row_hash(src, seed).alias(h)).sortWithinPartitions(h)
+    numbered = numbered.withColumn(at, F.monotonically_increasing_id())  # partition << 33 | position
+    labelled = numbered.withColumn(block, block_of(F.shiftrightunsigned(at, 33), F.col(at).bitwiseAND(F.lit((1 << 33) - 1))))
+    placed = labelled.withColumn(rank, F.row_number().over(Window.partitionBy(block).orderBy(F.xxhash64(F.lit(seed + 1), h), h)))
+    shard_no = F.expr(f"cast({block} div {blocks} as int)")
+    start = F.expr(f"(({block} % {blocks}) * ({base} + if({block} div {blocks} < {rest}, 1, 0))) div {blocks}")
+    return placed.select(*[F.col(f"`{c}`") for c in kept], shard_no.alias("shard"), (start + F.col(rank) - 1).cast("long").alias("slot"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -7,6 +7,11 @@ but other texts are ordered by a hash of the text. The earliest occurrence is th
 
 from __future__ import annotations
 
+import hashlib
+import re
+from collections import Counter
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,7 +21,8 @@ BLANKS = " \t\r"
 #: A run of repeated sentences with fewer words in all is common speech ("Thank you.") and stays.
 PASSAGE_WORDS = 15
 #: A cut before and after each line feed, and after the mark and the blank that end a sentence.
-SENTENCES = r"(?<=\n)|(?=\n)|(?<=[.!?\u2026][ \t])|(?<=[\u3002\uFF01\uFF1F])"
+SENTENCE_END = re.compile("\n|[.!?\u2026][ \t]|[\u3002\uff01\uff1f]")
+RAGGED = re.compile("[\t\r]|  ")
 
 
 def _lines(text: Column) -> Column:
@@ -43,8 +49,8 @@ def _numbered(docs: DataFrame, id_col: str, text: str) -> DataFrame:
 def _later(units: DataFrame, name: str) -> DataFrame:
     """The rows of units (digest, id, h, at, ...) that aren't the earliest of their digest; adds first (id, h, at)."""
     place = F.struct("id", "h", "at")
-    found = units.groupBy("digest").agg(F.min(place).alias("first"), F.max(place).alias("last"), F.count("*").alias("occurrences"))
-    found = materialize(found.filter(F.col("first") != F.col("last")).select("digest", "first", "occurrences"), name)
+    found = units.groupBy("digest").agg(F.min(place).alias("first"), F.count("*").alias("occurrences"))
+    found = materialize(found.filter("occurrences > 1"), name)
     total = units.count()
     later = join_skewed(units, found, "digest", "occurrences", total)
     return later.filter(place != F.col("first"))
@@ -95,12 +101,11 @@ def _words() -> Column:
     return F.when(F.col("bare") != "", F.length("bare") - F.length(F.replace("bare", F.lit(" "))) + 1).otherwise(0)
 
 
-def _passages(later: DataFrame, min_words: int, whole: Column | None = None) -> DataFrame:
-    """The repeats (id, h, at, words, ...) that stand in runs, by `at`, of at least min_words words or of `whole` units."""
+def _passages(later: DataFrame, min_words: int) -> DataFrame:
+    """The repeats (id, h, at, words, ...) that stand in runs, by `at`, of at least min_words words; ids may be null."""
     island = F.col("at") - F.row_number().over(Window.partitionBy("id", "h").orderBy("at"))
     passage = Window.partitionBy("id", "h", "island")
-    runs = later.withColumn("island", island).withColumn("total", F.sum("words").over(passage)).withColumn("run", F.count("*").over(passage))
-    return runs.filter((F.col("total") >= min_words) | (F.lit(False) if whole is None else F.col("run") == whole))
+    return later.withColumn("island", island).withColumn("total", F.sum("words").over(passage)).filter(F.col("total") >= min_words)
 
 
 def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text", min_words: int = 1) -> DataFrame:
@@ -127,43 +132,94 @@ def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text",
     return _without(docs, gone, id_col, text, ["removed"])
 
 
+def sentences(text: str) -> list[tuple[int, int, int, str]]:
+    """(start, end, line, normalised) of each sentence of a text that isn't blank, in code points."""
+    low = text.encode().lower().decode()  # bytes: A-Z alone
+    out, at, line = [], 0, 0
+
+    def piece(end: int) -> None:
+        bare = low[at:end].strip(BLANKS)
+        if bare:
+            out.append((at, end, line, " ".join(x for x in re.split("[ \t\r]+", bare)) if RAGGED.search(bare) else bare))
+
+    for mark in SENTENCE_END.finditer(low):
+        feed = mark.group() == "\n"
+        piece(mark.start() if feed else mark.end())
+        at, line = mark.end(), line + feed
+    piece(len(low))
+    return out
+
+
+def without_passages(text: str, later: list[int], min_words: int) -> tuple[str, list[tuple[int, int]]]:
+    """text without the runs of sentences (by number, ascending) that have min_words words or are all of it; and their spans.
+
+    A line of which all sentences go, goes with its line feed.
+    """
+    units = sentences(text)
+    gone, run = [], []
+    for k in [*later, -1]:
+        if run and k != run[-1] + 1:
+            if len(run) == len(units) or sum(units[i][3].count(" ") + 1 for i in run) >= min_words:
+                gone += run
+            run = []
+        run.append(k)
+    in_line, gone_of = Counter(u[2] for u in units), Counter(units[i][2] for i in gone)
+    kept, at = [], 0
+    for i in gone:
+        start, end, line, _ = units[i]
+        if gone_of[line] == in_line[line]:
+            start = text.rfind("\n", 0, start) + 1
+            end = text.find("\n", end) + 1 or len(text)
+        kept.append(text[at : max(at, start)])
+        at = max(at, end)
+    return "".join([*kept, text[at:]]), [units[i][:2] for i in gone]
+
+
 def dedup_sentences(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text", min_words: int = PASSAGE_WORDS) -> DataFrame:
     """docs without passages of sentences that stand earlier elsewhere; adds n_units, n_removed and removed.
 
     The units are the sentences inside lines (a line end ends one too), normalised as in dedup_lines(), so a repeat that
     starts or ends inside a line, or has an edited sentence in it, loses its equal sentences. Repeats that follow each
     other with no other non-blank unit between make a passage, and one of at least min_words words goes. A text of which all units are repeats
-    goes whole, however short. min_words = 1 removes every later occurrence. n_units and n_removed count
+    goes whole, however short. min_words = 1 removes every later occurrence: that is the dealt method; a larger one departs from it. n_units and n_removed count
     non-blank units. removed has (start, end) of each unit that went, in code points of the original text. The
-    blank that ends a sentence goes with it, and a line goes with its line feed if all its units do.
+    blank that ends a sentence goes with it, and a line goes with its line feed if all its units do. Empty and null texts stay;
+    rows that repeat id and text lose the same. Columns of docs with the names of outputs are replaced.
+
+    Tasks cut texts twice, once to hash the units and once to leave some out, so only a unit's digest, document and number move.
     """
-    pieces = _numbered(docs, id_col, text).select("id", "h", F.posexplode(F.split("text", SENTENCES)).alias("piece", "x"))
-    pieces = pieces.select("id", "h", "piece", F.length("x").alias("chars"), (F.col("x") == "\n").cast("int").alias("feed"), _normal(F.when(F.col("x") == "\n", "").otherwise(F.col("x"))).alias("bare"))
-    digest = F.when(F.col("bare") != "", _digest(F.col("bare"))).alias("digest")
-    pieces = pieces.select("id", "h", "piece", "chars", "feed", _words().alias("words"), digest).distinct()
-    before = Window.partitionBy("id", "h").orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)
-    pieces = pieces.withColumn("start", F.coalesce(F.sum("chars").over(before), F.lit(0))).withColumn("line", F.coalesce(F.sum("feed").over(before), F.lit(0)))
-    in_line = Window.partitionBy("id", "h", "line")
-    pieces = pieces.withColumn("lo", F.min("piece").over(in_line)).withColumn("hi", F.max("piece").over(in_line)).withColumn("in_line", F.count("digest").over(in_line))
-    units = pieces.filter(F.col("digest").isNotNull()).drop("feed").withColumn("at", F.row_number().over(Window.partitionBy("id", "h").orderBy("piece")))
-    units = units.withColumn("n_units", F.count("*").over(Window.partitionBy("id", "h")))
+
+    @F.arrow_udf("array<binary>")
+    def digests(texts: pa.Array) -> pa.Array:
+        return pa.array(([hashlib.md5(u[3].encode()).digest() for u in sentences(t.as_py())] for t in texts), type=pa.list_(pa.binary()))
+
+    @F.arrow_udf("text string, n_units long, removed array<struct<start: long, end: long>>")
+    def left(texts: pa.Array, later: pa.Array) -> pa.Array:
+        out = []
+        for t, k in zip(texts, later, strict=True):
+            t, k = t.as_py(), k.as_py()
+            if not k:
+                out.append({"text": None, "n_units": len(sentences(t)) if t is not None else 0, "removed": None})
+                continue
+            rest, spans = without_passages(t, k, min_words)
+            out.append({"text": rest, "n_units": len(sentences(t)), "removed": [{"start": a, "end": b} for a, b in spans] or None})
+        span = pa.struct([("start", pa.int64()), ("end", pa.int64())])
+        return pa.array(out, type=pa.struct([("text", pa.string()), ("n_units", pa.int64()), ("removed", pa.list_(span))]))
+
+    base = _numbered(docs, id_col, text)
+    units = base.select("id", "h", F.posexplode(digests(F.col("text").cast("string"))).alias("at", "digest")).select("digest", "id", "h", "at")
     units = materialize(units, "units")
-    long = _passages(_later(units, "repeated-units"), min_words, F.col("n_units"))
-    span = F.struct(F.col("start").cast("long").alias("start"), (F.col("start") + F.col("chars")).cast("long").alias("end"))
-    lines = long.groupBy("id", "h", "line", "lo", "hi", "in_line").agg(F.collect_list("piece").alias("gone"), F.collect_list(span).alias("spans"))
-    gone = F.when(F.size("gone") == F.col("in_line"), F.sequence("lo", "hi")).otherwise(F.col("gone"))
-    gone = lines.groupBy("id", "h").agg(F.flatten(F.collect_list(gone)).alias("gone"), F.array_sort(F.flatten(F.collect_list("spans"))).alias("removed"))
-    counts = units.groupBy("id", "h").agg(F.count("*").alias("n_units"))
-    found = counts.join(gone.withColumnRenamed("id", "_id").withColumnRenamed("h", "_rh"), F.col("id").eqNullSafe(F.col("_id")) & (F.col("h") == F.col("_rh")), "left").drop("_id", "_rh")
+    lists = _later(units, "repeated-units").groupBy("id", "h").agg(F.array_sort(F.collect_set("at")).alias("later"))
 
     named = [c for c in docs.columns if c not in ("n_units", "n_removed", "removed")]
-    h, of_id, of_h, out_of = fresh(named, "h", "id", "rh", "gone")
+    h, of_id, of_h, later, made = fresh(named, "h", "id", "rh", "later", "made")
     keyed = docs.select(*[F.col(f"`{c}`") for c in named], F.xxhash64(text).alias(h))
-    found = found.select(F.col("id").alias(of_id), F.col("h").alias(of_h), F.col("gone").alias(out_of), "n_units", "removed")
-    out = keyed.join(found, F.col(f"`{id_col}`").eqNullSafe(F.col(of_id)) & (F.col(h) == F.col(of_h)), "left")
-    rest = _kept(F.split(F.col(text), SENTENCES), F.col(out_of), "")
-    cols = [F.when(F.col(out_of).isNotNull(), rest).otherwise(F.col(text)).alias(c) if c == text else F.col(f"`{c}`") for c in named]
-    return out.select(*cols, F.coalesce("n_units", F.lit(0)).cast("long").alias("n_units"), F.coalesce(F.size("removed"), F.lit(0)).cast("long").alias("n_removed"), "removed")
+    lists = lists.select(F.col("id").alias(of_id), F.col("h").alias(of_h), F.col("later").alias(later))
+    out = keyed.join(lists, F.col(f"`{id_col}`").eqNullSafe(F.col(of_id)) & (F.col(h) == F.col(of_h)), "left")
+    out = out.withColumn(made, left(F.col(f"`{text}`").cast("string"), F.col(later)))
+    removed = F.col(made)["removed"]
+    cols = [F.when(removed.isNotNull(), F.col(made)["text"]).otherwise(F.col(f"`{c}`")).alias(c) if c == text else F.col(f"`{c}`") for c in named]
+    return out.select(*cols, F.col(made)["n_units"].alias("n_units"), F.coalesce(F.size(removed), F.lit(0)).cast("long").alias("n_removed"), removed.alias("removed"))
 
 
 def query_windows(spark, sf_dir: str) -> DataFrame:

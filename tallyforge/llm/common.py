@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import re
 import uuid
 from collections.abc import Iterable
@@ -55,13 +56,19 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 
 
 def discard(spark: SparkSession, *frames: DataFrame | None) -> None:
-    """Delete the files of materialized frames that nothing reads any more."""
+    """Delete the files of materialized frames that nothing reads any more, and of shuffles that are done.
+
+    Spark removes the files of a shuffle when the driver collects the garbage that refers to it, which a driver with
+    memory to spare seldom does by itself; so it is asked to.
+    """
     for df in frames:
         for file in df.inputFiles()[:1] if df is not None else []:
             folder = file.rpartition("/")[0]
             if re.search(r"/[\w-]+-[0-9a-f]{32}$", folder):
                 path = spark._jvm.org.apache.hadoop.fs.Path(folder)
                 path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    gc.collect()
+    spark._jvm.System.gc()
 
 
 def _hashable(kind: T.DataType) -> bool:

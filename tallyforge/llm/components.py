@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyforge.llm.common import join_skewed, materialize
+from tallyforge.llm.common import discard, join_skewed, materialize
 
 
 def _towards_least(edges: DataFrame, total: int, larger_only: bool) -> DataFrame:
@@ -35,7 +35,8 @@ def components(edges: DataFrame) -> DataFrame:
         large = _towards_least(both, 2 * total, True)
         large = materialize(large.filter(F.col("u") != F.col("v")).distinct(), "edges")
         small = _towards_least(large, large.count(), False)
-        now = materialize(small.filter(F.col("u") != F.col("v")).distinct(), "edges")
+        before, now = now, materialize(small.filter(F.col("u") != F.col("v")).distinct(), "edges")
+        discard(edges.sparkSession, before, large)
     return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 

@@ -262,17 +262,24 @@ def _components(items: DataFrame, num: int, den: int) -> DataFrame | None:
         judged = materialize(_differences(items, num, den), name)
         return judged, label(judged.filter("linked").select(F.col("p").alias("a"), F.col("x").alias("b")))
 
+    def opened(judged: DataFrame) -> DataFrame:
+        both = materialize(rooted(judged), "rooted")
+        out = materialize(_open(both), "open")
+        discard(spark, both)
+        return out
+
     while True:
         first, labels = compared(items, "judged")
-        open_ = materialize(_open(materialize(rooted(first), "rooted")), "open")
+        open_ = opened(first)
         if open_.isEmpty():
             return labels
         central = materialize(_around_majority(open_), "central")
         judged, labels = compared(central, "judged-centrally")
-        open_ = materialize(_open(materialize(rooted(judged), "rooted")), "open")
+        discard(spark, first, open_, central)
+        open_ = opened(judged)
         found = _later_signatures(open_, num, den)
         labels = label(_few(found, judged, num, den))
-        discard(spark, items, first, central, open_)
+        discard(spark, items, open_)
         # Of those that share a signature with many, the groups that still hold more than one component.
         many = found.filter(F.col("members") > SMALL)
         if many.isEmpty():
@@ -301,12 +308,14 @@ def link(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text", words:
 
     shared = signatures(docs, text, words, num, den).withColumn("b", F.min("h").over(Window.partitionBy("sig")))
     ties = materialize(shared.filter("h <> b").select(F.col("h").alias("a"), "b").distinct(), "ties")
+    discard(docs.sparkSession)
     group = _groups(ties).withColumnsRenamed({"node": "short", "root": "g"})
     # Classes of one short digest are in one group, which is as good as any that holds both.
     members = classes.withColumn("short", _short_udf("cls")).join(group, "short")
     members = members.select(F.col("cls").alias("x"), "id", "h", "g", "n", (-F.col("copies")).alias("rank"))
     members = materialize(members, "members")
     items = materialize(_sets(docs, id_col, text, words, members).select("g", "x", "n", "s", "rank"), "sets")
+    discard(docs.sparkSession, ties, members)
     labels = _components(items, num, den)
 
     nodes = classes.select(F.col("cls").alias("x"), "id", "copies")

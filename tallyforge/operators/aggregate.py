@@ -123,6 +123,20 @@ def pooled(rows: DataFrame, keys: Sequence[str], weight: str, traits: Sequence[s
     )
 
 
+def training_rows(stints: DataFrame, vectors: DataFrame, results: DataFrame, player: Sequence[str], team: Sequence[str], weight: str, traits: Sequence[str], quality: str, *, least_games: int = 60) -> DataFrame:
+    """A row for each team with results of at least least_games: the pooled vector of its stints, its results, and league_rank by net.
+
+    A player's vector joins many stints, a team's vector one row of results; a key that repeats where it mustn't stops the
+    job. No result is among the inputs that are pooled. Players without a vector and teams without results are left out.
+    """
+    from tallyforge.operators.joins import checked_join
+
+    made = pooled(checked_join(stints, vectors, player), team, weight, traits, quality)
+    place = F.row_number().over(Window.partitionBy(team[0]).orderBy(F.desc("net"), *team[1:]))
+    ranked = results.withColumn("league_rank", place)
+    return checked_join(made, ranked, team, validate="1:1").filter(F.col("games") >= least_games)
+
+
 def entropy(shares: Sequence[Column]) -> Column:
     """Normalised entropy of shares: 1 when all are equal."""
     import math

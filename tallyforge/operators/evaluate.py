@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyforge.operators.windows import cumulative, exact_quantiles, percentile_table
@@ -58,27 +58,12 @@ def quantiles(rows: DataFrame, value: str, at: Sequence[float], above: Sequence[
     return found.join(F.broadcast(shares))  # a row each
 
 
-def jaccard_at(first: DataFrame, second: DataFrame, query: str, item: str) -> DataFrame:
-    """Overlap of two neighbour lists of each query."""
-    both = first.select(query, item, F.lit(1).alias("_a")).join(second.select(query, item, F.lit(1).alias("_b")), [query, item], "full")
-    return both.groupBy(query).agg((F.count_if(F.col("_a").isNotNull() & F.col("_b").isNotNull()) / F.count("*")).alias("jaccard"))
-
-
-def bootstrap(rows: DataFrame, group: str, order: Sequence[Column], seed: int) -> DataFrame:
-    """Each group resampled with replacement to its own size; draws come from hashes, so reruns agree."""
-    g = Window.partitionBy(group)
-    placed = rows.withColumn("_n", F.count("*").over(g)).withColumn("_k", F.row_number().over(g.orderBy(*order)))
-    draw = F.pmod(F.xxhash64(F.lit(seed), F.col(group), F.col("_k")), F.col("_n")) + 1
-    drawn = placed.groupBy(group, draw.alias("_k")).agg(F.count("*").alias("times"))
-    return placed.join(drawn, [group, "_k"]).drop("_n", "_k")
+def jaccard_at(first: DataFrame, second: DataFrame, query: str, item: str, by: Sequence[str] = ()) -> DataFrame:
+    """Overlap of two neighbour lists of each query; of each value of `by` too."""
+    both = first.select(*by, query, item, F.lit(1).alias("_a")).join(second.select(*by, query, item, F.lit(1).alias("_b")), [*by, query, item], "full")
+    return both.groupBy(*by, query).agg((F.count_if(F.col("_a").isNotNull() & F.col("_b").isNotNull()) / F.count("*")).alias("jaccard"))
 
 
 def bins(value: Column, edges: Sequence[float]) -> Column:
     """Number of the right-closed bin (0 for values up to the first edge)."""
     return sum((F.when(value > e, 1).otherwise(0) for e in edges[1:]), F.when(value > edges[0], 1).otherwise(0))
-
-
-def folds(rows: DataFrame, season: str, first: str) -> list[tuple[str, DataFrame, DataFrame]]:
-    """Chronological folds: for each season from `first` on, the seasons before it and itself."""
-    seasons = [r[0] for r in rows.select(season).distinct().orderBy(season).collect()]
-    return [(s, rows.filter(F.col(season) < s), rows.filter(F.col(season) == s)) for s in seasons if s >= first]

@@ -60,19 +60,21 @@ def within_band(column: str, tolerance: float) -> Column:
     return F.abs(F.col(column) - F.col(f"ref_{column}")) <= F.lit(tolerance)
 
 
-def block_pairs(queries: DataFrame, rows: DataFrame, key: str, upper: bool = False):
+def block_pairs(queries: DataFrame, rows: DataFrame, key: str, upper: bool = False, by: Sequence[str] = ()):
     """Rows of each pair of a block of queries and a block of rows, grouped; _side is 0 for queries.
 
     Both frames have the same columns. A block is a hash of the key, so the plan has one join of any size and neither the driver nor a
-    broadcast holds vectors. upper leaves out pairs below the diagonal, for frames that are the same.
+    broadcast holds vectors. upper leaves out pairs below the diagonal, for frames that are the same. by names columns that
+    a pair has in common, such as a variant; blocks are as many as the largest of its values needs.
     """
-    per = [max(1, -(-df.count() // BLOCK_ROWS)) for df in (queries, rows)]
+    largest = lambda df: df.groupBy(*by).count().agg(F.max("count")).first()[0] or 0
+    per = [max(1, -(-largest(df) // BLOCK_ROWS)) for df in (queries, rows)]
     own = lambda n: F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     q = queries.withColumn("_side", F.lit(0)).withColumn("_q", own(per[0])).withColumn("_r", every(per[1]))
     r = rows.withColumn("_side", F.lit(1)).withColumn("_r", own(per[1])).withColumn("_q", every(per[0]))
     both = q.unionByName(r)
-    return (both.filter("_q <= _r") if upper else both).groupBy("_q", "_r")
+    return (both.filter("_q <= _r") if upper else both).groupBy(*by, "_q", "_r")
 
 
 def side(pair: pa.Table, n: int, key: str) -> pa.Table:
@@ -104,14 +106,14 @@ def _kind(df: DataFrame, column: str) -> str:
     return df.schema[column].dataType.simpleString()
 
 
-def top_matches(queries: DataFrame, rows: DataFrame, key: str, vector: str, n: int, *, carry: Sequence[str] = (), apart: str | None = None) -> DataFrame:
+def top_matches(queries: DataFrame, rows: DataFrame, key: str, vector: str, n: int, *, carry: Sequence[str] = (), apart: str | None = None, by: Sequence[str] = ()) -> DataFrame:
     """For each query the n rows with the largest cosine (not the query itself), exactly, with rank; ties by key.
 
-    apart names a column of which a match has another value than the query. Each pair of blocks keeps n rows a
+    apart names a column of which a match has another value than the query, by columns of which it has the same. Each pair of blocks keeps n rows a
     query, and a window limit joins what they found.
     """
-    cols = list(dict.fromkeys([key, vector, *carry, *([apart] if apart else [])]))
-    schema = f"query {_kind(rows, key)}, {key} {_kind(rows, key)}, cosine double" + "".join(f", {c} {_kind(rows, c)}" for c in carry)
+    cols = list(dict.fromkeys([*by, key, vector, *carry, *([apart] if apart else [])]))
+    schema = f"query {_kind(rows, key)}, {key} {_kind(rows, key)}, cosine double" + "".join(f", {c} {_kind(rows, c)}" for c in [*by, *carry])
 
     def best(pair: pa.Table) -> pa.Table:
         q, r = side(pair, 0, key), side(pair, 1, key)
@@ -124,11 +126,11 @@ def top_matches(queries: DataFrame, rows: DataFrame, key: str, vector: str, n: i
         qi, ri = np.repeat(np.arange(len(ks)), at.shape[1]), at.ravel()
         ok = np.isfinite(sims[qi, ri])
         qi, ri = qi[ok], ri[ok]
-        return pa.table({"query": q.column(key).take(pa.array(qi)), key: r.column(key).take(pa.array(ri)), "cosine": sims[qi, ri], **{c: r.column(c).take(pa.array(ri)) for c in carry}})
+        return pa.table({"query": q.column(key).take(pa.array(qi)), key: r.column(key).take(pa.array(ri)), "cosine": sims[qi, ri], **{c: r.column(c).take(pa.array(ri)) for c in [*by, *carry]}})
 
-    found = block_pairs(queries.select(*cols), rows.select(*cols), key).applyInArrow(best, schema)
-    by = Window.partitionBy("query").orderBy(F.desc("cosine"), key)
-    return found.withColumn("rank", F.row_number().over(by)).filter(F.col("rank") <= n)
+    found = block_pairs(queries.select(*cols), rows.select(*cols), key, by=by).applyInArrow(best, schema)
+    places = Window.partitionBy(*by, "query").orderBy(F.desc("cosine"), key)
+    return found.withColumn("rank", F.row_number().over(places)).filter(F.col("rank") <= n)
 
 
 def first_hit_rank(queries: DataFrame, rows: DataFrame, key: str, vector: str, label: str) -> DataFrame:

@@ -289,11 +289,22 @@ def minutes_waterfill(spark, sf):
     return roster.fit_minutes(rows, "s_nationkey", "w").select("s_nationkey", "s_suppkey", F.round("minutes", 6).alias("minutes"))
 
 
+def _rotations(spark, sf):
+    """Rosters of about fifteen: customers of a nation with neighbouring keys. One in seven is new, some of those are forced."""
+    k, bal = F.col("c_custkey"), F.col("c_acctbal").cast("double")
+    position = F.get(F.array(*[F.lit(x) for x in ("G", "G-F", "F", "F-C", "C")]), (k % 5).cast("int"))
+    rows = read(spark, sf, "customer").select(F.format_string("%d/%d", "c_nationkey", F.floor(k / 375)).alias("roster"), "c_custkey", position.alias("position"), F.greatest(F.lit(0.0), bal / 10000).alias("quality"), (k % 37).cast("double").alias("minutes_per_game"), (k % 7 == 0).alias("new"), (k % 21 == 0).alias("forced"))
+    fitted = roster.fit_minutes(rows.filter("not new"), "roster", "minutes_per_game", "base", cap=42.0).select("c_custkey", F.when(k % 11 != 3, F.col("base")).otherwise(0.0).alias("base"))
+    return rows.join(fitted, "c_custkey", "left").drop("new")
+
+
 @query("allocation")
 def allocation(spark, sf):
-    c = read(spark, sf, "customer")
-    # Rosters of fifteen: customers of a nation with neighbouring keys.
-    ranked = windows.percentiles(c.select("c_custkey", "c_nationkey", "c_mktsegment", "c_acctbal"), ["c_custkey"], {"c_acctbal": True}, ["c_nationkey"])
-    rows = ranked.select(F.format_string("%d/%d", "c_nationkey", F.floor(F.col("c_custkey") / 375)).alias("roster"), "c_custkey", F.col("c_mktsegment").alias("place"), F.col("pct_c_acctbal").alias("quality"), (F.col("c_custkey") % 7 == 0).alias("newcomer"))
-    share = F.lit(16.0)
-    return roster.allocate(rows.withColumn("minutes", F.when(F.col("newcomer"), share * 2).otherwise(share)), "roster", "c_custkey")
+    made = roster.allocate(_rotations(spark, sf), "roster", "c_custkey")
+    return made.select("roster", F.explode("players").alias("x")).select("roster", F.col("x.player").alias("c_custkey"), "x.before", "x.after", "x.share")
+
+
+@query("allocation_audit")
+def allocation_audit(spark, sf):
+    made = roster.allocate(_rotations(spark, sf), "roster", "c_custkey")
+    return made.select("roster", F.explode("audit").alias("x")).select("roster", F.col("x.player").alias("c_custkey"), "x.requested", "x.open_used", "x.forced", "x.displaced", "x.blocked_by", "x.assigned", "x.unfilled")

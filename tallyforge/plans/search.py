@@ -188,12 +188,6 @@ def binned_aggregation(spark, sf):
     return read(spark, sf, "part").groupBy(evaluate.bins(F.col("p_size"), [15, 30]).alias("bin")).agg(F.count("*").alias("n"), F.round(F.avg("p_retailprice"), 4).alias("price"))
 
 
-@query("bootstrap_stability")
-def bootstrap_stability(spark, sf):
-    drawn = evaluate.bootstrap(read(spark, sf, "events").select("user_id", "event_id", "value"), "user_id", [F.col("event_id")], 7)
-    return drawn.groupBy("user_id").agg(F.sum("times").alias("draws"), (F.sum(F.col("value") * F.col("times")) / F.sum("times")).alias("mean_value"))
-
-
 @query("knn_cv", EMB + """, p AS (SELECT a.vec_id AS query, b.label AS y, list_dot_product(a.v, b.v) / sqrt(list_dot_product(a.v, a.v) * list_dot_product(b.v, b.v)) AS s, b.vec_id AS c FROM e a JOIN e b ON a.vec_id % 5 <> b.vec_id % 5),
 k AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY s DESC, c) AS r FROM p) SELECT query, round(sum(y / (1 - s + 0.01)) / sum(1 / (1 - s + 0.01)), 5) AS predicted FROM k WHERE r <= 15 GROUP BY query""")
 def knn_cv(spark, sf):

@@ -88,12 +88,13 @@ def cells_of(vector: Column, index: Cells, n: int) -> Column:
     return of(vector)
 
 
-def near_matches(queries: DataFrame, rows: DataFrame, key: str, vector: str, n: int, index: Cells, *, carry: Sequence[str] = ()) -> DataFrame:
+def near_matches(queries: DataFrame, rows: DataFrame, key: str, vector: str, n: int, index: Cells, *, carry: Sequence[str] = (), apart: str | None = None) -> DataFrame:
     """As retrieval.top_matches(), among the rows of the cells that each query looks into: query, key, cosine, carried columns, rank.
+    apart names a column of which a match has another value than the query.
 
     A row is in one cell and moves once for each BLOCK_ROWS queries of it. Rows without a vector match nothing.
     """
-    cols = list(dict.fromkeys([key, vector, *carry]))
+    cols = list(dict.fromkeys([key, vector, *carry, *([apart] if apart else [])]))
     kind = dict(rows.dtypes)
     r = kept(rows.select(*cols).withColumn("_cell", cells_of(F.col(vector), index, 1)[0]).filter("_cell is not null"), "cells")
     q = kept(queries.select(*cols).withColumn("_cell", F.explode(cells_of(F.col(vector), index, index.probes))), "probes")
@@ -109,6 +110,9 @@ def near_matches(queries: DataFrame, rows: DataFrame, key: str, vector: str, n:
         ks, ids = a.column(key).to_numpy(), b.column(key).to_numpy()
         sims = scores(units(matrix(a, vector)), units(matrix(b, vector))).reshape(len(ks), len(ids))
         sims[ks[:, None] == ids[None, :]] = -np.inf
+        if apart:
+            own, other = (np.array(t.column(apart).to_pylist(), dtype=object) for t in (a, b))
+            sims[own[:, None] == other[None, :]] = -np.inf
         at = np.argsort(-sims, axis=1, kind="stable")[:, :n]
         qi, ri = np.repeat(np.arange(len(ks)), at.shape[1]), at.ravel()
         ok = np.isfinite(sims[qi, ri])
@@ -122,9 +126,7 @@ def near_matches(queries: DataFrame, rows: DataFrame, key: str, vector: str, n:
 
 def near_pairs(rows: DataFrame, key: str, vector: str, other_than: str, n: int, index: Cells, *, each: int = 20) -> DataFrame:
     """The n pairs of different other_than with the largest cosine, of those in which one is among the other's `each` nearest."""
-    found = near_matches(rows, rows, key, vector, each, index, carry=[other_than])
-    own = rows.select(F.col(key).alias("query"), F.col(other_than).alias("_own"))
-    pairs = found.join(own, "query").filter(F.col("_own") != F.col(other_than))
+    pairs = near_matches(rows, rows, key, vector, each, index, apart=other_than)
     pairs = pairs.select(F.least("query", key).alias("a"), F.greatest("query", key).alias("b"), "cosine").groupBy("a", "b").agg(F.max("cosine").alias("cosine"))
     return pairs.orderBy(F.desc("cosine"), "a", "b").limit(n)
 

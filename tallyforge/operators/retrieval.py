@@ -128,7 +128,8 @@ def top_matches(queries: DataFrame, rows: DataFrame, key: str, vector: str, n: i
         qi, ri = qi[ok], ri[ok]
         return pa.table({"query": q.column(key).take(pa.array(qi)), key: r.column(key).take(pa.array(ri)), "cosine": sims[qi, ri], **{c: r.column(c).take(pa.array(ri)) for c in [*by, *carry]}})
 
-    found = block_pairs(queries.select(*cols), rows.select(*cols), key, by=by).applyInArrow(best, schema)
+    has = lambda df: df.filter(F.col(vector).isNotNull()).select(*cols)  # noqa: E731  a null vector matches nothing
+    found = block_pairs(has(queries), has(rows), key, by=by).applyInArrow(best, schema)
     places = Window.partitionBy(*by, "query").orderBy(F.desc("cosine"), key)
     return found.withColumn("rank", F.row_number().over(places)).filter(F.col("rank") <= n)
 

@@ -23,24 +23,6 @@ def test_minutes_fill_each_roster(spark, sf_dir):
         assert sum(minutes) == pytest.approx(min(240, 48 * positive), abs=1e-3)
 
 
-def test_allocation_keeps_caps(spark, sf_dir):
-    rows = QUERIES["allocation"](spark, sf_dir).collect()
-    assert len(rows) == spark.read.parquet(f"{sf_dir}/customer.parquet").count()
-    assert all(r["after"] >= -1e-9 for r in rows)
-    after: dict[str, float] = {}
-    before: dict[str, float] = {}
-    for r in rows:
-        after[r["roster"]] = after.get(r["roster"], 0) + r["after"]
-        before[r["roster"]] = before.get(r["roster"], 0) + r["before"]
-    assert all(after[k] <= max(240, before[k]) + 1e-6 for k in after)
-
-
-def test_bootstrap_draws_as_many_as_there_are(spark, sf_dir):
-    n = spark.read.parquet(f"{sf_dir}/events.parquet").groupBy("user_id").count()
-    both = QUERIES["bootstrap_stability"](spark, sf_dir).join(n, "user_id").collect()
-    assert both and all(r["draws"] == r["count"] for r in both)
-
-
 def test_predictions_are_in_range(spark, sf_dir):
     knn = QUERIES["knn_cv"](spark, sf_dir).collect()
     labels = [r["label"] for r in spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("label").distinct().collect()]

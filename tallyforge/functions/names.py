@@ -17,6 +17,13 @@ def folded(text: pd.Series) -> pd.Series:
     return text.map(fold, na_action="ignore")
 
 
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def folded_words(text: pd.Series) -> pd.Series:
+    """The words of a text, parted by white space, each as folded() has it."""
+    fold = lambda t: "".join(c for c in unicodedata.normalize("NFKD", t) if c.isalnum()).lower()
+    return text.map(lambda t: [fold(w) for w in t.split()], na_action="ignore")
+
+
 def folded_ascii(text: Column) -> Column:
     """The same for ASCII texts, without leaving the JVM."""
     return F.lower(F.regexp_replace(text, "[^A-Za-z0-9]", ""))
@@ -34,8 +41,7 @@ def search(rows: DataFrame, name: str, query: str, *, most_edits: int = 2, ascii
     if ascii_only:
         full = full.withColumn("_words", F.transform(F.split(F.trim(F.col(name)), r"\s+"), folded_ascii))
     else:
-        marked = fold(F.regexp_replace(F.trim(F.col(name)), r"\s+", "0x20x0"))
-        full = full.withColumn("_words", F.split(marked, "0x20x0"))
+        full = full.withColumn("_words", folded_words(F.col(name)))
     tier = (
         F.when((F.col("_full") == q) | F.array_contains("_words", wanted), 0)
         .when(F.exists("_words", lambda w: w.startswith(wanted)), 1)

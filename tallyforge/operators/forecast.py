@@ -8,8 +8,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyforge.functions.ratios import clip
+from tallyforge.operators import folds
 from tallyforge.operators.roster import fit_minutes
 from tallyforge.operators.windows import cumulative, on_group
+from tallyforge.sources.scratch import kept
 
 #: Shares of the talent index, and games of a season.
 ROTATION, TOP_THREE = 0.65, 0.35
@@ -21,21 +23,17 @@ def talent_index(rotation: Column, top_three: Column) -> Column:
 
 
 def talent_summary(rosters: DataFrame, history: DataFrame, key: str) -> DataFrame:
-    """talent_index of each roster, the percentage of history at or below it, and history's range."""
+    """talent_index of each roster, the percentage of history at or below it, and history's range; a roster without an index has nulls.
+
+    Rosters and history stand on one line on which only history has weight, so the running weight at a roster's value is the history up to it.
+    """
     index = talent_index(F.col("rotation_quality"), F.col("top_three_quality"))
-    past = history.select(index.alias("t")).filter("t is not null")
-    of = past.agg(F.count("*").alias("_n"), F.min("t").alias("historical_min"), F.max("t").alias("historical_max"))
-    # Rosters and history on one line: the count of history up to a roster's value is a running count.
-    line = rosters.select(F.col(key).alias("k"), index.alias("t"), F.lit(0).alias("past")).unionByName(past.select(F.lit(None).cast(rosters.schema[key].dataType).alias("k"), "t", F.lit(1).alias("past")))
-    marks = cumulative(line.filter("past = 1"), "t").select(F.col("v").alias("t"), F.col("upto").alias("_upto")).unionByName(line.filter("past = 0").select("t", F.lit(None).cast("long").alias("_upto"))).distinct()
-    ranges = marks.groupBy("t").agg(F.max("_upto").alias("_upto"))
-    w = Window.partitionBy(F.floor(F.col("t") * 64)).orderBy("t").rowsBetween(Window.unboundedPreceding, 0)
-    inside = ranges.withColumn("_own", F.max("_upto").over(w)).withColumn("_r", F.floor(F.col("t") * 64))
-    tops = inside.groupBy("_r").agg(F.max("_own").alias("_top"))
-    before = tops.withColumn("_before", F.max("_top").over(Window.partitionBy(F.lit(0)).orderBy("_r").rowsBetween(Window.unboundedPreceding, -1))).select("_r", "_before")  # a row a range
-    at = inside.join(before, "_r").select("t", F.coalesce("_own", "_before", F.lit(0)).alias("_upto"))
-    found = rosters.select(key, index.alias("talent_index")).join(at, F.col("talent_index") == F.col("t")).join(F.broadcast(of))
-    return found.select(key, "talent_index", (100 * F.col("_upto") / F.col("_n")).alias("historical_percentile"), "historical_min", "historical_max")
+    own, past = rosters.select(key, index.alias("talent_index")), history.select(index.alias("t")).filter("t is not null")
+    of = past.agg(F.min("t").alias("historical_min"), F.max("t").alias("historical_max"))
+    line = own.select(F.col("talent_index").alias("t"), F.lit(0).alias("past")).unionByName(past.withColumn("past", F.lit(1)))
+    at = cumulative(line, "t", weight="past").select("v", F.try_divide(100 * F.col("upto"), F.nullif("total", F.lit(0))).alias("historical_percentile"))
+    found = own.join(at, F.col("talent_index") == F.col("v"), "left").join(F.broadcast(of))  # a row
+    return found.select(key, "talent_index", "historical_percentile", "historical_min", "historical_max")
 
 
 def wins(net_rating: Column, slope: float | Column, intercept: float | Column) -> Column:
@@ -109,27 +107,19 @@ def left_out_lines(rows: DataFrame, season: str, x: str, y: str) -> DataFrame:
     return on_group(rows, both, [season]).withColumn("predicted", F.col("_s") * F.col(x) + F.col("_i")).drop("_s", "_i")
 
 
-def calibrator_errors(rows: DataFrame, season: str, net: str, won: str, games: str, steps: int = 12) -> DataFrame:
+def calibrator_errors(rows: DataFrame, season: str, net: str, won: str, games: str) -> DataFrame:
     """Mean absolute error of wins a season, by left-out seasons: of the logistic curve and of a line.
 
-    The logistic fits of all seasons run together by Newton steps on weighted rows, one aggregation a step; nothing is collected but `steps`.
+    The curves of all left-out seasons are fitted together (folds.win_curves).
     """
-    data = rows.select(season, F.col(net).cast("double").alias("x"), F.col(won).cast("double").alias("w"), F.col(games).cast("double").alias("g"))
-    seasons = data.select(F.col(season).alias("left_out")).distinct()
-    fit = seasons.select("left_out", F.lit(0.0).alias("a"), F.lit(0.0).alias("b"))
-    for _ in range(steps):
-        each = data.join(fit, F.col(season) != F.col("left_out"))
-        p = 1 / (1 + F.exp(-(F.col("a") * F.col("x") + F.col("b"))))
-        each = each.withColumn("r", F.col("w") - F.col("g") * p).withColumn("h", F.col("g") * p * (1 - p))
-        s = each.groupBy("left_out", "a", "b").agg(F.sum(F.col("r") * F.col("x")).alias("ga"), F.sum("r").alias("gb"), F.sum(F.col("h") * F.col("x") * F.col("x")).alias("haa"), F.sum(F.col("h") * F.col("x")).alias("hab"), F.sum("h").alias("hbb"))
-        det = F.nullif(F.col("haa") * F.col("hbb") - F.col("hab") * F.col("hab"), F.lit(0.0))
-        up = lambda top: F.coalesce(F.try_divide(top, det), F.lit(0.0))
-        fit = s.select("left_out", (F.col("a") + up(F.col("hbb") * F.col("ga") - F.col("hab") * F.col("gb"))).alias("a"), (F.col("b") + up(F.col("haa") * F.col("gb") - F.col("hab") * F.col("ga"))).alias("b"))
-        fit = fit.sparkSession.createDataFrame(fit.collect(), fit.schema)  # a row a season
-    actual = data.withColumn("y", F.lit(float(SEASON_GAMES)) * F.col("w") / F.col("g"))
-    lines = left_out_lines(actual, season, "x", "y")
-    both = lines.join(F.broadcast(fit), F.col(season) == F.col("left_out")).withColumn("bounded", wins(F.col("x"), F.col("a"), F.col("b")))
-    return both.agg(F.avg(F.abs(F.col("bounded") - F.col("y"))).alias("bounded_mae"), F.avg(F.abs(F.col("predicted") - F.col("y"))).alias("linear_mae"))
+    data = rows.select(F.col(season).alias("season"), F.col(net).cast("double").alias("x"), F.col(won).cast("double").alias("w"), F.col(games).cast("double").alias("g"))
+    data = kept(folds.left_out(data, "season").withColumn("y", F.lit(float(SEASON_GAMES)) * F.col("w") / F.col("g")), "fold-rows")
+    curves = folds.apply_lines(data, folds.win_curves(data, "x", "w", "g"), ["x"], "bounded", chance=True).withColumn("predicted", F.lit(float(SEASON_GAMES)) * F.col("predicted"))
+    found = folds.moments(data, ["x"], "y")
+    lines = folds.apply_lines(data, {f: m.line(folds.ridge(m, 0.0)) for f, m in found.items()}, ["x"], "linear")
+    error = F.abs(F.col("predicted") - F.col("y"))
+    of = lambda name: F.avg(F.when(F.col("model") == name, error)).alias(f"{name}_mae")
+    return curves.unionByName(lines).agg(of("bounded"), of("linear"))
 
 
 def held_out_errors(rows: DataFrame, target: str, actual: str, predicted: str, baseline: str) -> DataFrame:
@@ -178,15 +168,17 @@ def gate(rows: DataFrame, keys: Sequence[str], value: str, baseline: DataFrame,
 def permuted_labels(rows: DataFrame, key: str, label: str, times: int, seed: int = 3) -> DataFrame:
     """rows `times` over with the labels dealt anew among all keys by hash order: permutation, key, label.
 
-    Two range orders of the same rows are zipped by place; places come from running counts, so no task sorts all rows.
+    Two range orders of the same rows are zipped by place; places come from running counts, so no task sorts all rows. Keys
+    are unique; those of one hash follow each other by key, so every label is dealt once.
     """
-    many = rows.select(key, label, F.explode(F.sequence(F.lit(1), F.lit(times))).alias("permutation"))
+    many = kept(rows.select(key, label, F.explode(F.sequence(F.lit(1), F.lit(times))).alias("permutation")), "permutations")
     mark = lambda salt: (F.xxhash64(F.lit(seed + salt), F.col("permutation"), F.col(key)) / F.lit(float(1 << 63))).alias("h")
 
     def placed(salt: int, column: str) -> DataFrame:
-        marked = many.select("permutation", column, mark(salt))
-        order = cumulative(marked, "h", ["permutation"]).select("permutation", F.col("v").alias("h"), F.col("upto").alias("place"))
-        return marked.join(order, ["permutation", "h"]).select("permutation", "place", column)
+        marked = many.select("permutation", F.col(key).alias("_key"), F.col(column).alias(column), mark(salt))
+        order = cumulative(marked, "h", ["permutation"]).select("permutation", F.col("v").alias("h"), (F.col("upto") - F.col("n")).alias("before"))
+        nr = F.row_number().over(Window.partitionBy("permutation", "h").orderBy("_key"))  # nearly always one row
+        return marked.join(order, ["permutation", "h"]).select("permutation", (F.col("before") + nr).alias("place"), column)
 
     return placed(0, key).join(placed(1, label), ["permutation", "place"]).drop("place")
 
@@ -200,6 +192,20 @@ def group_weights(budgets: dict[str, float], members: dict[str, Sequence[str]])
     return {f: w / mean for f, w in raw.items()}
 
 
+def group_shares(rows: DataFrame, keys: Sequence[str], weights: dict[str, float], members: dict[str, Sequence[str]]) -> DataFrame:
+    """For each row the weighted squared distance from the mean row, and the share of it that each group of features makes.
+
+    Features are standardised over all rows (population deviation; one that doesn't vary counts 0; null is the mean).
+    """
+    names = [f for fs in members.values() for f in fs]
+    stats = rows.agg(*[F.avg(f).alias(f"m_{f}") for f in names], *[F.stddev_pop(f).alias(f"s_{f}") for f in names])
+    z = lambda f: F.coalesce(F.try_divide(F.col(f) - F.col(f"m_{f}"), F.nullif(F.col(f"s_{f}"), F.lit(0.0))), F.lit(0.0))
+    parts = {g: sum((F.lit(weights[f] ** 2) * z(f) * z(f) for f in fs), F.lit(0.0)) for g, fs in members.items()}
+    out = rows.join(F.broadcast(stats)).select(*keys, *[p.alias(f"_{g}") for g, p in parts.items()])  # a row of statistics
+    total = sum((F.col(f"_{g}") for g in parts), F.lit(0.0))
+    return out.select(*keys, total.alias("distance"), *[F.try_divide(F.col(f"_{g}"), F.nullif(total, F.lit(0.0))).alias(f"{g}_share") for g in parts])
+
+
 def half_reliability(games: Column, minutes: Column, shots: Column, half: bool = False) -> Column:
     """Reliability of a (half) season within 0.05 and 1."""
     k = 0.5 if half else 1.0

@@ -42,10 +42,3 @@ def penalised_line(rows: DataFrame, features: Sequence[str], label: str, alpha:
     one, two = alpha * l1_share, alpha * (1 - l1_share) * spread  # the library scales only the squared penalty by the spread
     model = LinearRegression(featuresCol="features", labelCol="_label", regParam=one + two, elasticNetParam=one / (one + two) if one + two else 0.0, standardization=False, solver="l-bfgs", maxIter=500, tol=1e-9).fit(data)
     return model, data
-
-
-def win_share(rows: DataFrame, x: str, wins: str, losses: str):
-    """Logistic share of wins on one feature, from two weighted rows a team instead of one a game."""
-    sides = rows.select(F.col(x).cast("double").alias("_x"), F.explode(F.array(F.struct(F.lit(1.0).alias("y"), F.col(wins).cast("double").alias("w")), F.struct(F.lit(0.0).alias("y"), F.col(losses).cast("double").alias("w")))).alias("s"))
-    data = VectorAssembler(inputCols=["_x"], outputCol="features").transform(sides.select("_x", "s.y", "s.w"))
-    return LogisticRegression(featuresCol="features", labelCol="y", weightCol="w", regParam=0.0, maxIter=200).fit(data)

@@ -139,6 +139,48 @@ def nearest_groups(groups: DataFrame, key: str, features: Sequence[str], value,
     return both.withColumn("distance", F.sqrt(gap)).withColumn("similarity", 1 / (1 + F.col("distance"))).select(key, "distance", "similarity").orderBy("distance", key).limit(n)
 
 
+def assess_support(new: DataFrame, history: DataFrame, key: str, features: Sequence[str], quantile: float = 0.95) -> DataFrame:
+    """For each row of new: nearest_distance and nearest (key) in history, support_threshold, distance_ratio, is_supported, violations.
+
+    Features are filled by history's medians and standardised by its means and population deviations (one that doesn't vary counts 0). The threshold is the quantile of
+    the distances of history's rows to their nearest other. violations are the features outside history's range, with value, lowest,
+    highest and direction; a null feature violates nothing. History of fewer than three rows is an error, as is a quantile outside 0 to 1.
+    """
+    if not 0 < quantile < 1:
+        raise ValueError("the quantile must be between 0 and 1")
+    if history.limit(3).count() < 3:
+        raise ValueError("history needs three rows")
+    as_doubles = lambda df: df.select(key, *[F.col(f).cast("double").alias(f) for f in features])
+    past, rows = as_doubles(history), as_doubles(new)
+    long = past.unpivot([key], list(features), "feature", "x")
+    middle = exact_quantiles(long, "x", [0.5], ["feature"]).agg(*[F.max(F.when(F.col("feature") == f, F.col("q0"))).alias(f"d_{f}") for f in features])
+    fill = lambda df: df.join(F.broadcast(middle)).select(key, *[F.coalesce(f, f"d_{f}", F.lit(0.0)).alias(f) for f in features])
+    filled = fill(past)
+    stats = filled.agg(*[F.avg(f).alias(f"m_{f}") for f in features], *[F.stddev_pop(f).alias(f"s_{f}") for f in features])
+    z = [F.coalesce(F.try_divide(F.col(f) - F.col(f"m_{f}"), F.nullif(F.col(f"s_{f}"), F.lit(0.0))), F.lit(0.0)) for f in features]
+    scaled = lambda df: df.join(F.broadcast(stats)).select(key, F.array(*z).alias("v"))
+    place, ask = scaled(filled), scaled(fill(rows))
+    edge = support(place, key, "v", quantile).agg(F.max("threshold").alias("support_threshold"))
+    kind = history.schema[key].dataType.simpleString()
+
+    def scan(pair: pa.Table) -> pa.Table:
+        q, r = side(pair, 0, key), side(pair, 1, key)
+        a, b = matrix(q, "v"), matrix(r, "v")
+        if not len(a) or not len(b):
+            return pa.table({key: q.column(key).slice(0, 0), "d": pa.array([], pa.float64()), "n": r.column(key).slice(0, 0)})
+        d = np.stack([np.sqrt(((row - b) ** 2).sum(axis=1)) for row in a])
+        at = d.argmin(axis=1)
+        return pa.table({key: q.column(key), "d": d[np.arange(len(a)), at], "n": r.column(key).take(pa.array(at))})
+
+    near = block_pairs(ask, place, key).applyInArrow(scan, f"{key} {kind}, d double, n {kind}").groupBy(key).agg(F.min(F.struct("d", "n")).alias("b"))
+    ends = past.agg(*[F.min(f).alias(f"lo_{f}") for f in features], *[F.max(f).alias(f"hi_{f}") for f in features])
+    out = [F.when((F.col(f) < F.col(f"lo_{f}")) | (F.col(f) > F.col(f"hi_{f}")), F.struct(F.lit(f).alias("feature"), F.col(f).alias("value"), F.col(f"lo_{f}").alias("lowest"), F.col(f"hi_{f}").alias("highest"), F.when(F.col(f) < F.col(f"lo_{f}"), "below").otherwise("above").alias("direction"))) for f in features]
+    checked = rows.join(F.broadcast(ends)).select(key, F.array_compact(F.array(*out)).alias("violations"))
+    both = near.join(F.broadcast(edge)).join(checked, key)
+    ratio = F.when(F.col("support_threshold") > 0, F.col("b.d") / F.col("support_threshold")).otherwise(float("inf"))
+    return both.select(key, F.col("b.d").alias("nearest_distance"), F.col("b.n").alias("nearest"), "support_threshold", ratio.alias("distance_ratio"), (F.col("b.d") <= F.col("support_threshold")).alias("is_supported"), "violations")
+
+
 def support(groups: DataFrame, key: str, vector: str, quantile: float = 0.95) -> DataFrame:
     """Each group's distance to its nearest other, and whether that is within the given quantile of all.
 

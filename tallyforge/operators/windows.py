@@ -11,35 +11,35 @@ from pyspark.sql import functions as F
 from tallyforge.sources.scratch import kept
 
 
-def percentile_rank(value: Column, group: Sequence[Column], higher_is_better: bool = True) -> Column:
-    """Rank over the number of values, ties sharing their mean rank; null for null.
-
-    Partitions by `group`; for a whole large table use percentile_table(), which has no global window.
-    """
-    g = Window.partitionBy(*group)
-    order = value.asc_nulls_last() if higher_is_better else value.desc_nulls_last()
-    ties = F.count(value).over(Window.partitionBy(*group, value))
-    return F.when(value.isNotNull(), (F.rank().over(g.orderBy(order)) + (ties - 1) / 2) / F.count(value).over(g))
+#: Distinct values that one task orders, about, and the most ranges that values are cut into.
+RANGE_VALUES, MOST_RANGES = 200_000, 1024
 
 
-def on_group(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
+def on_group(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
     """left with the columns of right, one row for each value of keys; nulls are a value. Without keys, right has one row."""
     if not keys:
         return left.join(F.broadcast(right))
     right = right.withColumnsRenamed({k: f"_of_{k}" for k in keys})
     same = [F.col(k).eqNullSafe(F.col(f"_of_{k}")) for k in keys]
-    return left.join(right, reduce(lambda a, b: a & b, same)).drop(*[f"_of_{k}" for k in keys])
+    return left.join(right, reduce(lambda a, b: a & b, same), how).drop(*[f"_of_{k}" for k in keys])
 
 
-def cumulative(df: DataFrame, value: str, group: Sequence[str] = (), ranges: int = 64) -> DataFrame:
-    """Each distinct value v of each group with n (its rows), upto (rows up to it, its own included) and total.
+def cumulative(df: DataFrame, value: str, group: Sequence[str] = (), ranges: int | None = None, weight: str | None = None) -> DataFrame:
+    """Each distinct value v of each group with n (its rows, or their weights), upto (rows up to it, its own included) and total.
 
-    Values are counted first. Ranges of values are then cut at approximate quantiles: a running count inside each range and
-    the sums of the ranges before make the running count of the group, so no task holds a group and nothing goes to the driver.
+    Values are counted first. Ranges of values are then cut at approximate quantiles, as many as the counted values need: a running
+    count inside each range and the sums of the ranges before make the running count of the group, so no task holds a group and nothing
+    goes to the driver. Values that one task can order are one range.
     """
     v = F.col(value).cast("double")
-    counts = kept(df.filter(v.isNotNull()).groupBy(*group, v.alias("v")).agg(F.count("*").alias("n")), "value-counts")
-    edges = counts.groupBy(*group).agg(F.percentile_approx("v", [i / ranges for i in range(1, ranges)], 1000).alias("_edges"), F.sum("n").alias("total"))
+    size = F.count("*") if weight is None else F.sum(weight)
+    counts = kept(df.filter(v.isNotNull()).groupBy(*group, v.alias("v")).agg(size.alias("n")), "value-counts")
+    ranges = ranges or min(MOST_RANGES, -(-counts.count() // RANGE_VALUES))
+    if ranges <= 1:
+        w = Window.partitionBy(*(group or [F.lit(0)])).orderBy("v")
+        run = counts.withColumn("upto", F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+        return run.withColumn("total", F.sum("n").over(Window.partitionBy(*(group or [F.lit(0)])))).select(*group, "v", "n", "total", "upto")
+    edges = counts.groupBy(*group).agg(F.percentile_approx("v", [i / ranges for i in range(1, ranges)], max(1000, 10 * ranges)).alias("_edges"), F.sum("n").alias("total"))
     placed = on_group(counts, edges, group).withColumn("_range", F.size(F.filter("_edges", lambda e: e < F.col("v")))).drop("_edges")
     before = F.sum("_sum").over(Window.partitionBy(*group).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))
     sums = placed.groupBy(*group, "_range").agg(F.sum("n").alias("_sum")).withColumn("_before", F.coalesce(before, F.lit(0))).drop("_sum")
@@ -82,16 +82,10 @@ def exact_quantiles(df: DataFrame, value: str, at: Sequence[float], group: Seque
     return found.select(*group, *[(F.col(f"_lo{i}") + part[i] * (F.col(f"_hi{i}") - F.col(f"_lo{i}"))).alias(f"q{i}") for i in range(len(at))])
 
 
-def standard_score(value: Column, group: Sequence[Column]) -> Column:
-    """Distance from the group's mean in sample standard deviations; null where they are 0."""
-    g = Window.partitionBy(*group)
-    return (value - F.avg(value).over(g)) / F.nullif(F.stddev_samp(value).over(g), F.lit(0.0))
-
-
 def fill_median(df: DataFrame, value: str, group: Sequence[str], into: str) -> DataFrame:
     """Null values get their group's median, or 0 where the group has no value."""
-    medians = df.groupBy(*group).agg(F.median(value).alias("_median"))
-    return df.join(medians, list(group)).withColumn(into, F.coalesce(F.col(value), "_median", F.lit(0.0))).drop("_median")
+    medians = exact_quantiles(df, value, [0.5], group).withColumnRenamed("q0", "_median")
+    return on_group(df, medians, group, "left").withColumn(into, F.coalesce(F.col(value), "_median", F.lit(0.0))).drop("_median")
 
 
 def pick(df: DataFrame, group: Sequence[str], order: Sequence[Column], n: int = 1, rank: str | None = None) -> DataFrame:

@@ -149,7 +149,14 @@ def view_profiles(spark, sf):
     return _rounded(out.select("user_id", "view", "games_played", forecast.half_reliability(F.col("games_played"), F.col("minutes_total"), F.col("shot_attempts"), half=True).alias("reliability")), ["user_id", "view"], 8)
 
 
-@query("group_weights", "SELECT 'a' AS feature, round(sqrt(0.5 / 2) / ((2 * sqrt(0.25) + sqrt(0.5)) / 3), 9) AS weight UNION ALL SELECT 'b', round(sqrt(0.5 / 2) / ((2 * sqrt(0.25) + sqrt(0.5)) / 3), 9) UNION ALL SELECT 'c', round(sqrt(0.5) / ((2 * sqrt(0.25) + sqrt(0.5)) / 3), 9)")
+GROUPS = {"money": ["acctbal"], "place": ["nation", "segment"]}
+
+
+@query("group_weights", """WITH c AS (SELECT c_custkey, CAST(c_acctbal AS DOUBLE) AS acctbal, CAST(c_nationkey AS DOUBLE) AS nation, CAST(length(c_mktsegment) AS DOUBLE) AS segment FROM customer), w AS (SELECT sqrt(0.6) AS a, sqrt(0.4 / 2) AS b, (sqrt(0.6) + 2 * sqrt(0.4 / 2)) / 3 AS m),
+z AS (SELECT c_custkey, (a / m * (acctbal - avg(acctbal) OVER ()) / stddev_pop(acctbal) OVER ()) ** 2 AS money, (b / m * (nation - avg(nation) OVER ()) / stddev_pop(nation) OVER ()) ** 2 + (b / m * (segment - avg(segment) OVER ()) / stddev_pop(segment) OVER ()) ** 2 AS place FROM c, w)
+SELECT c_custkey, round(money + place, 8) AS distance, round(money / (money + place), 8) AS money_share, round(place / (money + place), 8) AS place_share FROM z""")
 def group_weights(spark, sf):
-    found = forecast.group_weights({"x": 0.5, "y": 0.5}, {"x": ["a", "b"], "y": ["c"]})
-    return _rounded(spark.createDataFrame(list(found.items()), "feature string, weight double"), ["feature"])
+    """The share that each group of features makes of a customer's weighted distance from the mean, by the groups' budgets."""
+    rows = read(spark, sf, "customer").select("c_custkey", F.col("c_acctbal").cast("double").alias("acctbal"), F.col("c_nationkey").cast("double").alias("nation"), F.length("c_mktsegment").cast("double").alias("segment"))
+    weights = forecast.group_weights({"money": 0.6, "place": 0.4}, GROUPS)
+    return _rounded(forecast.group_shares(rows, ["c_custkey"], weights, GROUPS), ["c_custkey"], 8)

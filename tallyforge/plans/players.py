@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tallyforge.functions import labels
 from tallyforge.operators import events, features
 from tallyforge.plans.base import query, read
+from tallyforge.plans.base import rounded as _rounded
 from tallyforge.plans.profiles import RANK
 from tallyforge.plans.seasons import ORDERS, _orders
 
@@ -63,11 +64,6 @@ def _impact(spark, sf):
     return rows.join(seasons, "player_id").withColumn("o_dpm", F.col("dpm") / 2).withColumn("d_dpm", F.col("dpm") / 2)
 
 
-def _rounded(df, keys, digits=9):
-    kinds = dict(df.dtypes)
-    return df.select(*keys, *[F.round(c, digits).alias(c) if kinds[c] == "double" else F.col(c) for c in df.columns if c not in keys])
-
-
 RATES = {"field_goal_attempts_per_36": "36 * field_goal_attempts_total / nullif(minutes_total, 0)", "assists_per_36": "36 * assists_total / nullif(minutes_total, 0)", "blocks_per_36": "36 * blocks_total / nullif(minutes_total, 0)",
          "three_point_attempt_rate": "three_point_attempts_total / nullif(field_goal_attempts_total, 0)", "free_throw_attempt_rate": "free_throw_attempts_total / nullif(field_goal_attempts_total, 0)",
          "assist_turnover_ratio": "assists_total / nullif(turnovers_total, 0)", "used_per_36": "36 * (field_goal_attempts_total + 0.44 * free_throw_attempts_total + turnovers_total) / nullif(minutes_total, 0)"}

@@ -11,6 +11,7 @@ from tallyforge.functions.ratios import clip, logistic, shrink
 from tallyforge.functions.vectors import dense
 from tallyforge.operators import aggregate, events, evidence, roster, team, windows
 from tallyforge.plans.base import query, read
+from tallyforge.plans.base import rounded as _rounded
 
 #: The events table stands in for shots: its kinds become names, value / 10 the distance, even k in props a make.
 KINDS = {"view": ("Restricted Area", "driving layup"), "click": ("In The Paint (Non-RA)", "hook shot"), "signup": ("Mid-Range", "pullup jump shot"), "purchase": ("Above the Break 3", "step back jump shot"), "error": ("Backcourt", "jump shot")}
@@ -246,6 +247,27 @@ def support_check(spark, sf):
     return roster.support(rows, "k", "v").select("k", F.round("nearest", 4).alias("nearest"), "supported")
 
 
+_SUPPORT = """WITH h AS (SELECT (c_nationkey * 5 + c_custkey % 5)::BIGINT AS k, CASE WHEN c_nationkey % 6 <> 1 THEN avg(CAST(c_acctbal AS DOUBLE)) END AS a, CAST(count(*) AS DOUBLE) AS b, CAST(max(c_acctbal) - min(c_acctbal) AS DOUBLE) AS c FROM customer GROUP BY c_nationkey, c_custkey % 5),
+n AS (SELECT (1000 + s_nationkey)::BIGINT AS k, avg(CAST(s_acctbal AS DOUBLE)) * 1.5 AS a, CAST(count(*) AS DOUBLE) AS b, CASE WHEN s_nationkey % 4 <> 2 THEN CAST(max(s_acctbal) - min(s_acctbal) AS DOUBLE) END AS c FROM supplier GROUP BY s_nationkey),
+d AS (SELECT median(a) AS a, median(b) AS b, median(c) AS c FROM h), f AS (SELECT k, coalesce(h.a, d.a) AS a, coalesce(h.b, d.b) AS b, coalesce(h.c, d.c) AS c FROM h, d), g AS (SELECT k, coalesce(n.a, d.a) AS a, coalesce(n.b, d.b) AS b, coalesce(n.c, d.c) AS c FROM n, d),
+s AS (SELECT avg(a) AS ma, stddev_pop(a) AS sa, avg(b) AS mb, stddev_pop(b) AS sb, avg(c) AS mc, stddev_pop(c) AS sc FROM f), t AS (SELECT quantile_cont(m, 0.95) AS t FROM (SELECT x.k, min(sqrt(((x.a - y.a) / sa) ** 2 + ((x.b - y.b) / sb) ** 2 + ((x.c - y.c) / sc) ** 2)) AS m FROM f x JOIN f y ON x.k <> y.k, s GROUP BY x.k)),
+p AS (SELECT x.k, sqrt(((x.a - y.a) / sa) ** 2 + ((x.b - y.b) / sb) ** 2 + ((x.c - y.c) / sc) ** 2) AS m, y.k AS o FROM g x, f y, s), q AS (SELECT k, min(m) AS m, arg_min(o, m) AS o FROM p GROUP BY k), r AS (SELECT min(a) AS la, max(a) AS ha, min(b) AS lb, max(b) AS hb, min(c) AS lc, max(c) AS hc FROM h)
+SELECT q.k, round(m, 6) AS nearest_distance, o AS nearest, round(t, 6) AS support_threshold, round(m / t, 6) AS distance_ratio, m <= t AS is_supported, concat_ws(',', CASE WHEN a < la THEN 'a below' WHEN a > ha THEN 'a above' END, CASE WHEN b < lb THEN 'b below' WHEN b > hb THEN 'b above' END, CASE WHEN c < lc THEN 'c below' WHEN c > hc THEN 'c above' END) AS violations FROM q JOIN n USING (k), t, r"""
+
+
+@query("roster_support", _SUPPORT)
+def roster_support(spark, sf):
+    c, s = read(spark, sf, "customer"), read(spark, sf, "supplier")
+    spread = lambda x: (F.max(x) - F.min(x)).cast("double")
+    past = c.groupBy("c_nationkey", (F.col("c_custkey") % 5).alias("m")).agg(F.avg(F.col("c_acctbal").cast("double")).alias("a"), F.count("*").alias("b"), spread("c_acctbal").alias("c"))
+    past = past.select((F.col("c_nationkey") * 5 + F.col("m")).cast("long").alias("k"), F.when(F.col("c_nationkey") % 6 != 1, F.col("a")).alias("a"), "b", "c")
+    new = s.groupBy("s_nationkey").agg((F.avg(F.col("s_acctbal").cast("double")) * 1.5).alias("a"), F.count("*").alias("b"), spread("s_acctbal").alias("c"))
+    new = new.select((1000 + F.col("s_nationkey")).cast("long").alias("k"), "a", "b", F.when(F.col("s_nationkey") % 4 != 2, F.col("c")).alias("c"))
+    out = roster.assess_support(new, past, "k", ["a", "b", "c"])
+    shown = F.array_join(F.transform("violations", lambda v: F.concat_ws(" ", v["feature"], v["direction"])), ",")
+    return _rounded(out.withColumn("violations", shown), ["k"], 6)
+
+
 @query("midrank_percentile", "SELECT c_custkey, round((count(s_suppkey) FILTER (s_acctbal < c_acctbal) + count(s_suppkey) FILTER (s_acctbal <= c_acctbal) + 1) / (2 * count(s_suppkey)), 6) AS midrank FROM customer JOIN supplier ON s_nationkey = c_nationkey GROUP BY c_custkey")
 def midrank_percentile(spark, sf):
     c = read(spark, sf, "customer").select("c_custkey", F.col("c_nationkey").alias("n"), "c_acctbal")

@@ -11,7 +11,7 @@ def scratch(spark: SparkSession, name: str) -> str:
     """A new folder that driver and executors share, in spark.checkpoint.dir; a local master may have one of its own."""
     conf = spark.sparkContext.getConf()
     named = spark.conf.get("spark.checkpoint.dir", None) or conf.get("spark.checkpoint.dir")
-    if not named and not conf.get("spark.master", "").startswith("local"):
+    if not named and not (conf.get("spark.master", "").startswith("local[") or conf.get("spark.master", "") == "local"):
         raise ValueError("spark.checkpoint.dir names no folder that driver and executors share")
     return f"{(named or '/tmp/checkpoints/tallyforge').rstrip('/')}/{name}-{uuid.uuid4().hex}"
 

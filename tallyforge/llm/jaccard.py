@@ -1,9 +1,10 @@
 """N-gram Jaccard join through PartEnum signatures, and the groups that its links make.
 
 1. Each text becomes a set of word shingles; equal sets are one class (a class has one node however many copies it has).
-2. A class emits its signatures (shingles.PartEnum): any two similar sets share at least one. Of the classes of a
-   batch that share one, all but the first are tied to it there and then, so a signature that very many sets share
-   doesn't pile up. What signatures tie together, directly or not, is a candidate group: all links are within groups.
+2. A class emits its signatures (shingles.PartEnum): any two similar sets share at least one. Classes that share one are tied
+   two by two where they are few (FEW), and such a tie goes if the parity bits of the two sets already differ in more places than
+   linked sets may. Where they are more, all are tied to the first of them, in a batch there and then, so a signature that very
+   many sets share doesn't pile up; those ties stay. What ties hold together, directly or not, is a candidate group: all links are within groups.
 3. All sets of a group are compared with one of them, its pivot. D(X) is what X has and the pivot P hasn't or the other
    way round. Those that link with P are of one component.
 4. Groups of more than one component get a second pivot: the set that is nearest to the group's majority (the elements that more than
@@ -31,9 +32,11 @@ from pyspark.sql import types as T
 
 from tallyforge.llm.common import discard, fresh, join_skewed, materialize, table
 from tallyforge.llm.components import components
-from tallyforge.llm.shingles import PartEnum, mix, parity, set_digest, shared_pairs, shingle_set
+from tallyforge.llm.shingles import PartEnum, mix, odd_bits, odd_gap, parity, set_digest, shared_pairs, shingle_set
 
-SET = T.StructType([T.StructField("n", T.LongType()), T.StructField("cls", T.BinaryType())])
+SET = T.StructType([T.StructField("n", T.LongType()), T.StructField("cls", T.BinaryType()), T.StructField("bits", T.BinaryType())])
+#: Classes that share a signature and are tied two by two, at most.
+FEW = 6
 #: Up to so many ids of documents that share a signature are broadcast (16 bytes each); more meet their texts by shuffle.
 BROADCAST_IDS = 1_000_000
 EMITTED = 50_000  # classes that a task remembers having emitted
@@ -52,32 +55,42 @@ def _texts(column: pa.Array) -> Iterator[bytes | None]:
 
 
 def shingle_classes(docs: DataFrame, id_col: str, text: str, words: int) -> DataFrame:
-    """id, h (hash of the text), n (size of the set), cls (its digest, null if it is empty) for each row."""
+    """id, h (hash of the text), n (size of the set), cls (its digest, null if it is empty) and bits (shingles.odd_bits) for each row."""
 
     @F.arrow_udf(SET)
     def classes(t: pa.Array) -> pa.Array:
         sets = (shingle_set(x, words) for x in _texts(t))  # one at a time
-        return pa.array([{"n": len(s), "cls": set_digest(s) if len(s) else None} for s in sets], type=pa.struct([("n", pa.int64()), ("cls", pa.binary())]))
+        found = [{"n": len(s), "cls": set_digest(s), "bits": odd_bits(s)} if len(s) else {"n": 0, "cls": None, "bits": None} for s in sets]
+        return pa.array(found, type=pa.struct([("n", pa.int64()), ("cls", pa.binary()), ("bits", pa.binary())]))
 
-    return docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("h"), classes(F.col(text).cast("string")).alias("s")).select("id", "h", "s.n", "s.cls")
+    return docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("h"), classes(F.col(text).cast("string")).alias("s")).select("id", "h", "s.n", "s.cls", "s.bits")
 
 
-def _tied(sigs: np.ndarray, hs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The same ties with fewer rows a signature: its first class stays, each other shares a made-up one with that first."""
+def _tied(sigs: np.ndarray, hs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Signatures, classes and whether a row stands for many: the same ties with fewer rows for a signature of more than FEW classes.
+
+    Its first class stays, marked, and each other shares a made-up signature with that first, marked too.
+    """
     order = np.lexsort((hs, sigs))
     sigs, hs = sigs[order], hs[order]
     first = np.concatenate([[True], sigs[1:] != sigs[:-1]])
+    at = np.flatnonzero(first)
+    many = (np.diff(np.concatenate([at, [len(sigs)]])) > FEW)[np.cumsum(first) - 1]
     to = hs[np.maximum.accumulate(np.where(first, np.arange(len(sigs)), 0))]
-    ties = np.unique(np.stack([hs[~first], to[~first]], axis=1), axis=0)
+    others = many & ~first
+    ties = np.unique(np.stack([hs[others], to[others]], axis=1), axis=0)
     ties = ties[ties[:, 0] != ties[:, 1]]
     made = mix(ties[:, 0].view(np.uint64) * np.uint64(0xD6E8FEB86659FD93) + mix(ties[:, 1].view(np.uint64)))
-    return np.concatenate([sigs[first], made, made]), np.concatenate([hs[first], ties[:, 0], ties[:, 1]])
+    stay = first | ~many
+    marks = np.concatenate([many[stay], np.ones(2 * len(made), dtype=bool)])
+    return np.concatenate([sigs[stay], made, made]), np.concatenate([hs[stay], ties[:, 0], ties[:, 1]]), marks
 
 
 def signatures(docs: DataFrame, text: str, words: int, num: int, den: int) -> DataFrame:
-    """sig and h (first half of the digest) of the sets of docs; texts without words have none.
+    """sig, h (first half of the digest) and many of the sets of docs; null texts and those without words have none.
 
-    Classes of a batch that share a signature are tied by made-up ones (see _tied), which tie the same classes together.
+    Of the classes of a batch that share a signature with many others, all but one have made-up ones instead (see _tied), which
+    tie the same classes together. Equal texts of a batch count once. Columns of docs other than the text aren't read.
     """
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -86,7 +99,7 @@ def signatures(docs: DataFrame, text: str, words: int, num: int, den: int) -> Da
 
         def batch() -> pa.RecordBatch:
             flat = _tied(np.concatenate(sigs), np.repeat(np.array(hs, dtype=np.int64), [len(s) for s in sigs]))
-            return pa.RecordBatch.from_arrays([pa.array(flat[0].view(np.int64)), pa.array(flat[1])], ["sig", "h"])
+            return pa.RecordBatch.from_arrays([pa.array(flat[0].view(np.int64)), pa.array(flat[1]), pa.array(flat[2])], ["sig", "h", "many"])
 
         for b in batches:
             for x in _texts(b.column(0)):
@@ -109,7 +122,37 @@ def signatures(docs: DataFrame, text: str, words: int, num: int, den: int) -> Da
         if sigs:
             yield batch()
 
-    return docs.select(F.col(text).cast("string").alias("text")).mapInArrow(emit, "sig long, h long")
+    return docs.select(F.col(text).cast("string").alias("text")).mapInArrow(emit, "sig long, h long, many boolean")
+
+
+def _ties(shared: DataFrame, classes: DataFrame, num: int, den: int) -> DataFrame:
+    """a and b: ties by signatures (sig, h, many) that may hold a link; classes has cls, n and bits."""
+    w = Window.partitionBy("sig")
+    once = shared.repartition("sig").groupBy("sig", "h").agg(F.max("many").alias("many"))  # where the signature is, so rows move once
+    marked = once.select("sig", "h", F.min("h").over(w).alias("b"), F.count("*").over(w).alias("times"), F.max("many").over(w).alias("many"))
+    marked = materialize(marked.filter("times > 1"), "shared")
+    star = (F.col("times") > FEW) | F.col("many")
+    kept = marked.filter(star & (F.col("h") != F.col("b"))).select(F.col("h").alias("a"), "b").distinct()
+    few = marked.filter(~star).groupBy("sig").agg(F.array_sort(F.collect_set("h")).alias("hs")).select("hs").distinct()
+    pairs = F.flatten(F.transform("hs", lambda x, i: F.transform(F.slice("hs", i + 2, FEW), lambda y: F.struct(y.alias("a"), x.alias("b")))))
+    pairs = materialize(few.select(F.explode(pairs).alias("p")).select("p.a", "p.b").distinct(), "pairs")
+    short = classes.select(_short_udf("cls").alias("h"), "n", "bits").groupBy("h").agg(F.max("n").alias("n"), F.max("bits").alias("bits"), F.count("*").alias("times"))
+    # Classes of one short digest can't be told apart here, so their ties stay.
+    known = materialize(short.select("h", "n", F.when(F.col("times") == 1, F.col("bits")).alias("bits")), "bits")
+    both = pairs.join(known.select(F.col("h").alias("a"), "n", "bits"), "a").join(known.select(F.col("h").alias("b"), F.col("n").alias("m"), F.col("bits").alias("others")), "b")
+
+    @F.arrow_udf("boolean")
+    def may_link(n: pa.Array, bits: pa.Array, m: pa.Array, others: pa.Array) -> pa.Array:
+        out = []
+        for a, x, b, y in zip(n, bits, m, others, strict=True):
+            a, x, b, y = a.as_py(), x.as_py(), b.as_py(), y.as_py()
+            differ = 0 if x is None or y is None else odd_gap(x, y)
+            out.append(den * (a + b - differ) >= num * (a + b + differ))
+        return pa.array(out, pa.bool_())
+
+    out = materialize(kept.unionByName(both.filter(may_link("n", "bits", "m", "others")).select("a", "b")), "ties")
+    discard(shared.sparkSession, marked, pairs, known)
+    return out
 
 
 def _node(doc: str, cls: str) -> Column:
@@ -303,12 +346,9 @@ def link(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text", words:
     rows = materialize(shingle_classes(docs, id_col, text, words), "classes")
     filled = rows.filter(F.col("cls").isNotNull())
     row = F.struct(F.col("id").isNull().alias("no_id"), "id", "h")
-    classes = filled.groupBy("cls").agg(F.min(row).alias("row"), F.max("n").alias("n"), F.count("*").alias("copies"))
-    classes = materialize(classes.select("cls", "row.id", "row.h", "n", "copies"), "class-nodes")
-
-    shared = signatures(docs, text, words, num, den).withColumn("b", F.min("h").over(Window.partitionBy("sig")))
-    ties = materialize(shared.filter("h <> b").select(F.col("h").alias("a"), "b").distinct(), "ties")
-    discard(docs.sparkSession)
+    classes = filled.groupBy("cls").agg(F.min(row).alias("row"), F.max("n").alias("n"), F.max("bits").alias("bits"), F.count("*").alias("copies"))
+    classes = materialize(classes.select("cls", "row.id", "row.h", "n", "copies", "bits"), "class-nodes")
+    ties = _ties(signatures(docs, text, words, num, den), classes, num, den)
     group = _groups(ties).withColumnsRenamed({"node": "short", "root": "g"})
     # Classes of one short digest are in one group, which is as good as any that holds both.
     members = classes.withColumn("short", _short_udf("cls")).join(group, "short")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tallyforge.llm import common, jaccard
 from tallyforge.llm.common import discard, join_skewed, materialize
-from tallyforge.llm.shingles import PartEnum, parity, shared_pairs
+from tallyforge.llm.shingles import PartEnum, odd_bits, odd_gap, parity, shared_pairs
 
 
 def test_one_key_with_three_quarters_of_the_rows_is_spread(spark):
@@ -100,3 +100,37 @@ def test_discarded_tables_are_gone_and_a_cluster_needs_a_shared_folder(spark, mo
 
     with pytest.raises(ValueError, match="no folder"):
         common.shared_dir(Session())
+
+
+@pytest.mark.parametrize(("num", "den"), [(90, 100), (4, 5)])
+def test_parity_bits_never_part_sets_that_link(num, den):
+    rng, apart = random.Random(num), 0
+    for _ in range(600):
+        n = rng.choice([1, 3, 30, 64, 65, 400, 1100])
+        x = rng.sample(range(10**9), n)
+        y = set(x)
+        for e in rng.sample(x, rng.randrange(0, n // 3 + 1)):
+            y.discard(e)
+            if rng.random() < 0.6:
+                y.add(rng.randrange(10**9))
+        if not y:
+            continue
+        a, b = (np.array(sorted(s), dtype=np.uint64) for s in (x, y))
+        gap = odd_gap(odd_bits(a), odd_bits(b))
+        assert gap == odd_gap(odd_bits(b), odd_bits(a)) <= len(set(x) ^ y)
+        other = np.array(sorted(rng.sample(range(10**9, 2 * 10**9), n)), dtype=np.uint64)
+        differ = odd_gap(odd_bits(a), odd_bits(other))
+        apart += n >= 30 and den * (2 * n - differ) < num * (2 * n + differ)
+    assert apart > 250  # unrelated sets are told apart by their bits alone
+
+
+def test_ties_of_many_sets_stay_and_those_of_few_go_by_their_bits(spark):
+    """A signature of many classes ties them all to one; of a few, only pairs whose bits allow a link."""
+    rng = random.Random(3)
+    sets = {h: np.array(sorted(rng.sample(range(10**9), 200)), dtype=np.uint64) for h in range(1, 30)}
+    sets[2] = np.concatenate([sets[1][:-3], [np.uint64(7)]])
+    classes = [(h.to_bytes(8, "little") + b"x" * 8, len(s), odd_bits(np.sort(s))) for h, s in sets.items()]
+    rows = [(100, 1, False), (100, 2, False), (100, 3, False)] + [(200, h, False) for h in range(10, 20)] + [(300, 21, True), (300, 22, False), (400, 25, False)]
+    shared = spark.createDataFrame(rows, "sig long, h long, many boolean")
+    got = jaccard._ties(shared, spark.createDataFrame(classes, "cls binary, n long, bits binary"), 4, 5).collect()
+    assert {(r["a"], r["b"]) for r in got} == {(2, 1), (22, 21)} | {(h, 10) for h in range(11, 20)}

@@ -9,6 +9,7 @@
    way round. Those that link with P are of one component.
 4. Groups of more than one component get a second pivot: the set that is nearest to the group's majority (the elements that more than
    half of its sets have). Near copies of a text mostly link with that one.
+   Groups of at most COMPARED sets that hold at most ELEMENTS in all are compared in a task before that, and are done.
 5. X and Y differ in |D(X)| + |D(Y)| - 2 |D(X) & D(Y)| elements. So two that link, not both with P, share at least a
    number t >= 1 of elements of D that the sizes of their sets and of their D tell. Cut into t - 1 buckets by a hash, the elements of D
    hold a shared pair in some bucket (shingles.shared_pairs). Sets of different components that have such a pair
@@ -31,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallyforge.llm.common import discard, fresh, join_skewed, materialize, table
-from tallyforge.llm.components import components
+from tallyforge.llm.components import components, least_linked
 from tallyforge.llm.shingles import PartEnum, mix, odd_bits, odd_gap, parity, set_digest, shared_pairs, shingle_set
 
 SET = T.StructType([T.StructField("n", T.LongType()), T.StructField("cls", T.BinaryType()), T.StructField("bits", T.BinaryType())])
@@ -42,6 +43,8 @@ BROADCAST_IDS = 1_000_000
 EMITTED = 50_000  # classes that a task remembers having emitted
 ROWS = 1 << 18  # signatures of a batch
 SMALL = 1000  # sets that share a signature of a later round and are compared at once
+#: Sets, and elements of their differences from the pivot, of a group that a task compares.
+COMPARED, ELEMENTS = 1024, 4_000_000
 SETS_A_TASK = 512  # of which a task makes the signatures of a later round
 HOT_PIVOTS = 100  # groups at most of which the pivots are broadcast
 
@@ -128,9 +131,10 @@ def signatures(docs: DataFrame, text: str, words: int, num: int, den: int) -> Da
 def _ties(shared: DataFrame, classes: DataFrame, num: int, den: int) -> DataFrame:
     """a and b: ties by signatures (sig, h, many) that may hold a link; classes has cls, n and bits."""
     w = Window.partitionBy("sig")
-    once = shared.repartition("sig").groupBy("sig", "h").agg(F.max("many").alias("many"))  # where the signature is, so rows move once
-    marked = once.select("sig", "h", F.min("h").over(w).alias("b"), F.count("*").over(w).alias("times"), F.max("many").over(w).alias("many"))
-    marked = materialize(marked.filter("times > 1"), "shared")
+    # A class may stand more than once under a signature: its first row in order is the one that counts.
+    new = F.coalesce(F.col("h") != F.lag("h").over(w.orderBy("h")), F.lit(True))
+    marked = shared.withColumn("new", new).select("sig", "h", "new", F.min("h").over(w).alias("b"), F.count_if("new").over(w).alias("times"), F.max("many").over(w).alias("many"))
+    marked = materialize(marked.filter("new and times > 1").drop("new"), "shared")
     star = (F.col("times") > FEW) | F.col("many")
     kept = marked.filter(star & (F.col("h") != F.col("b"))).select(F.col("h").alias("a"), "b").distinct()
     few = marked.filter(~star).groupBy("sig").agg(F.array_sort(F.collect_set("h")).alias("hs")).select("hs").distinct()
@@ -215,9 +219,47 @@ def _links(n: Column, pn: Column, differ: Column, num: int, den: int) -> Column:
 
 
 def _open(judged: DataFrame) -> DataFrame:
-    """The rows of judged (with roots) of which the g holds more than one root; adds members, how many g has."""
-    roots = judged.groupBy("g").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("members")).filter("lo <> hi")
-    return join_skewed(judged, materialize(roots.select("g", "members"), "open-groups"), "g", "members", judged.count())
+    """The rows of judged (with roots) of which the g holds more than one root; adds members, how many g has, and their elements."""
+    roots = judged.groupBy("g").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("members"), F.sum(F.size("s")).alias("elements")).filter("lo <> hi")
+    return join_skewed(judged, materialize(roots.select("g", "members", "elements"), "open-groups"), "g", "members", judged.count())
+
+
+def linked_in_group(n: np.ndarray, sets: list[np.ndarray], num: int, den: int) -> np.ndarray:
+    """For each set (of n elements, given by its differences from one pivot) the place of the first that it reaches over links.
+
+    Elements that a single set has are left out of the products that count what two sets share.
+    """
+    size = np.array([len(s) for s in sets])
+    owner, flat = np.repeat(np.arange(len(sets)), size), np.concatenate(sets)
+    _, column, times = np.unique(flat, return_inverse=True, return_counts=True)
+    several = times[column] > 1
+    owner, column = owner[several], column[several]
+    shared, width = np.zeros((len(sets), len(sets))), 4096
+    _, column = np.unique(column, return_inverse=True)
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    for low in range(0, int(column[-1]) + 1 if len(column) else 0, width):
+        a, b = np.searchsorted(column, (low, low + width))
+        has = np.zeros((len(sets), width), dtype=np.float32)
+        has[owner[a:b], column[a:b] - low] = 1
+        shared += has @ has.T
+    both, differ = n[:, None] + n[None, :], size[:, None] + size[None, :] - 2 * shared
+    i, j = np.nonzero(np.triu(den * (both - differ) >= num * (both + differ), 1))
+    return least_linked(len(sets), i, j)
+
+
+def _in_groups(rows: DataFrame, num: int, den: int) -> DataFrame:
+    """Links (a, b) that hold together what links within each g of rows (g, x, n, s): a tree, not all pairs."""
+
+    def tree(t: pa.Table) -> pa.Table:
+        t = t.sort_by("x")
+        sets = [s.values.to_numpy(zero_copy_only=False) for s in t.column("s")]
+        first = linked_in_group(t.column("n").to_numpy(), sets, num, den)
+        own = np.flatnonzero(first != np.arange(len(sets)))
+        x = t.column("x")
+        return pa.table({"a": x.take(pa.array(own)), "b": x.take(pa.array(first[own]))})
+
+    return rows.select("g", "x", "n", "s").groupBy("g").applyInArrow(lambda t: tree(t), "a binary, b binary")
 
 
 def _around_majority(rows: DataFrame) -> DataFrame:
@@ -314,12 +356,15 @@ def _components(items: DataFrame, num: int, den: int) -> DataFrame | None:
     while True:
         first, labels = compared(items, "judged")
         open_ = opened(first)
+        small = (F.col("members") <= COMPARED) & (F.col("elements") <= ELEMENTS)
+        labels = label(_in_groups(open_.filter(small), num, den))
+        open_ = materialize(open_.filter(~small).drop("elements"), "open")
         if open_.isEmpty():
             return labels
         central = materialize(_around_majority(open_), "central")
         judged, labels = compared(central, "judged-centrally")
         discard(spark, first, open_, central)
-        open_ = opened(judged)
+        open_ = opened(judged).drop("elements")
         found = _later_signatures(open_, num, den)
         labels = label(_few(found, judged, num, den))
         discard(spark, items, open_)

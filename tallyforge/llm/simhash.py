@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyforge.llm.common import discard, join_skewed, materialize, table
-from tallyforge.llm.components import components
+from tallyforge.llm.components import components, least_linked
 
 SEED = 42
 RUN = 255  # hashes whose bits are counted in bytes
@@ -123,18 +123,6 @@ def close_pairs(key: np.ndarray, fp: np.ndarray, most: int) -> tuple[np.ndarray,
     return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
-def least_linked(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """For each of n places the least that it reaches over the pairs (i, j)."""
-    least, before = np.arange(n), None
-    while before is None or (least != before).any():
-        before = least.copy()
-        m = np.minimum(least[i], least[j])
-        np.minimum.at(least, i, m)
-        np.minimum.at(least, j, m)
-        least = least[least]
-    return least
-
-
 def _ties(groups: DataFrame, most: int) -> DataFrame:
     """a and b: each class that links within a group, with one that it reaches there. groups holds small ones whole."""
 

@@ -61,6 +61,7 @@ def test_similar_sets_not_both_like_the_pivot_share_a_pair(num, den):
 def test_groups_that_need_further_rounds_end_right(spark, monkeypatch):
     """With nothing compared at once, all is left to pivots."""
     monkeypatch.setattr(jaccard, "SMALL", 1)
+    monkeypatch.setattr(jaccard, "COMPARED", 0)
     rng, texts = random.Random(8), []
     base = [f"w{rng.randrange(900)}" for _ in range(80)]
     for _ in range(12):
@@ -134,3 +135,26 @@ def test_ties_of_many_sets_stay_and_those_of_few_go_by_their_bits(spark):
     shared = spark.createDataFrame(rows, "sig long, h long, many boolean")
     got = jaccard._ties(shared, spark.createDataFrame(classes, "cls binary, n long, bits binary"), 4, 5).collect()
     assert {(r["a"], r["b"]) for r in got} == {(2, 1), (22, 21)} | {(h, 10) for h in range(11, 20)}
+
+
+@pytest.mark.parametrize(("num", "den"), [(90, 100), (4, 5)])
+def test_groups_compared_in_a_task(num, den):
+    rng = random.Random(den)
+    for _ in range(20):
+        pivot = set(rng.sample(range(10**6), 60))
+        sets = []
+        for _ in range(rng.randrange(1, 30)):
+            s = set(rng.choice(sets) if sets and rng.random() < 0.7 else pivot)
+            for e in rng.sample(sorted(s), rng.randrange(0, 8)):
+                s.discard(e)
+                if rng.random() < 0.7:
+                    s.add(rng.randrange(10**6))
+            sets.append(s)
+        least = list(range(len(sets)))
+        for _ in sets:
+            for i, a in enumerate(sets):
+                for j, b in enumerate(sets):
+                    if den * len(a & b) >= num * len(a | b):
+                        least[i] = min(least[i], least[j])
+        diffs = [np.array(sorted(s ^ pivot), dtype=np.int64) for s in sets]
+        assert jaccard.linked_in_group(np.array([len(s) for s in sets]), diffs, num, den).tolist() == least

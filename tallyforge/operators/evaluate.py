@@ -51,10 +51,13 @@ def non_negative_line(rows: DataFrame, x: str, y: str) -> DataFrame:
     return fit.select(F.greatest(F.lit(0.0), "s").alias("slope"), F.when(F.col("s") > 0, F.col("i")).otherwise(F.col("m")).alias("intercept"))
 
 
-def quantiles(rows: DataFrame, value: str, at: Sequence[float], above: Sequence[float]) -> DataFrame:
-    """Exact quantiles, and shares above thresholds."""
-    shares = rows.agg(*[F.avg(F.when(F.col(value) > t, 1.0).otherwise(0.0)).alias(f"above_{int(t * 100)}") for t in above])
-    found = exact_quantiles(rows, value, at).select(*[F.col(f"q{i}").alias(f"q{int(q * 100)}") for i, q in enumerate(at)])
+def quantiles(rows: DataFrame, value: str, at: Sequence[float], above: Sequence[float], weight: str | None = None) -> DataFrame:
+    """Exact quantiles, and shares above thresholds; weight is how often a row counts."""
+    w = F.lit(1) if weight is None else F.col(weight)
+    found = exact_quantiles(rows, value, at, weight=weight).select(*[F.col(f"q{i}").alias(f"q{int(q * 100)}") for i, q in enumerate(at)])
+    if not above:
+        return found
+    shares = rows.agg(*[F.try_divide(F.sum(F.when(F.col(value) > t, w).otherwise(0)), F.sum(w)).alias(f"above_{int(t * 100)}") for t in above])
     return found.join(F.broadcast(shares))  # a row each
 
 

@@ -1,65 +1,22 @@
-"""Nearest rows by vector, with filters and blends, for one reference or for many queries in blocks."""
+"""Nearest rows by vector, with filters and blends, for many queries in blocks."""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import math
+from collections.abc import Callable, Sequence
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyforge.functions.vectors import angular, dot, unit
 from tallyforge.operators.windows import exact_quantiles
 
 #: Rows of vectors in a block, about; each pair of blocks is one task's matrix product.
 BLOCK_ROWS = 2048
 
 
-def reference(rows: DataFrame, key: str, value, columns: Sequence[str]) -> DataFrame:
-    """The one row with this key, its columns prefixed by ref_; an error if there is none."""
-    row = rows.filter(F.col(key) == value).select(*[F.col(c).alias(f"ref_{c}") for c in columns]).limit(1)
-    if row.isEmpty():
-        raise ValueError(f"no row has {key} = {value}")
-    return row
-
-
-def nearest(rows: DataFrame, key: str, value, score: Column, columns: Sequence[str], n: int, *, keep: Column | None = None, unique: str | None = None) -> DataFrame:
-    """The n rows with the largest score against the reference row (columns ref_*); ties by key.
-
-    keep filters candidates; unique takes the best row of each of its values. The single reference row is
-    broadcast; the rest is one pass and a top-n.
-    """
-    ref = F.broadcast(reference(rows, key, value, columns))
-    found = rows.filter(F.col(key) != value).join(ref)
-    if keep is not None:
-        found = found.filter(keep)
-    found = found.withColumn("score", score)
-    if unique:
-        best = Window.partitionBy(unique).orderBy(F.desc("score"), key)
-        found = found.withColumn("_r", F.row_number().over(best)).filter("_r = 1").drop("_r")
-    return found.drop(*[f"ref_{c}" for c in columns]).orderBy(F.desc("score"), key).limit(n)
-
-
-def angular_score(vector: str) -> Column:
-    return angular(dot(unit(F.col(vector)), unit(F.col(f"ref_{vector}"))))
-
-
-def blend(parts: Sequence[tuple[Column, float]]) -> Column:
-    total = sum(w for _, w in parts)
-    return sum((c * F.lit(w / total) for c, w in parts[1:]), parts[0][0] * F.lit(parts[0][1] / total))
-
-
-def covered_blend(stable: Column, detailed: Column, both_covered: Column, share: float = 0.5) -> Column:
-    """The stable score, mixed with the detailed one where both rows have detail."""
-    return F.when(both_covered, stable * F.lit(1 - share) + detailed * F.lit(share)).otherwise(stable)
-
-
-def within_band(column: str, tolerance: float) -> Column:
-    return F.abs(F.col(column) - F.col(f"ref_{column}")) <= F.lit(tolerance)
-
-
 def block_pairs(queries: DataFrame, rows: DataFrame, key: str, upper: bool = False, by: Sequence[str] = ()):
     """Rows of each pair of a block of queries and a block of rows, grouped; _side is 0 for queries.
 
@@ -134,6 +91,103 @@ def top_matches(queries: DataFrame, rows: DataFrame, key: str, vector: str, n: i
     return found.withColumn("rank", F.row_number().over(places)).filter(F.col("rank") <= n)
 
 
+def angular_scores(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """1 for the same direction, 0 for the opposite one; of each row of a with each of b."""
+    return 1 - np.arccos(np.clip(scores(units(a), units(b)), -1, 1)) / math.pi
+
+
+def overlaps(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Sum of minima over sum of maxima of non-negative vectors; NaN where both are zero."""
+    least, most = np.zeros((len(a), len(b))), np.zeros((len(a), len(b)))
+    for i in range(a.shape[1] if len(a) and len(b) else 0):
+        least += np.minimum(a[:, i, None], b[None, :, i])
+        most += np.maximum(a[:, i, None], b[None, :, i])
+    return np.divide(least, most, out=np.full(least.shape, np.nan), where=most > 0)
+
+
+def weighted_closeness(a: np.ndarray, b: np.ndarray, weights: Sequence[float]) -> np.ndarray:
+    """1 less the root of the weighted mean of squared gaps, within 0 and 1."""
+    gaps = np.zeros((len(a), len(b)))
+    for i, w in enumerate(weights if len(a) and len(b) else ()):
+        gaps += w * (a[:, i, None] - b[None, :, i]) ** 2
+    return np.clip(1 - np.sqrt(gaps / sum(weights)), 0, 1)
+
+
+def covered_blend(stable: np.ndarray, detailed: np.ndarray, covered: np.ndarray, share: float = 0.5) -> np.ndarray:
+    """The stable score, mixed with the detailed one where both rows have detail."""
+    return np.where(covered, stable * (1 - share) + detailed * share, stable)
+
+
+def _arrays(part: pa.Table, columns: Sequence[str]) -> dict[str, np.ndarray]:
+    return {c: matrix(part, c) if pa.types.is_list(part.schema.field(c).type) else part.column(c).to_numpy() for c in columns}
+
+
+def _scored(pair: pa.Table, key: str, columns: Sequence[str], score: Callable, keep: Callable | None) -> tuple[pa.Table, pa.Table, np.ndarray]:
+    """Both sides of a pair of blocks and the scores of their rows; -inf for a row with itself, where keep is false, and for no score."""
+    q, r = side(pair, 0, key), side(pair, 1, key)
+    a, b = _arrays(q, columns), _arrays(r, columns)
+    if not q.num_rows or not r.num_rows:
+        return q, r, np.zeros((q.num_rows, r.num_rows))
+    sims = np.where(q.column(key).to_numpy()[:, None] == r.column(key).to_numpy()[None, :], -np.inf, score(a, b))
+    if keep is not None:
+        sims = np.where(keep(a, b), sims, -np.inf)
+    return q, r, np.where(np.isnan(sims), -np.inf, sims)
+
+
+def best_matches(queries: DataFrame, rows: DataFrame, key: str, columns: Sequence[str], score: Callable, n: int, *, keep: Callable | None = None, unique: str | None = None) -> DataFrame:
+    """query, key, score and rank of the n rows with the largest score for each query, exactly; not itself; ties by key.
+
+    score and keep get the columns of a block of queries and of one of rows (name to array, vectors as matrices) and give a matrix. unique
+    takes the best row of each of its values only. Rows without one of the columns match nothing. Each pair of blocks keeps n rows a query.
+    """
+    kind = dict(rows.dtypes)
+    cols = list(dict.fromkeys([key, *columns, *([unique] if unique else [])]))
+    schema = f"query {kind[key]}, {key} {kind[key]}, score double" + (f", {unique} {kind[unique]}" if unique else "")
+
+    def best(pair: pa.Table) -> pa.Table:
+        q, r, sims = _scored(pair, key, columns, score, keep)
+        order = np.argsort(-sims, axis=1, kind="stable")  # rows are by key, so ties are too
+        if unique and sims.size:
+            of = np.unique(np.array(r.column(unique).to_pylist(), dtype=object).astype(str), return_inverse=True)[1]
+            chosen = []
+            for line in order:
+                first = np.sort(np.unique(of[line], return_index=True)[1])
+                chosen.append(np.pad(line[first], (0, len(line) - len(first)), constant_values=-1)[: max(n, 1)])
+            order = np.array(chosen)
+        at = order[:, :n]
+        qi, ri = np.repeat(np.arange(len(at)), at.shape[1]), at.ravel()
+        ok = (ri >= 0) & (np.isfinite(sims[qi, ri]) if sims.size else np.zeros(len(ri), bool))
+        qi, ri = qi[ok], ri[ok]
+        return pa.table({"query": q.column(key).take(pa.array(qi, pa.int64())), key: r.column(key).take(pa.array(ri, pa.int64())), "score": sims[qi, ri] if sims.size else np.zeros(0), **({unique: r.column(unique).take(pa.array(ri, pa.int64()))} if unique else {})})
+
+    has = lambda df: df.select(*cols).dropna(subset=[key, *columns])
+    found = block_pairs(has(queries), has(rows), key).applyInArrow(best, schema)
+    if unique:
+        first = Window.partitionBy("query", unique).orderBy(F.desc("score"), key)
+        found = found.withColumn("_u", F.row_number().over(first)).filter("_u = 1").drop("_u")
+    place = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), key))
+    return found.withColumn("rank", place).filter(F.col("rank") <= n).select("query", key, "score", "rank")
+
+
+def counted_scores(queries: DataFrame, rows: DataFrame, key: str, columns: Sequence[str], score: Callable, *, digits: int = 4) -> DataFrame:
+    """query, score (rounded to so many digits) and n: how many rows have that score for the query, itself left out.
+
+    Scores are counted where they are made, so a query gives as many rows as there are different rounded scores, not as many as there are rows.
+    """
+    kind = dict(rows.dtypes)[key]
+
+    def count(pair: pa.Table) -> pa.Table:
+        q, _, sims = _scored(pair, key, columns, score, None)
+        grid = np.round(sims, digits)
+        out = [np.unique(line[np.isfinite(line)], return_counts=True) for line in grid]
+        times = [len(v) for v, _ in out]
+        return pa.table({"query": q.column(key).take(pa.array(np.repeat(np.arange(len(out)), times), pa.int64())), "score": np.concatenate([v for v, _ in out]) if out else np.zeros(0), "n": np.concatenate([c for _, c in out]).astype(np.int64) if out else np.zeros(0, np.int64)})
+
+    has = lambda df: df.select(key, *columns).dropna()
+    made = block_pairs(has(queries), has(rows), key).applyInArrow(count, f"query {kind}, score double, n long")
+    return made.groupBy("query", "score").agg(F.sum("n").alias("n"))
+
+
 def first_hit_rank(queries: DataFrame, rows: DataFrame, key: str, vector: str, label: str) -> DataFrame:
     """query and r, its rank among all rows (not the query itself; ties by key) of the best one of its label; null if none is.
 

@@ -69,9 +69,9 @@ def percentiles(df: DataFrame, key: Sequence[str], columns: dict[str, bool], gro
     return df.join(wide, list(key), "left").fillna(missing, [f"{prefix}{c}" for c in columns])
 
 
-def exact_quantiles(df: DataFrame, value: str, at: Sequence[float], group: Sequence[str] = ()) -> DataFrame:
-    """Interpolated quantiles q0, q1, ... of each group from counted values."""
-    run = cumulative(df, value, group)
+def exact_quantiles(df: DataFrame, value: str, at: Sequence[float], group: Sequence[str] = (), weight: str | None = None) -> DataFrame:
+    """Interpolated quantiles q0, q1, ... of each group from counted values; weight is how often a row counts."""
+    run = cumulative(df, value, group, weight=weight)
     low, high = F.col("upto") - F.col("n"), F.col("upto")
     place = [F.lit(float(q)) * (F.col("total") - 1) for q in at]
     held = lambda k: F.max(F.when((low <= k) & (k < high), F.col("v")))

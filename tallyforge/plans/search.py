@@ -6,66 +6,81 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tallyforge.functions import labels, names, text
-from tallyforge.functions.vectors import angular, dot, doubles, joined, ruzicka, unit, weighted_distance
+from tallyforge.functions.vectors import doubles, joined
 from tallyforge.operators import evaluate, models, retrieval, windows
 from tallyforge.plans.base import query, read
 from tallyforge.plans.profiles import CUSTOMERS, RANK, _customers
+from tallyforge.sources.scratch import kept
 
-REF = 0
-EMB = "WITH e AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), r AS (SELECT v AS rv, label AS rl FROM e WHERE vec_id = 0)"
+#: Queries of searches: every row whose id is divisible by 50, against all rows.
+ASK = "vec_id % 50 = 0"
+EMB = "WITH e AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings)"
 ANG = "1 - acos(greatest(-1, least(1, list_dot_product({a}, {b}) / sqrt(list_dot_product({a}, {a}) * list_dot_product({b}, {b}))))) / pi()"
-SCORED = EMB + f", s AS (SELECT vec_id, label, v, rl, {ANG.format(a='v', b='rv')} AS score FROM e, r WHERE vec_id <> 0)"
+SCORED = EMB + f", s AS (SELECT q.vec_id AS query, q.label AS ql, e.vec_id, e.label, {ANG.format(a='q.v', b='e.v')} AS score FROM e q JOIN e ON q.vec_id <> e.vec_id WHERE q.vec_id % 50 = 0)"
+_RANK = "row_number() OVER (PARTITION BY query ORDER BY score DESC, vec_id)"
+_ROUND = "SELECT query, vec_id, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM"
 
 
 def _embeddings(spark, sf):
     return read(spark, sf, "embeddings").select("vec_id", "label", doubles(F.col("embedding")).alias("v"))
 
 
-@query("angular_topk", SCORED + " SELECT vec_id, label, round(score, 6) AS score FROM s ORDER BY s.score DESC, vec_id LIMIT 20")
+def _found(df):
+    return df.select("query", "vec_id", F.round("score", 6).alias("score"), "rank")
+
+
+def _angular(q, r):
+    return retrieval.angular_scores(q["v"], r["v"])
+
+
+@query("angular_topk", SCORED + f" {_ROUND} (SELECT *, {_RANK} AS rank FROM s) WHERE rank <= 20")
 def angular_topk(spark, sf):
-    out = retrieval.nearest(_embeddings(spark, sf), "vec_id", REF, retrieval.angular_score("v"), ["v"], 20)
-    return out.select("vec_id", "label", F.round("score", 6).alias("score"))
+    e = _embeddings(spark, sf)
+    return _found(retrieval.best_matches(e.filter(ASK), e, "vec_id", ["v"], _angular, 20))
 
 
-@query("angular_topk_unique", SCORED + " SELECT vec_id, label, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY score DESC, vec_id) AS k FROM s) AS q WHERE k = 1 ORDER BY q.score DESC, vec_id LIMIT 8")
+@query("angular_topk_unique", SCORED + f", u AS (SELECT *, row_number() OVER (PARTITION BY query, label ORDER BY score DESC, vec_id) AS k FROM s) {_ROUND} (SELECT *, {_RANK} AS rank FROM u WHERE k = 1) WHERE rank <= 8")
 def angular_topk_unique(spark, sf):
-    out = retrieval.nearest(_embeddings(spark, sf), "vec_id", REF, retrieval.angular_score("v"), ["v"], 8, unique="label")
-    return out.select("vec_id", "label", F.round("score", 6).alias("score"))
+    e = _embeddings(spark, sf)
+    return _found(retrieval.best_matches(e.filter(ASK), e, "vec_id", ["v"], _angular, 8, unique="label"))
 
 
-@query("band_filtered_topk", SCORED + " SELECT vec_id, label, round(score, 6) AS score FROM s WHERE abs(label - rl) <= 2 ORDER BY s.score DESC, vec_id LIMIT 15")
+@query("band_filtered_topk", SCORED + f" {_ROUND} (SELECT *, {_RANK} AS rank FROM s WHERE abs(label - ql) <= 2) WHERE rank <= 15")
 def band_filtered_topk(spark, sf):
-    out = retrieval.nearest(_embeddings(spark, sf), "vec_id", REF, retrieval.angular_score("v"), ["v", "label"], 15, keep=retrieval.within_band("label", 2))
-    return out.select("vec_id", "label", F.round("score", 6).alias("score"))
+    e = _embeddings(spark, sf)
+    near = lambda q, r: abs(q["label"][:, None] - r["label"][None, :]) <= 2
+    return _found(retrieval.best_matches(e.filter(ASK), e, "vec_id", ["v", "label"], _angular, 15, keep=near))
 
 
-@query("similarity_tiers", SCORED + """ SELECT CASE WHEN score >= 0.95 THEN 'elite' WHEN score >= 0.9 THEN 'very strong' WHEN score >= 0.85 THEN 'strong' WHEN score >= 0.8 THEN 'clear' WHEN score >= 0.7 THEN 'moderate' WHEN score >= 0.6 THEN 'loose' ELSE 'distant' END AS tier, count(*) AS n FROM s GROUP BY 1""")
+@query("similarity_tiers", SCORED + """, g AS (SELECT query, round(score, 4) AS score FROM s) SELECT query, CASE WHEN score >= 0.95 THEN 'elite' WHEN score >= 0.9 THEN 'very strong' WHEN score >= 0.85 THEN 'strong' WHEN score >= 0.8 THEN 'clear' WHEN score >= 0.7 THEN 'moderate' WHEN score >= 0.6 THEN 'loose' ELSE 'distant' END AS tier, count(*) AS n FROM g GROUP BY 1, 2""")
 def similarity_tiers(spark, sf):
     e = _embeddings(spark, sf)
-    ref = F.broadcast(retrieval.reference(e, "vec_id", REF, ["v"]))
-    return e.filter(F.col("vec_id") != REF).join(ref).groupBy(labels.tier(retrieval.angular_score("v")).alias("tier")).agg(F.count("*").alias("n"))
+    return retrieval.counted_scores(e.filter(ASK), e, "vec_id", ["v"], _angular).groupBy("query", labels.tier(F.col("score")).alias("tier")).agg(F.sum("n").alias("n"))
 
 
-@query("coverage_blend", EMB + f""", h AS (SELECT vec_id, v[1:32] AS a, v[33:64] AS b, vec_id % 2 = 0 AS c FROM e), q AS (SELECT a AS ra, b AS rb FROM h WHERE vec_id = 0),
-s AS (SELECT vec_id, CASE WHEN c THEN 0.5 * ({ANG.format(a='a', b='ra')}) + 0.5 * ({ANG.format(a='b', b='rb')}) ELSE {ANG.format(a='a', b='ra')} END AS score FROM h, q WHERE vec_id <> 0)
-SELECT vec_id, round(score, 6) AS score FROM s ORDER BY s.score DESC, vec_id LIMIT 20""")
+@query("coverage_blend", EMB + f""", h AS (SELECT vec_id, v[1:32] AS a, v[33:64] AS b, vec_id % 3 <> 1 AS c FROM e),
+s AS (SELECT q.vec_id AS query, h.vec_id, CASE WHEN q.c AND h.c THEN 0.5 * ({ANG.format(a='q.a', b='h.a')}) + 0.5 * ({ANG.format(a='q.b', b='h.b')}) ELSE {ANG.format(a='q.a', b='h.a')} END AS score FROM h q JOIN h ON q.vec_id <> h.vec_id WHERE q.vec_id % 50 = 0) {_ROUND} (SELECT *, {_RANK} AS rank FROM s) WHERE rank <= 20""")
 def coverage_blend(spark, sf):
-    e = _embeddings(spark, sf).select("vec_id", F.slice("v", 1, 32).alias("a"), F.slice("v", 33, 32).alias("b"), (F.col("vec_id") % 2 == 0).alias("covered"))
-    score = retrieval.covered_blend(retrieval.angular_score("a"), retrieval.angular_score("b"), F.col("covered") & F.col("ref_covered"))
-    return retrieval.nearest(e, "vec_id", REF, score, ["a", "b", "covered"], 20).select("vec_id", F.round("score", 6).alias("score"))
+    e = _embeddings(spark, sf).select("vec_id", F.slice("v", 1, 32).alias("a"), F.slice("v", 33, 32).alias("b"), (F.col("vec_id") % 3 != 1).alias("covered"))
+
+    def score(q, r):
+        both = q["covered"][:, None].astype(bool) & r["covered"][None, :].astype(bool)
+        return retrieval.covered_blend(retrieval.angular_scores(q["a"], r["a"]), retrieval.angular_scores(q["b"], r["b"]), both)
+
+    return _found(retrieval.best_matches(e.filter(ASK), e, "vec_id", ["a", "b", "covered"], score, 20))
 
 
-@query("joined_vectors", EMB + " SELECT vec_id, round(0.7 * list_dot_product(v[1:32], rv[1:32]) + 0.3 * list_dot_product(v[33:64], rv[33:64]), 6) AS score FROM e, r WHERE vec_id <> 0")
+@query("joined_vectors", EMB + f", s AS (SELECT q.vec_id AS query, e.vec_id, 0.7 * list_dot_product(q.v[1:32], e.v[1:32]) + 0.3 * list_dot_product(q.v[33:64], e.v[33:64]) AS score FROM e q JOIN e ON q.vec_id <> e.vec_id WHERE q.vec_id % 50 = 0) {_ROUND} (SELECT *, {_RANK} AS rank FROM s) WHERE rank <= 20")
 def joined_vectors(spark, sf):
     e = _embeddings(spark, sf).select("vec_id", joined(F.slice("v", 1, 32), F.slice("v", 33, 32), 0.3).alias("v"))
-    return e.filter(F.col("vec_id") != REF).join(F.broadcast(retrieval.reference(e, "vec_id", REF, ["v"]))).select("vec_id", F.round(dot(F.col("v"), F.col("ref_v")), 6).alias("score"))
+    return _found(retrieval.best_matches(e.filter(ASK), e, "vec_id", ["v"], lambda q, r: retrieval.scores(q["v"], r["v"]), 20))
 
 
-@query("ruzicka_overlap", EMB + """, c AS (SELECT vec_id, [greatest(x, 0.0) for x in v] AS v FROM e), z AS (SELECT v AS rv FROM c WHERE vec_id = 0)
-SELECT vec_id, round(list_sum([least(p[1], p[2]) for p in list_zip(v, rv)]) / nullif(list_sum([greatest(p[1], p[2]) for p in list_zip(v, rv)]), 0), 6) AS score FROM c, z WHERE vec_id <> 0""")
+@query("ruzicka_overlap", EMB + f""", c AS (SELECT vec_id, [greatest(x, 0.0) for x in v] AS v FROM e),
+s AS (SELECT q.vec_id AS query, c.vec_id, list_sum([least(p[1], p[2]) for p in list_zip(q.v, c.v)]) / nullif(list_sum([greatest(p[1], p[2]) for p in list_zip(q.v, c.v)]), 0) AS score FROM c q JOIN c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0) {_ROUND} (SELECT *, {_RANK} AS rank FROM s) WHERE rank <= 20""")
 def ruzicka_overlap(spark, sf):
     e = _embeddings(spark, sf).select("vec_id", F.transform("v", lambda x: F.greatest(x, F.lit(0.0))).alias("v"))
-    return e.filter(F.col("vec_id") != REF).join(F.broadcast(retrieval.reference(e, "vec_id", REF, ["v"]))).select("vec_id", F.round(ruzicka(F.col("v"), F.col("ref_v")), 6).alias("score"))
+    return _found(retrieval.best_matches(e.filter(ASK), e, "vec_id", ["v"], lambda q, r: retrieval.overlaps(q["v"], r["v"]), 20))
 
 
 @query("top_pairs", EMB + """, p AS (SELECT a.vec_id AS a, b.vec_id AS b, list_dot_product(a.v, b.v) / sqrt(list_dot_product(a.v, a.v) * list_dot_product(b.v, b.v)) AS c FROM e a JOIN e b ON a.vec_id < b.vec_id AND a.label <> b.label)
@@ -94,39 +109,43 @@ def neighbor_jaccard(spark, sf):
     return evaluate.jaccard_at(*lists, "query", "vec_id").select("query", F.round("jaccard", 6).alias("jaccard"))
 
 
-@query("calibration_quantiles", SCORED + " SELECT round(quantile_cont(score, 0.05), 6) AS q5, round(quantile_cont(score, 0.5), 6) AS q50, round(quantile_cont(score, 0.95), 6) AS q95, round(avg(CASE WHEN score > 0.5 THEN 1.0 ELSE 0 END), 6) AS above_50 FROM s")
+@query("calibration_quantiles", SCORED + """, g AS (SELECT query, round(score, 4) AS score FROM s), n AS (SELECT max(score) AS m FROM g GROUP BY query)
+SELECT round(quantile_cont(score, 0.05), 6) AS q5, round(quantile_cont(score, 0.5), 6) AS q50, round(quantile_cont(score, 0.95), 6) AS q95, round(avg(CASE WHEN score > 0.5 THEN 1.0 ELSE 0 END), 6) AS above_50, (SELECT round(quantile_cont(m, 0.5), 6) FROM n) AS nearest_q50, (SELECT round(quantile_cont(m, 0.95), 6) FROM n) AS nearest_q95 FROM g""")
 def calibration_quantiles(spark, sf):
+    """Quantiles of the scores of all queries with all other rows, and of those with the nearest other; scores have four digits."""
     e = _embeddings(spark, sf)
-    scored = e.filter(F.col("vec_id") != REF).join(F.broadcast(retrieval.reference(e, "vec_id", REF, ["v"]))).select(retrieval.angular_score("v").alias("score"))
-    out = evaluate.quantiles(scored, "score", (0.05, 0.5, 0.95), (0.5,))
+    counted = kept(retrieval.counted_scores(e.filter(ASK), e, "vec_id", ["v"], _angular), "counted-scores")
+    near = evaluate.quantiles(counted.groupBy("query").agg(F.max("score").alias("score")), "score", (0.5, 0.95), ()).withColumnsRenamed({"q50": "nearest_q50", "q95": "nearest_q95"})
+    out = evaluate.quantiles(counted, "score", (0.05, 0.5, 0.95), (0.5,), weight="n").join(F.broadcast(near))  # a row each
     return out.select(*[F.round(c, 6).alias(c) for c in out.columns])
 
 
 WEIGHTS = {"games": 1.0, "total": 2.0, "c_acctbal": 0.5}
 PCT = {c: RANK.format(g="c_nationkey", v=c, o="ASC") for c in WEIGHTS}
-NEAR = CUSTOMERS + ", p AS (SELECT c_custkey, " + ", ".join(f"{PCT[c]} AS {c}" for c in WEIGHTS) + " FROM f), z AS (SELECT * FROM p WHERE c_custkey = 5), s AS (SELECT p.c_custkey, " + ", ".join(f"{w} * (p.{c} - z.{c}) ** 2 AS g_{c}" for c, w in WEIGHTS.items()) + " FROM p, z WHERE p.c_custkey <> 5), d AS (SELECT *, greatest(0, least(1, 1 - sqrt((" + " + ".join(f"g_{c}" for c in WEIGHTS) + f") / {sum(WEIGHTS.values())}))) AS score FROM s)"
+NEAR = CUSTOMERS + ", p AS (SELECT c_custkey, " + ", ".join(f"{PCT[c]} AS {c}" for c in WEIGHTS) + " FROM f), s AS (SELECT z.c_custkey AS query, p.c_custkey, " + ", ".join(f"{w} * (p.{c} - z.{c}) ** 2 AS g_{c}" for c, w in WEIGHTS.items()) + " FROM p JOIN p z ON p.c_custkey <> z.c_custkey WHERE z.c_custkey % 50 = 0), d AS (SELECT *, round(greatest(0, least(1, 1 - sqrt((" + " + ".join(f"g_{c}" for c in WEIGHTS) + f") / {sum(WEIGHTS.values())}))), 9) AS score FROM s), b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, c_custkey) AS rank FROM d) WHERE rank <= 10)"
 
 
 def _similar(spark, sf):
+    """Customers by percentiles, and the ten most alike of those whose key is divisible by 50."""
     rows = windows.percentiles(_customers(spark, sf).select("c_custkey", "c_nationkey", *WEIGHTS), ["c_custkey"], dict.fromkeys(WEIGHTS, True), ["c_nationkey"])
-    rows = rows.select("c_custkey", F.array(*[F.col(f"pct_{c}") for c in WEIGHTS]).alias("v"))
-    w = F.array(*[F.lit(x) for x in WEIGHTS.values()])
-    score = F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - weighted_distance(F.col("v"), F.col("ref_v"), w)))
-    gaps = F.zip_with(F.zip_with("v", "ref_v", lambda a, b: (a - b) * (a - b)), w, lambda g, x: g * x)
-    ref = F.broadcast(retrieval.reference(rows, "c_custkey", 5, ["v"]))
-    return rows.filter("c_custkey <> 5").join(ref).select("c_custkey", score.alias("score"), gaps.alias("gaps"))
+    rows = kept(rows.select("c_custkey", F.array(*[F.col(f"pct_{c}") for c in WEIGHTS]).alias("v")), "percentile-vectors")
+    weights = list(WEIGHTS.values())
+    return rows, retrieval.best_matches(rows.filter("c_custkey % 50 = 0"), rows, "c_custkey", ["v"], lambda q, r: retrieval.weighted_closeness(q["v"], r["v"], weights).round(9), 10)
 
 
-@query("weighted_similarity_topk", NEAR + " SELECT c_custkey, round(score, 6) AS score FROM d ORDER BY d.score DESC, c_custkey LIMIT 10")
+@query("weighted_similarity_topk", NEAR + " SELECT query, c_custkey, round(score, 6) AS score FROM b")
 def weighted_similarity_topk(spark, sf):
-    return _similar(spark, sf).orderBy(F.desc("score"), "c_custkey").limit(10).select("c_custkey", F.round("score", 6).alias("score"))
+    return _similar(spark, sf)[1].select("query", "c_custkey", F.round("score", 6).alias("score"))
 
 
-@query("contribution_shares", NEAR + ", u AS (SELECT c_custkey, unnest(['games', 'total', 'c_acctbal']) AS feature, unnest([g_games, g_total, g_c_acctbal]) AS g, g_games + g_total + g_c_acctbal AS t FROM d) SELECT c_custkey, feature, round(g / nullif(t, 0), 6) AS share FROM u")
+@query("contribution_shares", NEAR + ", u AS (SELECT query, c_custkey, unnest(['games', 'total', 'c_acctbal']) AS feature, unnest([g_games, g_total, g_c_acctbal]) AS g, g_games + g_total + g_c_acctbal AS t FROM b) SELECT query, c_custkey, feature, round(g / nullif(t, 0), 6) AS share FROM u")
 def contribution_shares(spark, sf):
-    s = _similar(spark, sf).withColumn("t", F.aggregate("gaps", F.lit(0.0), lambda a, x: a + x))
-    long = s.select("c_custkey", "t", F.posexplode("gaps").alias("i", "g"))
-    return long.select("c_custkey", F.get(F.array(*[F.lit(c) for c in WEIGHTS]), F.col("i")).alias("feature"), F.round(F.try_divide("g", F.nullif("t", F.lit(0.0))), 6).alias("share"))
+    rows, found = _similar(spark, sf)
+    both = found.join(rows, "c_custkey").join(rows.select(F.col("c_custkey").alias("query"), F.col("v").alias("q")), "query")
+    gaps = F.zip_with(F.zip_with("v", "q", lambda a, b: (a - b) * (a - b)), F.array(*[F.lit(x) for x in WEIGHTS.values()]), lambda g, x: g * x)
+    s = both.select("query", "c_custkey", gaps.alias("gaps")).withColumn("t", F.aggregate("gaps", F.lit(0.0), lambda a, x: a + x))
+    long = s.select("query", "c_custkey", "t", F.posexplode("gaps").alias("i", "g"))
+    return long.select("query", "c_custkey", F.get(F.array(*[F.lit(c) for c in WEIGHTS]), F.col("i")).alias("feature"), F.round(F.try_divide("g", F.nullif("t", F.lit(0.0))), 6).alias("share"))
 
 
 LABELLED = "WITH d AS (SELECT l.quality AS y, n_chars AS s, doc_id FROM labels l JOIN documents USING (doc_id))"

@@ -89,10 +89,30 @@ def test_top_matches_in_blocks_are_exact(spark, monkeypatch):
     assert {(r["query"], r["rank"], r["k"]) for r in found} == {(q, i + 1, int(k)) for q in range(60) for i, k in enumerate(np.argsort(-sims[q])[:4])}
 
 
-def test_a_missing_reference_is_an_error(spark):
-    rows = spark.createDataFrame([(1, [1.0])], "k long, v array<double>")
-    with pytest.raises(ValueError, match="no row"):
-        retrieval.reference(rows, "k", 7, ["v"])
+def test_best_matches_with_filters_and_one_of_each_kind(spark, monkeypatch):
+    monkeypatch.setattr(retrieval, "BLOCK_ROWS", 16)
+    rng = np.random.default_rng(6)
+    v, kind = rng.normal(size=(50, 3)), rng.integers(0, 6, 50)
+    rows = spark.createDataFrame([(i, v[i].tolist(), int(kind[i])) for i in range(50)] + [(99, None, 1)], "k long, v array<double>, kind int")
+    sims = retrieval.angular_scores(v, v)
+    np.fill_diagonal(sims, -1)
+    near = lambda q, r: abs(q["kind"][:, None] - r["kind"][None, :]) <= 1
+    score = lambda q, r: retrieval.angular_scores(q["v"], r["v"])
+    ask = rows.filter("k % 10 = 0")
+    got = {(r["query"], r["rank"]): r["k"] for r in retrieval.best_matches(ask, rows, "k", ["v", "kind"], score, 4, keep=near).collect()}
+    kinds = {(r["query"], r["rank"]): r["k"] for r in retrieval.best_matches(ask, rows, "k", ["v"], score, 3, unique="kind").collect()}
+    for q in range(0, 50, 10):
+        allowed = [i for i in np.argsort(-sims[q]) if i != q and abs(kind[i] - kind[q]) <= 1][:4]
+        assert [got[q, i + 1] for i in range(len(allowed))] == allowed
+        best, seen = [], set()
+        for i in np.argsort(-sims[q]):
+            if i != q and kind[i] not in seen:
+                seen.add(kind[i])
+                best.append(i)
+        assert [kinds[q, i + 1] for i in range(3)] == best[:3]
+    counted = {(r["query"], r["score"]): r["n"] for r in retrieval.counted_scores(ask, rows, "k", ["v"], score, digits=1).collect()}
+    assert sum(counted.values()) == 5 * 49 and counted[0, 0.5] == (np.round(np.delete(sims[0], 0), 1) == 0.5).sum()
+    assert retrieval.best_matches(ask.limit(0), rows, "k", ["v"], score, 4).count() == 0
 
 
 def water_fill(weights, total=240.0, cap=48.0):

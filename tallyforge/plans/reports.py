@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tallyforge.functions import names, text
-from tallyforge.operators import aggregate, evidence, team, windows
+from tallyforge.functions import labels, names, text
+from tallyforge.operators import aggregate, briefs, evidence, team, windows
 from tallyforge.plans.base import query, read
 from tallyforge.plans.needs import COEFFICIENTS, POOL_SEASON, TEAM_ID, _needs_sql, _teams
-from tallyforge.plans.players import TEAMS, _rounded
+from tallyforge.plans.players import TEAMS, _people, _rounded, _shot_profiles, _stats
 from tallyforge.plans.profiles import CUSTOMERS, _customers
-from tallyforge.plans.search import NEAR, WEIGHTS
+from tallyforge.plans.search import NEAR, WEIGHTS, _similar
 
 METRICS = [("games", "integer"), ("share", "percent")]
 FACTS = CUSTOMERS + ", k AS (SELECT c_custkey, games, CASE WHEN c_custkey % 8 <> 0 THEN (c_custkey % 97) / 101 END AS share FROM f), v AS (SELECT c_custkey, 'games' AS metric, CAST(games AS DOUBLE) AS value, 'E1' AS id, CAST(games AS VARCHAR) AS shown FROM k UNION ALL SELECT c_custkey, 'share', share, 'E2', printf('%.1f%%', 100 * share) FROM k WHERE share IS NOT NULL)"
@@ -42,27 +42,79 @@ def comparison_reports(spark, sf):
     return evidence.comparison_reports(_compared(spark, sf), "a", "b")
 
 
-_MATCHED = NEAR + ", t AS (SELECT *, row_number() OVER (ORDER BY score DESC, c_custkey) AS rank FROM d), m AS (SELECT t.c_custkey, rank, unnest([1, 2, 3]) AS n, unnest(['games', 'total', 'c_acctbal']) AS feature, unnest([sqrt(g_games / 1.0), sqrt(g_total / 2.0), sqrt(g_c_acctbal / 0.5)]) AS gap, unnest([g_games, g_total, g_c_acctbal]) / nullif(g_games + g_total + g_c_acctbal, 0) AS contribution FROM t WHERE rank <= 10)"
+_MATCHED = NEAR + ", m AS (SELECT query, c_custkey, rank, unnest([1, 2, 3]) AS n, unnest(['games', 'total', 'c_acctbal']) AS feature, unnest([sqrt(g_games / 1.0), sqrt(g_total / 2.0), sqrt(g_c_acctbal / 0.5)]) AS gap, unnest([g_games, g_total, g_c_acctbal]) / nullif(g_games + g_total + g_c_acctbal, 0) AS contribution FROM b)"
 
 
 def _matches(spark, sf):
-    rows = windows.percentiles(_customers(spark, sf).select("c_custkey", "c_nationkey", *WEIGHTS), ["c_custkey"], dict.fromkeys(WEIGHTS, True), ["c_nationkey"]).select("c_custkey", *[F.col(f"pct_{c}").alias(c) for c in WEIGHTS])
-    ref = rows.filter("c_custkey = 5").select(F.col("c_custkey").alias("query"), *[F.col(c).alias(f"ref_{c}") for c in WEIGHTS])
-    gaps = sum((F.lit(w) * (F.col(c) - F.col(f"ref_{c}")) * (F.col(c) - F.col(f"ref_{c}")) for c, w in WEIGHTS.items()), F.lit(0.0))
-    scored = rows.filter("c_custkey <> 5").join(F.broadcast(ref)).withColumn("score", F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - F.sqrt(gaps / sum(WEIGHTS.values())))))
-    top = scored.orderBy(F.desc("score"), "c_custkey").limit(10)
-    return windows.pick(top, ["query"], [F.desc("score"), F.col("c_custkey")], 10, "rank")
+    rows, found = _similar(spark, sf)
+    own = found.select("query", "c_custkey", "rank").join(rows, "c_custkey").join(rows.select(F.col("c_custkey").alias("query"), F.col("v").alias("q")), "query")
+    return own.select("query", "c_custkey", "rank", *[F.get("v", F.lit(i)).alias(c) for i, c in enumerate(WEIGHTS)], *[F.get("q", F.lit(i)).alias(f"ref_{c}") for i, c in enumerate(WEIGHTS)])
 
 
-@query("similarity_evidence", _MATCHED + " SELECT c_custkey, rank, 'M' || rank || 'E' || n AS evidence_id, feature, round(gap, 8) AS gap, round(coalesce(contribution, 0), 8) AS contribution FROM m")
+@query("similarity_evidence", _MATCHED + " SELECT query, c_custkey, rank, 'M' || rank || 'E' || n AS evidence_id, feature, round(gap, 8) AS gap, round(coalesce(contribution, 0), 8) AS contribution FROM m")
 def similarity_evidence(spark, sf):
     out = evidence.match_evidence(_matches(spark, sf), "query", "c_custkey", list(WEIGHTS), WEIGHTS)
-    return _rounded(out.select("c_custkey", F.col("rank").cast("long").alias("rank"), "evidence_id", "feature", "gap", "contribution"), ["c_custkey", "feature"], 8)
+    return _rounded(out.select("query", "c_custkey", F.col("rank").cast("long").alias("rank"), "evidence_id", "feature", "gap", "contribution"), ["query", "c_custkey", "feature"], 8)
 
 
-@query("similarity_reports")
+@query("similarity_reports", _MATCHED + """, sd AS (SELECT *, feature || ' [M' || rank || 'E' || n || ']' AS said FROM m WHERE rank <= 3), t AS (SELECT *, row_number() OVER (PARTITION BY query, c_custkey ORDER BY round(gap, 12), n) AS near, row_number() OVER (PARTITION BY query, c_custkey ORDER BY round(coalesce(contribution, 0), 12) DESC, n) AS far FROM sd)
+SELECT query, c_custkey, CAST(rank AS INTEGER) AS rank, 'closest in ' || string_agg(said, ', ' ORDER BY near) FILTER (near <= 2) || '; farthest in ' || max(said) FILTER (far = 1) AS explanation FROM t GROUP BY query, c_custkey, rank""")
 def similarity_reports(spark, sf):
-    return evidence.match_reports(evidence.match_evidence(_matches(spark, sf), "query", "c_custkey", list(WEIGHTS), WEIGHTS), "query", "c_custkey")
+    out = evidence.match_evidence(_matches(spark, sf), "query", "c_custkey", list(WEIGHTS), WEIGHTS)
+    return evidence.match_reports(out.withColumns({c: F.round(c, 12) for c in ("gap", "contribution")}), "query", "c_custkey")
+
+
+def _season_lines(spark, sf):
+    """A player's season with its shots: those of a few players are missing, and a few have no long range."""
+    s, c = _stats(spark, sf), F.col
+    per = lambda x: c(f"{x}_total") / c("games_played")
+    sp = _shot_profiles(spark, sf).filter("player_id % 6 <> 0")
+    kinds = {k: F.try_divide(F.pmod(c("player_id") * (i + 3), F.lit(17)), F.lit(100)) for i, k in enumerate(briefs.KINDS)}
+    made = s.join(sp, ["player_id", "season"], "left").join(_people(spark, sf).select("player_id", labels.position(c("guard"), c("forward"), c("center")).alias("position")), "player_id")
+    shots = c("rim_frequency").isNotNull()
+    return made.select(
+        F.concat_ws("/", "player_id", "season").alias("line"), F.format_string("Pat %d", "player_id").alias("player_name"), "position", "season", "games_played", (10 * per("points")).alias("points_per_game"), (5 * per("offensive_rebounds")).alias("rebounds_per_game"), per("assists").alias("assists_per_game"), per("turnovers").alias("turnovers_per_game"),
+        F.try_divide(c("three_points_made_total"), F.nullif("three_point_attempts_total", F.lit(0))).alias("three_point_percentage"), (9 * per("three_point_attempts")).alias("three_point_attempts_per_game"), (9 * per("three_points_made")).alias("three_points_made_per_game"),
+        *[c(f"{z}_frequency") for z in briefs.ZONES], *[F.when(shots, x).alias(f"{k}_frequency") for k, x in kinds.items()], F.when(shots, (c("player_id") % 21 - 10) / 100).alias("shot_making_above_expected"), F.when(c("games_played") >= 3, F.lit("Steady in both windows.")).alias("trend"),
+    )
+
+
+@query("scouting_briefs")
+def scouting_briefs(spark, sf):
+    """The brief of every season of every player."""
+    return briefs.scouting_briefs(_season_lines(spark, sf), "line")
+
+
+def _simulations(spark, sf):
+    """Suppliers stand in for rosters; what they are compared with comes from their nations and orders."""
+    c, k = F.col, F.col("s_suppkey")
+    s = read(spark, sf, "supplier")
+    added, removed = F.when(k % 3 == 0, F.array(F.format_string("Pat %d", k), F.lit("Sam"))), F.when(k % 5 == 0, F.array(F.lit("Kim")))
+    net = c("s_acctbal").cast("double") / 1000
+    rosters = s.select("s_suppkey", F.lit("1998-99").alias("season"), added.alias("added"), removed.alias("removed"), (k % 2 == 0).alias("validated"), net.alias("net_rating"), (net - (k % 4) * 0.6).alias("base_net_rating"), (net + 30).alias("wins_low"), (net + 40).alias("wins_high"), (k % 7 != 0).alias("is_supported"), F.when(k % 14 != 0, (k % 9) / 4 + 1).alias("distance_ratio"), (k % 100).alias("talent_percentile"))
+    sides = lambda names, make: s.select("s_suppkey", F.explode(F.array(*[make(i, n) for i, n in enumerate(names)])).alias("x")).select("s_suppkey", "x.*")
+    level = lambda i, m: ((k * (i + 3)) % m) / m
+    changes = sides(["shooting", "passing", "rebounding", "defence", "pace", "size", "depth"], lambda i, n: F.struct(F.lit(n).alias("trait"), level(i, 89).alias("baseline"), level(i + 1, 97).alias("simulated"), (level(i + 1, 97) - level(i, 89)).alias("change")))
+    profiles = sides(["runner", "shooter", "stopper"], lambda i, n: F.struct(F.lit(n).alias("profile"), level(i, 83).alias("score"))).filter("s_suppkey % 11 <> 1")
+    other = s.select(c("s_nationkey"), F.concat(F.lit("T"), k.cast("string")).alias("team"), F.lit("1997-98").alias("season"), (k % 60).cast("int").alias("wins"), F.lit(82).alias("games"), net.alias("net_rating"), (1 / (1 + k % 13)).alias("similarity"))
+    neighbours = s.select("s_suppkey", "s_nationkey").join(windows.pick(other, ["s_nationkey"], [F.desc("similarity"), c("team")], 6), "s_nationkey").drop("s_nationkey")
+    rotation = sides(["Pat", "Sam", "Lee"], lambda i, n: F.struct((F.format_string("Pat %d", k) if n == "Pat" else F.lit(n)).alias("player"), (20.0 + level(i, 19) * 20).alias("observed"), (10.0 + level(i, 23) * 30).alias("minutes"), ((10.0 + level(i, 23) * 30) / 240).alias("share")))
+    return briefs.simulation_packets(rosters, "s_suppkey", changes=changes, profiles=profiles, neighbours=neighbours, rotation=rotation)
+
+
+@query("simulation_packets")
+def simulation_packets(spark, sf):
+    """Packets as JSON, read back by their type."""
+    made = _simulations(spark, sf).withColumn("json", F.to_json("packet"))
+    return made.select("s_suppkey", "json", (F.to_json(F.from_json("json", briefs.SIMULATION)) == F.col("json")).alias("same"))
+
+
+@query("simulation_reports")
+def simulation_reports(spark, sf):
+    """The text of each simulation, and whether its sections, citations and numbers hold."""
+    made = _simulations(spark, sf)
+    texts = briefs.simulation_reports(made, "s_suppkey").join(made.select("s_suppkey", F.to_json("packet").alias("packet")), "s_suppkey")
+    return texts.select("s_suppkey", "report", text.has_sections(F.col("report"), briefs.SIMULATION_SECTIONS).alias("sections_ok"))
 
 
 _SHARE = "regexp_matches(feature, 'percentage|_rate|_share|assist_ratio')"

@@ -2,9 +2,9 @@
 
 1. Each text becomes a set of word shingles; equal sets are one class (a class has one node however many copies it has).
 2. A class emits its signatures (shingles.PartEnum): any two similar sets share at least one. Classes that share one are tied
-   two by two where they are few (FEW), and such a tie goes if the parity bits of the two sets already differ in more places than
-   linked sets may. Where they are more, all are tied to the first of them, in a batch there and then, so a signature that very
-   many sets share doesn't pile up; those ties stay. What ties hold together, directly or not, is a candidate group: all links are within groups.
+   unless the parity bits of the two sets already differ in more places than linked sets may: two by two where they are few (FEW),
+   by a tree of what may link, made in a task, where they are up to BUCKET. Where they are more, all are tied to the first of them, in a
+   batch of which IN_BATCH share one there and then, so a signature that very many sets share doesn't pile up; those ties stay. What ties hold together, directly or not, is a candidate group: all links are within groups.
 3. All sets of a group are compared with one of them, its pivot. D(X) is what X has and the pivot P hasn't or the other
    way round. Those that link with P are of one component.
 4. Groups of more than one component get a second pivot: the set that is nearest to the group's majority (the elements that more than
@@ -36,8 +36,8 @@ from tallyforge.llm.components import components, least_linked
 from tallyforge.llm.shingles import PartEnum, mix, odd_bits, odd_gap, parity, set_digest, shared_pairs, shingle_set
 
 SET = T.StructType([T.StructField("n", T.LongType()), T.StructField("cls", T.BinaryType()), T.StructField("bits", T.BinaryType())])
-#: Classes that share a signature and are tied two by two, at most.
-FEW = 6
+#: Classes that share a signature, at most: those tied two by two, those whose bits a task compares, those of a batch that stay apart.
+FEW, BUCKET, IN_BATCH = 6, 4096, 512
 #: Up to so many ids of documents that share a signature are broadcast (16 bytes each); more meet their texts by shuffle.
 BROADCAST_IDS = 1_000_000
 EMITTED = 50_000  # classes that a task remembers having emitted
@@ -70,7 +70,7 @@ def shingle_classes(docs: DataFrame, id_col: str, text: str, words: int) -> Data
 
 
 def _tied(sigs: np.ndarray, hs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Signatures, classes and whether a row stands for many: the same ties with fewer rows for a signature of more than FEW classes.
+    """Signatures, classes and whether a row stands for many: the same ties with fewer rows for a signature of more than IN_BATCH classes.
 
     Its first class stays, marked, and each other shares a made-up signature with that first, marked too.
     """
@@ -78,7 +78,7 @@ def _tied(sigs: np.ndarray, hs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
     sigs, hs = sigs[order], hs[order]
     first = np.concatenate([[True], sigs[1:] != sigs[:-1]])
     at = np.flatnonzero(first)
-    many = (np.diff(np.concatenate([at, [len(sigs)]])) > FEW)[np.cumsum(first) - 1]
+    many = (np.diff(np.concatenate([at, [len(sigs)]])) > IN_BATCH)[np.cumsum(first) - 1]
     to = hs[np.maximum.accumulate(np.where(first, np.arange(len(sigs)), 0))]
     others = many & ~first
     ties = np.unique(np.stack([hs[others], to[others]], axis=1), axis=0)
@@ -128,6 +128,60 @@ def signatures(docs: DataFrame, text: str, words: int, num: int, den: int) -> Da
     return docs.select(F.col(text).cast("string").alias("text")).mapInArrow(emit, "sig long, h long, many boolean")
 
 
+def may_link_tree(n: np.ndarray, bits: list[bytes | None], num: int, den: int) -> np.ndarray:
+    """For each of some sets (of n elements) the place of the first that it reaches over pairs whose bits allow a link; no bits allow all."""
+    order = np.argsort(n, kind="stable")
+    rows = [np.frombuffer(bits[i] or b"", dtype=np.uint64) for i in order]
+    words, found = np.array([len(r) for r in rows]), [np.zeros((2, 0), np.int64)]
+    for low in np.unique(words[words > 0]):
+        # Sets that link have bits of one length or the next; a longer one is folded.
+        at = np.flatnonzero((words == low) | (words == 2 * low))
+        flat = np.stack([rows[i] if words[i] == low else rows[i][:low] ^ rows[i][low:] for i in at])
+        size = n[order[at]]
+        for i in range(len(at)):
+            j = i + 1 + np.arange(np.searchsorted(size[i + 1 :], size[i] * den // num, side="right"))
+            j = j if words[at[i]] == low else j[words[at[j]] == low]  # two longer ones meet unfolded
+            if not len(j):
+                continue
+            differ = np.bitwise_count(flat[j] ^ flat[i]).sum(axis=1, dtype=np.int64)
+            j = j[den * (size[i] + size[j] - differ) >= num * (size[i] + size[j] + differ)]
+            found.append(np.stack([np.full(len(j), at[i]), at[j]]))
+    for i in np.flatnonzero(words == 0):
+        found.append(np.stack([np.full(len(rows), i), np.arange(len(rows))]))
+    i, j = np.concatenate(found, axis=1)
+    return least_linked(len(n), order[i], order[j])
+
+
+def _bucket_trees(rows: DataFrame, num: int, den: int) -> DataFrame:
+    """a and b: a tree of what may link in each bucket of rows (sig, h, n, bits); a bucket is at most BUCKET rows."""
+
+    def trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sig, h, n, bits = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), []
+
+        def tree(end: int, start: int) -> tuple[np.ndarray, np.ndarray]:
+            first = may_link_tree(n[start:end], bits[start:end], num, den)
+            own = np.flatnonzero(first != np.arange(end - start))
+            return h[start + own], h[start + first[own]]
+
+        def made(end: int) -> pa.RecordBatch:
+            edges = np.concatenate([[0], np.flatnonzero(np.diff(sig[:end])) + 1, [end]])
+            ties = [tree(b, a) for a, b in zip(edges[:-1], edges[1:], strict=True)]
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*ties, strict=True)], ["a", "b"])
+
+        for b in batches:
+            sig, h, n = (np.concatenate([old, b.column(c).to_numpy()]) for old, c in ((sig, "sig"), (h, "h"), (n, "n")))
+            bits += b.column("bits").to_pylist()
+            whole = int(np.searchsorted(sig, sig[-1])) if len(sig) else 0  # the last bucket may go on
+            if whole:
+                yield made(whole)
+                sig, h, n, bits = sig[whole:], h[whole:], n[whole:], bits[whole:]
+        if len(sig):
+            yield made(len(sig))
+
+    dealt = rows.select("sig", "h", "n", "bits").repartition("sig").sortWithinPartitions("sig")
+    return dealt.mapInArrow(trees, "a long, b long").distinct()
+
+
 def _ties(shared: DataFrame, classes: DataFrame, num: int, den: int) -> DataFrame:
     """a and b: ties by signatures (sig, h, many) that may hold a link; classes has cls, n and bits."""
     w = Window.partitionBy("sig")
@@ -135,9 +189,10 @@ def _ties(shared: DataFrame, classes: DataFrame, num: int, den: int) -> DataFram
     new = F.coalesce(F.col("h") != F.lag("h").over(w.orderBy("h")), F.lit(True))
     marked = shared.withColumn("new", new).select("sig", "h", "new", F.min("h").over(w).alias("b"), F.count_if("new").over(w).alias("times"), F.max("many").over(w).alias("many"))
     marked = materialize(marked.filter("new and times > 1").drop("new"), "shared")
-    star = (F.col("times") > FEW) | F.col("many")
+    star = (F.col("times") > BUCKET) | F.col("many")
+    pairwise = (F.col("times") <= FEW) & ~star
     kept = marked.filter(star & (F.col("h") != F.col("b"))).select(F.col("h").alias("a"), "b").distinct()
-    few = marked.filter(~star).groupBy("sig").agg(F.array_sort(F.collect_set("h")).alias("hs")).select("hs").distinct()
+    few = marked.filter(pairwise).groupBy("sig").agg(F.array_sort(F.collect_set("h")).alias("hs")).select("hs").distinct()
     pairs = F.flatten(F.transform("hs", lambda x, i: F.transform(F.slice("hs", i + 2, FEW), lambda y: F.struct(y.alias("a"), x.alias("b")))))
     pairs = materialize(few.select(F.explode(pairs).alias("p")).select("p.a", "p.b").distinct(), "pairs")
     short = classes.select(_short_udf("cls").alias("h"), "n", "bits").groupBy("h").agg(F.max("n").alias("n"), F.max("bits").alias("bits"), F.count("*").alias("times"))
@@ -154,7 +209,11 @@ def _ties(shared: DataFrame, classes: DataFrame, num: int, den: int) -> DataFram
             out.append(den * (a + b - differ) >= num * (a + b + differ))
         return pa.array(out, pa.bool_())
 
-    out = materialize(kept.unionByName(both.filter(may_link("n", "bits", "m", "others")).select("a", "b")), "ties")
+    # A bucket that other signatures have too is looked at once.
+    mid = marked.filter(~star & ~pairwise).withColumn("which", F.sum(F.xxhash64("h").bitwiseAND(F.lit((1 << 40) - 1))).over(w))
+    alone = mid.groupBy("which", "times").agg(F.min("sig").alias("sig")).select("sig")
+    trees = _bucket_trees(mid.select("sig", "h").join(alone, "sig", "left_semi").join(known, "h"), num, den)
+    out = materialize(kept.unionByName(both.filter(may_link("n", "bits", "m", "others")).select("a", "b")).unionByName(trees), "ties")
     discard(shared.sparkSession, marked, pairs, known)
     return out
 

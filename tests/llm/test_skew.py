@@ -125,7 +125,7 @@ def test_parity_bits_never_part_sets_that_link(num, den):
     assert apart > 250  # unrelated sets are told apart by their bits alone
 
 
-def test_ties_of_many_sets_stay_and_those_of_few_go_by_their_bits(spark):
+def test_ties_of_many_sets_stay_and_those_of_few_go_by_their_bits(spark, monkeypatch):
     """A signature of many classes ties them all to one; of a few, only pairs whose bits allow a link."""
     rng = random.Random(3)
     sets = {h: np.array(sorted(rng.sample(range(10**9), 200)), dtype=np.uint64) for h in range(1, 30)}
@@ -133,8 +133,34 @@ def test_ties_of_many_sets_stay_and_those_of_few_go_by_their_bits(spark):
     classes = [(h.to_bytes(8, "little") + b"x" * 8, len(s), odd_bits(np.sort(s))) for h, s in sets.items()]
     rows = [(100, 1, False), (100, 2, False), (100, 3, False)] + [(200, h, False) for h in range(10, 20)] + [(300, 21, True), (300, 22, False), (400, 25, False)]
     shared = spark.createDataFrame(rows, "sig long, h long, many boolean")
-    got = jaccard._ties(shared, spark.createDataFrame(classes, "cls binary, n long, bits binary"), 4, 5).collect()
+    nodes = spark.createDataFrame(classes, "cls binary, n long, bits binary")
+    monkeypatch.setattr(jaccard, "BUCKET", 8)
+    got = jaccard._ties(shared, nodes, 4, 5).collect()
     assert {(r["a"], r["b"]) for r in got} == {(2, 1), (22, 21)} | {(h, 10) for h in range(11, 20)}
+    monkeypatch.setattr(jaccard, "BUCKET", 4096)  # then a task looks at the bits of all ten, and nothing may link
+    assert {(r["a"], r["b"]) for r in jaccard._ties(shared, nodes, 4, 5).collect()} == {(2, 1), (22, 21)}
+
+
+@pytest.mark.parametrize(("num", "den"), [(90, 100), (4, 5)])
+def test_trees_hold_together_all_that_may_link(num, den):
+    rng = random.Random(5)
+    for _ in range(30):
+        sets = []
+        for _ in range(rng.randrange(1, 40)):
+            s = set(rng.choice(sets)) if sets and rng.random() < 0.6 else set(rng.sample(range(10**9), rng.choice([20, 60, 70, 128, 129, 300])))
+            for e in rng.sample(sorted(s), rng.randrange(0, len(s) // 5)):
+                s.discard(e)
+            sets.append(s)
+        bits = [odd_bits(np.array(sorted(s), dtype=np.uint64)) if rng.random() < 0.95 else None for s in sets]
+        first = list(range(len(sets)))
+        for _ in sets:
+            for i, a in enumerate(sets):
+                for j, b in enumerate(sets):
+                    gap = 0 if bits[i] is None or bits[j] is None else odd_gap(bits[i], bits[j])
+                    may = bits[i] is None or bits[j] is None or den * (len(a) + len(b) - gap) >= num * (len(a) + len(b) + gap)
+                    if may and (None in (bits[i], bits[j]) or min(len(a), len(b)) * den >= num * max(len(a), len(b))):
+                        first[i] = min(first[i], first[j])
+        assert jaccard.may_link_tree(np.array([len(s) for s in sets]), bits, num, den).tolist() == first
 
 
 @pytest.mark.parametrize(("num", "den"), [(90, 100), (4, 5)])

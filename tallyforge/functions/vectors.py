@@ -34,20 +34,6 @@ def angular(cos: Column) -> Column:
     return F.lit(1.0) - F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), cos))) / F.lit(math.pi)
 
 
-def ruzicka(a: Column, b: Column) -> Column:
-    """Sum of minima over sum of maxima, of non-negative vectors."""
-    least = F.aggregate(F.zip_with(a, b, lambda x, y: F.least(x, y)), F.lit(0.0), lambda s, x: s + x)
-    most = F.aggregate(F.zip_with(a, b, lambda x, y: F.greatest(x, y)), F.lit(0.0), lambda s, x: s + x)
-    return F.try_divide(least, F.nullif(most, F.lit(0.0)))
-
-
-def weighted_distance(a: Column, b: Column, weights: Column) -> Column:
-    """Root of the weighted mean of squared gaps."""
-    gaps = F.zip_with(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), weights, lambda g, w: g * w)
-    total = F.aggregate(weights, F.lit(0.0), lambda s, w: s + w)
-    return F.sqrt(F.aggregate(gaps, F.lit(0.0), lambda s, x: s + x) / total)
-
-
 def joined(a: Column, b: Column, share: float) -> Column:
     """One vector whose dot products are the weighted mean of both parts' (share for the second)."""
     return F.concat(F.transform(a, lambda x: x * F.lit(math.sqrt(1 - share))), F.transform(b, lambda x: x * F.lit(math.sqrt(share))))

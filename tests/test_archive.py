@@ -147,11 +147,6 @@ def test_ranking_quality_by_hand(spark):
     assert r["average_precision"] == pytest.approx((1 * 1 + 1 * 2 / 3) / 2)
 
 
-def test_chronological_folds(spark):
-    rows = spark.createDataFrame([("2000-01",), ("2001-02",), ("2002-03",)], "season string")
-    assert [(s, a.count(), b.count()) for s, a, b in evaluate.folds(rows, "season", "2001-02")] == [("2001-02", 1, 1), ("2002-03", 2, 1)]
-
-
 def test_latest_team_skips_blank_names(spark):
     g = spark.createDataFrame([(1, "A", "2024-01-01", 1), (1, " ", "2024-02-01", 2)], "player_id long, team string, game_date string, game_id long")
     assert archive.latest_teams(g.withColumn("game_date", F.to_date("game_date"))).first()["team"] == "A"

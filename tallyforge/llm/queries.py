@@ -23,6 +23,7 @@ QUERIES = {
 
 #: DuckDB SQL where it can express the query.
 SQL: dict[str, str] = {
+    "op5_warc_archive": warc.SQL,
     "op6_benchmark_decontamination": decontam.SQL,
     "op7_line_windows": lines.SQL_WINDOWS,
     "op8_partenum_jaccard": jaccard.SQL,

@@ -123,3 +123,13 @@ def query(spark, sf_dir: str) -> DataFrame:
     same = F.col("stated_digest") == F.col("payload_digest")
     digest = F.when(same, F.col("payload_digest")).otherwise(F.raise_error(F.lit("a header states another digest")).cast("string"))
     return full.select("page_id", "payload_bytes", digest.alias("payload_digest"), "record_type", "refers_to")
+
+
+#: base32 of the 160 bits: twenty bits, four characters, from every five digits of the hex digest.
+SQL = r"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS t FROM pages),
+h AS (SELECT page_id, CAST(octet_length(encode(t)) AS BIGINT) AS payload_bytes, sha1(t) AS x, max(page_id) OVER (PARTITION BY t) AS last FROM p),
+d AS (SELECT *, [CAST('0x' || substr(x, 5 * g + 1, 5) AS BIGINT) FOR g IN range(8)] AS v FROM h)
+SELECT page_id, payload_bytes, array_to_string([array_to_string([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST((n >> s) % 32 + 1 AS INTEGER), 1) FOR s IN [15, 10, 5, 0]], '') FOR n IN v], '') AS payload_digest,
+  CASE WHEN page_id = last THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> last THEN last END AS refers_to FROM d
+"""

@@ -1,4 +1,4 @@
-"""The ten corpus operators: against SQL, brute force, exact round trips and held-out accuracy."""
+"""The corpus operators: against SQL, brute force, exact round trips and held-out accuracy."""
 
 from __future__ import annotations
 
@@ -45,6 +45,9 @@ def small_dir(tmp_path_factory):
     pq.write_table(pa.table({"item_id": pa.array([2, 10, 3, 4], pa.int64()), "text": pa.array([" ".join(item), "Tiny, item!", None, ""], pa.string())}), folder / "benchmark.parquet")
     turns = [(1, 0, "user", None), (1, 1, "assistant", "</s>\\ <|im_end|>\n"), (2, 0, None, "x"), (2, 0, "assistant", ""), (3, None, "assistant", "\\n"), (3, None, "assistant", "\\n")]
     pq.write_table(pa.table({c: pa.array([t[i] for t in turns], k) for i, (c, k) in enumerate([("conv_id", pa.int64()), ("turn", pa.int64()), ("role", pa.string()), ("text", pa.string())])}), folder / "conversations.parquet")
+    pages = [(1, None), (2, ""), (3, "<p>é\U0001f600</p>"), (4, "<p>é\U0001f600</p>"), (9, "<p>é\U0001f600</p>"), (7, "x" * 70_000), (8, "\r\n\r\nWARC/1.0\r\n")]
+    pq.write_table(pa.table({"page_id": pa.array([p[0] for p in pages], pa.int64()), "url": pa.array([None, "", "u", "v", "u", "w", "x"]), "html": pa.array([p[1] for p in pages], pa.string())}), folder / "pages.parquet")
+    pq.write_table(pa.table({"doc_id": pa.array([3, 3, None, 8, 9, 99], pa.int64()), "quality": pa.array([1, None, 1, 0, 1, 1], pa.int32()), "toxic": pa.array([None, 1, 1, 1, 0, 0], pa.int32())}), folder / "labels.parquet")
     return str(folder)
 
 

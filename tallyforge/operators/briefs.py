@@ -30,6 +30,86 @@ def _lines(parts: Column, none: str, sep: str = "\n") -> Column:
     return F.coalesce(F.nullif(F.array_join(F.array_compact(parts), sep), F.lit("")), F.lit(none))
 
 
+#: Words of a question by which its topic is told, the first topic that has one; and points and assists of a role.
+TOPICS = [
+    ("recent", ["underperform", "changed", "recent", "trend"]), ("role", ["facilitator", "playmaker", "scorer"]),
+    ("shots", ["shot selection", "shot type", "difficulty", "floater", "pull-up", "pullup", "step-back", "step back", "midrange", "rim", "layup", "dunk"]), ("long_range", ["spacing", "shoot", "three"]),
+]
+HUB_POINTS, HUB_ASSISTS, SCORER_POINTS = 20, 7, 18
+
+
+def topic(question: Column, has_shots: Column) -> Column:
+    """recent, role, shots (only of a season that has them), long_range, or none, by the words of a question in any case."""
+    low, out = F.lower(F.coalesce(question, F.lit(""))), F.lit("none")
+    for name, words in reversed(TOPICS):
+        met = F.exists(F.array(*[F.lit(w) for w in words]), lambda w: F.contains(low, w))
+        out = F.when(met & has_shots if name == "shots" else met, name).otherwise(out)
+    return out
+
+
+def answers(rows: DataFrame, key: str, question: str = "question", *, trend: str = "trend") -> DataFrame:
+    """key, question, topic and answer: what a season's facts say to a question, with their citations, or that they say nothing.
+
+    rows as in scouting_briefs(), and the question. The citations are those of the brief.
+    """
+    c = F.col
+    rows = _with_facts(rows)
+    points, assists = _number("points_per_game"), _number("assists_per_game")
+    role = F.when((points >= HUB_POINTS) & (assists >= HUB_ASSISTS), "scores and creates alike").when(points >= SCORER_POINTS, "scores first").when(assists >= MANY_ASSISTS, "creates first").when(F.array_contains(F.split(F.coalesce("position", F.lit("N/A")), "-"), "C"), "finishes and rebounds, and neither scores nor creates first").otherwise("comes second in scoring and creating")
+    told = {
+        "recent": F.concat(c("player_name"), F.lit(": "), F.coalesce(c(trend), F.lit("too few games for two windows.")), F.lit(" Why isn't in the data.")),
+        "role": F.concat(c("player_name"), F.lit(" "), role, F.lit(": "), _shown("points_per_game"), F.lit(" points "), _cite("points_per_game"), F.lit(", "), _shown("assists_per_game"), F.lit(" assists "), _cite("assists_per_game"), F.lit(".")),
+        "shots": F.concat(c("player_name"), F.lit(" shoots most from "), _most(ZONES), F.lit(", most by "), _most(KINDS), F.lit(". Defenders aren't in the data.")),
+        "long_range": F.when(_long_range() & c("three_point_percentage").isNotNull(), F.concat(c("player_name"), F.lit(" makes "), _shown("three_point_percentage"), F.lit(" of long shots "), _cite("three_point_percentage"), F.when(c("three_point_frequency").isNotNull(), F.concat(F.lit(", which are "), _shown("three_point_frequency"), F.lit(" of all "), _cite("three_point_frequency"))).otherwise(""), F.lit("."))).otherwise(F.concat(c("player_name"), F.lit(" has too few long shots to tell."))),
+        "none": F.concat(F.lit("The facts of "), c("player_name"), F.lit(" don't answer that; they tell of scoring, creating, shots, long range and recent games.")),
+    }
+    of = topic(c(question), _has_shots())
+    said = F.element_at(F.create_map(*[x for name, t in told.items() for x in (F.lit(name), t)]), of)
+    return rows.select(key, question, of.alias("topic"), said.alias("answer"))
+
+
+def _with_facts(rows: DataFrame) -> DataFrame:
+    c = F.col
+    facts = F.array_compact(F.array(*[F.when(c(m).isNotNull(), F.struct(F.lit(m).alias("metric"), F.lit(said).alias("said"), c(m).cast("double").alias("value"), value_text(c(m).cast("double"), kind).alias("shown"))) for m, said, kind in FACTS]))
+    return rows.withColumn("_f", F.transform(facts, lambda f, i: F.struct(F.concat(F.lit("E"), (i + 1).cast("string")).alias("id"), f["metric"].alias("metric"), f["said"].alias("said"), f["value"].alias("value"), f["shown"].alias("shown"))))
+
+
+def _fact(m: str) -> Column:
+    return F.get(F.filter("_f", lambda f: f["metric"] == m), F.lit(0))
+
+
+def _cite(m: str) -> Column:
+    return F.coalesce(F.concat(F.lit("["), _fact(m)["id"], F.lit("]")), F.lit("[no data]"))
+
+
+def _shown(m: str) -> Column:
+    return F.coalesce(_fact(m)["shown"], F.lit("0.0"))
+
+
+def _number(m: str) -> Column:
+    return F.coalesce(F.col(m).cast("double"), F.lit(0.0))
+
+
+def _long_range() -> Column:
+    games = _number("games_played")
+    return reliable_long_range(_number("three_point_attempts_per_game") * games, _number("three_points_made_per_game") * games)
+
+
+def _has_shots() -> Column:
+    out = F.col("shot_making_above_expected").isNotNull()
+    for x in ZONES + KINDS:
+        out = out & F.col(f"{x}_frequency").isNotNull()
+    return out
+
+
+def _most(names: Sequence[str]) -> Column:
+    """The first of the largest shares among names, with its citation."""
+    best, out = F.greatest(*[F.col(f"{z}_frequency") for z in names]), F.lit(None)
+    for z in reversed(names):
+        out = F.when(F.col(f"{z}_frequency") == best, F.concat(F.lit(f"{z.replace('_', ' ')}, "), _shown(f"{z}_frequency"), F.lit(" of tries "), _cite(f"{z}_frequency"))).otherwise(out)
+    return out
+
+
 def scouting_briefs(rows: DataFrame, key: str, *, trend: str = "trend") -> DataFrame:
     """key, packet (the facts that a season has, cited E1, E2, ... without gaps, as JSON) and report, for each row.
 
@@ -37,15 +117,8 @@ def scouting_briefs(rows: DataFrame, key: str, *, trend: str = "trend") -> DataF
     makes a game, and trend, a sentence or null. Missing stats count as 0 and have no citation. Long range counts only with 25 tries and 5
     makes behind it. Shares of zones and kinds of tries are told of only where a season has all of them; of equal ones the first is told.
     """
-    c = F.col
-    facts = F.array_compact(F.array(*[F.when(c(m).isNotNull(), F.struct(F.lit(m).alias("metric"), F.lit(said).alias("said"), c(m).cast("double").alias("value"), value_text(c(m).cast("double"), kind).alias("shown"))) for m, said, kind in FACTS]))
-    rows = rows.withColumn("_f", F.transform(facts, lambda f, i: F.struct(F.concat(F.lit("E"), (i + 1).cast("string")).alias("id"), f["metric"].alias("metric"), f["said"].alias("said"), f["value"].alias("value"), f["shown"].alias("shown"))))
-    fact = lambda m: F.get(F.filter("_f", lambda f: f["metric"] == m), F.lit(0))
-    cite = lambda m: F.coalesce(F.concat(F.lit("["), fact(m)["id"], F.lit("]")), F.lit("[no data]"))
-    shown = lambda m: F.coalesce(fact(m)["shown"], F.lit("0.0"))
-    number = lambda m: F.coalesce(c(m).cast("double"), F.lit(0.0))
-    games = number("games_played")
-    long_range = reliable_long_range(number("three_point_attempts_per_game") * games, number("three_points_made_per_game") * games)
+    c, cite, shown, number, long_range = F.col, _cite, _shown, _number, _long_range()
+    rows = _with_facts(rows)
     spaces = long_range & (number("three_point_percentage") >= GOOD_LONG_RANGE)
 
     said = lambda text, m: F.concat(F.lit(f"- {text}: "), shown(m), F.lit(" "), cite(m), F.lit("."))
@@ -58,17 +131,8 @@ def scouting_briefs(rows: DataFrame, key: str, *, trend: str = "trend") -> DataF
     strong = _lines(strong, "")
     strong = F.when(strong != "", strong).otherwise(F.concat(F.lit("- A part in all of it: "), line, F.lit(".")))
 
-    full = lambda names: F.lit(True) if not names else c(f"{names[0]}_frequency").isNotNull() & full(names[1:])
-    shots = full(ZONES + KINDS) & c("shot_making_above_expected").isNotNull()
-
-    def most(names: Sequence[str]) -> Column:
-        best = F.greatest(*[c(f"{z}_frequency") for z in names])
-        out = F.lit(None)
-        for z in reversed(names):
-            out = F.when(c(f"{z}_frequency") == best, F.concat(F.lit(f"{z.replace('_', ' ')}, "), shown(f"{z}_frequency"), F.lit(" of tries "), cite(f"{z}_frequency"))).otherwise(out)
-        return out
-
-    chosen = F.when(shots, F.concat(F.lit("\n- Shoots most from: "), most(ZONES), F.lit(".\n- Shoots most by: "), most(KINDS), F.lit("."))).otherwise("")
+    shots = _has_shots()
+    chosen = F.when(shots, F.concat(F.lit("\n- Shoots most from: "), _most(ZONES), F.lit(".\n- Shoots most by: "), _most(KINDS), F.lit("."))).otherwise("")
     above = number("shot_making_above_expected")
     watched = F.when(shots, F.concat(F.lit("- Makes "), value_text(F.abs(above), "percent"), F.when(above >= 0, " more").otherwise(" less"), F.lit(" than such tries usually bring "), cite("shot_making_above_expected"), F.lit("; who guarded them isn't known."))).otherwise("- Shots, their defenders and line-ups aren't in the data.")
     first = F.split(F.coalesce("position", F.lit("N/A")), "-")[0]

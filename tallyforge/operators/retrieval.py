@@ -113,6 +113,13 @@ def weighted_closeness(a: np.ndarray, b: np.ndarray, weights: Sequence[float]) -
     return np.clip(1 - np.sqrt(gaps / sum(weights)), 0, 1)
 
 
+def preset_weights(presets: dict[str, dict[str, float]], name: str, features: Sequence[str]) -> list[float]:
+    """The weight of each feature in a named preset, 1 where it names none; an unknown preset is an error."""
+    if name not in presets:
+        raise ValueError(f"there is no preset {name!r}")
+    return [float(presets[name].get(f, 1.0)) for f in features]
+
+
 def covered_blend(stable: np.ndarray, detailed: np.ndarray, covered: np.ndarray, share: float = 0.5) -> np.ndarray:
     """The stable score, mixed with the detailed one where both rows have detail."""
     return np.where(covered, stable * (1 - share) + detailed * share, stable)

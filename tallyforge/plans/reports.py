@@ -85,6 +85,22 @@ def scouting_briefs(spark, sf):
     return briefs.scouting_briefs(_season_lines(spark, sf), "line")
 
 
+ASKED = ["Is this a SCORER?", "What changed in recent games?", "Which shot type is used most?", "Can he shoot?", "Who is taller?"]
+
+
+@query("question_answers")
+def question_answers(spark, sf):
+    """An answer to a question about every season of every player."""
+    asked = F.get(F.array(*[F.lit(q) for q in ASKED]), F.pmod(F.crc32(F.col("line").cast("binary")), F.lit(len(ASKED))).cast("int"))
+    return briefs.answers(_season_lines(spark, sf).withColumn("question", asked), "line")
+
+
+@query("question_topics", "WITH q AS (SELECT p_partkey, ['Is this a SCORER?', 'What changed in recent games?', 'Which shot type is used most?', 'Can he shoot?', 'Who is taller?', 'Recent playmaker', 'dunk or three'][p_partkey % 7 + 1] AS q, p_size % 2 = 0 AS s FROM part) SELECT p_partkey, CASE WHEN regexp_matches(lower(q), 'underperform|changed|recent|trend') THEN 'recent' WHEN regexp_matches(lower(q), 'facilitator|playmaker|scorer') THEN 'role' WHEN s AND regexp_matches(lower(q), 'shot selection|shot type|difficulty|floater|pull-?up|step.back|midrange|rim|layup|dunk') THEN 'shots' WHEN regexp_matches(lower(q), 'spacing|shoot|three') THEN 'long_range' ELSE 'none' END AS topic FROM q")
+def question_topics(spark, sf):
+    asked = F.get(F.array(*[F.lit(q) for q in [*ASKED, "Recent playmaker", "dunk or three"]]), (F.col("p_partkey") % 7).cast("int"))
+    return read(spark, sf, "part").select("p_partkey", briefs.topic(asked, F.col("p_size") % 2 == 0).alias("topic"))
+
+
 def _simulations(spark, sf):
     """Suppliers stand in for rosters; what they are compared with comes from their nations and orders."""
     c, k = F.col, F.col("s_suppkey")

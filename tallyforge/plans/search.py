@@ -125,14 +125,32 @@ PCT = {c: RANK.format(g="c_nationkey", v=c, o="ASC") for c in WEIGHTS}
 NEAR = CUSTOMERS + ", p AS (SELECT c_custkey, " + ", ".join(f"{PCT[c]} AS {c}" for c in WEIGHTS) + " FROM f), s AS (SELECT z.c_custkey AS query, p.c_custkey, " + ", ".join(f"{w} * (p.{c} - z.{c}) ** 2 AS g_{c}" for c, w in WEIGHTS.items()) + " FROM p JOIN p z ON p.c_custkey <> z.c_custkey WHERE z.c_custkey % 50 = 0), d AS (SELECT *, round(greatest(0, least(1, 1 - sqrt((" + " + ".join(f"g_{c}" for c in WEIGHTS) + f") / {sum(WEIGHTS.values())}))), 9) AS score FROM s), b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, c_custkey) AS rank FROM d) WHERE rank <= 10)"
 
 
+def _percentile_vectors(spark, sf):
+    rows = windows.percentiles(_customers(spark, sf).select("c_custkey", "c_nationkey", *WEIGHTS), ["c_custkey"], dict.fromkeys(WEIGHTS, True), ["c_nationkey"])
+    return kept(rows.select("c_custkey", F.array(*[F.col(f"pct_{c}") for c in WEIGHTS]).alias("v")), "percentile-vectors")
+
+
 def _similar(spark, sf):
     """Customers by percentiles, and the ten most alike of those whose key is divisible by 50."""
-    rows = windows.percentiles(_customers(spark, sf).select("c_custkey", "c_nationkey", *WEIGHTS), ["c_custkey"], dict.fromkeys(WEIGHTS, True), ["c_nationkey"])
-    rows = kept(rows.select("c_custkey", F.array(*[F.col(f"pct_{c}") for c in WEIGHTS]).alias("v")), "percentile-vectors")
-    weights = list(WEIGHTS.values())
+    rows, weights = _percentile_vectors(spark, sf), list(WEIGHTS.values())
     return rows, retrieval.best_matches(rows.filter("c_custkey % 50 = 0"), rows, "c_custkey", ["v"], lambda q, r: retrieval.weighted_closeness(q["v"], r["v"], weights).round(9), 10)
 
 
+PRESETS = {"even": {}, "volume": {"total": 3.0, "games": 1.5}}
+_PRESET = CUSTOMERS + ", p AS (SELECT c_custkey, " + ", ".join(f"{PCT[c]} AS {c}" for c in WEIGHTS) + " FROM f), w AS (SELECT * FROM (VALUES ('even', 1.0, 1.0, 1.0), ('volume', 1.5, 3.0, 1.0)) AS t(preset, a, b, c)), s AS (SELECT preset, z.c_custkey AS query, p.c_custkey, round(greatest(0, least(1, 1 - sqrt((a * (p.games - z.games) ** 2 + b * (p.total - z.total) ** 2 + c * (p.c_acctbal - z.c_acctbal) ** 2) / (a + b + c)))), 9) AS score FROM p JOIN p z ON p.c_custkey <> z.c_custkey, w WHERE z.c_custkey % 50 = 0)"
+
+
+@query("preset_similarity", _PRESET + " SELECT preset, query, c_custkey, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY preset, query ORDER BY score DESC, c_custkey) AS rank FROM s) WHERE rank <= 5")
+def preset_similarity(spark, sf):
+    """The five most alike under each preset of weights."""
+    rows, found = _percentile_vectors(spark, sf), []
+    for name in PRESETS:
+        weights = retrieval.preset_weights(PRESETS, name, list(WEIGHTS))
+        top = retrieval.best_matches(rows.filter("c_custkey % 50 = 0"), rows, "c_custkey", ["v"], lambda q, r, w=weights: retrieval.weighted_closeness(q["v"], r["v"], w).round(9), 5)
+        found.append(top.select(F.lit(name).alias("preset"), "query", "c_custkey", F.round("score", 6).alias("score"), "rank"))
+    return found[0].unionByName(found[1])
+
+
 @query("weighted_similarity_topk", NEAR + " SELECT query, c_custkey, round(score, 6) AS score FROM b")
 def weighted_similarity_topk(spark, sf):
     return _similar(spark, sf)[1].select("query", "c_custkey", F.round("score", 6).alias("score"))

@@ -51,6 +51,20 @@ def test_a_brief_without_shots_long_range_or_strengths(spark):
         assert role in _brief(spark, few, position)["report"]
 
 
+@pytest.mark.parametrize(
+    ("question", "stats", "topic", "said"),
+    [
+        ("Is he a Scorer?", PLAIN, "role", "creates first: 16.0 points [E1], 6.0 assists [E3]."), ("a playmaker?", PLAIN | {"points_per_game": 21.0, "assists_per_game": 7.0}, "role", "scores and creates alike"), ("scorer", PLAIN | {"points_per_game": 18.0}, "role", "scores first"),
+        ("Recent scorer", PLAIN, "recent", "too few games"), ("shot type?", PLAIN | SHOTS, "shots", "most from rim, 40.0% of tries [E6], most by layup, 30.0% of tries [E11]"), ("shot type?", PLAIN, "none", "don't answer"), ("dunk or three", PLAIN, "long_range", "makes 40.0% of long shots [E5]."),
+        ("three", PLAIN | SHOTS, "long_range", "40.0% of long shots [E5], which are 40.0% of all [E9]."), ("Can he shoot", PLAIN | {"three_points_made_per_game": 0.4}, "long_range", "too few long shots"), (None, {}, "none", "don't answer"),
+    ],
+)
+def test_questions_are_answered_from_the_facts(spark, question, stats, topic, said):
+    kind = T.StructType([T.StructField(c, T.StringType()) for c in ("k", "player_name", "position", "season", "trend", "question")] + [T.StructField(c, T.DoubleType()) for c in STATS])
+    r = briefs.answers(spark.createDataFrame([("a", "Pat", "G", "1998-99", None, question, *[stats.get(c) for c in STATS])], kind), "k").first()
+    assert (r["topic"], r["question"]) == (topic, question) and said in r["answer"]
+
+
 def test_every_brief_holds_its_checks(spark, sf_dir):
     rows = QUERIES["scouting_briefs"](spark, sf_dir)
     values = F.transform(F.from_json("packet", "array<struct<value: double>>"), lambda f: f["value"])
@@ -107,3 +121,17 @@ def test_registered_simulations(spark, sf_dir):
     reports = QUERIES["simulation_reports"](spark, sf_dir).collect()
     assert len(reports) == len(packets) and all(r["sections_ok"] for r in reports)
     assert {len(json.loads(r["json"])["quality"]) for r in packets} == {0, 4}
+
+
+def test_presets_weigh_what_they_name():
+    from tallyforge.operators.retrieval import preset_weights
+
+    assert preset_weights({"x": {"b": 3.0}}, "x", ["a", "b"]) == [1.0, 3.0]
+    with pytest.raises(ValueError, match="no preset"):
+        preset_weights({"x": {}}, "y", ["a"])
+
+
+def test_every_question_has_an_answer(spark, sf_dir):
+    rows = QUERIES["question_answers"](spark, sf_dir).collect()
+    assert len(rows) == QUERIES["scouting_briefs"](spark, sf_dir).count() and all(r["answer"] for r in rows)
+    assert {r["topic"] for r in rows} == {"recent", "role", "shots", "long_range", "none"}

@@ -130,26 +130,30 @@ def signatures(docs: DataFrame, text: str, words: int, num: int, den: int) -> Da
 
 def may_link_tree(n: np.ndarray, bits: list[bytes | None], num: int, den: int) -> np.ndarray:
     """For each of some sets (of n elements) the place of the first that it reaches over pairs whose bits allow a link; no bits allow all."""
-    order = np.argsort(n, kind="stable")
-    rows = [np.frombuffer(bits[i] or b"", dtype=np.uint64) for i in order]
-    words, found = np.array([len(r) for r in rows]), [np.zeros((2, 0), np.int64)]
-    for low in np.unique(words[words > 0]):
-        # Sets that link have bits of one length or the next; a longer one is folded.
-        at = np.flatnonzero((words == low) | (words == 2 * low))
-        flat = np.stack([rows[i] if words[i] == low else rows[i][:low] ^ rows[i][low:] for i in at])
-        size = n[order[at]]
-        for i in range(len(at)):
-            j = i + 1 + np.arange(np.searchsorted(size[i + 1 :], size[i] * den // num, side="right"))
-            j = j if words[at[i]] == low else j[words[at[j]] == low]  # two longer ones meet unfolded
-            if not len(j):
-                continue
-            differ = np.bitwise_count(flat[j] ^ flat[i]).sum(axis=1, dtype=np.int64)
-            j = j[den * (size[i] + size[j] - differ) >= num * (size[i] + size[j] + differ)]
-            found.append(np.stack([np.full(len(j), at[i]), at[j]]))
-    for i in np.flatnonzero(words == 0):
-        found.append(np.stack([np.full(len(rows), i), np.arange(len(rows))]))
-    i, j = np.concatenate(found, axis=1)
-    return least_linked(len(n), order[i], order[j])
+    rows = [np.frombuffer(b or b"", dtype=np.uint64) for b in bits]
+    words, free, first = np.array([len(r) for r in rows]), np.ones(len(rows), dtype=bool), np.arange(len(rows))
+    if not words.all():
+        return np.zeros(len(rows), dtype=np.int64)
+    fold = lambda r: r[..., : r.shape[-1] // 2] ^ r[..., r.shape[-1] // 2 :]
+    at = {w: np.flatnonzero(words == w) for w in np.unique(words)}
+    flat = {w: np.stack([rows[i] for i in own]) for w, own in at.items()}
+    for start in range(len(rows)):
+        todo = [start] if free[start] else []
+        free[start] = False
+        while todo:  # a set is held against those that nothing has reached yet
+            i = todo.pop()
+            for w, own in at.items():
+                if not w // 2 <= words[i] <= 2 * w:
+                    continue  # bits of sets that link have one length or the next; the longer ones are folded
+                near = np.flatnonzero(free[own] & (n[own] * den >= num * n[i]) & (n[i] * den >= num * n[own]))
+                if len(near):
+                    theirs, mine = flat[w][near], rows[i]
+                    theirs, mine = (fold(theirs), mine) if w > words[i] else (theirs, fold(mine) if w < words[i] else mine)
+                    differ, both = np.bitwise_count(theirs ^ mine).sum(axis=1, dtype=np.int64), n[own[near]] + n[i]
+                    met = own[near[den * (both - differ) >= num * (both + differ)]]
+                    free[met], first[met] = False, start
+                    todo += met.tolist()
+    return first
 
 
 def _bucket_trees(rows: DataFrame, num: int, den: int) -> DataFrame:

@@ -304,7 +304,7 @@ def player_vectors(seasons: DataFrame, shots: DataFrame | None = None, people: D
     traits, role and plus-minus; where an impact rating exists, its logistic squash instead.
     """
     c, keys = F.col, ["season", "player_id"]
-    out = seasons.withColumn("minutes_total", c("games_played") * c("minutes_per_game"))
+    out = seasons if "minutes_total" in seasons.columns else seasons.withColumn("minutes_total", c("games_played") * c("minutes_per_game"))
     totals = ["points", "field_goal_attempts", "three_point_attempts", "free_throw_attempts", "assists", "turnovers", "offensive_rebounds", "defensive_rebounds", "steals", "blocks"]
     out = out.withColumns({f"{t}_per_36": per_minutes(c(f"{t}_total"), c("minutes_total")) for t in totals})
     out = out.withColumn("assist_turnover_ratio", F.coalesce(ratio(c("assists_total"), c("turnovers_total")), F.least(c("assists_total"), F.lit(10.0))))

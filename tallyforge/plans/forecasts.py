@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tallyforge.functions.ratios import ratio
+from tallyforge.functions.ratios import exact_sum, ratio, scaled_round
 from tallyforge.operators import forecast, windows
 from tallyforge.plans.base import query, read
 from tallyforge.plans.players import _rounded
@@ -137,7 +137,7 @@ def permutation_null(spark, sf):
 def game_summary(spark, sf):
     k = F.col("event_id")
     rows = read(spark, sf, "events").select("user_id", "value", ratio(k % 9 + 0.5 * (k % 4), k % 17, 0.0).alias("e"), ratio(k % 5, k % 3, 0.0).alias("at"))
-    return rows.groupBy("user_id").agg(F.count("*").alias("games"), F.bround(F.avg("value"), 1).alias("points"), F.bround(F.avg("e"), 3).alias("effective"), F.bround(F.avg("at"), 2).alias("assist_turnover_ratio"))
+    return rows.groupBy("user_id").agg(F.count("*").alias("games"), scaled_round(exact_sum(F.col("value")) / F.count("value"), 1).alias("points"), scaled_round(F.avg("e"), 3).alias("effective"), scaled_round(F.avg("at"), 2).alias("assist_turnover_ratio"))
 
 
 @query("view_profiles", """WITH g AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) % 2 AS parity, value FROM events), p AS (SELECT user_id, CASE WHEN parity = 1 THEN 'odd' ELSE 'even' END AS view, count(*) AS games_played, sum(value) * 3 AS minutes_total, count(*) * 4 AS shot_attempts FROM g GROUP BY 1, 2),

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from tallyforge.operators.retrieval import block_pairs, matrix, side
 from tallyforge.operators.windows import exact_quantiles
@@ -39,6 +40,45 @@ GAME_MINUTES, MOST_MINUTES, FULL_LEAD = 240.0, 42.0, 0.20
 SLIGHT = 1e-9
 
 
+def _rotation(p: list[dict], total: float) -> dict:
+    """players and audit of one roster; see allocate()."""
+    m = [0.0 if x["new"] else x["base"] for x in p]
+    start, left, records = list(m), max(0.0, total - sum(m)), []
+    for i in sorted((i for i, x in enumerate(p) if x["new"]), key=lambda i: (-p[i]["q"], i)):
+        own = p[i]
+        used = min(own["wish"], left)
+        want, lost = own["wish"] - used, []
+        met = [j for j, x in enumerate(p) if j != i and m[j] > 0 and own["at"][0] in x["at"]]
+        worse = [j for j in met if own["forced"] or p[j]["q"] < own["q"]]
+        for j in sorted(worse, key=lambda j: (len(set(p[j]["at"])) > 1, m[j] * (0.5 + p[j]["q"]), j)):
+            share = 1.0 if own["forced"] else min(1.0, max(0.0, (own["q"] - p[j]["q"]) / FULL_LEAD))
+            moved = min(want, m[j] * share) if want > SLIGHT else 0.0
+            want -= moved
+            if moved > SLIGHT:
+                lost.append({"player": p[j]["player"], "minutes": moved})
+                m[j] -= moved
+        m[i], left = used + sum(x["minutes"] for x in lost), left - used
+        blocked = sorted((p[j]["q"], m[j], p[j]["player"]) for j in met if p[j]["q"] >= own["q"] and m[j] > 0)
+        records.append((i, used, lost, [dict(zip(("quality", "minutes", "player"), x, strict=True)) for x in blocked]))
+
+    # What is still open: w times the least level that uses it up, none above its ceiling. Those that fill up do so in the order of room / w.
+    w = [x["mpg"] * (0.5 + x["q"]) for x in p]
+    room = [max(0.0, (x["wish"] if x["new"] else MOST_MINUTES) - m[j]) for j, x in enumerate(p)]
+    gap = total - sum(m)
+    rest, weights = gap, sum(x for x in w if x > 0)
+    for full, x, space in sorted((room[j] / w[j], w[j], room[j]) for j in range(len(p)) if w[j] > 0):
+        if weights * full <= rest:  # all that are left reach this one's room
+            rest, weights = rest - space, weights - x
+    height = rest / weights if weights > SLIGHT else float("inf")
+    final = [x + (min(room[j], height * w[j]) if gap > SLIGHT and w[j] > 0 else 0.0) for j, x in enumerate(m)]
+    audit = [
+        {"player": p[i]["player"], "requested": p[i]["wish"], "open_used": used, "forced": p[i]["forced"], "displaced": lost, "blocked_by": blocked, "assigned": final[i], "unfilled": max(0.0, p[i]["wish"] - final[i])}
+        for i, used, lost, blocked in records
+    ]
+    order = sorted(range(len(p)), key=lambda j: (-final[j], p[j]["player"]))
+    return {"players": [{"player": p[j]["player"], "before": start[j], "after": final[j], "share": final[j] / total} for j in order], "audit": audit}
+
+
 def allocate(rosters: DataFrame, roster: str, key: str, total: float = GAME_MINUTES, most: int = 60) -> DataFrame:
     """One row a roster: players (player, before, after, share; most minutes first) and audit, a record a newcomer.
 
@@ -50,7 +90,7 @@ def allocate(rosters: DataFrame, roster: str, key: str, total: float = GAME_MINU
 
     audit has player, requested, open_used, forced, displaced (who lost how much), blocked_by (who was not worse, by
     quality and minutes), assigned and unfilled. Missing quality counts as 0.5, missing minutes as 0, a null forced as false. A
-    roster of more than `most` players is an error, so its arrays are small; the fold runs in the JVM.
+    roster of more than `most` players is an error, so its array is small; tasks take the rosters one by one.
     """
     c = F.col
     wish = F.least(F.lit(MOST_MINUTES), F.greatest(F.lit(0.0), F.coalesce(c("minutes_per_game").cast("double"), F.lit(0.0))))
@@ -60,74 +100,22 @@ def allocate(rosters: DataFrame, roster: str, key: str, total: float = GAME_MINU
         mpg.alias("mpg"), wish.alias("wish"), c("base").isNull().alias("new"), F.coalesce(c("base").cast("double"), F.lit(0.0)).alias("base"), F.coalesce("forced", F.lit(False)).alias("forced"),
     )
     rows = rosters.groupBy(roster).agg(F.array_sort(F.collect_list(player)).alias("p"), F.count("*").alias("n"))
-    rows = rows.withColumn("p", F.when(c("n") <= most, c("p")).otherwise(F.raise_error(F.lit(f"a roster has more than {most} players")).cast(rows.schema["p"].dataType)))
-    numbered = F.transform("p", lambda x, i: F.struct((-x["q"]).alias("o"), i.alias("i"), x["new"].alias("new")))
-    order = F.transform(F.filter(F.array_sort(numbered), lambda x: x["new"]), lambda x: x["i"])
-    rows = rows.withColumn("order", order).withColumn("start", F.transform("p", lambda x: F.when(x["new"], 0.0).otherwise(x["base"])))
-
-    loss = "struct<j: int, player: " + rosters.schema[key].dataType.simpleString() + ", minutes: double>"
-    blocker = "struct<quality: double, minutes: double, player: " + rosters.schema[key].dataType.simpleString() + ">"
-    record = f"struct<i: int, requested: double, open_used: double, forced: boolean, displaced: array<{loss}>, blocked_by: array<{blocker}>>"
-    some = lambda a: F.aggregate(a, F.lit(0.0), lambda s, x: s + x)
-
-    def step(state: Column, i: Column) -> Column:
-        own, minutes, left = F.get("p", i), state["minutes"], state["open"]
-        first = own["at"][0]
-        used = F.least(own["wish"], left)
-        others = F.transform(minutes, lambda m, j: F.struct(j.alias("j"), m.alias("m"), F.get("p", j).alias("x")))
-        met = F.filter(others, lambda o: (o["j"] != i) & (o["m"] > 0) & F.array_contains(o["x"]["at"], first))
-        worse = F.filter(met, lambda o: own["forced"] | (o["x"]["q"] < own["q"]))
-        ranked = F.array_sort(F.transform(worse, lambda o: F.struct(F.when(F.size(F.array_distinct(o["x"]["at"])) > 1, 1).otherwise(0).alias("k"), (o["m"] * (0.5 + o["x"]["q"])).alias("v"), o["j"].alias("j"), o["m"].alias("m"), o["x"]["q"].alias("q"), o["x"]["player"].alias("player"))))
-
-        def take(s: Column, o: Column) -> Column:
-            share = F.when(own["forced"], 1.0).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), (own["q"] - o["q"]) / FULL_LEAD)))
-            moved = F.when(s["want"] > SLIGHT, F.least(s["want"], o["m"] * share)).otherwise(0.0)
-            lost = F.when(moved > SLIGHT, F.array(F.struct(o["j"].alias("j"), o["player"].alias("player"), moved.alias("minutes")))).otherwise(F.array().cast(f"array<{loss}>"))
-            return F.struct((s["want"] - moved).alias("want"), F.concat(s["lost"], lost).alias("lost"))
-
-        taken = F.aggregate(ranked, F.struct((own["wish"] - used).alias("want"), F.array().cast(f"array<{loss}>").alias("lost")), take)
-
-        def after(t: Column) -> Column:
-            lost_of = lambda j: some(F.transform(F.filter(t["lost"], lambda x: x["j"] == j), lambda x: x["minutes"]))
-            now = F.transform(minutes, lambda m, j: F.when(j == i, used + some(F.transform(t["lost"], lambda x: x["minutes"]))).otherwise(m - lost_of(j)))
-            blocked = F.transform(F.filter(met, lambda o: o["x"]["q"] >= own["q"]), lambda o: F.struct(o["x"]["q"].alias("quality"), F.get(now, o["j"]).alias("minutes"), o["x"]["player"].alias("player")))
-            entry = F.struct(i.cast("int").alias("i"), own["wish"].alias("requested"), used.alias("open_used"), own["forced"].alias("forced"), t["lost"].alias("displaced"), F.array_sort(F.filter(blocked, lambda b: b["minutes"] > 0)).alias("blocked_by"))
-            return F.struct(now.alias("minutes"), (left - used).alias("open"), F.concat(state["audit"], F.array(entry)).alias("audit"))
-
-        return F.transform(F.array(taken), after)[0]  # taken is worked out once
-
-    start = F.struct(c("start").alias("minutes"), F.greatest(F.lit(0.0), F.lit(total) - some("start")).alias("open"), F.array().cast(f"array<{record}>").alias("audit"))
-    rows = rows.withColumn("done", F.aggregate("order", start, step))
-
-    # What is still open: w times the least level that uses it up, none above its ceiling. Those that fill up do so in the order of room / w.
-    each = F.transform("p", lambda x, j: F.struct((x["mpg"] * (0.5 + x["q"])).alias("w"), F.greatest(F.lit(0.0), F.when(x["new"], x["wish"]).otherwise(MOST_MINUTES) - F.get(c("done")["minutes"], j)).alias("room")))
-    rows = rows.withColumn("room", each)
-    gap = F.lit(total) - some(c("done")["minutes"])
-    line = F.array_sort(F.transform(F.filter("room", lambda r: r["w"] > 0), lambda r: F.struct((r["room"] / r["w"]).alias("full"), r["w"].alias("w"), r["room"].alias("room"))))
-    weights = some(F.transform(line, lambda r: r["w"]))
-
-    def level(s: Column, r: Column) -> Column:
-        fills = s["w"] * r["full"] <= s["gap"]  # all that is left reach this one's room
-        return F.struct(F.when(fills, s["gap"] - r["room"]).otherwise(s["gap"]).alias("gap"), F.when(fills, s["w"] - r["w"]).otherwise(s["w"]).alias("w"))
-
-    last = F.aggregate(line, F.struct(gap.alias("gap"), weights.alias("w")), level)
-    rows = rows.withColumn("last", last).withColumn("gap", gap)
-    height = F.when(c("last")["w"] > SLIGHT, c("last")["gap"] / c("last")["w"]).otherwise(float("inf"))
-    rows = rows.withColumn("height", height)
-    more = F.transform("room", lambda r: F.when((c("gap") > SLIGHT) & (r["w"] > 0), F.least(r["room"], c("height") * r["w"])).otherwise(0.0))
-    rows = rows.withColumn("final", F.zip_with(c("done")["minutes"], more, lambda m, x: m + x))
-
-    players = F.transform("p", lambda x, j: F.struct((-F.get("final", j)).alias("o"), x["player"].alias("player"), F.get("start", j).alias("before"), F.get("final", j).alias("after"), (F.get("final", j) / F.lit(total)).alias("share")))
-    strip = lambda a: F.transform(F.array_sort(a), lambda x: F.struct(x["player"].alias("player"), x["before"].alias("before"), x["after"].alias("after"), x["share"].alias("share")))
-    audit = F.transform(
-        c("done")["audit"],
-        lambda a: F.struct(
-            F.get("p", a["i"])["player"].alias("player"), a["requested"].alias("requested"), a["open_used"].alias("open_used"), a["forced"].alias("forced"),
-            F.transform(a["displaced"], lambda d: F.struct(d["player"].alias("player"), d["minutes"].alias("minutes"))).alias("displaced"), a["blocked_by"].alias("blocked_by"),
-            F.get("final", a["i"]).alias("assigned"), F.greatest(F.lit(0.0), a["requested"] - F.get("final", a["i"])).alias("unfilled"),
-        ),
-    )
-    return rows.select(roster, strip(players).alias("players"), audit.alias("audit"))
+    rows = rows.select(roster, F.when(c("n") <= most, c("p")).otherwise(F.raise_error(F.lit(f"a roster has more than {most} players")).cast(rows.schema["p"].dataType)).alias("p"))
+    kind = rosters.schema[key].dataType.simpleString()
+    schema = (
+        f"{roster} {rosters.schema[roster].dataType.simpleString()}, players array<struct<player: {kind}, before: double, after: double, share: double>>, "
+        f"audit array<struct<player: {kind}, requested: double, open_used: double, forced: boolean, displaced: array<struct<player: {kind}, minutes: double>>, "
+        f"blocked_by: array<struct<quality: double, minutes: double, player: {kind}>>, assigned: double, unfilled: double>>"
+    )
+    types = to_arrow_schema(rows.sparkSession.createDataFrame([], schema).schema)
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            done = [_rotation(p, total) for p in b.column("p").to_pylist()]
+            made = [pa.array([d[f] for d in done], types.field(f).type) for f in ("players", "audit")]
+            yield pa.RecordBatch.from_arrays([b.column(roster), *made], [roster, "players", "audit"])
+
+    return rows.mapInArrow(fold, schema)
 
 
 def nearest_groups(groups: DataFrame, key: str, features: Sequence[str], value, n: int) -> DataFrame:

@@ -5,7 +5,8 @@ from __future__ import annotations
 import gc
 import re
 import uuid
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -55,6 +56,22 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def small_batches(spark: SparkSession, size: str = "4m") -> Iterator[None]:
+    """Jobs that are started within hand rows to Python in batches of about so many bytes.
+
+    Spark's own limit is 10,000 rows, which of whole texts stand in memory several times: in Arrow's buffers of the
+    JVM and of Python, and as Python's strings; both processes keep what they once took.
+    """
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, size)
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
 def discard(spark: SparkSession, *frames: DataFrame | None) -> None:
     """Delete the files of materialized frames that nothing reads any more, and of shuffles that are done.
 

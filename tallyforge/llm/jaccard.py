@@ -33,7 +33,7 @@ from pyspark.sql import types as T
 
 from tallyforge.llm.common import discard, fresh, join_skewed, materialize, table
 from tallyforge.llm.components import components, least_linked
-from tallyforge.llm.shingles import PartEnum, mix, odd_bits, odd_gap, parity, set_digest, shared_pairs, shingle_set
+from tallyforge.llm.shingles import mix, odd_bits, odd_gap, parity, part_enum, set_digest, shared_pairs, shingle_set
 
 SET = T.StructType([T.StructField("n", T.LongType()), T.StructField("cls", T.BinaryType()), T.StructField("bits", T.BinaryType())])
 #: Classes that share a signature, at most: those tied two by two, those whose bits a task compares, those of a batch that stay apart.
@@ -97,7 +97,7 @@ def signatures(docs: DataFrame, text: str, words: int, num: int, den: int) -> Da
     """
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enum, emitted = PartEnum(num, den), OrderedDict()
+        enum, emitted = part_enum(num, den), OrderedDict()
         sigs, hs, held = [], [], 0
 
         def batch() -> pa.RecordBatch:
@@ -339,7 +339,7 @@ def _later_signatures(rows: DataFrame, num: int, den: int) -> DataFrame:
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Each row as often as it has shared pairs (t), with the bits of its s instead of s."""
-        enum = PartEnum(num, den)
+        enum = part_enum(num, den)
         for b in batches:
             n, s = b.column("n").to_pylist(), b.column("s")
             at, bits, found, held = [], [], [], 0

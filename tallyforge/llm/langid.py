@@ -110,8 +110,8 @@ def fit(labelled: DataFrame, *, text: str = "text", lang: str = "lang", sample_r
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         df, n = np.zeros(DIMS, dtype=np.int64), 0
         for batch in batches:
-            for t in batch.column("text").to_pylist():
-                df += counts(t) > 0
+            for t in batch.column("text"):
+                df += counts(t.as_py()) > 0
                 n += 1
         yield pa.RecordBatch.from_arrays([pa.array(range(DIMS + 1), pa.int32()), pa.array([*df.tolist(), n], pa.int64())], ["dim", "df"])
 
@@ -126,7 +126,7 @@ def fit(labelled: DataFrame, *, text: str = "text", lang: str = "lang", sample_r
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            tf = [counts(t).astype(np.int32).tobytes() for t in batch.column("text").to_pylist()]
+            tf = [counts(t.as_py()).astype(np.int32).tobytes() for t in batch.column("text")]
             yield pa.RecordBatch.from_arrays([batch.column("lang"), batch.column("h"), pa.array(tf, pa.binary())], ["lang", "h", "tf"])
 
     sample = chosen.mapInArrow(vectors, "lang string, h long, tf binary").dropDuplicates(["lang", "h"]).collect()
@@ -166,7 +166,8 @@ def identify(docs: DataFrame, model: Model, *, text: str = "text", into: str = "
 
     @F.arrow_udf(GUESS)
     def guess(t: pa.Array) -> pa.Array:
-        return pa.array(shared.value.guess(t.to_pylist()), type=GUESS_ARROW)
+        model = shared.value
+        return pa.array([g for at in range(0, len(t), CHUNK) for g in model.guess(t.slice(at, CHUNK).to_pylist())], type=GUESS_ARROW)
 
     return docs.withColumn(into, guess(F.col(text).cast("string")))
 

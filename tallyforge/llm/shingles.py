@@ -72,6 +72,19 @@ def set_digest(s: np.ndarray) -> bytes:
     return hashlib.blake2b(s.tobytes(), digest_size=16).digest()
 
 
+def _beyond(mean: float, n: int) -> float:
+    """How likely a Poisson count of that mean is over n. What is twelve deviations below the mean, and so below 1e-30, counts as nothing."""
+    low = max(0, int(mean - 12 * math.sqrt(mean) - 30))
+    if mean <= 0 or low > n:
+        return float(mean > 0)
+    term = math.exp(-mean + low * math.log(mean) - math.lgamma(low + 1))
+    total = term
+    for i in range(low + 1, n + 1):
+        term *= mean / i
+        total += term
+    return 1 - total
+
+
 class PartEnum:
     """Signatures by which any two sets with num / den or more Jaccard similarity share one.
 
@@ -86,6 +99,7 @@ class PartEnum:
     def __init__(self, num: int, den: int):
         self.num, self.den = num, den
         self.bands = [0]  # largest size of band i
+        self.plans: dict[int, tuple[int, int, np.ndarray]] = {}  # some hundreds
 
     def band(self, size: int) -> int:
         while self.bands[-1] < size:
@@ -98,9 +112,13 @@ class PartEnum:
             self.bands.append((self.bands[-1] + 1) * self.den // self.num)
         return 2 * (self.den - self.num) * self.bands[band] // (self.den + self.num)
 
-    @lru_cache(maxsize=None)  # noqa: B019  bands are some hundreds
     def plan(self, band: int) -> tuple[int, int, np.ndarray]:
-        """extra, the number of cells, and the cells of each subset, part by part."""
+        """extra, the number of cells, and the cells of each subset, part by part. Worked out once."""
+        if band not in self.plans:
+            self.plans[band] = self._planned(band)
+        return self.plans[band]
+
+    def _planned(self, band: int) -> tuple[int, int, np.ndarray]:
         self.differences(band)
         low, high = (self.bands[band - 2] if band > 1 else 0) + 1, self.bands[band]
         k = self.differences(band)
@@ -113,7 +131,7 @@ class PartEnum:
                 for extra in range(k + 20):
                     n1 = k // (k2 + 1) + 1 + extra
                     mean = n1 * min(1.0, subsets * (1 - (n2 - k2) / (n1 * n2)) ** low)
-                    tail = 1 - sum(math.exp(-mean + i * math.log(mean) - math.lgamma(i + 1)) for i in range(extra + 1)) if mean > 0 else 0
+                    tail = _beyond(mean, extra)
                     # The fewest signatures with which few sets have to keep empty subsets; else the fewest such sets.
                     rank = (max(tail, TAIL), n1 * subsets) if n1 * subsets <= max(100, 3 * k) else (2, n1 * subsets)
                     if best is None or rank < best[0]:
@@ -148,6 +166,12 @@ class PartEnum:
         return np.concatenate(out)
 
 
+@lru_cache(maxsize=None)
+def part_enum(num: int, den: int) -> PartEnum:
+    """The one of a process: its plans outlast a task, for they take longer than the signatures of a task's sets."""
+    return PartEnum(num, den)
+
+
 def shared_pairs(d: np.ndarray, size: int, enum: PartEnum) -> np.ndarray:
     """Signatures of a set of `size` elements of which d (sorted) differ from a pivot's.
 

@@ -105,3 +105,24 @@ def test_stages_take_any_rows(rows, spark, sf_dir):
 def test_run_gives_the_last_stage(spark, sf_dir):
     rows = cp.run(spark, sf_dir).collect()
     assert rows and {"shard", "slot"} <= set(rows[0].asDict())
+
+
+def test_texts_reach_python_in_small_batches(spark, sf_dir, monkeypatch):
+    name, most = "spark.sql.execution.arrow.maxBytesPerBatch", []
+
+    def sizes(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            yield pa.RecordBatch.from_pydict({"size": [b.nbytes]})
+
+    def stage(spark, docs, sf_dir):
+        many = docs.select("text").limit(200).selectExpr("repeat(text, 200) AS text").coalesce(1)
+        most.extend(r["size"] for r in many.mapInArrow(sizes, "size long").collect())
+        return docs
+
+    monkeypatch.setattr(cp, "STAGES", [("one", stage), ("last", stage)])
+    before = spark.conf.get(name, None)
+    cp.run(spark, sf_dir)
+    assert len(most) > 4 and sorted(most)[len(most) // 2] < 12 << 20  # one batch each before
+    assert spark.conf.get(name, None) == before

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import random
 
 import numpy as np
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tallyforge.llm import common, jaccard
 from tallyforge.llm.common import discard, join_skewed, materialize
-from tallyforge.llm.shingles import PartEnum, odd_bits, odd_gap, parity, shared_pairs
+from tallyforge.llm.shingles import PartEnum, _beyond, odd_bits, odd_gap, parity, part_enum, shared_pairs
 
 
 def test_one_key_with_three_quarters_of_the_rows_is_spread(spark):
@@ -184,3 +185,12 @@ def test_groups_compared_in_a_task(num, den):
                         least[i] = min(least[i], least[j])
         diffs = [np.array(sorted(s ^ pivot), dtype=np.int64) for s in sets]
         assert jaccard.linked_in_group(np.array([len(s) for s in sets]), diffs, num, den).tolist() == least
+
+
+def test_plans_of_signatures_outlast_a_task():
+    """Tasks of a process share them; a task alone took 10 seconds for those of its sets."""
+    enum = part_enum(4, 5)
+    assert part_enum(4, 5) is enum and enum.plan(30) is part_enum(4, 5).plan(30)
+    for mean, n in ((0.0, 3), (0.4, 0), (7.5, 12), (300.0, 280), (2000.0, 900)):
+        plain = 1 - sum(math.exp(-mean + i * math.log(mean) - math.lgamma(i + 1)) for i in range(n + 1)) if mean else 0
+        assert abs(_beyond(mean, n) - plain) < 1e-9

@@ -1,8 +1,8 @@
 """Approximate search over cells of vectors, and how much of the exact search it finds.
 
 Centroids are fitted on a bounded sample, but every row is put into the cell of its nearest centroid. A query looks into the cells
-whose centroids are nearest to it and scores their rows exactly. How many cells it takes is measured on the sample, for a recall that
-is asked for. Rows move once; large cells are parted, so no task holds a cell. retrieval.top_matches() is the exact search.
+whose centroids are nearest to it and scores exactly those of their rows that may be among its best (retrieval.leaders). How many cells it takes is measured on the sample, for a recall that
+is asked for. Large cells are parted, so no task holds a cell. retrieval.top_matches() is the exact search.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyforge.operators.retrieval import BLOCK_ROWS, matrix, scores, side, units
+from tallyforge.operators.retrieval import BLOCK_ROWS, WIDE_BLOCKS, WIDE_ROWS, Cosines, leaders, matrix, side, units
 from tallyforge.sources.scratch import kept
 
 SAMPLE_ROWS = 20_000  # rows that centroids are fitted on
@@ -92,34 +92,41 @@ def near_matches(queries: DataFrame, rows: DataFrame, key: str, vector: str, n:
     """As retrieval.top_matches(), among the rows of the cells that each query looks into: query, key, cosine, carried columns, rank.
     apart names a column of which a match has another value than the query.
 
-    A row is in one cell and moves once for each BLOCK_ROWS queries of it. Rows without a vector match nothing.
+    Neighbouring numbers of cells make a group of about a block of rows, and a query moves once for each group in which it looks into a cell,
+    not once a cell: vectors without clusters have to look into most cells. A row is in one group and moves once for each block of queries
+    of it. Rows without a vector match nothing.
     """
     cols = list(dict.fromkeys([key, vector, *carry, *([apart] if apart else [])]))
     kind = dict(rows.dtypes)
-    r = kept(rows.select(*cols).withColumn("_cell", cells_of(F.col(vector), index, 1)[0]).filter("_cell is not null"), "cells")
-    q = kept(queries.select(*cols).withColumn("_cell", F.explode(cells_of(F.col(vector), index, index.probes))), "probes")
-    parts = lambda df, name: df.groupBy("_cell").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias(name))
-    sizes = F.broadcast(parts(r, "_rows").join(parts(q, "_queries"), "_cell"))  # a row a cell, MOST_CELLS at most
+    r = kept(rows.select(*cols).withColumn("_cells", cells_of(F.col(vector), index, 1)).filter("_cells is not null"), "cells")
+    q = kept(queries.select(*cols).withColumn("_cells", cells_of(F.col(vector), index, index.probes)).filter("_cells is not null"), "probes")
+    total = r.count()
+    block = min(WIDE_ROWS, max(BLOCK_ROWS, -(-total // WIDE_BLOCKS)))
+    per = max(1, len(index.centroids) * block // max(1, total))  # cells of a group
+    of = lambda c: F.floor(c / per).cast("int")
+    q = q.withColumn("_group", F.explode(F.array_distinct(F.transform("_cells", of)))).withColumn("_cells", F.filter("_cells", lambda c: of(c) == F.col("_group")))
+    r = r.withColumn("_group", of(F.get("_cells", F.lit(0))))
+    parts = lambda df, name: df.groupBy("_group").agg(F.ceil(F.count("*") / block).cast("int").alias(name))
+    sizes = F.broadcast(parts(r, "_rows").join(parts(q, "_queries"), "_group"))  # a row a group, MOST_CELLS at most
     own = lambda c: F.pmod(F.xxhash64(key), F.col(c)).cast("int")
     every = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
-    placed = lambda df, s, a, b: df.join(sizes, "_cell").withColumn("_side", F.lit(s)).withColumn("_r", a).withColumn("_q", b)
+    placed = lambda df, s, a, b: df.join(sizes, "_group").withColumn("_side", F.lit(s)).withColumn("_r", a).withColumn("_q", b)
     both = placed(q, 0, every("_rows"), own("_queries")).unionByName(placed(r, 1, own("_rows"), every("_queries")))
 
     def best(pair: pa.Table) -> pa.Table:
         a, b = side(pair, 0, key), side(pair, 1, key)
         ks, ids = a.column(key).to_numpy(), b.column(key).to_numpy()
-        sims = scores(units(matrix(a, vector)), units(matrix(b, vector))).reshape(len(ks), len(ids))
-        sims[ks[:, None] == ids[None, :]] = -np.inf
-        if apart:
-            own, other = (np.array(t.column(apart).to_pylist(), dtype=object) for t in (a, b))
-            sims[own[:, None] == other[None, :]] = -np.inf
-        at = np.argsort(-sims, axis=1, kind="stable")[:, :n]
-        qi, ri = np.repeat(np.arange(len(ks)), at.shape[1]), at.ravel()
-        ok = np.isfinite(sims[qi, ri])
-        qi, ri = qi[ok], ri[ok]
-        return pa.table({"query": a.column(key).take(pa.array(qi)), key: b.column(key).take(pa.array(ri)), "cosine": sims[qi, ri], **{c: b.column(c).take(pa.array(ri)) for c in carry}})
-
-    found = both.groupBy("_cell", "_q", "_r").applyInArrow(best, f"query {kind[key]}, {key} {kind[key]}, cosine double" + "".join(f", {c} {kind[c]}" for c in carry))
+        first = per * pair.column("_group")[0].as_py()
+        asked, cell = a.column("_cells").combine_chunks(), b.column("_cells").combine_chunks().flatten().to_numpy() - first
+        looks = np.zeros((len(ks), per), dtype=bool)
+        looks[np.repeat(np.arange(len(ks)), asked.value_lengths().to_numpy()), asked.flatten().to_numpy() - first] = True
+        codes: dict = {}
+        mine, other = (np.array([codes.setdefault(x, len(codes)) for x in t.column(apart).to_pylist()], dtype=np.int64) if apart else None for t in (a, b))
+        drop = lambda i, j: ~looks[i, cell[j]] | (ks[i] == ids[j]) | (mine[i] == other[j] if apart else False)
+        qi, ri, cosine = leaders(Cosines(matrix(a, vector), matrix(b, vector)), n, drop)
+        return pa.table({"query": a.column(key).take(pa.array(qi)), key: b.column(key).take(pa.array(ri)), "cosine": cosine, **{c: b.column(c).take(pa.array(ri)) for c in carry}})
+
+    found = both.groupBy("_group", "_q", "_r").applyInArrow(best, f"query {kind[key]}, {key} {kind[key]}, cosine double" + "".join(f", {c} {kind[c]}" for c in carry))
     place = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("cosine"), key))
     return found.withColumn("rank", place).filter(F.col("rank") <= n)
 

@@ -103,6 +103,30 @@ def test_stability_by_hand(spark):
         assert row["jaccard"] == pytest.approx(len(a & b) / len(a | b))
 
 
+def test_a_query_moves_once_for_a_group_of_cells(spark, monkeypatch):
+    """It moved once for each cell that it looks into."""
+    monkeypatch.setattr(index, "BLOCK_ROWS", 200)
+    rng = np.random.default_rng(4)
+    e = spark.createDataFrame([(i, rng.normal(size=8).tolist()) for i in range(600)], "k long, v array<double>")
+    cells = index.fit(e, "k", "v", cells=30)
+    assert cells.probes > 6
+    sent, score = spark.sparkContext.accumulator(0), index.leaders
+
+    def counted(measure, n, drop):
+        sent.add(measure.size[0])
+        return score(measure, n, drop)
+
+    monkeypatch.setattr(index, "leaders", counted)
+    found = {(r["query"], r["k"]) for r in index.near_matches(e, e, "k", "v", 5, cells).collect()}
+    x = np.array([r["v"] for r in e.orderBy("k").collect()])
+    own, looks = cells.nearest(x, 1)[:, 0], cells.nearest(x, cells.probes)
+    sims = index.units(x) @ index.units(x).T
+    np.fill_diagonal(sims, -np.inf)
+    want = {(i, int(j)) for i in range(600) for j in np.argsort(-np.where(np.isin(own, looks[i]), sims[i], -np.inf), kind="stable")[:5]}
+    assert found == want
+    assert sent.value < 600 * cells.probes / 2
+
+
 def test_cells_find_nine_in_ten_and_score_exactly(spark, sf_dir, monkeypatch):
     monkeypatch.setattr(index, "BLOCK_ROWS", 16)  # cells in parts
     r = QUERIES["ann_recall"](spark, sf_dir).first()

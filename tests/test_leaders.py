@@ -53,3 +53,22 @@ def test_an_encoder_works_out_its_features_once(spark):
     out = style.linear_encoder(rows, ["k"], {"x": (0.0, 0.0, 1.0, 1.0), "y": (0.0, 0.0, 1.0, 1.0)}, [[1.0, 0.0], [0.0, 1.0], [1.0, 1.0]])
     assert out._jdf.queryExecution().optimizedPlan().toString().count("coalesce") == 2
     assert np.allclose(out.orderBy("k").first()["v"], np.array([3, 4, 7]) / np.sqrt(74))
+
+
+def test_styles_are_scored_some_queries_at_a_time(spark, sf_dir, monkeypatch):
+    """Scores of a whole pair of blocks stood in memory a dozen times."""
+    from tallyforge.operators import style
+    from tallyforge.plans.queries import QUERIES
+
+    want = {tuple(r) for r in QUERIES["style_neighbors"](spark, sf_dir).collect()}
+    most, plain = spark.sparkContext.accumulator(0), style._angular
+
+    def angular(q, r):
+        if len(q) > 3:
+            most.add(1)
+        return plain(q, r)
+
+    monkeypatch.setattr(style, "TILE_QUERIES", 3)
+    monkeypatch.setattr(style, "_angular", angular)
+    assert {tuple(r) for r in QUERIES["style_neighbors"](spark, sf_dir).collect()} == want and want
+    assert most.value == 0

@@ -37,11 +37,11 @@ from tallyforge.llm.shingles import mix, odd_bits, odd_gap, parity, part_enum, s
 
 SET = T.StructType([T.StructField("n", T.LongType()), T.StructField("cls", T.BinaryType()), T.StructField("bits", T.BinaryType())])
 #: Classes that share a signature, at most: those tied two by two, those whose bits a task compares, those of a batch that stay apart.
-FEW, BUCKET, IN_BATCH = 6, 4096, 512
+FEW, BUCKET, IN_BATCH = 6, 4096, 128
 #: Up to so many ids of documents that share a signature are broadcast (16 bytes each); more meet their texts by shuffle.
 BROADCAST_IDS = 1_000_000
 EMITTED = 50_000  # classes that a task remembers having emitted
-ROWS = 1 << 18  # signatures of a batch
+ROWS = 1 << 16  # signatures of a batch; a worker keeps what memory a batch once took
 SMALL = 1000  # sets that share a signature of a later round and are compared at once
 #: Sets, and elements of their differences from the pivot, of a group that a task compares.
 COMPARED, ELEMENTS = 1024, 4_000_000
@@ -89,6 +89,37 @@ def _tied(sigs: np.ndarray, hs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
     return np.concatenate([sigs[stay], made, made]), np.concatenate([hs[stay], ties[:, 0], ties[:, 1]]), marks
 
 
+def _signed(batches: Iterator[pa.RecordBatch], words: int, num: int, den: int) -> Iterator[pa.RecordBatch]:
+    """The rows of signatures() of a task's texts, about ROWS at a time."""
+    enum, emitted = part_enum(num, den), OrderedDict()
+    sigs, hs, held = [], [], 0
+
+    def batch() -> pa.RecordBatch:
+        flat = _tied(np.concatenate(sigs), np.repeat(np.array(hs, dtype=np.int64), [len(s) for s in sigs]))
+        return pa.RecordBatch.from_arrays([pa.array(flat[0].view(np.int64)), pa.array(flat[1]), pa.array(flat[2])], ["sig", "h", "many"])
+
+    for b in batches:
+        for x in _texts(b.column(0)):
+            s = shingle_set(x, words)
+            if not len(s):
+                continue
+            h = _short(set_digest(s))
+            if h in emitted:
+                emitted.move_to_end(h)
+                continue
+            emitted[h] = None
+            if len(emitted) > EMITTED:
+                emitted.popitem(last=False)
+            sigs.append(enum.signatures(s))
+            hs.append(h)
+            held += len(sigs[-1])
+            if held >= ROWS:
+                yield batch()
+                sigs, hs, held = [], [], 0
+    if sigs:
+        yield batch()
+
+
 def signatures(docs: DataFrame, text: str, words: int, num: int, den: int) -> DataFrame:
     """sig, h (first half of the digest) and many of the sets of docs; null texts and those without words have none.
 
@@ -96,36 +127,7 @@ def signatures(docs: DataFrame, text: str, words: int, num: int, den: int) -> Da
     tie the same classes together. Equal texts of a batch count once. Columns of docs other than the text aren't read.
     """
 
-    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enum, emitted = part_enum(num, den), OrderedDict()
-        sigs, hs, held = [], [], 0
-
-        def batch() -> pa.RecordBatch:
-            flat = _tied(np.concatenate(sigs), np.repeat(np.array(hs, dtype=np.int64), [len(s) for s in sigs]))
-            return pa.RecordBatch.from_arrays([pa.array(flat[0].view(np.int64)), pa.array(flat[1]), pa.array(flat[2])], ["sig", "h", "many"])
-
-        for b in batches:
-            for x in _texts(b.column(0)):
-                s = shingle_set(x, words)
-                if not len(s):
-                    continue
-                h = _short(set_digest(s))
-                if h in emitted:
-                    emitted.move_to_end(h)
-                    continue
-                emitted[h] = None
-                if len(emitted) > EMITTED:
-                    emitted.popitem(last=False)
-                sigs.append(enum.signatures(s))
-                hs.append(h)
-                held += len(sigs[-1])
-                if held >= ROWS:
-                    yield batch()
-                    sigs, hs, held = [], [], 0
-        if sigs:
-            yield batch()
-
-    return docs.select(F.col(text).cast("string").alias("text")).mapInArrow(emit, "sig long, h long, many boolean")
+    return docs.select(F.col(text).cast("string").alias("text")).mapInArrow(lambda batches: _signed(batches, words, num, den), "sig long, h long, many boolean")
 
 
 def may_link_tree(n: np.ndarray, bits: list[bytes | None], num: int, den: int) -> np.ndarray:

@@ -126,3 +126,22 @@ def test_texts_reach_python_in_small_batches(spark, sf_dir, monkeypatch):
     cp.run(spark, sf_dir)
     assert len(most) > 4 and sorted(most)[len(most) // 2] < 12 << 20  # one batch each before
     assert spark.conf.get(name, None) == before
+
+
+def test_batches_of_signatures_take_little_memory():
+    """The check's failure: each worker kept what its largest batch of signatures once took, four times in an executor."""
+    import tracemalloc
+
+    import numpy as np
+    import pyarrow as pa
+    from tallyforge.llm import jaccard
+
+    draw = np.random.default_rng(5)
+    texts = [" ".join(f"w{x}" for x in draw.integers(0, 5000, 200)).encode() for _ in range(2500)]
+    batches = [pa.RecordBatch.from_arrays([pa.array(texts[at : at + 100])], ["text"]) for at in range(0, len(texts), 100)]
+    rows = sum(b.num_rows for b in jaccard._signed(batches, 5, 4, 5))  # the plans of these sizes are there after that
+    tracemalloc.start()
+    assert sum(b.num_rows for b in jaccard._signed(batches, 5, 4, 5)) == rows > 300_000
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 12e6

@@ -69,21 +69,20 @@ def answers(rows: DataFrame, key: str, question: str = "question", *, trend: str
 
 
 def _with_facts(rows: DataFrame) -> DataFrame:
-    c = F.col
-    facts = F.array_compact(F.array(*[F.when(c(m).isNotNull(), F.struct(F.lit(m).alias("metric"), F.lit(said).alias("said"), c(m).cast("double").alias("value"), value_text(c(m).cast("double"), kind).alias("shown"))) for m, said, kind in FACTS]))
-    return rows.withColumn("_f", F.transform(facts, lambda f, i: F.struct(F.concat(F.lit("E"), (i + 1).cast("string")).alias("id"), f["metric"].alias("metric"), f["said"].alias("said"), f["value"].alias("value"), f["shown"].alias("shown"))))
-
-
-def _fact(m: str) -> Column:
-    return F.get(F.filter("_f", lambda f: f["metric"] == m), F.lit(0))
+    """rows with _s_<metric> (how it is shown) and _i_<metric> (its citation), null where it lacks, and _f, the facts that are there."""
+    has = [F.col(m).isNotNull() for m, _, _ in FACTS]
+    place = [sum((h.cast("int") for h in has[:at]), F.lit(1)) for at in range(len(FACTS))]
+    rows = rows.withColumns({f"_s_{m}": F.when(h, value_text(F.col(m).cast("double"), kind)) for (m, _, kind), h in zip(FACTS, has, strict=True)} | {f"_i_{m}": F.when(h, F.concat(F.lit("E"), n.cast("string"))) for (m, _, _), h, n in zip(FACTS, has, place, strict=True)})
+    facts = [F.when(h, F.struct(F.col(f"_i_{m}").alias("id"), F.lit(m).alias("metric"), F.lit(said).alias("said"), F.col(m).cast("double").alias("value"), F.col(f"_s_{m}").alias("shown"))) for (m, said, _), h in zip(FACTS, has, strict=True)]
+    return rows.withColumn("_f", F.array_compact(F.array(*facts)))
 
 
 def _cite(m: str) -> Column:
-    return F.coalesce(F.concat(F.lit("["), _fact(m)["id"], F.lit("]")), F.lit("[no data]"))
+    return F.coalesce(F.concat(F.lit("["), F.col(f"_i_{m}"), F.lit("]")), F.lit("[no data]"))
 
 
 def _shown(m: str) -> Column:
-    return F.coalesce(_fact(m)["shown"], F.lit("0.0"))
+    return F.coalesce(f"_s_{m}", F.lit("0.0"))
 
 
 def _number(m: str) -> Column:
@@ -139,7 +138,7 @@ def scouting_briefs(rows: DataFrame, key: str, *, trend: str = "trend") -> DataF
     role = F.when((first == "G") & (number("assists_per_game") >= MANY_ASSISTS), "runs the offence with the ball").when(first == "G", "plays off the ball on the perimeter").when(first == "C", "finishes and rebounds inside").when(first == "F", "plays on the wing").otherwise("is used for what the numbers show")
     floor = F.when(spaces, "wants shooters around the ball").otherwise("has its spacing from others")
     told = F.coalesce(c(trend), F.lit("Too few games for two windows."))
-    listed = F.array_join(F.transform("_f", lambda f: F.concat(F.lit("- ["), f["id"], F.lit("] "), f["said"], F.lit(": "), f["shown"])), "\n")
+    listed = F.concat_ws("\n", *[F.concat(F.lit("- ["), c(f"_i_{m}"), F.lit(f"] {name}: "), c(f"_s_{m}")) for m, name, _ in FACTS])
     report = F.concat(
         F.lit(BRIEF_SECTIONS[0] + "\n"), c("player_name"), F.lit(" in "), c("season"), F.lit(": "), line, F.lit(f".\n\n{BRIEF_SECTIONS[1]}\n"), strong, chosen,
         F.lit(f"\n\n{BRIEF_SECTIONS[2]}\n- Loses the ball "), shown("turnovers_per_game"), F.lit(" times a game "), cite("turnovers_per_game"), F.lit("; how often it is held isn't known.\n"), watched,

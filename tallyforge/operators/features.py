@@ -95,6 +95,21 @@ def live_features(feed: DataFrame, shots: DataFrame, people: DataFrame, season:
     return out.withColumn("offensive_reliability", sure).withColumns({c: F.lit(None).cast("double") for c in ("dpm", "o_dpm", "d_dpm")})
 
 
+#: Rows of which a task tells the different ones apart, about.
+DISTINCT_ROWS = 500_000
+
+
+def _distinct_games(rows: DataFrame) -> DataFrame:
+    """player_id, season and matchup_games, how many different game_id they have, for rows of these three.
+
+    They are told apart in as many parts as the rows need: sums beside a distinct count are kept for each game, in a task's memory, and
+    games grow with the input.
+    """
+    rows = kept(rows, "matchup-games")
+    each = rows.repartition(max(1, -(-rows.count() // DISTINCT_ROWS)), *rows.columns).distinct()
+    return each.groupBy("player_id", "season").agg(F.count("game_id").alias("matchup_games"))
+
+
 def matchup_profiles(matchups: DataFrame, people: DataFrame | None = None) -> DataFrame:
     """Per defender and season: whom they guarded (shares of possessions by position, mean height) and what came of it."""
     c = F.col
@@ -111,12 +126,13 @@ def matchup_profiles(matchups: DataFrame, people: DataFrame | None = None) -> Da
     weight = F.coalesce(finite(c("partial_possessions")), F.lit(0.0))
     rows = rows.withColumn("_p", place).withColumn("_w", weight)
     sums = {"matchup_possessions": "partial_possessions", "matchup_tries": "matchup_field_goals_attempted", "matchup_threes": "matchup_three_pointers_attempted", "matchup_turnovers": "matchup_turnovers", "matchup_blocks": "matchup_blocks", "matchup_fouls": "shooting_fouls"}
+    games = _distinct_games(matchups.filter(c("_season_type") == "rg").select(c("matchups_person_id").alias("player_id"), labels.season_label(c("_season")).alias("season"), "game_id"))
     out = rows.groupBy(c("matchups_person_id").alias("player_id"), "season").agg(
-        F.countDistinct("game_id").alias("matchup_games"),
         *[F.sum(source).alias(name) for name, source in sums.items()],
         *[F.sum(F.when(c("_p") == k, c("_w")).otherwise(0.0)).alias(f"_{k}") for k in "GFC"],
         F.sum(c("height") * c("_w")).alias("_h"),
     )
+    out = on_group(out, games, ["player_id", "season"])
     return out.withColumns({
         **{f"matchup_{name}_share": ratio(c(f"_{k}"), c("matchup_possessions"), 0.0) for k, name in (("G", "guard"), ("F", "forward"), ("C", "center"))},
         "matchup_try_rate": ratio(c("matchup_tries"), c("matchup_possessions")),

@@ -8,6 +8,7 @@ import uuid
 from collections.abc import Iterable, Iterator
 from contextlib import contextmanager
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -57,19 +58,27 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 
 
 @contextmanager
-def small_batches(spark: SparkSession, size: str = "4m") -> Iterator[None]:
-    """Jobs that are started within hand rows to Python in batches of about so many bytes.
+def small_batches(spark: SparkSession, size: str = "1m", rows: int = 512) -> Iterator[None]:
+    """Jobs that are started within hand rows to Python in batches of about so many bytes, and decode so many rows at once.
 
-    Spark's own limit is 10,000 rows, which of whole texts stand in memory several times: in Arrow's buffers of the
-    JVM and of Python, and as Python's strings; both processes keep what they once took.
+    Spark's own limits are 10,000 and 4096 rows, which of whole texts stand in memory several times: in the arrays of the
+    reader, in Arrow's buffers of the JVM and of Python, and as Python's strings; both processes keep what they once took.
+    Only jobs that run before the end are bound, not those of a frame that is returned.
     """
-    name = "spark.sql.execution.arrow.maxBytesPerBatch"
-    before = spark.conf.get(name, None)
-    spark.conf.set(name, size)
+    wanted = {"spark.sql.execution.arrow.maxBytesPerBatch": size, "spark.sql.parquet.columnarReaderBatchSize": str(rows)}
+    before = {name: spark.conf.get(name, None) for name in wanted}
+    for name, value in wanted.items():
+        spark.conf.set(name, value)
     try:
         yield
     finally:
-        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+        for name, value in before.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
+
+
+def give_back() -> None:
+    """Hand to the system what Arrow keeps of freed batches; else a worker holds it while it waits for its next task."""
+    pa.default_memory_pool().release_unused()
 
 
 def discard(spark: SparkSession, *frames: DataFrame | None) -> None:

@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyforge.llm.common import discard, fresh, join_skewed, materialize, table
+from tallyforge.llm.common import discard, fresh, give_back, join_skewed, materialize, small_batches, table
 from tallyforge.llm.components import components, least_linked
 from tallyforge.llm.shingles import mix, odd_bits, odd_gap, parity, part_enum, set_digest, shared_pairs, shingle_set
 
@@ -64,6 +64,7 @@ def shingle_classes(docs: DataFrame, id_col: str, text: str, words: int) -> Data
     def classes(t: pa.Array) -> pa.Array:
         sets = (shingle_set(x, words) for x in _texts(t))  # one at a time
         found = [{"n": len(s), "cls": set_digest(s), "bits": odd_bits(s)} if len(s) else {"n": 0, "cls": None, "bits": None} for s in sets]
+        give_back()
         return pa.array(found, type=pa.struct([("n", pa.int64()), ("cls", pa.binary()), ("bits", pa.binary())]))
 
     return docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("h"), classes(F.col(text).cast("string")).alias("s")).select("id", "h", "s.n", "s.cls", "s.bits")
@@ -116,8 +117,11 @@ def _signed(batches: Iterator[pa.RecordBatch], words: int, num: int, den: int) -
             if held >= ROWS:
                 yield batch()
                 sigs, hs, held = [], [], 0
+        del b
+        give_back()
     if sigs:
         yield batch()
+        give_back()
 
 
 def signatures(docs: DataFrame, text: str, words: int, num: int, den: int) -> DataFrame:
@@ -253,8 +257,11 @@ def _sets(docs: DataFrame, id_col: str, text: str, words: int, members: DataFram
                 if held >= ROWS:
                     yield batch()
                     sets, held = [], 0
+            del b
+            give_back()
         if sets:
             yield batch()
+            give_back()
 
     keys = _small(members.select(F.col("id").alias("_id"), F.col("h").alias("_h")).distinct())
     texts = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("h"), F.col(text).cast("string").alias("t"))
@@ -453,15 +460,21 @@ def link(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text", words:
     a component's id only if all its ids are null. root is the digest of the component's set of least id, null for an
     empty set. Other columns of docs are ignored. An empty docs gives an empty result.
     """
+    with small_batches(docs.sparkSession):  # the jobs of a result that is read later have no Python
+        return _linked(docs, id_col, text, words, num, den)
+
+
+def _linked(docs: DataFrame, id_col: str, text: str, words: int, num: int, den: int) -> DataFrame:
     rows = materialize(shingle_classes(docs, id_col, text, words), "classes")
     filled = rows.filter(F.col("cls").isNotNull())
     row = F.struct(F.col("id").isNull().alias("no_id"), "id", "h")
     classes = filled.groupBy("cls").agg(F.min(row).alias("row"), F.max("n").alias("n"), F.max("bits").alias("bits"), F.count("*").alias("copies"))
-    classes = materialize(classes.select("cls", "row.id", "row.h", "n", "copies", "bits"), "class-nodes")
+    # short is written: a join by a Python column makes it twice, for the join drops nulls first, with two workers a task.
+    classes = materialize(classes.select("cls", "row.id", "row.h", "n", "copies", "bits", _short_udf("cls").alias("short")), "class-nodes")
     ties = _ties(signatures(docs, text, words, num, den), classes, num, den)
     group = _groups(ties).withColumnsRenamed({"node": "short", "root": "g"})
     # Classes of one short digest are in one group, which is as good as any that holds both.
-    members = classes.withColumn("short", _short_udf("cls")).join(group, "short")
+    members = classes.join(group, "short")
     members = members.select(F.col("cls").alias("x"), "id", "h", "g", "n", (-F.col("copies")).alias("rank"))
     members = materialize(members, "members")
     items = materialize(_sets(docs, id_col, text, words, members).select("g", "x", "n", "s", "rank"), "sets")

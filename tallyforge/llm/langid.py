@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyforge.llm.common import table
+from tallyforge.llm.common import give_back, table
 
 DIMS = 4096
 NONE = "und"
@@ -167,7 +167,9 @@ def identify(docs: DataFrame, model: Model, *, text: str = "text", into: str = "
     @F.arrow_udf(GUESS)
     def guess(t: pa.Array) -> pa.Array:
         model = shared.value
-        return pa.array([g for at in range(0, len(t), CHUNK) for g in model.guess(t.slice(at, CHUNK).to_pylist())], type=GUESS_ARROW)
+        out = pa.array([g for at in range(0, len(t), CHUNK) for g in model.guess(t.slice(at, CHUNK).to_pylist())], type=GUESS_ARROW)
+        give_back()
+        return out
 
     return docs.withColumn(into, guess(F.col(text).cast("string")))
 

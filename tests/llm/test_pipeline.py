@@ -145,3 +145,39 @@ def test_batches_of_signatures_take_little_memory():
     most = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert most < 12e6
+
+
+def test_stages_bind_their_own_batches(spark, sf_dir, monkeypatch):
+    """The check's failure: only run() bound the batches of texts, the stages by themselves took 10,000 rows at once."""
+    names = ["spark.sql.execution.arrow.maxBytesPerBatch", "spark.sql.parquet.columnarReaderBatchSize"]
+    docs, seen = spark.read.parquet(f"{sf_dir}/documents.parquet"), []
+    for module, step in ((cp.jaccard, "signatures"), (cp.jaccard, "shingle_classes"), (cp.langid, "fit")):
+        monkeypatch.setattr(module, step, lambda *a, f=getattr(module, step), **b: seen.append([spark.conf.get(n) for n in names]) or f(*a, **b))
+    before = [spark.conf.get(n) for n in names]
+    for _, stage in cp.STAGES[:2]:
+        stage(spark, docs, sf_dir)
+    assert len(seen) == 3 and seen == [["1m", "512"]] * 3
+    assert [spark.conf.get(n) for n in names] == before
+
+
+def test_no_task_of_near_duplicates_holds_two_workers(spark, sf_dir, monkeypatch):
+    """A join by a column that Python makes had it made twice in a task, so each executor kept twice as many workers."""
+    docs, plans = spark.read.parquet(f"{sf_dir}/documents.parquet"), []
+    write = cp.jaccard.materialize
+    monkeypatch.setattr(cp.jaccard, "materialize", lambda df, name: plans.append((name, df._jdf.queryExecution().sparkPlan().toString().count("ArrowEvalPython"))) or write(df, name))
+    cp.near_duplicates(spark, docs, sf_dir)
+    assert len(plans) > 10 and [(name, n) for name, n in plans if n > 1] == []
+
+
+def test_a_worker_gives_back_what_arrow_keeps(monkeypatch):
+    """Workers kept what Arrow's pool took, for nothing asked it to let go."""
+    import pyarrow as pa
+    from tallyforge.llm import jaccard
+
+    held = []
+    monkeypatch.setattr(jaccard, "give_back", lambda: held.append(pa.total_allocated_bytes()))
+    start = pa.total_allocated_bytes()
+    batches = (pa.RecordBatch.from_arrays([pa.array([f"some words of text {k} {i} " * 200 for i in range(500)])], ["text"]) for k in range(4))
+    for _ in jaccard._signed(batches, 5, 4, 5):
+        pass
+    assert len(held) >= 4 and max(held) - start < 1e6  # the batch is gone by then; it is of 2 MB and more
